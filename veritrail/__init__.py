@@ -1 +1 @@
-"""veritrail package."""
+"""Decision-provenance analytics on Spark: DataFrames in, DataFrames out."""

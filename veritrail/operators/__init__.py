@@ -1 +1 @@
-"""operators package."""
+"""Operators over the stored tables."""
