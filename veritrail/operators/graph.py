@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import WALK_DEPTH, WALK_FLOOR
+from ..session import settled
 
 
 def oriented(edges: DataFrame, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
@@ -58,9 +59,10 @@ def walk(
     next frontier is that of its first sighting. ``admitted`` (node) are nodes that exist and
     may be returned; others are neither returned nor walked through.
 
-    The depth is a small constant, so the hops are unrolled into one lazy plan: a frontier is
-    joined with the edges on the node, and the best step of a node is an aggregate, which
-    combines before its shuffle; a hub's edges are split by adaptive execution.
+    A frontier is joined with the edges on the node, and the best step of a node is an
+    aggregate, which combines before its shuffle; a hub's edges are split by adaptive
+    execution. Each frontier is settled, since the next hop, the visited set and the result
+    all read it; a walk ends early when a hop reaches nothing.
     """
     steps = oriented(edges, direction, kinds)
     first = Window.partitionBy("query_id", "node").orderBy("position")
@@ -70,7 +72,7 @@ def walk(
         "query_id", "node", F.lit(0).alias("hops"), F.lit(1.0).alias("confidence"), "position",
         F.lit(None).cast("string").alias("parent"), F.col("node").alias("seed"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("kinds"),
     )
-    everything = frontier
+    frontier = everything = settled(frontier)
     for hop in range(1, depth + 1):
         step = frontier.withColumnRenamed("confidence", "path").join(steps, F.col("node") == F.col("frm"))
         fresh = step.join(everything.select("query_id", F.col("node").alias("to")), ["query_id", "to"], "left_anti")
@@ -92,6 +94,9 @@ def walk(
             F.row_number().over(place).cast("bigint").alias("position"), F.col("best.parent").alias("parent"), F.col("best.seed").alias("seed"),
             F.concat("best.nodes", F.array("node")).alias("nodes"), F.concat("best.kinds", F.array("best.kind")).alias("kinds"),
         )
+        frontier = settled(frontier)
+        if frontier.isEmpty():
+            break
         everything = everything.unionByName(frontier)
     return everything
 

@@ -96,8 +96,13 @@ def _frequency(terms: Column, phrase: list[str]) -> Column:
     if len(phrase) == 1:
         return F.size(F.filter(terms, lambda t: t == phrase[0]))
     wanted = F.array(*map(F.lit, phrase))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(terms) - len(phrase) + 1, F.lit(1))), lambda i: F.slice(terms, i, len(phrase)) == wanted)
-    return F.size(starts)
+
+    def places(words: Column) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - len(phrase) + 1, F.lit(1))), lambda i: F.slice(words, i, len(phrase)) == wanted))
+
+    # bound once: inside the inner function the column itself would be worked out at every place
+    bound = F.element_at(F.transform(F.array(terms), places), 1)
+    return F.when(F.array_contains(terms, phrase[0]), bound).otherwise(F.lit(0))
 
 
 def bm25(indexed: Index, queries: DataFrame, k: int = TOP_K, where: Filters | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "veritrail", master: str | None = None, **settings: str) -> SparkSession:
@@ -19,3 +21,13 @@ def session(name: str = "veritrail", master: str | None = None, **settings: str)
     for key, value in (wanted | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once and cuts its lineage: for small tables that a plan uses several
+    times, such as a walk's frontier. Goes to the folder that ``spark.checkpoint.dir`` names,
+    which all executors share; only where none is set (tests), to a new local one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="veritrail-"))
+    return df.checkpoint()
