@@ -45,3 +45,10 @@ def fold(doc_id: str = "doc_id") -> Column:
 def share(doc_id: str = "doc_id") -> Column:
     """A uniform number in [0, 1) that depends on the id alone."""
     return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in short slices, so that a worker holds few decoded texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

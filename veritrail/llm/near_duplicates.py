@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, slices
 from .components import connected_components
 from .shingles import mixed, shingles
 
 BINS, ROWS, PROBES = 128, 4, 2048
+#: Buckets of at most this many classes are paired out; larger ones get stars.
+SMALL = 8
+#: Stars of a later round in a large bucket, and such rounds at most before the exact join.
+CENTRES, ROUNDS = 4, 1
+#: Of sets of at least FROM items, pairs of whose BINS one-bit minima more than DIFFER differ
+#: aren't confirmed: at a similarity of 0.75, 16 differ, with a deviation of 3.7.
+FROM, DIFFER = 200, 36
 _EMPTY = np.uint64(2**64 - 1)
 _STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 _PROBE = np.random.default_rng(11).integers(0, BINS, (BINS, PROBES))
@@ -51,12 +58,17 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mixed(mixed(rows).sum(axis=1, dtype=np.uint64) + np.arange(len(rows), dtype=np.uint64)).view(np.int64)
 
 
+def bits(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, as two 64-bit numbers."""
+    return np.packbits((mixed(sketch(hashes)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def _signature(hashes: np.ndarray) -> bytes | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
 
 def _sketches(batches):
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -64,13 +76,14 @@ def _sketches(batches):
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_signature(s) for s in sets], pa.binary()),
                 pa.array([bands(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([bits(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "sig", "bands"],
+            names=["doc_id", "n_shingles", "sig", "bands", "bits"],
         )
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -89,11 +102,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are never paired. Steps:
 
     1. one pass over the texts makes sketches; classes are aggregated before the shuffle;
-    2. each class of a bucket is paired with the bucket's centre alone (a star), so pairs
-       are linear in the classes; pairs are confirmed on full sets; components follow;
-    3. stars can miss a link between two members that the centre doesn't join. Classes of
-       buckets that still hold several components are joined exactly by their rarest
-       shingles (prefix filter), and new links are confirmed and merged.
+    2. classes that share a bucket are paired: all of a bucket of at most SMALL, and of a
+       larger one each with the bucket's centre alone (a star), so pairs are linear in the
+       classes; pairs are confirmed on full sets, and components follow;
+    3. large buckets that still hold several components get stars with other centres, for
+       members outside the centre's component;
+    4. what is left open in large buckets is joined exactly by the rarest shingles (prefix
+       filter), so that a link which no centre has shown isn't lost.
 
     Null or wordless texts have an empty set and stand alone. ``component_id`` is the
     smallest id reachable; ids that are null stand alone unless linked. Rows that repeat
@@ -108,26 +123,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             T.StructField("n_shingles", T.LongType()),
             T.StructField("sig", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
+            T.StructField("bits", T.ArrayType(T.LongType())),
         ]
     )
     rows = cut(spark_docs.mapInArrow(_sketches, schema))
-    classes = cut(
-        rows.where("sig is not null")
-        .groupBy("sig")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    )
-    member = classes.select("sig", "n", F.explode("bands").alias("bucket"))
-    centre = member.groupBy("bucket").agg(F.min(F.struct("sig", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    shared = cut(member.join(centre.select("bucket", "c"), "bucket"))
-    pairs = shared.where("sig <> c.sig").select("sig", "n", F.col("c.sig").alias("sig2"), F.col("c.n").alias("n2"))
-    pairs = pairs.where(_sizes_allow(percent)).select("sig", "sig2").distinct()
-    sets = cut(_full_sets(spark_docs, classes, shared))
-    links = cut(_confirmed(pairs, sets, percent))
-    roots = connected_components(links.select(F.col("sig").alias("u"), F.col("sig2").alias("v")))
-    more = cut(_confirmed(_missed(shared, roots, sets, percent), sets, percent))
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = connected_components(links.select(F.col("sig").alias("u"), F.col("sig2").alias("v")))
+    first = [F.first(c).alias(c) for c in ("bands", "bits")]
+    classes = cut(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *first))
+    member = classes.select("sig", F.explode("bands").alias("bucket"))
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    about = classes.select("sig", "n", F.col("bits")[0].alias("x"), F.col("bits")[1].alias("y"))
+    shared = cut(member.join(sizes, "bucket").join(about, "sig"))
+    small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
+    centre = large.groupBy("bucket").agg(F.min(F.struct(*_MEMBER)).alias("c")).select("bucket", *(F.col(f"c.{c}").alias(f"{c}2") for c in _MEMBER))
+    pairs = small.join(_second(small), "bucket").where("sig < sig2").union(large.join(centre, "bucket").where("sig <> sig2"))
+    pairs = pairs.where(_plausible(percent)).select(F.least("sig", "sig2").alias("sig"), F.greatest("sig", "sig2").alias("sig2"))
+    pairs = cut(pairs.distinct())
+    wanted = pairs.select("sig").union(pairs.select("sig2")).union(large.select("sig")).distinct()
+    sets = cut(_full_sets(spark_docs, classes, wanted))
+    roots = connected_components(cut(_confirmed(pairs, sets, percent)).toDF("u", "v"))
+    for step in range(ROUNDS + 1):
+        large = _open(large, roots)
+        if not step:
+            sets = cut(sets.join(large.select("sig").distinct(), "sig", "left_semi"))
+        found = _more_stars(large, step * CENTRES, percent) if step < ROUNDS else _by_rarest(large, sets, percent)
+        fresh = cut(found.join(pairs, ["sig", "sig2"], "left_anti"))
+        links, pairs = cut(_confirmed(fresh, sets, percent)), pairs.union(fresh)
+        if not links.isEmpty():
+            roots = connected_components(roots.where("node <> root").union(links).toDF("u", "v"))
     joined = classes.select("sig", "rep").join(roots.withColumnRenamed("node", "sig"), "sig")
     least = joined.groupBy("root").agg(F.min("rep").alias("least"))
     least = joined.join(least, "root").select("sig", "least")
@@ -141,14 +163,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+_MEMBER = ("sig", "n", "x", "y")
+
+
 def _sizes_allow(percent: int):
     return (F.least("n", "n2") * 100) >= (F.greatest("n", "n2") * percent)
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """The sets of the classes that share a bucket, made again from one text of each;
-    keeping every document's set instead would take more disk than the texts."""
-    wanted = shared.select("sig").distinct()
+def _plausible(percent: int):
+    """What sizes and, for sets that aren't small, one-bit minima don't rule out."""
+    differ = F.bit_count(F.col("x").bitwiseXOR(F.col("x2"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("y2")))
+    return _sizes_allow(percent) & ((F.least("n", "n2") < FROM) | (differ <= DIFFER))
+
+
+def _second(member: DataFrame) -> DataFrame:
+    return member.select("bucket", *(F.col(c).alias(f"{c}2") for c in _MEMBER))
+
+
+def _open(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their roots, of buckets that hold several components."""
+    found = member.select("bucket", *_MEMBER).join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    several = found.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    return cut(found.join(several, "bucket"))
+
+
+def _more_stars(member: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Pairs of each member with CENTRES centres of its bucket, chosen anew by a hash, outside
+    the centre's component."""
+    chosen = [F.min_by(F.struct(*_MEMBER, "root"), F.xxhash64("sig", "bucket", F.lit(seed + k))) for k in range(CENTRES)]
+    centres = member.groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("c"))
+    each = member.join(centres, "bucket").withColumn("c", F.filter("c", lambda c: c["root"] != F.col("root"))).select(*_MEMBER, F.explode("c").alias("c"))
+    each = each.select(*_MEMBER, *(F.col(f"c.{c}").alias(f"{c}2") for c in _MEMBER)).where(_plausible(percent))
+    return each.select(F.least("sig", "sig2").alias("sig"), F.greatest("sig", "sig2").alias("sig2")).distinct()
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the classes that may have to be confirmed, made again from one text of
+    each; keeping every document's set instead would take more disk than the texts."""
     reps = classes.select("sig", "rep").join(wanted, "sig", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
     made = texts.mapInArrow(_sets, "sig binary, items array<bigint>").where("sig is not null")
@@ -166,17 +217,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _missed(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _by_rarest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share one of their rarest shingles.
 
     Sets of size n that reach the threshold with another share one of any
     n - ceil(n * percent / 100) + 1 of their items, so long as all sets order items
     alike; rarest first, items that no other set here has use up places and pair nothing.
     """
-    found = shared.select("sig", "n", "bucket").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    found = found.withColumn("root", F.coalesce("root", "sig"))
-    open_ = found.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    member = found.join(open_, "bucket", "left_semi").select("sig", "n", "root").distinct()
+    member = open_.select("sig", "n", "root").distinct()
     items = member.join(sets, "sig").select("sig", "n", "root", F.explode("items").alias("item"))
     common = items.groupBy("item").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b")).where("df > 1")
     held = items.join(common, "item")
@@ -184,7 +232,10 @@ def _missed(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
     held = held.withColumn("own", F.count("*").over(order)).withColumn("place", F.row_number().over(order.orderBy("df", "item")))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     held = held.where((F.col("place") + F.col("n") - F.col("own") <= prefix) & (F.col("a") != F.col("b")))
-    left = held.select("sig", "n", "root", "item")
-    right = held.select(F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("root").alias("root2"), "item")
-    pairs = left.join(right, "item").where((F.col("root") != F.col("root2")) & (F.col("sig") < F.col("sig2")) & _sizes_allow(percent))
+    held = held.withColumn("after", F.col("own") - F.col("place"))
+    left = held.select("sig", "n", "root", "after", "item")
+    right = held.select(*(F.col(c).alias(f"{c}2") for c in ("sig", "n", "root", "after")), "item")
+    # at the first item that two sets share, what follows it in both must still be enough
+    enough = (F.least("after", "after2") + 1) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    pairs = left.join(right, "item").where((F.col("root") != F.col("root2")) & (F.col("sig") < F.col("sig2")) & _sizes_allow(percent) & enough)
     return pairs.select("sig", "sig2").distinct()
