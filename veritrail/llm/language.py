@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, share
+from .common import fold, share, slices
 
 #: Families of related languages by language code (fixed values); others stand alone.
 FAMILIES = {
@@ -22,9 +22,9 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 UNKNOWN = "und"
-DIMENSIONS = 1 << 14
+DIMENSIONS = 1 << 13
 #: Documents of each language that training takes at most, about.
-TRAIN_PER_LANGUAGE = 800
+TRAIN_PER_LANGUAGE = 600
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -50,7 +50,8 @@ def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 8, penalty: float = 1e-4) -
     """Weights of a linear SVM without offset (averaged sub-gradient steps on the hinge loss)
     and the factor of a logistic curve over its margins."""
     rng, step = np.random.default_rng(7), 0
-    w, mean, balance = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.where(y > 0, len(y) / max(1, (y > 0).sum()), len(y) / max(1, (y < 0).sum())) / 2
+    w, mean = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    balance = np.where(y > 0, len(y) / max(1, (y > 0).sum()), len(y) / max(1, (y < 0).sum())) / 2
     for epoch in range(epochs):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 16)):
             step += 1
@@ -77,13 +78,14 @@ class Model:
     between the languages of that family alone. Scores are products of the two shares."""
 
     def __init__(self, texts: list[str], langs: list[str]):
-        made = [(f[0], lang) for t, lang in zip(texts, langs) if (f := features(t)) is not None]
+        made = [(f[0].astype(np.float32), lang) for t, lang in zip(texts, langs) if (f := features(t)) is not None]
         self.langs = sorted({lang for _, lang in made})
         self.families: dict[str, list[str]] = {}
         for lang in self.langs:
             self.families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
-        x = np.array([f for f, _ in made], dtype=np.float32).reshape(-1, DIMENSIONS)
-        x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+        x = np.empty((len(made), DIMENSIONS), dtype=np.float32)
+        for i, (f, _) in enumerate(made):
+            x[i] = f / np.linalg.norm(f)
         lang = np.array([lang for _, lang in made], dtype=object)
         family = np.array([FAMILY_OF.get(g, g) for g in lang], dtype=object)
         self.pairs: list[tuple[str, str, float]] = []
@@ -149,7 +151,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())],
@@ -168,7 +170,7 @@ def with_language(docs: DataFrame, text_col: str = "text", least: float = 0.5) -
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             if shared.value.langs:
                 keep = [s >= least and lang != UNKNOWN for lang, s in map(shared.value.predict, texts)]
