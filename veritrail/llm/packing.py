@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe_trie import byte_characters
-from .common import cut
+from .common import cut, slices
 
 CAPACITY, END_ID = 2048, 0
 #: Configurations that are tried, as the share of the capacity over which a length counts
@@ -25,10 +25,9 @@ BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 
 
 @functools.lru_cache(maxsize=2)
-def _encoders(path: str):
-    """The vocabulary of ``path`` in the faster of two libraries, and as it is."""
+def _fast(path: str):
+    """The vocabulary of ``path`` in the faster of two libraries."""
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -36,19 +35,25 @@ def _encoders(path: str):
     ranks = {bytes([byte[c] for c in token]): i for token, i in spec["model"]["vocab"].items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {k: v for k, v in ranks.items() if v not in set(special.values())}
-    fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    plain = Tokenizer.from_file(path)
-    plain.no_padding()
-    plain.no_truncation()
-    return fast, plain
+    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+@functools.lru_cache(maxsize=2)
+def _plain(path: str):
+    """The tokenizer of ``path`` itself; loaded only where the other gives up."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_padding()
+    found.no_truncation()
+    return found
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    fast, plain = _encoders(path)
     try:
-        return np.array(fast.encode(text, allowed_special="all"), dtype="<u4")
+        return np.array(_fast(path).encode(text, allowed_special="all"), dtype="<u4")
     except (ValueError, RuntimeError):  # the pattern engine gives up on extreme runs
-        return np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(_plain(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -242,7 +247,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """Token pieces of each row: ``doc_id, piece, start, length, ids_crc32``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.append(token_ids(text or "", vocabulary), np.array(END_ID, dtype="<u4"))

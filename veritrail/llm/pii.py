@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Kinds in the order that settles ties of starts; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "secret", "account")
@@ -148,7 +150,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [spans(t) if t else [] for t in batch.column("text").to_pylist()]
             base = [[s for s in f if s[0] in BASE] for f in found]
             counts = [pa.array([sum(s[0] == kind for s in b) for b in base], pa.int64()) for kind in BASE]
@@ -185,7 +187,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     length_at = fields.index(length_col) if length_col in fields else None
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(text_at).to_pylist()
             new = [t and redacted(t) for t in texts]
             columns = batch.columns

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, share
+from .common import cut, fold, share, slices
 from .shingles import shingles
 
 #: Labelled documents of each class that training takes at most, about.
@@ -136,14 +136,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _keyed(batches):
     """Adds the least hash of a text's 3-word shingles: near copies mostly share it, and one
     of them is enough, else the words of a large group of copies would pass for cues."""
-    for batch in batches:
+    for batch in slices(batches):
         found = [shingles(t, 3) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[:1].tobytes() for f in found], pa.binary())], names=["text", "toxic", "group"])
 
 
 def _cue_counts(batches):
     counts = (Counter(), Counter())
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             counts[toxic].update(cues(text))
     names = sorted(counts[1])
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
 
     def hits(batches):
         place = {c: i for i, c in enumerate(shared.value)}
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             cue = [sorted(place[c] for c in cues(t) if c in place) for t in texts]
             pattern = [[bool(p.search(t)) for p in _PATTERNS.values()] for t in texts]
@@ -204,7 +204,7 @@ def assess(docs: DataFrame, labels: DataFrame, model: Classifier | None = None)
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             scores = [shared.value.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
@@ -221,7 +221,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", mo
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([shared.value.score(t) < most for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
