@@ -181,7 +181,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # keywords are looked for in words apart by one space, and only in texts that hold a trigger
     low = F.lower("_n")
     trigger = F.lit(False)
-    for word in ("licen", "reserved", "copyright", " cc  by ", "public  domain", "creative  commons", "spdx", "warrant", "permission", "redistribut", "free  software", "cc0", "gpl", "unlicense", "proprietary", "commercial", "as  is", "bsd"):
+    for word in ("licen", "reserved", "copyright", " cc  by ", "public  domain", "creative  commons", "spdx", "warrant", "permission", "redistribut", "free  software", "cc0", "gpl", "unlicense", "proprietary", "commercial", "as  is", "bsd", "contributors"):
         trigger = trigger | low.contains(word)
     rows = rows.select("doc_id", "_n", F.when(trigger, F.translate("_n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("_l"))
     held = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.replace(F.col("_l"), F.lit("  "), F.lit(" ")), k))

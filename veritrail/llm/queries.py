@@ -86,11 +86,43 @@ _COMPONENTS = """
   least as (select a, min(b) least from reach group by a)
 """
 
+
+
+def _license_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rules = ", ".join(f"({r.place}, {quoted(r.label)}, {quoted(r.keyword)}, {quoted(r.pattern)}, {r.confidence})" for r in licenses.rules())
+    spaces = "(length({0}) - length(replace({0}, ' ', '')))"
+    before = "(array_to_string(p[1:i], '') || array_to_string(f[1:i-1], ''))"
+    return rf"""
+with rules(place, label, keyword, pattern, confidence) as (values {rules}),
+d as (
+  select doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x80-\x{{10FFFF}}]+', '  ', 'g')) || ' ' n
+  from documents
+),
+h as (
+  select doc_id, place, label, confidence, regexp_split_to_array(n, pattern) p, regexp_extract_all(n, pattern) f
+  from d join rules on contains(replace(n, '  ', ' '), keyword) and regexp_matches(n, pattern)
+),
+u as (select *, unnest(range(1, len(f) + 1)) i from h),
+s as (select doc_id, place, label, confidence, {spaces.format(before)} // 2 a, {spaces.format(before)} // 2 + {spaces.format("f[i]")} // 2 b from u),
+k as (
+  select *, coalesce(max(b) over (partition by doc_id order by a, b desc, place rows between unbounded preceding and 1 preceding), -1) < b kept from s
+)
+select d.doc_id, case when n = '  ' then 0 else {spaces.format("n")} // 2 end::bigint n_words, count(*) filter (place < {len(licenses.PHRASES)}) n_base,
+  min(a) filter (place < {len(licenses.PHRASES)}) first_word, max(a) filter (place < {len(licenses.PHRASES)}) last_word,
+  coalesce(string_agg(distinct label, ',' order by label) filter (place < {len(licenses.PHRASES)}), '') base_labels,
+  coalesce(string_agg(distinct label, ',' order by label) filter (kept or place < {len(licenses.PHRASES)}), '') labels,
+  coalesce(max(confidence) filter (kept), 0)::double score
+from d left join k on k.doc_id = d.doc_id group by d.doc_id, n
+"""
+
+
 SQL = {
+    "op1_license_scan": _license_sql(),
     "op3_quality_rules": rf"""
 with d as (
   select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \t-\r]')) l
+    [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^ \t-\r]')] l
   from documents
 ),
 tri as (select doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] s from d, unnest(range(1, len(w) - 1)) u(i)),
@@ -122,7 +154,7 @@ from p left join g on p.d = g.d and n >= {warc.REVISIT_FROM}
     "op9_cap_filter_dedup": f"""
 with recursive v as (
   select vec_id, embedding::double[] e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0
 ),
 links as (
   select x.vec_id a, y.vec_id b from v x join v y on x.vec_id <> y.vec_id and len(x.e) = len(y.e)

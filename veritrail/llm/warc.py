@@ -51,8 +51,8 @@ def read_arc(data: bytes) -> Iterator[dict[str, str | bytes]]:
     if not line[0].startswith("filedesc://"):
         raise ValueError("not an ARC file: no version block")
     block = stream.read(int(line[-1])).decode().split("\n")
-    version, fields = int(block[0].split(" ")[0]), block[1].split(" ")
-    if ARC_FIELDS.get(version) != block[1]:
+    version, fields = int(block[0].split(" ")[0]), [*block, ""][1].split(" ")
+    if ARC_FIELDS.get(version) != " ".join(fields):
         raise ValueError(f"unknown ARC version {version} or fields")
     stream.readline()
     while raw := stream.readline():
