@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 
@@ -14,6 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD_END = "</w>"
+#: The word pattern that texts of Latin-1 letters may take a quicker way for (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters for which the standard library's classes differ from the pattern's.
+_UNLIKE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f²³¹¼½¾Ā-\U0010ffff]").search
+_MARKS = "".join(re.escape(c) for c in map(chr, range(256)) if not c.isspace() and not c.isalnum())
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[{_MARKS}]+").findall
 _NEVER = 1 << 60
 SHORT = 6
 
@@ -36,14 +43,15 @@ class TrieEncoder:
     and words that share a prefix share its encoding.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern).findall
+        find = regex.compile(pattern).findall
+        self.words = find if pattern != PATTERN else lambda text: find(text) if _UNLIKE(text) else _LATIN(text)
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
         self.longest = max(len(t.removesuffix(WORD_END)) for t in self.vocab)
         self.characters = byte_characters()
@@ -51,7 +59,7 @@ class TrieEncoder:
         self.left: dict[str, list] = {}
         self.right: dict[str, list] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
         self.keep = keep
         self.ends: dict[tuple[str, str], list] = {}
         #: What the last SHORT characters of longer tokens are.
@@ -114,7 +122,7 @@ class TrieEncoder:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 4 * self.keep:
+            if len(self.pairs) > self.keep // 2:
                 self.pairs.clear()
             self.pairs[first, second] = found
         return found
@@ -129,7 +137,7 @@ class TrieEncoder:
                 token = tail[-length:] + end
                 if token in self.vocab and self.split(token) is not False:
                     found.append((length, token))
-            if len(self.ends) > 2 * self.keep:
+            if len(self.ends) > self.keep // 2:
                 self.ends.clear()
             self.ends[tail, end] = found
         return found
@@ -155,31 +163,44 @@ class TrieEncoder:
     def encode_words(self, words) -> None:
         """Puts the encodings of ``words`` into ``known``."""
         root: dict = {}
-        table = self.characters
+        table, most, last_token, known, vocab = self.characters, self.longest, self.last_token, self.known, self.vocab
         for word in words:
-            text = "".join([table[b] for b in word.encode("utf-8", "surrogatepass")])
+            text = word if word.isascii() and word.isprintable() else "".join([table[b] for b in word.encode("utf-8", "surrogatepass")])
             node = root
             for c in text[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault("", []).append((text[-1], word))
+                below = node.get(c)
+                if below is None:
+                    below = node[c] = {}
+                node = below
+            if "" in node:
+                node[""].append((text[-1], word))
+            else:
+                node[""] = [(text[-1], word)]
         lengths, tokens = [0], [""]
         stack = [(root, 0, "")]
         while stack:
             node, depth, tail = stack.pop()
             if depth:
                 del lengths[depth:], tokens[depth:]
-                length, token = self.last_token(tail, "", depth, tokens)
+                length, token = last_token(tail, "", depth, tokens)
                 lengths.append(length)
                 tokens.append(token)
-            for c, word in node.get("", ()):
-                length, token = self.last_token((tail + c)[-self.longest :], WORD_END, depth + 1, tokens)
-                out, at = [token], depth + 1 - length
-                while at:
-                    out.append(tokens[at])
-                    at -= lengths[at]
-                out.reverse()
-                self.known[word] = (array("I", [self.vocab[t] for t in out]).tobytes(), " ".join(out), len(out))
-            stack += [(child, depth + 1, (tail + c)[-self.longest :]) for c, child in node.items() if c]
+            for c, below in node.items():
+                if c:
+                    stack.append((below, depth + 1, tail + c if depth < most else (tail + c)[-most:]))
+                    continue
+                for end, word in below:
+                    length, token = last_token(tail + end if depth < most else (tail + end)[-most:], WORD_END, depth + 1, tokens)
+                    at = depth + 1 - length
+                    if not at:
+                        known[word] = (vocab[token].to_bytes(4, "little"), token)
+                        continue
+                    out = [token]
+                    while at:
+                        out.append(tokens[at])
+                        at -= lengths[at]
+                    out.reverse()
+                    known[word] = (array("I", [vocab[t] for t in out]).tobytes(), " ".join(out))
 
     def pieces(self, text: str) -> list[tuple[str, bool]]:
         """``(word, is it a special token)`` of a text."""
@@ -205,13 +226,15 @@ class TrieEncoder:
         if len(self.known) > self.keep:
             self.known.clear()
         self.encode_words(new.difference(self.known))
-        out = []
+        out, known = [], self.known
         for words, text in zip(cut, texts):
             if words is None:
-                got = [self.known[w] if not s else (array("I", [self.special[w]]).tobytes(), w, 1) for w, s in self.pieces(text)]
+                got = [self.known[w] if not s else (array("I", [self.special[w]]).tobytes(), w) for w, s in self.pieces(text)]
             else:
-                got = [self.known[w] for w in words]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got])))
+                got = [known[w] for w in words]
+            ids, decoded = zip(*got) if got else ((), ())
+            joined = b"".join(ids)
+            out.append((joined, " ".join(decoded), len(joined) // 4))
         return out
 
 
