@@ -123,10 +123,15 @@ def bm25(indexed: Index, queries: DataFrame, k: int = TOP_K, where: Filters | No
         return queries.sparkSession.createDataFrame([], empty)
     chunks = indexed.chunks
     keep = (where or Filters()).column()
-    words = sorted({w for p in distinct for w in p})
-    near = chunks.where(F.arrays_overlap("terms", F.array(*map(F.lit, words))))
-    each = F.array(*(F.struct(F.lit(i).alias("phrase"), _frequency(F.col("terms"), list(p)).alias("f")) for i, p in enumerate(distinct)))
-    found = near.select(*KEY, "dl", keep.alias("wanted"), F.explode(each).alias("x")).select(*KEY, "dl", "wanted", "x.phrase", "x.f").where("f > 0")
+
+    def hits(words: Column) -> Column:
+        each = F.array(*(F.struct(F.lit(i).alias("phrase"), _frequency(words, list(p)).alias("f")) for i, p in enumerate(distinct)))
+        return F.struct(F.size(words).alias("dl"), F.filter(each, lambda x: x["f"] > 0).alias("each"))
+
+    # the words are bound once for a row, however many phrases look at them
+    bound = F.element_at(F.transform(F.array("terms"), hits), 1)
+    rows = chunks.select(*KEY, keep.alias("wanted"), bound.alias("h"))
+    found = rows.select(*KEY, "wanted", "h.dl", F.explode("h.each").alias("x")).select(*KEY, "dl", "wanted", "x.phrase", "x.f")
     df = found.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(float(indexed.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weight = F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("dl") / F.lit(indexed.average)))
