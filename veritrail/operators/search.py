@@ -61,6 +61,9 @@ class Index:
 
 def index(chunks: DataFrame) -> Index:
     """Tokenises once; written with :func:`write_index` it serves all later queries."""
+    parallel = chunks.sparkSession.sparkContext.defaultParallelism
+    if chunks.rdd.getNumPartitions() < parallel:  # a few unsplittable files would keep most cores idle
+        chunks = chunks.repartition(parallel)
     worded = chunks.withColumn("terms", X.tokens(F.col("text"))).withColumn("dl", F.size("terms"))
     stats = worded.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
     return Index(worded, stats.n, stats.average or 0.0)
