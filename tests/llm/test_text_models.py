@@ -182,6 +182,26 @@ def test_language_families():
     assert [model.predict(t)[0] for t in texts] == list(langs)
 
 
+@pytest.mark.parametrize("langs", ["en fr ru tr hi ar", "en de nl sv", "xa xb xc xd xe xf xg", "en de nl fr es it ru uk pl"])
+def test_clean_documents_stay_however_many_languages(spark, langs):
+    rng, langs = random.Random(1), langs.split()
+    words = {g: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(12)] for g in langs}
+    made = [(i, " ".join(rng.choices(words[g], k=60)), g) for i, g in enumerate(langs * 30)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string").repartition(2)
+    truth = {i: g for i, _, g in made}
+    found = language.identify(docs).collect()
+    assert all(r.lang_pred == truth[r.doc_id] and 0.5 < r.score <= 1 for r in found)
+    assert language.with_language(docs).count() == len(made)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 9])
+def test_share_of_a_language_does_not_depend_on_their_number(n):
+    names = [f"n{i}" for i in range(n)]
+    win = {(a, b): 1.0 for i, a in enumerate(names) for b in names[i + 1 :]}
+    assert language._choose(names, win) == ("n0", 1.0)
+    assert language._choose(names, win | {("n0", names[-1]): 0.5})[1] == 0.5
+
+
 def test_toxicity(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

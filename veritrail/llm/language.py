@@ -75,7 +75,8 @@ def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 8, penalty: float = 1e-4) -
 
 class Model:
     """A family is chosen by one-versus-one SVMs between families, a language by those
-    between the languages of that family alone. Scores are products of the two shares."""
+    between the languages of that family alone. Scores are products of the two shares, each
+    that against the strongest rival."""
 
     def __init__(self, texts: list[str], langs: list[str]):
         made = [(f[0].astype(np.float32), lang) for t, lang in zip(texts, langs) if (f := features(t)) is not None]
@@ -111,17 +112,19 @@ class Model:
 
 
 def _choose(names: list[str], win: dict) -> tuple[str, float]:
-    """The name with the most won pairs, the sum of shares deciding ties, and its share."""
+    """The name with the most won pairs, the sum of shares deciding ties, and its share in the
+    pair it does worst in, which is 1 if all are won outright, however many names there are."""
     if len(names) == 1:
         return names[0], 1.0
-    votes, sums = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+    votes, sums, worst = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
     for a, b in itertools.combinations(names, 2):
         p = win[a, b]
         votes[a if p >= 0.5 else b] += 1
-        sums[a] += p
-        sums[b] += 1 - p
+        for name, q in ((a, p), (b, 1 - p)):
+            sums[name] += q
+            worst[name] = min(worst[name], q)
     best = max(names, key=lambda n: (votes[n], sums[n]))
-    return best, min(1.0, float(2 * sums[best] / (len(names) * (len(names) - 1)))) if len(names) > 2 else float(sums[best])
+    return best, float(worst[best])
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
