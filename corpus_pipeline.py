@@ -22,12 +22,15 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies (operator 10);
-    of rows that repeat an id, one of each text. Rows are joined on the id, which is what
-    they are spread by, so a hot source or a large group of copies makes no hot task."""
-    found = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig")).distinct()
-    ids = found.groupBy("_id").agg(F.count("*").alias("_n"))
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "inner")
-    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    of rows of a group that repeat that id, or of a group without ids, one. Rows are joined
+    on the id and the text's digest, so an id's other texts don't come back, and a hot
+    source, a large group of copies or many rows without an id make no hot task."""
+    digest = F.unhex(F.md5("text"))
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text", digest.alias("_digest")), carried=("_digest",)).where("kept")
+    one = found.groupBy(F.col("doc_id").alias("_id"), F.coalesce("root", "_digest").alias("_group")).agg(F.min("_digest").alias("_kept"))
+    rows = docs.withColumn("_digest", digest)
+    kept = rows.join(one, rows["doc_id"].eqNullSafe(one["_id"]) & rows["_digest"].eqNullSafe(one["_kept"]), "inner")
+    return kept.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

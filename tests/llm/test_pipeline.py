@@ -44,5 +44,24 @@ def test_awkward_rows(spark, tmp_path):
     assert docs.where(F.col("length") > 2048).isEmpty() and docs.count() > 0
 
 
+def test_near_dedup_of_repeated_and_missing_ids(spark):
+    a, b, c, d = (data.words(80, seed) for seed in (11, 12, 13, 14))
+    near = lambda text: text + " tail"
+    rows = [
+        (1, a), (2, near(a)), (2, b),  # an id over a dropped and a kept text
+        (3, c), (3, near(c)), (3, c.upper()), (3, c),  # an id over near copies of itself
+        (None, d), (None, near(d)), (None, d),  # a group without ids
+        (None, near(b)), (None, a), (None, None), (None, "!"), (4, None), (4, "  "),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert out.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert (1, a) in got and (2, b) in got and (2, near(a)) not in got and (None, near(b)) not in got and (None, a) not in got
+    assert sum(i == 3 for i, _ in got) == 1 and sum(t in (d, near(d)) for _, t in got) == 1
+    alone = [(None, None), (None, "!"), (4, None), (4, "  ")]
+    assert [x for x in alone if x in got] == alone and len(got) == 4 + len(alone)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0 and corpus_pipeline.ORACLE_SQL is None

@@ -77,8 +77,9 @@ def _sketches(batches):
                 pa.array([_signature(s) for s in sets], pa.binary()),
                 pa.array([bands(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 pa.array([bits(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                *batch.columns[2:],
             ],
-            names=["doc_id", "n_shingles", "sig", "bands", "bits"],
+            names=["doc_id", "n_shingles", "sig", "bands", "bits", *batch.schema.names[2:]],
         )
 
 
@@ -94,7 +95,7 @@ def _sets(batches):
         )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: ``doc_id, n_shingles, sig, component_id, kept``.
 
     Documents are linked when their sets of 5-word shingles have a Jaccard similarity of
@@ -113,9 +114,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or wordless texts have an empty set and stand alone. ``component_id`` is the
     smallest id reachable; ids that are null stand alone unless linked. Rows that repeat
     an id with the same text are one class and are all kept or all dropped. An empty
-    table gives an empty result; other columns of ``docs`` aren't looked at.
+    table gives an empty result; other columns of ``docs`` aren't looked at. With
+    ``carried``, those columns of a row are returned too, and ``root``, which tells
+    components apart where ids repeat or are null; it is null for an empty set.
     """
-    spark_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    spark_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
     id_type = spark_docs.schema["doc_id"].dataType
     schema = T.StructType(
         [
@@ -124,6 +127,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             T.StructField("sig", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
             T.StructField("bits", T.ArrayType(T.LongType())),
+            *(spark_docs.schema[c] for c in carried),
         ]
     )
     rows = cut(spark_docs.mapInArrow(_sketches, schema))
@@ -152,14 +156,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             roots = connected_components(roots.where("node <> root").union(links).toDF("u", "v"))
     joined = classes.select("sig", "rep").join(roots.withColumnRenamed("node", "sig"), "sig")
     least = joined.groupBy("root").agg(F.min("rep").alias("least"))
-    least = joined.join(least, "root").select("sig", "least")
-    known = classes.select("sig", "rep").join(least, "sig", "left").select("sig", F.coalesce("least", "rep").alias("least"))
-    return rows.select("doc_id", "n_shingles", "sig").join(known, "sig", "left").select(
+    least = joined.join(least, "root").select("sig", "least", "root")
+    known = classes.select("sig", "rep").join(least, "sig", "left").select("sig", F.coalesce("least", "rep").alias("least"), F.coalesce("root", "sig").alias("root"))
+    return rows.select("doc_id", "n_shingles", "sig", *carried).join(known, "sig", "left").select(
         "doc_id",
         "n_shingles",
         "sig",
         F.coalesce("least", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("least", "doc_id")).alias("kept"),
+        *((*carried, "root") if carried else ()),
     )
 
 
