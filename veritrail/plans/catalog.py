@@ -146,6 +146,12 @@ def postings(spark, folder):
     return found.select("term", "doc_id", "tf")
 
 
+@query()
+def postings_whole(spark, folder):
+    """Of all documents; ``postings`` is the part of it that DuckDB's comparison covers."""
+    return S.postings(S.index(T.chunks(spark, folder))).select("term", "doc_id", "tf")
+
+
 @query(f"with {D}, {knn_ctes()} {_VEC}")
 def knn_topk(spark, folder):
     return _scored(S.knn(T.chunks(spark, folder), asked_vectors(spark, folder)))
@@ -330,6 +336,13 @@ def seed_links(spark, folder):
     return G.seed_links(T.edges(spark, folder, T.DOC_EDGES), seeds).select("src", "dst", "kind", "confidence")
 
 
+@query(f"with {D} select src, dst, kind, conf::double confidence from ({T.DOC_EDGES}) where src <> dst and src in (select doc_id from d) and dst in (select doc_id from d)")
+def seed_links_whole(spark, folder):
+    """With every document as a seed; ``seed_links`` has a fixed seed set."""
+    seeds = T.documents(spark, folder).select(F.lit(1).alias("query_id"), F.col("doc_id").alias("node"))
+    return G.seed_links(T.edges(spark, folder, T.DOC_EDGES), seeds).select("src", "dst", "kind", "confidence")
+
+
 @query(
     f"""with {D}, {walk_ctes("select 1 query_id, doc_id node from d where n = 40", T.DOC_EDGES, 2, admitted="select doc_id from d")}
 select node, hops::bigint hops, round(pow(0.6, hops) * conf, 9) score, created_s, row_number() over (order by created_s, node) rank from walked join d on d.doc_id = node where url <> ''"""
@@ -564,6 +577,13 @@ def blame_group(spark, folder):
     return blame_groups(rows).select(F.col("position").cast("bigint").alias("position"), F.col("sha").cast("bigint").alias("user_id"), F.size("lines").cast("bigint").alias("lines"))
 
 
+@query("select row_number() over (order by min(event_id)) as position, user_id, count(*) lines from events group by user_id")
+def blame_group_whole(spark, folder):
+    """Of all events; ``blame_group`` takes the first 500."""
+    rows = T.view(spark, folder, "select cast(user_id as string) sha, event_id line_start, array(props) lines, event_type subject from events")
+    return blame_groups(rows).select(F.col("position").cast("bigint").alias("position"), F.col("sha").cast("bigint").alias("user_id"), F.size("lines").cast("bigint").alias("lines"))
+
+
 @query("with l as (select row_number() over (order by ts desc, event_id desc) as position, md5(cast(event_id as varchar)) sha from events), b as (select position p from l where sha = md5('77')) select position, sha from l, b where position > p order by position limit 20")
 def history_window(spark, folder):
     rows = T.view(spark, folder, "select row_number() over (order by ts desc, event_id desc) as position, md5(cast(event_id as string)) sha from events")
