@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,48 @@ def test_there_are_hundreds_of_rules():
     assert len(licenses.rules()) > 300 and len({r.place for r in licenses.rules()}) == len(licenses.rules())
 
 
+def matched(tree):
+    """Texts that a parsed pattern matches: each alternative, with and without what is optional."""
+    texts = [""]
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            found = [chr(value)]
+        elif name == "NOT_LITERAL":
+            found = ["w"]
+        elif name == "IN":
+            found = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value]
+        elif name == "BRANCH":
+            found = [t for part in value[1] for t in matched(part)]
+        elif name == "SUBPATTERN":
+            found = matched(value[3])
+        elif name == "MAX_REPEAT":
+            least, _, part = value
+            found = [t * n for n in {least, max(1, least)} for t in (matched(part) if n else [""])]
+        else:
+            raise ValueError(name)
+        texts = [a + b for a in texts for b in found]
+    return texts
+
+
+def expanded(rule):
+    return matched(re._parser.parse(rule.pattern))
+
+
+def test_every_alternative_of_a_rule_passes_its_keyword_and_a_trigger():
+    for rule in licenses.rules():
+        for text in expanded(rule):
+            assert re.search(rule.pattern, text), (rule, text)
+            assert rule.keyword in text.replace("  ", " "), (rule, text)
+            assert any(t in text for t in licenses.TRIGGERS), (rule, text)
+
+
+@pytest.mark.parametrize("name", ["X11 License", "Expat License", "GNU Library General Public License"])
+def test_names_without_the_usual_keyword(spark, name):
+    found = licenses.scan(spark.createDataFrame([(1, name)], "doc_id int, text string")).first()
+    assert found.labels == ("gpl,lgpl" if "GNU" in name else "mit") and found.score == 0.7
+
+
 def test_quality_base(spark):
     found = quality.judged(data.documents(spark))
     assert "Python" not in plan(found) and "Arrow" not in plan(found)

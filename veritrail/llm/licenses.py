@@ -14,12 +14,15 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The base: label and words that stand consecutively (fixed values).
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: Families: label, keyword that a text must hold, words of the name (fixed values).
+#: Families: label, keyword that a text must hold, words of the name (fixed values). The
+#: keyword is in all that the words match: names without a common one have a row for each.
 FAMILIES = [
     ("apache-2.0", "apache", "apache(?: software)? licen[cs]e(?: version)? 2 0"),
     ("apache-1.1", "apache", "apache(?: software)? licen[cs]e(?: version)? 1 1"),
     ("apache", "apache", "apache(?: software)? licen[cs]e"),
-    ("mit", "mit", "(?:mit|expat|x11)(?: style)? licen[cs]e"),
+    ("mit", "mit", "mit(?: style)? licen[cs]e"),
+    ("mit", "expat", "expat(?: style)? licen[cs]e"),
+    ("mit", "x11", "x11(?: style)? licen[cs]e"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
@@ -28,7 +31,8 @@ FAMILIES = [
     ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e"),
     ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public licen[cs]e(?: version)? 3(?: 0)?"),
     ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public licen[cs]e(?: version)? 2 1"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public licen[cs]e"),
+    ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e"),
+    ("lgpl", "library", "(?:gnu )?library general public licen[cs]e"),
     ("gpl-3.0", "general public", "(?:gnu )?general public licen[cs]e(?: version)? 3(?: 0)?"),
     ("gpl-2.0", "general public", "(?:gnu )?general public licen[cs]e(?: version)? 2(?: 0)?"),
     ("gpl-1.0", "general public", "(?:gnu )?general public licen[cs]e(?: version)? 1(?: 0)?"),
@@ -93,6 +97,10 @@ SENTENCES = [
     ("proprietary", "proprietary", "proprietary and confidential"),
     ("proprietary", "permission", "(?:may not be|no part of this [^ ]+ may be) (?:reproduced|copied|distributed)(?: [^ ]+){0,8} without(?: the)?(?: prior)?(?: written)? permission"),
 ]
+#: One of these stands in all normalised texts that a rule matches (fixed values).
+TRIGGERS = (
+    "licen", "reserved", "copyright", " cc  by ", "public  domain", "creative  commons", "spdx", "warrant", "permission", "redistribut", "free  software", "cc0", "gpl", "unlicense", "proprietary", "commercial", "as  is", "bsd", "contributors",
+)
 
 
 @dataclass(frozen=True)
@@ -181,7 +189,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # keywords are looked for in words apart by one space, and only in texts that hold a trigger
     low = F.lower("_n")
     trigger = F.lit(False)
-    for word in ("licen", "reserved", "copyright", " cc  by ", "public  domain", "creative  commons", "spdx", "warrant", "permission", "redistribut", "free  software", "cc0", "gpl", "unlicense", "proprietary", "commercial", "as  is", "bsd", "contributors"):
+    for word in TRIGGERS:
         trigger = trigger | low.contains(word)
     rows = rows.select("doc_id", "_n", F.when(trigger, F.translate("_n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("_l"))
     held = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.replace(F.col("_l"), F.lit("  "), F.lit(" ")), k))
