@@ -73,7 +73,9 @@ def matched(tree):
 
 
 def expanded(rule):
-    return matched(re._parser.parse(rule.pattern))
+    """Texts of a rule; what stands after "and" or "or" counts only in a text that names SPDX."""
+    after = rule.keyword == "spdx" and rule.pattern.startswith(" (?:and|or)")
+    return [" spdx " * after + text for text in matched(re._parser.parse(rule.pattern))]
 
 
 def test_every_alternative_of_a_rule_passes_its_keyword_and_a_trigger():
@@ -90,6 +92,46 @@ def test_names_without_the_usual_keyword(spark, name):
     assert found.labels == ("gpl,lgpl" if "GNU" in name else "mit") and found.score == 0.7
 
 
+def test_every_rule_fires(spark):
+    """A text of each rule alone, where no earlier rule says the same, gives its label."""
+    table = licenses.rules()
+    assert len({r.pattern for r in table}) == len(table)
+    docs = [(r.place, t.strip().replace("  ", " ")) for r in table for t in (max(expanded(r), key=len), min(expanded(r), key=len))]
+    found = licenses.scan(spark.createDataFrame(docs, "doc_id int, text string").repartition(4)).collect()
+    labels = {}
+    for r in found:
+        labels.setdefault(r.doc_id, set()).update(r.labels.split(","))
+        assert r.score > 0
+    assert [r for r in table if r.label not in labels[r.place]] == []
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("// SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+        ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"),
+        ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl-2.1"),
+        ("SPDX-License-Identifier: ISC", "isc"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+        ("SPDX-License-Identifier: (Apache-2.0 OR MIT)", "apache-2.0,mit"),
+        ("SPDX-License-Identifier: CC0-1.0", "cc0"),
+        ("Apache-2.0", "apache-2.0"),
+        ("MPL-2.0", "mpl-2.0"),
+        ("LGPL-2.1-only", "lgpl-2.1"),
+        ("covered by the LGPL", "lgpl"),
+        ("see the AGPLv3", "agpl-3.0"),
+        ("This is licensed under MIT.", "mit"),
+        ("dual licensed under the Apache 2 terms", "apache-2.0"),
+        ("released under ISC", "isc"),
+        ("a simple example of replacing an apache helicopter, mit einem Wort", ""),
+    ],
+)
+def test_identifiers_and_abbreviations(spark, text, labels):
+    found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert found.labels == labels and (found.score > 0) == bool(labels)
+
+
 def test_quality_base(spark):
     found = quality.judged(data.documents(spark))
     assert "Python" not in plan(found) and "Arrow" not in plan(found)

@@ -74,13 +74,123 @@ FAMILIES = [
 ]
 #: What a family's name may stand in, the more telling first: words before and after (fixed values).
 CONTEXTS = [
-    ("spdx license identifier ", ""),
     ("(?:is |are )?(?:dual )?licen[cs]ed under (?:the )?(?:terms of (?:the )?)?", ""),
     ("(?:re)?distributed under (?:the )?(?:terms of (?:the )?)?", ""),
     ("(?:is )?released under (?:the )?(?:terms of (?:the )?)?", ""),
     ("(?:available|provided|published) under (?:the )?(?:terms of (?:the )?)?", ""),
     ("", ""),
 ]
+_ANY = "(?: only| or later)?"
+#: SPDX short identifiers, which stand after "SPDX-License-Identifier": label, words (fixed values).
+SPDX = [
+    ("0bsd", "0bsd"),
+    ("afl", "afl [123] [0-9]"),
+    ("agpl-1.0", f"agpl 1 0{_ANY}"),
+    ("agpl-3.0", f"agpl 3 0{_ANY}"),
+    ("apache-1.0", "apache 1 0"),
+    ("apache-1.1", "apache 1 1"),
+    ("apache-2.0", "apache 2 0(?: with llvm exception)?"),
+    ("artistic", "artistic 1 0(?: perl| cl8)?"),
+    ("artistic-2.0", "artistic 2 0"),
+    ("blueoak", "blueoak 1 0 0"),
+    ("boost", "bsl 1 0"),
+    ("bsd-2-clause", "bsd 2 clause(?: patent| views)?"),
+    ("bsd-3-clause", "bsd 3 clause(?: clear| lbnl)?"),
+    ("bsd-4-clause", "bsd 4 clause(?: uc)?"),
+    ("busl", "busl 1 1"),
+    ("cc-by-4.0", "cc by [1234] [05]"),
+    ("cc-by-nc", "cc by nc [1234] [05]"),
+    ("cc-by-nc-nd", "cc by nc nd [1234] [05]"),
+    ("cc-by-nc-sa", "cc by nc sa [1234] [05]"),
+    ("cc-by-nd", "cc by nd [1234] [05]"),
+    ("cc-by-sa", "cc by sa [1234] [05]"),
+    ("cc0", "cc0 1 0"),
+    ("cddl", "cddl 1 [01]"),
+    ("cecill", "cecill (?:1 [01]|2 [01]|b|c)"),
+    ("cpl", "cpl 1 0"),
+    ("curl", "curl"),
+    ("ecl", "ecl [12] 0"),
+    ("epl", "epl 1 0"),
+    ("epl-2.0", "epl 2 0"),
+    ("eupl", "eupl 1 [012]"),
+    ("gfdl", f"gfdl 1 [123](?: no)?(?: invariants)?{_ANY}"),
+    ("gpl-1.0", f"gpl 1 0{_ANY}"),
+    ("gpl-2.0", f"gpl 2 0{_ANY}"),
+    ("gpl-3.0", f"gpl 3 0{_ANY}"),
+    ("hpnd", "hpnd"),
+    ("isc", "isc"),
+    ("lgpl-2.0", f"lgpl 2 0{_ANY}"),
+    ("lgpl-2.1", f"lgpl 2 1{_ANY}"),
+    ("lgpl-3.0", f"lgpl 3 0{_ANY}"),
+    ("lppl", "lppl 1 [0123][ac]?"),
+    ("mit", "mit"),
+    ("mit-0", "mit 0"),
+    ("mit", "x11"),
+    ("mpl-1.0", "mpl 1 0"),
+    ("mpl-1.1", "mpl 1 1"),
+    ("mpl-2.0", "mpl 2 0(?: no copyleft exception)?"),
+    ("ms-pl", "ms pl"),
+    ("ms-rl", "ms rl"),
+    ("mulanpsl", "mulanpsl [12] 0"),
+    ("ncsa", "ncsa"),
+    ("odbl", "odbl 1 0"),
+    ("ofl", "ofl 1 [01]"),
+    ("openssl", "openssl"),
+    ("osl", "osl [123] [01]"),
+    ("php", "php 3 01?"),
+    ("postgresql", "postgresql"),
+    ("python", "(?:psf|python) 2 0"),
+    ("ruby", "ruby"),
+    ("sspl", "sspl 1 0"),
+    ("unlicense", "unlicense"),
+    ("upl", "upl 1 0"),
+    ("vim", "vim"),
+    ("w3c", "w3c"),
+    ("wtfpl", "wtfpl"),
+    ("zlib", "zlib"),
+    ("zpl", "zpl [12] [01]"),
+]
+#: Identifiers that are everyday words: in an expression they count as its first part only.
+EVERYDAY = {"curl", "openssl", "postgresql", "ruby", "vim", "w3c"}
+#: Usual abbreviations that tell a license by themselves: label, keyword, words (fixed values).
+SHORT = [
+    ("apache-2.0", "apache", "apache ?v? ?2 0"),
+    ("apache-2.0", "asl", "asl ?v? ?2(?: 0)?"),
+    ("agpl-3.0", "agpl", f"(?:gnu )?agpl ?v? ?3(?: 0)?{_ANY}"),
+    ("agpl", "agpl", "(?:gnu )?agpl"),
+    ("lgpl-3.0", "lgpl", f"(?:gnu )?lgpl ?v? ?3(?: 0)?{_ANY}"),
+    ("lgpl-2.1", "lgpl", f"(?:gnu )?lgpl ?v? ?2 1{_ANY}"),
+    ("lgpl-2.0", "lgpl", f"(?:gnu )?lgpl ?v? ?2(?: 0)?{_ANY}"),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl"),
+    ("gpl-3.0", "gpl", f"(?:gnu )?gpl ?v? ?3 0{_ANY}"),
+    ("gpl-2.0", "gpl", f"(?:gnu )?gpl ?v? ?2 0{_ANY}"),
+    ("gfdl", "gfdl", "(?:gnu )?gfdl"),
+    ("mpl-2.0", " mpl", "mpl ?v? ?2(?: 0)?"),
+    ("mpl-1.1", " mpl", "mpl ?v? ?1 1"),
+    ("epl-2.0", " epl", "epl ?v? ?2(?: 0)?"),
+    ("epl", " epl", "epl ?v? ?1(?: 0)?"),
+    ("cddl", " cddl", "cddl(?: 1 [01])?"),
+    ("eupl", " eupl", "eupl(?: ?v? ?1 [012])?"),
+    ("boost", " bsl", "bsl 1 0"),
+    ("ofl", " ofl", "(?:sil )?ofl ?v? ?1 [01]"),
+    ("odbl", " odbl", "odbl"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("0bsd", "0bsd", "0bsd"),
+]
+#: Names that tell a license only after "licensed under" and the like: label, keyword, words (fixed values).
+UNDER = [
+    ("mit", " mit", "mit"),
+    ("mit", "x11", "x11"),
+    ("mit", "expat", "expat"),
+    ("isc", " isc", "isc"),
+    ("zlib", "zlib", "zlib"),
+    ("bsd", " bsd", "bsd"),
+    ("apache-2.0", "apache", "apache ?v? ?2"),
+    ("apache", "apache", "apache"),
+    ("mpl", " mpl", "mpl"),
+    ("epl", " epl", "epl"),
+    ("ofl", " ofl", "(?:sil )?ofl"),
+]
 #: Sentences that stand by themselves: label, keyword, words (fixed values).
 SENTENCES = [
     ("mit", "permission is", "permission is hereby granted free of charge to any person obtaining a copy"),
@@ -100,6 +210,7 @@ SENTENCES = [
 #: One of these stands in all normalised texts that a rule matches (fixed values).
 TRIGGERS = (
     "licen", "reserved", "copyright", " cc  by ", "public  domain", "creative  commons", "spdx", "warrant", "permission", "redistribut", "free  software", "cc0", "gpl", "unlicense", "proprietary", "commercial", "as  is", "bsd", "contributors",
+    "apache", " asl", " mpl", " epl", " cddl", " eupl", " bsl  1", " ofl", " odbl", "gfdl", "wtfpl", "distributed  under", "released  under", "available  under", "provided  under", "published  under",
 )
 
 
@@ -115,12 +226,17 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """The base phrases, the sentences, and each family in each context, in order. A pattern
-    is over text in which every word has a space of its own before and after it."""
+    """The base phrases, the sentences, the SPDX identifiers, at the start of an expression and
+    after "and" or "or" in a text that names SPDX, and in each context the families, the short
+    forms and, but for the empty context, the names that need one; in order. A pattern is over
+    text in which every word has a space of its own before and after it."""
     found: list[tuple[str, str, str, float]] = [(label, words.split()[-1] if label != "cc-by" else words, words, 0.8) for label, words in PHRASES.items()]
     found += [(label, keyword, words, 0.9) for label, keyword, words in SENTENCES]
-    for k, (before, after) in enumerate(CONTEXTS):
-        found += [(label, keyword, before + words + after, 1.0 if k < len(CONTEXTS) - 1 else 0.7) for label, keyword, words in FAMILIES]
+    found += [(label, "spdx", f"spdx licen[cs]e identifier {words}", 1.0) for label, words in SPDX]
+    found += [(label, "spdx", f"(?:and|or) {words}", 0.9) for label, words in SPDX if words not in EVERYDAY]
+    for before, after in CONTEXTS:
+        named = FAMILIES + SHORT + (UNDER if before else [])
+        found += [(label, keyword, before + words + after, 1.0 if before else 0.7) for label, keyword, words in named]
     return [Rule(i, label, keyword, f" {words.replace(' ?', '(?:  )?').replace(' ', '  ')} ".replace("(?:    )?", "(?:  )?"), confidence) for i, (label, keyword, words, confidence) in enumerate(found)]
 
 
