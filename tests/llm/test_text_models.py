@@ -143,6 +143,31 @@ def test_pii_more_and_redaction(spark):
     assert pii.redact(data.empty(spark)).count() == 0
 
 
+def test_pii_cases_of_letters_that_change_length():
+    for before in ("", "İ ", "ŉ İ" * 3 + " "):
+        assert pii.spans(before + "Password: hunter2222") == [("secret", len(before) + 10, len(before) + 20)]
+
+
+@pytest.mark.parametrize("unit", ["http://", "sk-", "token is", "_tokenis_", "a@", "1.", "+1 (", "1 ", "password=", "tokenis1", "AKIA", "x"])
+def test_pii_is_linear(unit):
+    """Twice the text takes about twice the time, up to texts of 10 MB without an end in sight."""
+    import time
+
+    def seconds(n):
+        text, began = unit * (n // len(unit)), time.process_time()
+        pii.spans(text)
+        return time.process_time() - began
+
+    small = min(seconds(250_000) for _ in range(2))
+    assert seconds(1_000_000) < 10 * small + 0.2
+
+
+def test_pii_in_a_very_long_text():
+    long = "x" * 10_000_000
+    assert pii.spans(f"{long} a@b.cd {long}") == [("email", len(long) + 1, len(long) + 7)]
+    assert [s for s in pii.spans(f"{long}@b.cd, 10.0.0.1") if s[0] in pii.BASE] == [("email", 0, len(long) + 5), ("ip", len(long) + 7, len(long) + 15)]
+
+
 def held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 

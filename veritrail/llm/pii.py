@@ -91,14 +91,13 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 done["email"] = m.end()
                 out.append(("email", start, m.end()))
         elif a in KEY_STARTS:
-            m = _KEY.match(text, end + 1)
             whole = at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")
-            if whole and at >= done["secret"] and m and len(m[0]) >= KEY_STARTS[a]:
-                done["secret"] = m.end()
-                out.append(("secret", at, m.end()))
+            if whole and at >= done["secret"] and (m := _KEY.match(text, end + 1)):
+                if len(m[0]) >= KEY_STARTS[a]:  # a run that is too short is short, so reading it again costs little
+                    done["secret"] = m.end()
+                    out.append(("secret", at, m.end()))
         elif a in SCHEMES:
-            m = _URL.match(text, end + 1)
-            if m and at >= done["url"] and (at == 0 or not text[at - 1].isalnum()):
+            if at >= done["url"] and (at == 0 or not text[at - 1].isalnum()) and (m := _URL.match(text, end + 1)):
                 stop = end + 1 + len(m[0].rstrip(".,;:!?')]"))
                 done["url"] = m.end()
                 if stop > end + 1:
@@ -117,22 +116,27 @@ def _cue_automaton():
 
 
 def _cued(text: str, keys: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Values after a cue; those that are in one of ``keys`` are known already."""
+    """Values after a cue; those that are in one of ``keys`` are known already. A cue inside a
+    run that was looked at for its kind starts nothing, so no run is read twice."""
     lowered = text.lower()
-    if len(lowered) != len(text):  # a few characters lower to two; then only lower-case cues count
-        lowered = text
-    out, over = [], {"secret": 0, "account": 0}
+    if len(lowered) != len(text):  # a few characters lower to two: they stay, so that places hold
+        lowered = "".join([x if len(x := c.lower()) == 1 else c for c in text])
+    out, over, keys, k = [], {"secret": 0, "account": 0}, sorted(keys), 0
     for end, cue in _cue_automaton().iter(lowered):
         at = end + 1 - len(cue)
         kind = "account" if cue in ACCOUNT_CUES else "secret"
+        if end < over[kind] or at and lowered[at - 1].isalpha():
+            continue
         m = _VALUE.match(text, end + 1)
-        if not m or m.start(1) < over[kind] or at and lowered[at - 1].isalpha():
+        if not m or m.start(1) < over[kind]:
             continue
         value = m[1].rstrip(".-/")
         start, stop = m.start(1), m.start(1) + len(value)
+        over[kind] = stop
         if len(value) >= 6 and any(c in _DIGITS for c in value):
-            over[kind] = stop
-            if kind == "account" or not any(a < stop and start < b for a, b in keys):
+            while k < len(keys) and keys[k][1] <= start:
+                k += 1
+            if kind == "account" or k == len(keys) or keys[k][0] >= stop:
                 out.append((kind, start, stop))
     return out
 
@@ -145,8 +149,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for each row.
 
     A null or empty text has no spans: counts 0, the digest of no bytes, an empty string.
-    Rows are independent, so repeated ids and empty tables need nothing; only the two
-    named columns are read. Work is linear in the text.
+    Rows are independent, so repeated ids and empty tables need nothing, and a null id is
+    returned as it is; only the two named columns are read, whatever else the table has.
+    Work and memory are linear in the text: no run of characters is read by a parser again
+    once it has been consumed, so texts of many megabytes without a space are no trouble.
     """
 
     def run(batches):
@@ -181,7 +187,9 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns, with personal data in the text replaced; a count of
-    characters in ``length_col`` is brought up to date where the text changed."""
+    characters in ``length_col`` is brought up to date where the text changed. Null and empty
+    texts stay as they are; repeated rows are treated alike; other columns, whatever they are
+    called, pass through; an empty table gives an empty one."""
     fields = docs.columns
     text_at = fields.index(text_col)
     length_at = fields.index(length_col) if length_col in fields else None
