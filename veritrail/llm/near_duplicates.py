@@ -21,9 +21,6 @@ BINS, ROWS, PROBES = 128, 4, 2048
 SMALL = 8
 #: Stars of a later round in a large bucket, and such rounds at most before the exact join.
 CENTRES, ROUNDS = 4, 1
-#: Of sets of at least FROM items, pairs of whose BINS one-bit minima more than DIFFER differ
-#: aren't confirmed: at a similarity of 0.75, 16 differ, with a deviation of 3.7.
-FROM, DIFFER = 200, 36
 _EMPTY = np.uint64(2**64 - 1)
 _STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 _PROBE = np.random.default_rng(11).integers(0, BINS, (BINS, PROBES))
@@ -58,11 +55,6 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mixed(mixed(rows).sum(axis=1, dtype=np.uint64) + np.arange(len(rows), dtype=np.uint64)).view(np.int64)
 
 
-def bits(hashes: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, as two 64-bit numbers."""
-    return np.packbits((mixed(sketch(hashes)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-
-
 def _signature(hashes: np.ndarray) -> bytes | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
@@ -76,10 +68,9 @@ def _sketches(batches):
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_signature(s) for s in sets], pa.binary()),
                 pa.array([bands(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                pa.array([bits(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 *batch.columns[2:],
             ],
-            names=["doc_id", "n_shingles", "sig", "bands", "bits", *batch.schema.names[2:]],
+            names=["doc_id", "n_shingles", "sig", "bands", *batch.schema.names[2:]],
         )
 
 
@@ -105,7 +96,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. one pass over the texts makes sketches; classes are aggregated before the shuffle;
     2. classes that share a bucket are paired: all of a bucket of at most SMALL, and of a
        larger one each with the bucket's centre alone (a star), so pairs are linear in the
-       classes; pairs are confirmed on full sets, and components follow;
+       classes; all pairs whose sizes allow a link are confirmed on full sets, and
+       components follow;
     3. large buckets that still hold several components get stars with other centres, for
        members outside the centre's component;
     4. what is left open in large buckets is joined exactly by the rarest shingles (prefix
@@ -126,21 +118,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             T.StructField("n_shingles", T.LongType()),
             T.StructField("sig", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
-            T.StructField("bits", T.ArrayType(T.LongType())),
             *(spark_docs.schema[c] for c in carried),
         ]
     )
     rows = cut(spark_docs.mapInArrow(_sketches, schema))
-    first = [F.first(c).alias(c) for c in ("bands", "bits")]
-    classes = cut(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *first))
+    classes = cut(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     member = classes.select("sig", F.explode("bands").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    about = classes.select("sig", "n", F.col("bits")[0].alias("x"), F.col("bits")[1].alias("y"))
-    shared = cut(member.join(sizes, "bucket").join(about, "sig"))
+    shared = cut(member.join(sizes, "bucket").join(classes.select("sig", "n"), "sig"))
     small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
     centre = large.groupBy("bucket").agg(F.min(F.struct(*_MEMBER)).alias("c")).select("bucket", *(F.col(f"c.{c}").alias(f"{c}2") for c in _MEMBER))
     pairs = small.join(_second(small), "bucket").where("sig < sig2").union(large.join(centre, "bucket").where("sig <> sig2"))
-    pairs = pairs.where(_plausible(percent)).select(F.least("sig", "sig2").alias("sig"), F.greatest("sig", "sig2").alias("sig2"))
+    pairs = pairs.where(_sizes_allow(percent)).select(F.least("sig", "sig2").alias("sig"), F.greatest("sig", "sig2").alias("sig2"))
     pairs = cut(pairs.distinct())
     wanted = pairs.select("sig").union(pairs.select("sig2")).union(large.select("sig")).distinct()
     sets = cut(_full_sets(spark_docs, classes, wanted))
@@ -168,19 +157,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-_MEMBER = ("sig", "n", "x", "y")
+_MEMBER = ("sig", "n")
 
 
 def _sizes_allow(percent: int):
     return (F.least("n", "n2") * 100) >= (F.greatest("n", "n2") * percent)
 
 
-def _plausible(percent: int):
-    """What sizes and, for sets that aren't small, one-bit minima don't rule out."""
-    differ = F.bit_count(F.col("x").bitwiseXOR(F.col("x2"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("y2")))
-    return _sizes_allow(percent) & ((F.least("n", "n2") < FROM) | (differ <= DIFFER))
-
-
 def _second(member: DataFrame) -> DataFrame:
     return member.select("bucket", *(F.col(c).alias(f"{c}2") for c in _MEMBER))
 
@@ -198,7 +181,7 @@ def _more_stars(member: DataFrame, seed: int, percent: int) -> DataFrame:
     chosen = [F.min_by(F.struct(*_MEMBER, "root"), F.xxhash64("sig", "bucket", F.lit(seed + k))) for k in range(CENTRES)]
     centres = member.groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("c"))
     each = member.join(centres, "bucket").withColumn("c", F.filter("c", lambda c: c["root"] != F.col("root"))).select(*_MEMBER, F.explode("c").alias("c"))
-    each = each.select(*_MEMBER, *(F.col(f"c.{c}").alias(f"{c}2") for c in _MEMBER)).where(_plausible(percent))
+    each = each.select(*_MEMBER, *(F.col(f"c.{c}").alias(f"{c}2") for c in _MEMBER)).where(_sizes_allow(percent))
     return each.select(F.least("sig", "sig2").alias("sig"), F.greatest("sig", "sig2").alias("sig2")).distinct()
 
 
