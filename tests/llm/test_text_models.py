@@ -202,7 +202,7 @@ def test_language_families():
     rng = random.Random(0)
     parts = {"en": ["the", "ing", "tion"], "de": ["der", "ung", "sch"], "fr": ["les", "aux", "é"], "es": ["los", "ción", "ñ"], "xx": ["zz", "qq", "kk"], "nl": ["het", "ij", "aan"]}
     texts, langs = zip(*[(" ".join("".join(rng.choices(p, k=2)) for _ in range(60)), g) for g, p in parts.items() for _ in range(12)])
-    model = language.Model(list(texts), list(langs))
+    model = language.Model([(language.sparse(t), g) for t, g in zip(texts, langs)])
     assert model.families["germanic"] == ["de", "en", "nl"] and model.families["xx"] == ["xx"]
     assert [model.predict(t)[0] for t in texts] == list(langs)
 
