@@ -15,10 +15,9 @@ from .shingles import shingles
 
 #: Labelled documents of each class that training takes at most, about.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
-#: Cues that become voters and inputs of the classifier, at most.
-MOST_CUES = 400
 #: Share of the toxic documents of the sample that a learnt cue is in, at least, and how many.
 LEAST_SHARE, LEAST_DOCS = 0.01, 5
+ROUNDS = 3
 HEAD, STARTS = 4, (4, 5, 6, 7)
 #: Insults and abuse, each a lexicon voter of its own (fixed values).
 LEXICON = {
@@ -48,23 +47,24 @@ class LabelModel:
     """The generative model of votes (-1, 0 or 1) given a hidden label.
 
     Expectation-maximisation estimates how often each voter votes which way for either
-    label, which is its propensity and accuracy, and the share of label 1. Between rounds
+    label, which is its propensity and accuracy, and the share of label 1. In the last round
     the correlations of voters within a label are estimated from what the model leaves
     unexplained, and a voter's evidence is divided by the number of voters it amounts to
-    a copy of; otherwise several cues of one word would count as many opinions.
+    a copy of; otherwise several cues of one word would count as many opinions. Rounds are
+    few: voters of different languages exclude each other, and in the long run the model
+    takes that for evidence.
     """
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 12):
-        n, m = votes.shape
-        self.weight = np.ones(m)
+    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS):
+        self.weight = np.ones(votes.shape[1])
         posterior = np.clip(start, 0.02, 0.98)
-        hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float32)
+        often = np.stack([(votes == v).mean(axis=0) for v in (-1, 0, 1)], axis=1)
         for step in range(rounds):
-            share_ = np.stack([1 - posterior, posterior])
+            share_ = np.stack([1 - posterior, posterior]).astype(np.float32)
             self.prior = np.clip(share_.mean(axis=1), 0.005, 1)
-            table = np.einsum("yn,nmv->ymv", share_, hot) + 0.05 * hot.mean(axis=0) + 1e-3
+            table = np.stack([share_ @ (votes == v).astype(np.float32) for v in (-1, 0, 1)], axis=2) + 0.05 * often + 1e-3
             self.table = table / table.sum(axis=2, keepdims=True)
-            if step in (2, 6):
+            if step == rounds - 1:
                 self.correlation = self._correlation(votes, share_)
                 self.weight = 1 / (1 + np.clip(self.correlation, 0, 1).sum(axis=1))
             posterior = self.posterior(votes)
@@ -81,8 +81,8 @@ class LabelModel:
         return np.where(out > 0.1, out, 0)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        logs = np.log(self.table)
-        pick = np.stack([np.take_along_axis(logs[y], votes.T.astype(int) + 1, axis=1).T @ self.weight for y in (0, 1)])
+        logs = np.log(self.table) * self.weight[:, None]
+        pick = sum((votes == v).astype(np.float32) @ logs[:, :, v + 1].T for v in (-1, 0, 1)).T
         odds = pick[1] - pick[0] + np.log(self.prior[1] / self.prior[0])
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
@@ -153,8 +153,10 @@ def _cue_counts(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Voters are the hand-written lexicon and patterns and the cues that the labelled sample
-    shows to go with toxicity; the annotator is one more voter, not the truth."""
+    """Voters are the hand-written lexicon and patterns, every cue that the labelled sample
+    shows to go with toxicity, their silence, which votes for label 0, and the annotator, whose
+    accuracy is estimated as the others' is. The label model starts from what the text alone
+    says (any cue or none), and the classifier is trained on its posterior labels."""
     rows = sample(docs, labels)
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
@@ -163,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     rate1, rate0 = F.col("toxic") / n[1], F.col("clean") / n[0]
     spread = F.sqrt((F.col("toxic") + F.col("clean")) / (n[0] + n[1]) * (1 / n[1] + 1 / n[0]))
     z = (rate1 - rate0) / spread
-    chosen = counts.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n[1])) & (rate1 > 10 * rate0)).withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "cue").limit(MOST_CUES)
-    found = [r.cue for r in chosen.collect()]
+    chosen = counts.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n[1])) & (rate1 > 10 * rate0)).where(z > 3)
+    found = [r.cue for r in chosen.select("cue").collect()]
     names = sorted(INSULTS.union(found))
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
@@ -183,11 +185,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     x = np.zeros((len(made), len(names)), dtype=np.float32)
     for i, r in enumerate(made):
         x[i, r.cue] = 1
-    gold = np.array([r.toxic for r in made])
-    use = np.argsort(-x.sum(axis=0), kind="stable")[:150]
-    none = np.where((x.sum(axis=1) == 0) & (np.array([r.size for r in made]) > 0), -1, 0)
-    votes = np.column_stack([x[:, use], np.array([r.pattern for r in made]).reshape(len(made), -1), none, 2 * gold - 1]).astype(np.int8)
-    model = LabelModel(votes, 0.1 + 0.8 * gold)
+    patterns = np.array([r.pattern for r in made]).reshape(len(made), -1)
+    silent = np.where((x.sum(axis=1) == 0) & (np.array([r.size for r in made]) > 0), -1, 0)
+    annotator = 2 * np.array([r.toxic for r in made]) - 1
+    votes = np.column_stack([x, patterns, silent, annotator]).astype(np.int8)
+    model = LabelModel(votes, np.where(x.any(axis=1), 0.9, 0.1))
     w, b = _logistic(x, model.posterior(votes))
     return Classifier({c: float(v) for c, v in zip(names, w) if v > 1e-4}, b)
 
@@ -198,7 +200,8 @@ def assess(docs: DataFrame, labels: DataFrame, model: Classifier | None = None)
     Without a ``model``, one is trained on ``docs`` and ``labels``. Scores look at the whole
     text alone; null and empty texts get the model's offset, and 0 if nothing can be learnt.
     A null id counts as held out; repeated rows get equal results; an empty table gives an
-    empty one.
+    empty one; other columns, whatever they are called, aren't looked at. Time and memory are
+    linear in the length of a text.
     """
     docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
@@ -216,7 +219,9 @@ def assess(docs: DataFrame, labels: DataFrame, model: Classifier | None = None)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: float = 0.5) -> DataFrame:
-    """The rows, all columns as they are, that score less than ``most``."""
+    """The rows, all columns as they are, that score less than ``most``: null and empty texts
+    too if the model's offset does; repeated rows go or stay together; an empty table gives
+    an empty one."""
     model = train(docs.select("doc_id", F.col(text_col).alias("text")), labels)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
