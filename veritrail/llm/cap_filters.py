@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+import math
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -13,53 +16,155 @@ from .common import cut
 from .components import connected_components
 
 THRESHOLD = 0.95
-#: Independent product codes, and codewords of each of the two blocks of a code; a code has
-#: CODE squared filters. Several codes even out how many filters a vector is in.
-CODES, CODE = 4, 512
-#: Filters of a code that a vector is in, on average.
-FILTERS = 10
+#: Independent product codes; several even out how many filters a vector is in.
+CODES = 4
+#: Filters that two vectors at the threshold share on average, by the normal approximation.
+SHARED = 16
+#: Random vectors in a filter, on average. The number of filters grows with the table, so that
+#: buckets do not fill up and pairs that meet by chance grow with the rows alone.
+FULL = 0.25
+#: Codewords of a block at most; where more filters are wanted, codes get another block.
+WORDS = 4096
 #: A bucket of more rows is compared in blocks of this size, each pair of blocks by itself.
 BLOCK = 2048
 #: Groups up to this size are compared across groups at once.
 SMALL = 16
 
 
-@functools.lru_cache(maxsize=8)
-def product_codes(width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """For each code a rotation, the unit codewords of both halves, and the inner product from
-    which a vector belongs to a filter: the one that random vectors pass FILTERS times."""
-    out, half = [], (width + 1) // 2
-    for k in range(CODES):
-        rng = np.random.default_rng(1000 * width + k)
-        rotation = np.linalg.qr(rng.normal(size=(width, width)))[0]
-        first, second = (c / np.linalg.norm(c, axis=1, keepdims=True) for c in (rng.normal(size=(CODE, half)), rng.normal(size=(CODE, max(1, width - half)))))
-        probe = rng.normal(size=(400, width))
-        probe = (probe / np.linalg.norm(probe, axis=1, keepdims=True)) @ rotation
-        a, b, most = probe[:, :half] @ first.T, _second(probe, half) @ second.T, 30 * FILTERS
-        sums = np.concatenate([np.partition((x[:, None] + y[None]).ravel(), -most)[-most:] for x, y in zip(a, b)])
-        out.append((rotation, first, second, float(np.partition(sums, -FILTERS * len(probe))[-FILTERS * len(probe)])))
-    return out
+@dataclass(frozen=True)
+class Shape:
+    """Blocks of a code, codewords of a block, and filters of a code that a vector is in: on
+    average, and at least."""
+
+    blocks: int
+    words: int
+    each: int
+    least: int
+
+
+def shape_for(n: int) -> Shape:
+    """For a table of n vectors: as many filters as FULL asks for, and a vector in as many as
+    SHARED asks for, which more and narrower filters make more."""
+    each = 4
+    for _ in range(8):
+        filters = max(n * each / FULL, 1 << 14)
+        each = math.ceil(SHARED / CODES / _again(min(0.25, each / filters)))
+    blocks = 2
+    while filters ** (1 / blocks) > WORDS:
+        blocks += 1
+    return Shape(blocks, math.ceil(filters ** (1 / blocks)), each, math.ceil(0.75 * each))
+
+
+def _again(share: float) -> float:
+    """How likely a vector at the threshold from one that is in a filter, as a share of random
+    vectors is, is in it too: of two normal numbers, correlated so, past the same cut."""
+    normal, steps = NormalDist(), 200
+    cut = normal.inv_cdf(1 - share)
+    xs = [cut + 4 * (k + 0.5) / steps for k in range(steps)]
+    both = sum(normal.pdf(x) * normal.cdf((THRESHOLD * x - cut) / math.sqrt(1 - THRESHOLD**2)) for x in xs)
+    return both / sum(normal.pdf(x) for x in xs)
+
+
+class Code:
+    """A random product code: a rotation, unit codewords for each block of coordinates, and the
+    inner product from which a vector belongs to a filter, a sum of one codeword a block."""
+
+    def __init__(self, width: int, shape: Shape, seed: int):
+        rng = np.random.default_rng([width, shape.blocks, shape.words, seed])
+        blocks = max(1, min(shape.blocks, width // 2))
+        words = math.ceil(shape.words ** (shape.blocks / blocks))
+        self.each, self.least = shape.each, shape.least
+        self.rotation = np.linalg.qr(rng.normal(size=(width, width)))[0]
+        self.parts = np.array_split(np.arange(width), blocks)
+        self.words = []
+        for part in self.parts:
+            w = rng.normal(size=(min(words, WORDS), len(part))) if len(part) > 1 else np.array([[1.0], [-1.0]])
+            self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True))
+        self.filters = math.prod(map(len, self.words))
+        self.cut = self._calibrated(rng.normal(size=(256, width)))
+
+    def _calibrated(self, probe: np.ndarray) -> float:
+        """The cut that random vectors pass ``each`` times on average."""
+        products = self._products(probe / np.linalg.norm(probe, axis=1, keepdims=True))
+        share = min(0.5, self.each / self.filters)
+        high = math.sqrt(len(self.parts) / probe.shape[1]) * NormalDist().inv_cdf(1 - share)
+        step, often = high / 50, lambda cut: len(self._exceeding(products, cut)[0]) / len(probe)
+        while often(high) > self.each:
+            high += step
+        while step > 1e-9 and often(high - step) < self.each and high > 0:
+            high -= step
+        low = high - step
+        for _ in range(6):
+            middle = (low + high) / 2
+            low, high = (middle, high) if often(middle) > self.each else (low, middle)
+        return high
+
+    def _products(self, x: np.ndarray) -> list[np.ndarray]:
+        turned = x @ self.rotation
+        return [turned[:, part] @ words.T for part, words in zip(self.parts, self.words)]
+
+    @staticmethod
+    def _exceeding(products: list[np.ndarray], cut: float) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, filter)`` for every filter that a row exceeds, by rows: partial sums that
+        can't pass with the best codewords of the blocks to come are left out."""
+        best = np.stack([p.max(axis=1) for p in products])
+        total, rest = best.sum(axis=0), best.sum(axis=0)
+        rows, sums, ids = np.arange(len(total)), np.zeros(len(total)), np.zeros(len(total), dtype=np.int64)
+        for p, b in zip(products, best):
+            rest = rest - b
+            of, word = np.nonzero(p >= (cut - (total - b))[:, None])
+            n = np.bincount(of, minlength=len(total))
+            first, times = np.cumsum(n) - n, n[rows]
+            at = np.repeat(np.arange(len(rows)), times)
+            j = word[np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + first[rows[at]]]
+            sums = sums[at] + p[rows[at], j]
+            keep = sums + rest[rows[at]] >= cut
+            rows, sums, ids = rows[at][keep], sums[keep], (ids[at] * p.shape[1] + j)[keep]
+        return rows, ids
+
+    @staticmethod
+    def _best(products: list[np.ndarray], n: int) -> np.ndarray:
+        """The n filters of each row with the largest inner products."""
+        sums, ids = np.zeros((len(products[0]), 1)), np.zeros((len(products[0]), 1), dtype=np.int64)
+        for p in products:
+            some = min(n, p.shape[1])
+            top = np.argpartition(-p, some - 1, axis=1)[:, :some]
+            sums = (sums[:, :, None] + np.take_along_axis(p, top, axis=1)[:, None]).reshape(len(p), -1)
+            ids = (ids[:, :, None] * p.shape[1] + top[:, None]).reshape(len(p), -1)
+            some = min(n, sums.shape[1])
+            at = np.argpartition(-sums, some - 1, axis=1)[:, :some]
+            sums, ids = np.take_along_axis(sums, at, axis=1), np.take_along_axis(ids, at, axis=1)
+        return ids
+
+    def filters_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, filter)``: all filters that a row exceeds, and its ``least`` best if they are fewer."""
+        products = self._products(x)
+        rows, ids = self._exceeding(products, self.cut)
+        few = np.flatnonzero(np.bincount(rows, minlength=len(x)) < self.least)
+        if len(few):
+            more = self._best([p[few] for p in products], self.least)
+            keep = ~np.isin(rows, few)
+            rows = np.concatenate([rows[keep], np.repeat(few, more.shape[1])])
+            ids = np.concatenate([ids[keep], more.ravel()])
+        return rows, ids
 
 
-def _second(x: np.ndarray, half: int) -> np.ndarray:
-    return x[:, half:] if x.shape[1] > half else np.zeros((len(x), 1))
+@functools.lru_cache(maxsize=8)
+def product_codes(width: int, shape: Shape) -> list[Code]:
+    return [Code(width, shape, k) for k in range(CODES)]
 
 
-def decode(x: np.ndarray) -> list[np.ndarray]:
-    """For each unit vector all filters whose direction it exceeds, sorted. Codewords of a
-    half that can't pass with the best of the other are left out before pairs are summed."""
-    out = []
-    for k, (rotation, first, second, alpha) in enumerate(product_codes(x.shape[1])):
-        turned, half = x @ rotation, first.shape[1]
-        a, b, found = turned[:, :half] @ first.T, _second(turned, half) @ second.T, []
-        for u, v in zip(a, b):
-            i = np.flatnonzero(u >= alpha - v.max())
-            j = np.flatnonzero(v >= alpha - u.max())
-            p, q = np.nonzero(u[i][:, None] + v[j][None] >= alpha)
-            f = i[p] * CODE + j[q] if len(p) else np.array([u.argmax() * CODE + v.argmax()])
-            found.append(f + k * CODE * CODE)
-        out.append(found)
-    return [np.sort(np.concatenate(f)).astype(np.int32) for f in zip(*out)]
+def decode(x: np.ndarray, shape: Shape) -> list[np.ndarray]:
+    """For each unit vector the filters it belongs to, sorted."""
+    rows, ids, first = [], [], 0
+    for code in product_codes(x.shape[1], shape):
+        r, f = code.filters_of(x)
+        rows.append(r)
+        ids.append(f + first)
+        first += code.filters
+    rows, ids = np.concatenate(rows), np.concatenate(ids)
+    order = np.lexsort((ids, rows))
+    return np.split(ids[order], np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])
 
 
 def _vectors(column) -> np.ndarray:
@@ -67,17 +172,20 @@ def _vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _spread(batches):
-    for batch in batches:
-        sizes = np.array([len(v) for v in batch.column("v")])
-        for width in np.unique(sizes):
-            part = batch.filter(pa.array(sizes == width))
-            for at in range(0, part.num_rows, 256):
-                rows = part.slice(at, 256)
-                x = _vectors(rows.column("v"))
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                lists = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*rows.schema.names, "own"])
+def _spread(shape: Shape):
+    def run(batches):
+        for batch in batches:
+            sizes = np.array([len(v) for v in batch.column("v")])
+            for width in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == width))
+                for at in range(0, part.num_rows, 256):
+                    rows = part.slice(at, 256)
+                    x = _vectors(rows.column("v"))
+                    x /= np.abs(x).max(axis=1, keepdims=True)
+                    lists = decode(x / np.linalg.norm(x, axis=1, keepdims=True), shape)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*rows.schema.names, "own"])
+
+    return run
 
 
 class _Links:
@@ -111,7 +219,7 @@ class _Links:
     def batch(self):
         columns = [*zip(*self.rows)] or [(), (), ()]
         self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["cid", "root", "linked"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], names=["cid", "root", "linked"])
 
 
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -195,23 +303,27 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """``vec_id, n_links, component_id, kept`` for each row.
 
     Rows with equal vectors are one class, counted and not paired. Each class goes to all
-    filters of the product code that it exceeds; rows that meet in a filter are compared in
-    double precision, and a pair counts in the least filter it shares. A bucket too large
-    for one task is cut into blocks whose pairs are tasks of their own. Tasks return, for
-    each vector, a number of links and one edge, so output is linear in the rows compared.
+    filters of the product codes that it exceeds; rows that meet in a filter are compared in
+    double precision, and a pair counts in the least filter it shares. The number of filters
+    follows from the number of classes, so a filter holds about a quarter of a random vector
+    at any size, and vectors are sent only to filters that several classes share; the number
+    of filters a vector is in grows slowly with it, so that recall doesn't fall. A bucket too large for one task is cut into blocks whose pairs are tasks of their
+    own. Tasks return, for each vector, a number of links and one edge, so output is linear
+    in the rows compared.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with
     nothing; so do vectors of different widths. Repeated ids are separate rows. A null id
     is never the least of a component unless all are null. An empty table gives an empty
-    result.
+    result. Only the two named columns are read, whatever else the table has.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    keyed = rows.select("vec_id", "v", F.when(usable, F.md5(F.col("v").cast("string").cast("binary"))).alias("cid"))
+    keyed = rows.select("vec_id", "v", F.when(usable, F.unhex(F.md5(F.col("v").cast("string").cast("binary")))).alias("cid"))
     classes = cut(keyed.where("cid is not null").groupBy("cid").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least")))
     value = vectors.schema[vec_col].dataType.simpleString()
-    filtered = cut(classes.select("cid", "n", "v").mapInArrow(_spread, f"cid string, n bigint, v {value}, own array<int>"))
+    shape = shape_for(classes.count())
+    filtered = cut(classes.select("cid", "n", "v").mapInArrow(_spread(shape), f"cid binary, n bigint, v {value}, own array<bigint>"))
     light = filtered.select("cid", F.size("v").alias("width"), F.explode("own").alias("filter"))
     sizes = light.groupBy("width", "filter").agg(F.count("*").alias("size")).where("size > 1")
     met = light.join(sizes, ["width", "filter"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -219,7 +331,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     key = ["width", "filter", "low", "high"]
     met = met.join(filtered, "cid").select(*key, "cid", "n", "v", "own", "block").repartition(*key).sortWithinPartitions(*key)
-    found = met.mapInArrow(_verify(threshold), "cid string, root string, linked bigint")
+    found = met.mapInArrow(_verify(threshold), "cid binary, root binary, linked bigint")
     found = cut(found.groupBy("cid", "root").agg(F.sum("linked").alias("linked")))
     roots = connected_components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     linked = found.groupBy("cid").agg(F.sum("linked").alias("linked"))
