@@ -5,8 +5,6 @@ from veritrail.plans import catalog
 from .compare import DATA, connection, rows
 
 SMALL = f"{DATA}/sf0.001"
-#: Queries that differ at this scale factor only in that a probed id doesn't exist.
-SLOW = {"chains"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
@@ -15,6 +13,6 @@ def test_rows_are_those_of_sql(spark, name):
     assert got == rows(connection(SMALL).sql(catalog.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.SQL.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.SQL.keys()))
 def test_others_give_rows(spark, name):
     assert not catalog.QUERIES[name](spark, SMALL).isEmpty()

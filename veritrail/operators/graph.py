@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import WALK_DEPTH, WALK_FLOOR
 from ..session import settled
@@ -52,7 +51,7 @@ def walk(
 ) -> DataFrame:
     """Multi-source breadth-first walk of each query from ``seeds`` (query_id, node, position).
 
-    Returns ``query_id, node, hops, confidence, position, parent, seed, nodes, kinds`` for the
+    Returns ``query_id, node, hops, confidence, place, parent, seed, nodes, kinds`` for the
     nodes reached and, with 0 hops, the seeds. A node is reached once, at its fewest hops, by
     the step of the highest confidence (the product along the path; under ``floor`` it is
     pruned); of equals, by the first in frontier order, then edge order. Its own place in the
@@ -61,15 +60,15 @@ def walk(
 
     A frontier is joined with the edges on the node, and the best step of a node is an
     aggregate, which combines before its shuffle; a hub's edges are split by adaptive
-    execution. Each frontier is settled, since the next hop, the visited set and the result
-    all read it; a walk ends early when a hop reaches nothing.
+    execution. ``place`` orders a frontier without ranking it: the seed's position and, for
+    each hop, the edge of the first sighting, compared item by item; so no hop sorts a query's
+    frontier in one task. Each frontier is settled, since the next hop, the visited set and
+    the result all read it; a walk ends early when a hop reaches nothing.
     """
     steps = oriented(edges, direction, kinds)
-    first = Window.partitionBy("query_id", "node").orderBy("position")
-    reached = seeds.select("query_id", "node", F.col("position").cast("bigint").alias("position"))
-    reached = reached.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    reached = seeds.groupBy("query_id", "node").agg(F.min("position").cast("bigint").alias("position"))
     frontier = reached.select(
-        "query_id", "node", F.lit(0).alias("hops"), F.lit(1.0).alias("confidence"), "position",
+        "query_id", "node", F.lit(0).alias("hops"), F.lit(1.0).alias("confidence"), F.array(F.lpad(F.col("position").cast("string"), 19, "0")).alias("place"),
         F.lit(None).cast("string").alias("parent"), F.col("node").alias("seed"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("kinds"),
     )
     frontier = everything = settled(frontier)
@@ -80,18 +79,13 @@ def walk(
             fresh = fresh.join(admitted.select(F.col("node").alias("to")), "to", "left_semi")
         product = F.col("path") * F.col("confidence")
         fresh = fresh.select(
-            "query_id", "to", product.alias("reach"), F.col("position").alias("from_position"), F.col("node").alias("parent"),
-            "seed", "nodes", "kinds", "src", "dst", "kind",
+            "query_id", F.col("to").alias("node"), product.alias("reach"), F.concat("place", F.array("src", "dst", "kind")).alias("place"),
+            F.struct(F.col("node").alias("parent"), "seed", "nodes", "kinds", "kind").alias("step"),
         ).where(F.col("reach") >= floor)
-        order = F.struct((-F.col("reach")).alias("a"), F.col("from_position").alias("b"), F.col("src").alias("c"), F.col("dst").alias("d"), F.col("kind").alias("e"))
-        sighting = F.struct("from_position", "src", "dst", "kind")
-        best = fresh.groupBy("query_id", F.col("to").alias("node")).agg(
-            F.min(sighting).alias("seen"), F.min_by(F.struct("reach", "parent", "seed", "nodes", "kinds", "kind"), order).alias("best")
-        )
-        place = Window.partitionBy("query_id").orderBy("seen")
+        order = F.struct((-F.col("reach")).alias("a"), F.col("place").alias("b"))
+        best = fresh.groupBy("query_id", "node").agg(F.min("place").alias("place"), F.max("reach").alias("confidence"), F.min_by("step", order).alias("best"))
         frontier = best.select(
-            "query_id", "node", F.lit(hop).alias("hops"), F.col("best.reach").alias("confidence"),
-            F.row_number().over(place).cast("bigint").alias("position"), F.col("best.parent").alias("parent"), F.col("best.seed").alias("seed"),
+            "query_id", "node", F.lit(hop).alias("hops"), "confidence", "place", F.col("best.parent").alias("parent"), F.col("best.seed").alias("seed"),
             F.concat("best.nodes", F.array("node")).alias("nodes"), F.concat("best.kinds", F.array("best.kind")).alias("kinds"),
         )
         frontier = settled(frontier)

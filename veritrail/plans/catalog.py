@@ -85,22 +85,32 @@ LIFT = "lifted as (select query_id, doc_id, score relevance, position, url, crea
 
 
 def walk_ctes(seeds: str, edges: str, depth: int = 3, direction: str = "both", kinds: str = "true", floor: float = 0.3, admitted: str | None = None) -> str:
-    out = "select src frm, dst t, kind, conf from ge where src <> dst"
-    back = "select dst frm, src t, kind, conf from ge where src <> dst"
+    """``walked``: query_id, node, hops, conf, pos, seed, path. ``seeds``: query_id, node, pos."""
+    out = "select src frm, dst t, src, dst, kind, conf from ge where src <> dst"
+    back = "select dst frm, src t, src, dst, kind, conf from ge where src <> dst"
     steps = {"out": out, "in": back, "both": f"{out} union all {back}"}[direction]
-    parts = [f"ge as (select src, dst, kind, cast(conf as double) conf from ({edges}) where {kinds})", f"steps as ({steps})", f"l0 as (select query_id, node, 0 hops, 1.0::double conf from ({seeds}))", "v0 as (select * from l0)"]
+    parts = [
+        f"ge as (select src, dst, kind, cast(conf as double) conf from ({edges}) where {kinds})", f"steps as ({steps})",
+        f"l0 as (select query_id, node, 0 hops, 1.0::double conf, min(pos) pos, node seed, [node] path from ({seeds}) group by query_id, node)", "v0 as (select * from l0)",
+    ]
     admit = f"and s.t in ({admitted})" if admitted else ""
     for k in range(1, depth + 1):
         parts.append(
-            f"l{k} as (select query_id, s.t node, {k} hops, max(l.conf * s.conf) conf from l{k - 1} l join steps s on s.frm = l.node "
-            f"where not exists (select 1 from v{k - 1} v where v.query_id = l.query_id and v.node = s.t) and l.conf * s.conf >= {floor} {admit} group by all)"
+            f"c{k} as (select query_id, s.t node, l.conf * s.conf conf, l.pos, l.seed, l.path, s.src, s.dst, s.kind from l{k - 1} l join steps s on s.frm = l.node "
+            f"where not exists (select 1 from v{k - 1} v where v.query_id = l.query_id and v.node = s.t) and l.conf * s.conf >= {floor} {admit})"
+        )
+        parts.append(f"f{k} as (select * from c{k} qualify row_number() over (partition by query_id, node order by pos, src, dst, kind) = 1)")
+        parts.append(f"p{k} as (select query_id, node, row_number() over (partition by query_id order by pos, src, dst, kind) pos from f{k})")
+        parts.append(
+            f"l{k} as (select b.query_id, b.node, {k} hops, b.conf, p.pos, b.seed, list_append(b.path, b.node) path from "
+            f"(select * from c{k} qualify row_number() over (partition by query_id, node order by conf desc, pos, src, dst, kind) = 1) b join p{k} p using (query_id, node))"
         )
         parts.append(f"v{k} as (select * from v{k - 1} union all select * from l{k})")
     parts.append(f"walked as (select * from v{depth})")
     return ",\n".join(parts)
 
 
-_SEEDS = "select * from (values " + ", ".join(f"({q}, '{n}')" for q, n, _ in SEEDS) + ") x(query_id, node)"
+_SEEDS = "select * from (values " + ", ".join(f"({q}, '{n}', {p})" for q, n, p in SEEDS) + ") x(query_id, node, pos)"
 
 
 # -- search -----------------------------------------------------------------------------
@@ -209,27 +219,24 @@ def time_prior_window(spark, folder):
     return T.documents(spark, folder).select("doc_id", F.round(R.window_prior(F.col("created_at"), a, b), 9).alias("prior"))
 
 
-_DEPTH_SEEDS = "select query_id, doc_id node from lifted"
+_DEPTH_SEEDS = "select query_id, doc_id node, position pos from lifted"
 _PRIOR = f"(1 - 0.2 * least(greatest({NOW} - created_s, 0) / (365 * 86400.0), 1))"
 _SCALED = "scaled as (select *, relevance / max(relevance) over (partition by query_id) scaled from lifted)"
+_ROLE = "case split_part(node, ':', 2) when 'page' then 'design_doc' when 'issue' then 'linked_ticket' when 'ticket' then 'linked_ticket' else 'linked_change' end"
+_ANSWER = f"""{bm25_ctes()}, {knn_ctes()}, {RRF}, {LIFT}, {_SCALED},
+{walk_ctes(_DEPTH_SEEDS, T.DOC_EDGES, admitted="select doc_id from d")},
+answer as (
+  select query_id, doc_id node, 'seed' role, scaled * {_PRIOR} score, 0 hops, created_s from scaled
+  union all select w.query_id, w.node, {_ROLE}, pow(0.6, w.hops) * w.conf * s.scaled * {_PRIOR.replace("created_s", "d.created_s")}, w.hops, d.created_s
+  from walked w join d on d.doc_id = w.node join scaled s on s.query_id = w.query_id and s.doc_id = w.seed where w.hops > 0 and d.url <> ''
+)"""
 
 
-@query(
-    f"""with {bm25_ctes()}, {knn_ctes()}, {RRF}, {LIFT}, {_SCALED},
-{walk_ctes(_DEPTH_SEEDS, T.DOC_EDGES, admitted="select doc_id from d")},
-nodes as (
-  select query_id, doc_id node, 'seed' role, scaled * {_PRIOR} score, 0 hops from scaled
-),
-far as (select w.query_id, w.node, w.hops from walked w where hops > 0 and not exists (select 1 from nodes x where x.query_id = w.query_id and x.node = w.node))
-select query_id::bigint query_id, node, role, hops::bigint hops, round(score, 6) score from nodes
-union all select query_id::bigint, node, case split_part(node, ':', 2) when 'page' then 'design_doc' when 'issue' then 'linked_ticket' when 'ticket' then 'linked_ticket' else 'linked_change' end, hops::bigint, null
-from far join d on d.doc_id = node where url <> ''"""
-)
+@query(f"with {_ANSWER} select query_id::bigint query_id, node, role, hops::bigint hops, round(score, 6) score, row_number() over (partition by query_id order by score desc, created_s desc, node) as rank from answer")
 def find_decision(spark, folder):
-    """Seeds with their scores, and what the walk adds; a walked node's score depends on which of
-    equal paths came first, so it isn't compared here."""
+    """All documents of the answers with their scores and ranks."""
     nodes = find_decision_nodes(spark, folder)[0]
-    return nodes.select(F.col("query_id").cast("bigint").alias("query_id"), "node", "role", F.col("hops").cast("bigint").alias("hops"), F.when(F.col("role") == "seed", F.round("score", 6)).alias("score"))
+    return nodes.select(F.col("query_id").cast("bigint").alias("query_id"), "node", "role", F.col("hops").cast("bigint").alias("hops"), F.round("score", 6).alias("score"), "rank")
 
 
 def find_decision_nodes(spark, folder):
@@ -244,13 +251,32 @@ def find_decision_nodes(spark, folder):
     created = documents.select(F.col("doc_id").alias("node"), F.col("created_at").alias("_c"))
     walked = paths.where("hops > 0").join(relevance, ["query_id", "seed"]).join(created, "node")
     score = R.walked_score(F.col("hops"), F.col("confidence"), F.col("scaled"), R.recency_prior(F.col("_c"), now))
-    second = walked.select("query_id", "node", (F.col("hops") * 1_000_000 + F.col("position")).alias("position"), F.lit(None).cast("string").alias("role"), score.alias("score"), "hops")
+    second = walked.select("query_id", "node", F.col("hops").alias("position"), F.lit(None).cast("string").alias("role"), score.alias("score"), "hops")
     return settled(R.by_rank(R.node_set([first, second], documents))), paths, edges, seeds
 
 
-@query()
+@query(
+    f"""with recursive {_ANSWER},
+steps_of as (select query_id, node tip, unnest(path) node, unnest(range(1, len(path) + 1)) i from walked where hops > 0),
+first_lost as (select query_id, tip, min(i) i from steps_of s where not exists (select 1 from answer a where a.query_id = s.query_id and a.node = s.node) group by all),
+cut_paths as (select w.query_id, case when f.i is null then path else path[1 : f.i - 1] end chain from walked w left join first_lost f on f.query_id = w.query_id and f.tip = w.node where hops > 0),
+links as (
+  select a.query_id, src, dst, kind from ge join scaled a on a.doc_id = src join scaled b on b.doc_id = dst and b.query_id = a.query_id where src <> dst
+),
+every as (select query_id, chain from cut_paths where len(chain) > 1 union all select query_id, [src, dst] from links),
+few as (select query_id from every group by query_id having count(*) < 64),
+grown as (
+  select query_id, chain from every where query_id in (select query_id from few)
+  union
+  select g.query_id, list_prepend(l.src, g.chain) from grown g join links l on l.query_id = g.query_id and l.dst = g.chain[1] where not list_contains(g.chain, l.src)
+),
+known as (select distinct query_id, chain, '|' || array_to_string(chain, '|') || '|' s from (select * from every union all select * from grown)),
+best as (select k.query_id, k.chain, max(a.score) best from known k join answer a on a.query_id = k.query_id and list_contains(k.chain, a.node)
+  where not exists (select 1 from known o where o.query_id = k.query_id and len(o.chain) > len(k.chain) and contains(o.s, k.s)) group by all)
+select query_id::bigint query_id, row_number() over (partition by query_id order by best desc, len(chain) desc, chain) as rank, array_to_string(chain, ' -> ') chain from best"""
+)
 def chains(spark, folder):
-    """Rows only: the fixpoint over paths isn't SQL."""
+    """Chains of the answers. The SQL's joining has no bound of 64; a query below it never gets there."""
     nodes, paths, edges, seeds = find_decision_nodes(spark, folder)
     found = C.chain_table(paths, nodes, G.seed_links(edges, seeds))
     return found.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", F.array_join("chain", " -> ").alias("chain"))
@@ -259,7 +285,7 @@ def chains(spark, folder):
 @query(
     f"""with {D}, nodes as (select type query_id, doc_id node, title, row_number() over (partition by type order by created_s desc, doc_id) rank from d),
 linked as (select src node from ({T.DOC_EDGES}) where kind = 'mentions_path')
-select query_id, concat(title, ' (', node, ') stands alone; no linked discussion') message, row_number() over (partition by query_id order by rank) as position from nodes where node not in (select node from linked)"""
+select query_id, concat(title, ' (', node, ') {C.ALONE}') message, row_number() over (partition by query_id order by rank) as position from nodes where node not in (select node from linked)"""
 )
 def standalone_gaps(spark, folder):
     order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "node")
@@ -315,7 +341,7 @@ for _name, _options, _sql in (
 
 _AFTER = 1704067200 + 100 * 21600
 _DOC_SEEDS = [3, 40, 100]
-_DOC_SEED_SQL = f"select 1 query_id, doc_id node from d where n in ({', '.join(map(str, _DOC_SEEDS))})"
+_DOC_SEED_SQL = f"select 1 query_id, doc_id node, n pos from d where n in ({', '.join(map(str, _DOC_SEEDS))})"
 
 
 def _doc_seeds(spark, folder):
@@ -344,21 +370,21 @@ def seed_links_whole(spark, folder):
 
 
 @query(
-    f"""with {D}, {walk_ctes("select 1 query_id, doc_id node from d where n = 40", T.DOC_EDGES, 2, admitted="select doc_id from d")}
+    f"""with {D}, {walk_ctes("select 1 query_id, doc_id node, 1 pos from d where n = 40", T.DOC_EDGES, 2, admitted="select doc_id from d")}
 select node, hops::bigint hops, round(pow(0.6, hops) * conf, 9) score, created_s, row_number() over (order by created_s, node) rank from walked join d on d.doc_id = node where url <> ''"""
 )
 def trace_neighbourhood(spark, folder):
     documents = T.documents(spark, folder)
     seeds = documents.where("n = 40").select(F.lit(1).alias("query_id"), F.col("doc_id").alias("node"), F.lit(1).alias("position"))
     paths = G.walk(T.edges(spark, folder, T.DOC_EDGES), seeds, 2, admitted=G.admitted(documents))
-    stage = paths.select("query_id", "node", "position", F.lit(None).cast("string").alias("role"), R.walked_score(F.col("hops"), F.col("confidence")).alias("score"), "hops")
+    stage = paths.select("query_id", "node", F.col("hops").alias("position"), F.lit(None).cast("string").alias("role"), R.walked_score(F.col("hops"), F.col("confidence")).alias("score"), "hops")
     nodes = R.by_time(R.node_set([stage], documents))
     return nodes.select("node", F.col("hops").cast("bigint").alias("hops"), F.round("score", 9).alias("score"), F.unix_seconds("created_at").alias("created_s"), "rank")
 
 
 @query(
     f"""with {D}, a as (select created_s t from d where n = 40),
-{walk_ctes("select 1 query_id, doc_id node from d where n = 40", T.DOC_EDGES, 3, admitted="select doc_id from d where created_s > (select t from a)")}
+{walk_ctes("select 1 query_id, doc_id node, 1 pos from d where n = 40", T.DOC_EDGES, 3, admitted="select doc_id from d where created_s > (select t from a)")}
 select node, created_s, row_number() over (order by created_s, node) rank from walked join d on d.doc_id = node where hops > 0 and url <> ''"""
 )
 def impact_timeline(spark, folder):
@@ -366,7 +392,7 @@ def impact_timeline(spark, folder):
     seeds = documents.where("n = 40").select(F.lit(1).alias("query_id"), F.col("doc_id").alias("node"), F.lit(1).alias("position"))
     after = F.timestamp_seconds(F.lit(1704067200 + 40 * 21600))
     paths = G.walk(T.edges(spark, folder, T.DOC_EDGES), seeds, admitted=G.admitted(documents, after)).where("hops > 0")
-    stage = paths.select("query_id", "node", "position", F.lit("follow_up").alias("role"), F.lit(1.0).alias("score"), "hops")
+    stage = paths.select("query_id", "node", F.col("hops").alias("position"), F.lit("follow_up").alias("role"), F.lit(1.0).alias("score"), "hops")
     return R.by_time(R.node_set([stage], documents)).select("node", F.unix_seconds("created_at").alias("created_s"), "rank")
 
 

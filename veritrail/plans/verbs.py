@@ -118,14 +118,14 @@ class Engine:
         of_seed = hits.select("query_id", F.col("doc_id").alias("seed"), "scaled")
         dates = self.documents.select(F.col("doc_id").alias("node"), F.col("created_at").alias("_c"))
         walked = paths.where("hops > 0").join(of_seed, ["query_id", "seed"]).join(dates, "node")
-        second = walked.select("query_id", "node", (F.col("hops") * 1_000_000 + F.col("position")).alias("position"), F.lit(None).cast("string").alias("role"), R.walked_score(F.col("hops"), F.col("confidence"), F.col("scaled"), prior(F.col("_c"))).alias("score"), "hops", F.lit(None).cast("string").alias("excerpt"))
+        second = walked.select("query_id", "node", F.col("hops").alias("position"), F.lit(None).cast("string").alias("role"), R.walked_score(F.col("hops"), F.col("confidence"), F.col("scaled"), prior(F.col("_c"))).alias("score"), "hops", F.lit(None).cast("string").alias("excerpt"))
         nodes = R.node_set([first, second], self.documents)
         return self._finish(nodes, paths, seeds, extra, {"kind": "question", "query": question, "window": window}, by_time=False)
 
     def _anchored(self, seeds: DataFrame, roles: str, depth: int, after: datetime | None, matches: DataFrame | None, direction: str = "both", walked_role: str | None = None, by_time: bool = True, extra=(), anchor=None) -> Answer:
         paths = G.walk(self.edges, seeds, depth, direction, admitted=G.admitted(self.documents, after))
         first = seeds.select("query_id", "node", F.col("position").cast("bigint").alias("position"), F.lit(roles).alias("role"), F.lit(1.0).alias("score"), F.lit(0).alias("hops"))
-        second = paths.where("hops > 0").select("query_id", "node", (F.col("hops") * 1_000_000 + F.col("position")).alias("position"), F.lit(walked_role).cast("string").alias("role"), R.walked_score(F.col("hops"), F.col("confidence")).alias("score"), "hops")
+        second = paths.where("hops > 0").select("query_id", "node", F.col("hops").alias("position"), F.lit(walked_role).cast("string").alias("role"), R.walked_score(F.col("hops"), F.col("confidence")).alias("score"), "hops")
         stages = [first, second]
         if matches is not None:
             third = R.scaled(matches).select("query_id", F.col("doc_id").alias("node"), "position", F.lit("semantic_match").alias("role"), F.col("scaled").alias("score"), F.lit(None).cast("int").alias("hops"))
