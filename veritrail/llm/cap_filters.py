@@ -195,26 +195,24 @@ class _Links:
         self.rows: list[tuple[bytes, bytes, int]] = []
 
     def add(self, cids, n, i: np.ndarray, j: np.ndarray) -> None:
-        """Links between members i and j of a group: each member's number of linked rows, and
-        an edge to the least member of what is connected here."""
-        if not len(i):
-            return
-        parent = {}
+        """Links between rows i and j: each vector's number of linked rows, and an edge to the
+        least vector of what is connected here."""
+        parent: dict[bytes, bytes] = {}
 
         def top(k):
             while parent.setdefault(k, k) != k:
                 parent[k] = k = parent[parent[k]]
             return k
 
-        weight: dict[int, int] = {}
-        for a, b in zip(i.tolist(), j.tolist()):
-            weight[a] = weight.get(a, 0) + n[b]
-            weight[b] = weight.get(b, 0) + n[a]
+        weight: dict[bytes, int] = {}
+        for p, q in zip(i.tolist(), j.tolist()):
+            a, b = cids[p].as_py(), cids[q].as_py()
+            weight[a] = weight.get(a, 0) + n[q]
+            weight[b] = weight.get(b, 0) + n[p]
             x, y = top(a), top(b)
             if x != y:
-                low, high = (x, y) if cids[x] < cids[y] else (y, x)
-                parent[high] = low
-        self.rows += [(cids[k], cids[top(k)], w) for k, w in weight.items()]
+                parent[max(x, y)] = min(x, y)
+        self.rows += [(k, top(k), int(w)) for k, w in weight.items()]
 
     def batch(self):
         columns = [*zip(*self.rows)] or [(), (), ()]
@@ -222,78 +220,104 @@ class _Links:
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], names=["cid", "root", "linked"])
 
 
-def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+class _Own:
+    """The filters of each row, sorted, without a Python object for each."""
 
+    def __init__(self, column):
+        self.flat = column.flatten().to_numpy(zero_copy_only=False)
+        self.ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
 
-def _first_shared(own: list, i: np.ndarray, j: np.ndarray, here: int) -> np.ndarray:
-    """Whether ``here`` is the least filter that members i and j share, so that a pair that
-    meets in several filters counts once."""
-    out = np.empty(len(i), dtype=bool)
-    sets = {k: own[k][own[k] < here] for k in {*i.tolist(), *j.tolist()}}
+    def __getitem__(self, row: int) -> np.ndarray:
+        return self.flat[self.ends[row - 1] if row else 0 : self.ends[row]]
+
+    def met_before(self, i: int, j: int, here: int) -> bool:
+        """Whether rows i and j share a filter before ``here``, where they count already."""
+        a, b = self[i], self[j]
+        return bool(np.isin(a[: np.searchsorted(a, here)], b[: np.searchsorted(b, here)]).any())
+
+
+def _first_shared(own: _Own, i: np.ndarray, j: np.ndarray, here: int) -> np.ndarray:
+    """Whether ``here`` is the least filter that rows i and j share, for many pairs of a group."""
+    sets = {k: own[k][: np.searchsorted(own[k], here)] for k in {*i.tolist(), *j.tolist()}}
     all_ = np.unique(np.concatenate([*sets.values()])) if sets else np.empty(0)
     if not len(all_):
         return np.ones(len(i), dtype=bool)
-    keys = sorted(sets)
-    place = {k: p for p, k in enumerate(keys)}
+    keys = np.array(sorted(sets))
     grid = np.zeros((len(keys), len(all_)), dtype=bool)
-    for k, f in sets.items():
-        grid[place[k], np.searchsorted(all_, f)] = True
+    for p, k in enumerate(keys.tolist()):
+        grid[p, np.searchsorted(all_, sets[k])] = True
     grid = np.packbits(grid, axis=1)
-    a, b = (np.array([place[k] for k in s.tolist()], dtype=int) for s in (i, j))
+    a, b, out = np.searchsorted(keys, i), np.searchsorted(keys, j), np.empty(len(i), dtype=bool)
     for at in range(0, len(i), 4096):
         out[at : at + 4096] = ~(grid[a[at : at + 4096]] & grid[b[at : at + 4096]]).any(axis=1)
     return out
 
 
+def _pairs_within(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j), i < j, of rows of one group, for many groups at once."""
+    rows = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)]) if len(starts) else np.empty(0, dtype=np.int64)
+    n = np.repeat(ends, ends - starts) - rows - 1
+    i = np.repeat(rows, n)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _verify(threshold: float):
-    def group(links, key, cids, n, x, own, side):
+    columns = ["width", "filter", "low", "high", "cid", "n", "v", "own", "block"]
+
+    def small(links, here, cids, n, x, own, starts, ends):
+        """Pairs of many small groups in one go; few pass, and only they are looked at further."""
+        i, j = _pairs_within(starts, ends)
+        for at in range(0, len(i), 1 << 15):
+            p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            near = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+            kept = [(a, b) for a, b in zip(p[near].tolist(), q[near].tolist()) if not own.met_before(a, b, here[a])]
+            if kept:
+                links.add(cids, n, *np.array(kept).T)
+
+    def large(links, key, cids, n, x, own, rows, side):
         """Compares all pairs of a group, or, of two blocks, those across."""
-        here, low, high = key[1:]
-        rows = np.arange(len(cids))
-        left, right = (rows, rows) if low == high else (rows[side == low], rows[side == high])
+        here, low, high = key
+        left, right = (rows, rows) if low == high else (rows[side[rows] == low], rows[side[rows] == high])
         for at in range(0, len(left), 512):
             part = left[at : at + 512]
-            i, j = np.nonzero(_cosines(x[part], x[right]) >= threshold)
+            i, j = np.nonzero(x[part] @ x[right].T >= threshold)
             i, j = part[i], right[j]
             if low == high:
                 i, j = i[i < j], j[i < j]
-            keep = _first_shared(own, i, j, here) if len(i) else np.empty(0, dtype=bool)
-            links.add(cids, n, i[keep], j[keep])
+            if len(i):
+                keep = _first_shared(own, i, j, here)
+                links.add(cids, n, i[keep], j[keep])
+
+    def flush(links, table):
+        """All groups of a table whose rows are sorted by group, of one width at a time."""
+        keys = np.stack([table.column(c).to_numpy() for c in columns[:4]], axis=1)
+        for width in np.unique(keys[:, 0]):
+            first, last = np.searchsorted(keys[:, 0], width), np.searchsorted(keys[:, 0], width, side="right")
+            part, of = table.slice(first, last - first).combine_chunks(), keys[first:last]
+            x = _vectors(part.column("v").chunk(0))
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            cids, n, own, side = part.column("cid").chunk(0), part.column("n").to_numpy(), _Own(part.column("own").chunk(0)), part.column("block").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]).any(axis=1))))
+            ends = np.append(starts[1:], len(of))
+            few = (ends - starts <= SMALL) & (of[starts, 2] == of[starts, 3])
+            small(links, of[:, 1], cids, n, x, own, starts[few], ends[few])
+            for a, b in zip(starts[~few], ends[~few]):
+                large(links, of[a, 1:].tolist(), cids, n, x, own, np.arange(a, b), side)
 
     def run(batches):
         links, held = _Links(), []
-        columns = ["width", "filter", "low", "high", "cid", "n", "v", "own", "block"]
-
-        def flush(table):
-            keys = np.stack([table.column(c).to_numpy() for c in columns[:4]], axis=1)
-            if not len(keys):
-                return
-            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-            sizes = np.diff(np.append(starts, len(keys)))
-            for s, size in zip(starts.tolist(), sizes.tolist()):
-                if size < 2:
-                    continue
-                part = table.slice(s, size).combine_chunks()
-                x = _vectors(part.column("v").chunk(0))
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                if size <= SMALL and not (np.triu(_cosines(x, x), 1) >= threshold).any():
-                    continue
-                own = [np.array(o) for o in part.column("own").to_pylist()]
-                group(links, keys[s].tolist(), part.column("cid").to_pylist(), part.column("n").to_pylist(), x, own, part.column("block").to_numpy())
-
         for batch in batches:
-            table = pa.Table.from_batches([batch]).select(columns)
-            if held:
-                table = pa.concat_tables([*held, table])
+            table = pa.Table.from_batches([*held, batch.select(columns)])
             last = [table.column(c)[table.num_rows - 1].as_py() for c in columns[:4]] if table.num_rows else None
             same = np.all([table.column(c).to_numpy() == k for c, k in zip(columns, last)], axis=0) if last else ()
             cut_at = int(np.argmax(same)) if len(same) else 0
-            flush(table.slice(0, cut_at))
-            held = [table.slice(cut_at)]
+            if cut_at:
+                flush(links, table.slice(0, cut_at))
+            held = table.slice(cut_at).to_batches()
             yield links.batch()
         if held:
-            flush(held[0])
+            flush(links, pa.Table.from_batches(held))
         yield links.batch()
 
     return run
