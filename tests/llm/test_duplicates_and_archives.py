@@ -151,4 +151,43 @@ def test_arc_versions():
     with pytest.raises(ValueError):
         list(warc.read_arc(b"filedesc://x 0 0 t 5\n9 0 x\n"))
     one, two = (warc.to_warc(next(warc.read_arc(warc.arc_archive(v, records)))) for v in (1, 1))
-    assert one == two and "WARC-Record-ID: <urn:uuid:" in one
+    assert one == two and b"WARC-Record-ID: <urn:uuid:" in one
+
+
+def test_archives_are_valid_warc(spark, tmp_path):
+    """Every file opens with a full warcinfo record, a record is a gzip member, identifiers are
+    unique, and a revisit names a response of the archive."""
+    import gzip
+    import io
+    import zlib
+
+    made = pages() + [(20 + i, f"http://long/{i}", "<p>" + "w" * 3000 + str(i % 3), None) for i in range(40)]
+    warc.convert(spark.createDataFrame(made, PAGES).select("page_id", "url", "html").repartition(2), f"{tmp_path}/a", file_bytes=2000)
+    files = sorted(tmp_path.glob("a/part=*/part-*"))
+    assert len(files) > 4
+    ids, refers, kinds = [], [], []
+    for file in files:
+        raw, members = file.read_bytes(), 0
+        records = [*warc.read_warc(gzip.GzipFile(fileobj=io.BytesIO(raw)))]
+        while raw:
+            one = zlib.decompressobj(31)
+            assert one.decompress(raw).startswith(b"WARC/1.1\r\n") and one.eof
+            raw, members = one.unused_data, members + 1
+        assert members == len(records) and records[0][0]["warc-type"] == "warcinfo"
+        for headers, _ in records:
+            assert {"warc-type", "warc-record-id", "warc-date", "content-length", "content-type"} <= headers.keys()
+            kinds.append(headers["warc-type"])
+            ids.append(headers["warc-record-id"])
+            if headers["warc-type"] == "revisit":
+                assert headers["warc-refers-to-target-uri"] and headers["warc-refers-to-date"]
+                refers.append(headers.get("warc-refers-to"))
+    assert len(ids) == len(set(ids)) and kinds.count("revisit") >= 38
+    assert {r for r in refers if r} <= {i for i, k in zip(ids, kinds) if k == "response"} and sum(map(bool, refers)) >= 37
+    found = warc.read_back(spark, f"{tmp_path}/a").count()
+    assert found == len(made)
+
+
+def test_a_very_long_payload(spark, tmp_path, monkeypatch):
+    long = "é" * 12_000_000  # 24 MB: two members
+    out = warc.archive(spark.createDataFrame([(1, "u", long, ""), (2, "u", long, "")], PAGES)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out) == [(1, 24_000_000, "revisit", 2), (2, 24_000_000, "response", None)]

@@ -8,9 +8,11 @@ import io
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,11 @@ ARC_FIELDS = {
 }
 REVISIT_FROM = 1000
 CAPTURED = "20240101000000"
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
+#: Compressed bytes after which a task begins a new file, about; a reader holds one file.
+FILE_BYTES = 64 << 20
+#: Bytes in a gzip member at most: below this the last byte of its length field is zero.
+MEMBER_BYTES = (1 << 24) - 1
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 
 
@@ -37,11 +43,16 @@ def arc_archive(version: int, records: Iterable[tuple[str, str, bytes]], date: s
 
 
 def _arc_line(version: int, url: str, ip: str, date: str, kind: str, length: int) -> bytes:
-    url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) or "-"
+    url = _written(url)
     middle = "" if version == 1 else " 200 - - 0 veritrail.arc"
     return f"{url} {ip} {date} {kind}{middle} {length}\n".encode()
 
 
+def _written(url: str) -> str:
+    """An address as a header line can hold it: without white space, ``-`` for none."""
+    return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) or "-"
+
+
 def read_arc(data: bytes) -> Iterator[dict[str, str | bytes]]:
     """The records after the version block, each a dict of the header fields that the
     block declares, and ``document``. Bodies are cut by declared length alone, so what
@@ -69,21 +80,45 @@ def read_arc(data: bytes) -> Iterator[dict[str, str | bytes]]:
         yield record
 
 
-def to_warc(record: dict, refers_to: str | None = None) -> str:
-    """A WARC record without its trailing blank lines: a response, or, with ``refers_to``
-    (a page id), a revisit that has the HTTP headers alone. The identifier is a name-based
-    UUID of what the ARC record holds, so converting again gives the same record."""
+def record_id(url: str, date: str, digest: str, head: bytes, more: str = "") -> str:
+    """A name-based UUID of what an ARC record holds, so converting again gives the same one;
+    ``more`` tells records apart that hold the same."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, chr(0).join([url, date, digest, hashlib.sha1(head).hexdigest(), more]))}>"
+
+
+def _date(text: str) -> str:
+    return f"{datetime.strptime(text, '%Y%m%d%H%M%S').replace(tzinfo=timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
+
+
+def warcinfo(name: str) -> bytes:
+    """The record that a file opens with."""
+    block = b"software: veritrail\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMES, name)}>", f"WARC-Date: {_date(CAPTURED)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + RECORD_END + block + RECORD_END
+
+
+@dataclass(frozen=True)
+class Original:
+    """What a revisit refers to: the page, its address, and whether one record alone has them."""
+
+    page_id: str
+    url: str
+    single: bool = True
+
+
+def to_warc(record: dict, original: Original | None = None, more: str = "") -> bytes:
+    """A WARC record with its trailing blank lines: a response, or, with ``original``, a revisit
+    that has the HTTP headers alone and names the response by its identifier (if only one
+    record can be meant), address and date."""
     document: bytes = record["document"]
-    head, _, payload = document.partition(b"\r\n\r\n")
-    digest = hashlib.sha1(payload).hexdigest()
-    date = datetime.strptime(record["Archive-date"], "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc)
-    name = "\x00".join([record["URL"], record["Archive-date"], digest, hashlib.sha1(head).hexdigest()])
-    block = document if refers_to is None else head + b"\r\n\r\n"
+    head, _, payload = document.partition(RECORD_END)
+    digest, when = hashlib.sha1(payload).hexdigest(), record["Archive-date"]
+    block = document if original is None else head + RECORD_END
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMES, name)}>",
-        f"WARC-Date: {date:%Y-%m-%dT%H:%M:%SZ}",
+        f"WARC-Type: {'response' if original is None else 'revisit'}",
+        f"WARC-Record-ID: {record_id(record['URL'], when, digest, head, more)}",
+        f"WARC-Date: {_date(when)}",
         f"WARC-Target-URI: {record['URL']}",
         f"WARC-IP-Address: {record['IP-address']}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -91,9 +126,19 @@ def to_warc(record: dict, refers_to: str | None = None) -> str:
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
-    return "\r\n".join(lines) + "\r\n\r\n" + block.decode("utf-8")
+    if original is not None:
+        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if original.single:
+            lines.append(f"WARC-Refers-To: {record_id(_written(original.url), when, digest, _head(original.page_id, len(payload)))}")
+        lines += [f"WARC-Refers-To-Target-URI: {_written(original.url)}", f"WARC-Refers-To-Date: {_date(when)}", f"X-Refers-To-Page: {original.page_id}"]
+    return "\r\n".join(lines).encode() + RECORD_END + block + RECORD_END
+
+
+def member(record: bytes) -> bytes:
+    """The record as a gzip member of its own (several, if it is very long) but for its last
+    byte, which is zero and which the line-oriented writer adds as its separator."""
+    made = [gzip.compress(record[at : at + MEMBER_BYTES], 6, mtime=0) for at in range(0, len(record), MEMBER_BYTES)]
+    return b"".join(made)[:-1]
 
 
 def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -115,22 +160,31 @@ def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def revisits(pages: DataFrame, shortest: int = REVISIT_FROM) -> DataFrame:
-    """``page_id, digest, refers_to`` of pages whose payload, of at least ``shortest``
-    bytes, a page of a larger id has as well. Only ids and digests are shuffled; digests
-    are aggregated first, and adaptive execution can split a hot one in the join."""
-    light = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
-    light = light.where(F.col("n") >= shortest).select("page_id", "digest")
-    most = light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return light.join(most, "digest").where("not page_id <=> refers_to").select("page_id", "digest", "refers_to").distinct()
+    """``page_id, digest, refers_to, refers_url, single, repeats`` of pages that need more than
+    their own row: those whose payload, of at least ``shortest`` bytes, a page of a larger id
+    has as well, and rows that repeat an id and payload. Only ids, addresses and digests are
+    shuffled; rows are aggregated first, and adaptive execution can split a hot digest."""
+    html = F.coalesce("html", F.lit(""))
+    light = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
+    one = light.groupBy("page_id", "digest").agg(F.max("url").alias("url"), F.max("n").alias("n"), F.count("*").alias("rows"))
+    long = one.where(F.col("n") >= shortest)
+    most = long.groupBy("digest").agg(F.max(F.struct("page_id", "url", "rows")).alias("m"), F.count("*").alias("ids")).where("ids > 1 and m.page_id is not null")
+    most = most.select("digest", F.col("m.page_id").alias("refers_to"), F.col("m.url").alias("refers_url"), (F.col("m.rows") == 1).alias("single"))
+    joined = one.join(most, "digest", "left").withColumn("again", F.col("refers_to").isNotNull() & (F.col("n") >= shortest) & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    rest = [F.when(F.col("again"), F.col(c)).alias(c) for c in ("refers_to", "refers_url", "single")]
+    return joined.where("again or rows > 1").select("page_id", "digest", *rest, (F.col("rows") > 1).alias("repeats"))
 
 
-def convert(pages: DataFrame, folder: str, shortest: int = REVISIT_FROM, per_file: int = 2000) -> None:
-    """Writes the pages as gzipped WARC files to ``folder``, by way of ARC archives of
-    both versions, which the converter takes apart again slice by slice (a few MB)."""
+def convert(pages: DataFrame, folder: str, shortest: int = REVISIT_FROM, file_bytes: int = FILE_BYTES) -> None:
+    """Writes the pages as WARC files to ``folder``, a gzip member for each record, by way of ARC
+    archives of both versions, which the converter takes apart again slice by slice (a few
+    MB). A task begins a new file (folder ``part``) after ``file_bytes``, so that no file has
+    to be larger than a reader's memory. The file system's writer is the engine's own, which
+    commits whole tasks, so a lost executor leaves nothing half-written."""
 
     def run(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(["WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n"])], names=["value"])
-        version = 1
+        task = TaskContext.get().partitionId()
+        version, part, written, n = 1, 0, file_bytes, 0
         for batch in batches:
             rows = [*zip(*(c.to_pylist() for c in batch.columns))]
             at = 0
@@ -139,22 +193,46 @@ def convert(pages: DataFrame, folder: str, shortest: int = REVISIT_FROM, per_fil
                 while upto < len(rows) and size < 4_000_000:
                     size += len(rows[upto][2] or "")
                     upto += 1
-                part, at, version = rows[at:upto], upto, 3 - version
-                archive = arc_archive(version, ((url or "", "text/html", _http(i, html or "")) for i, url, html, _ in part))
-                made = [to_warc(r, p[3]) for r, p in zip(read_arc(archive), part, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["value"])
+                some, at, version = rows[at:upto], upto, 3 - version
+                archive = arc_archive(version, ((url or "", "text/html", _http(i, html or "")) for i, url, html, *_ in some))
+                out = []
+                for record, (_, _, _, refers_to, refers_url, single, repeats) in zip(read_arc(archive), some, strict=True):
+                    if written >= file_bytes:
+                        part, written = part + 1, 0
+                        out.append((member(warcinfo(f"{folder}/{task}/{part}")), part))
+                    n += 1
+                    original = None if refers_to is None else Original(refers_to, refers_url, single)
+                    out.append((member(to_warc(record, original, f"{task} {n}" if repeats else "")), part))
+                    written += len(out[-1][0])
+                values, parts = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(parts, pa.int32())], names=["value", "part"])
 
-    again = revisits(pages, shortest).select(F.col("page_id").alias("id2"), F.col("digest").alias("digest2"), F.col("refers_to").cast("string").alias("refers_to"))
+    again = revisits(pages, shortest).select(F.col("page_id").alias("id2"), F.col("digest").alias("digest2"), F.col("refers_to").cast("string").alias("refers_to"), "refers_url", "single", "repeats")
     own = pages.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     joined = own.join(again, F.col("page_id").eqNullSafe(F.col("id2")) & (F.col("digest") == F.col("digest2")), "left")
-    rows = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "refers_to")
-    rows.mapInArrow(run, "value string").write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
+    rows = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "refers_to", "refers_url", "single", "repeats")
+    made = rows.mapInArrow(run, "value binary, part int").select(F.col("value").cast("string").alias("value"), "part")
+    made.write.option("lineSep", "\x00").option("compression", "none").partitionBy("part").text(folder)
+
+
+def _head(page_id: str | None, length: int) -> bytes:
+    own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {length}".encode()
 
 
 def _http(page_id: str | None, html: str) -> bytes:
     body = html.encode("utf-8")
-    own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(body)}\r\n\r\n".encode() + body
+    return _head(page_id, len(body)) + RECORD_END + body
+
+
+_READ = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
+
+
+def _any_file(spark, folder: str) -> bool:
+    """Whether the archive has files; that of an empty table has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return any(s.isDirectory() for s in system.listStatus(path))
 
 
 def read_back(spark, folder: str) -> DataFrame:
@@ -169,7 +247,7 @@ def read_back(spark, folder: str) -> DataFrame:
                 for headers, block in read_warc(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                     if headers["warc-type"] == "warcinfo":
                         continue
-                    head, _, payload = block.partition(b"\r\n\r\n")
+                    head, _, payload = block.partition(RECORD_END)
                     digest, size = headers["warc-payload-digest"].removeprefix("sha1:"), int(headers["x-payload-length"])
                     if headers["warc-type"] == "response" and (hashlib.sha1(payload).hexdigest(), len(payload)) != (digest, size):
                         raise ValueError("a payload differs from its digest or length")
@@ -180,8 +258,10 @@ def read_back(spark, folder: str) -> DataFrame:
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    files = spark.read.format("binaryFile").load(folder).where("length > 0").select("content")
-    return files.mapInArrow(run, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
+    if not _any_file(spark, folder):
+        return spark.createDataFrame([], _READ)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder).where("length > 0").select("content")
+    return files.mapInArrow(run, _READ)
 
 
 def archive(pages: DataFrame, folder: str | None = None, shortest: int = REVISIT_FROM) -> DataFrame:
@@ -191,8 +271,10 @@ def archive(pages: DataFrame, folder: str | None = None, shortest: int = REVISIT
     Of equal payloads of at least ``shortest`` bytes the record with the largest page_id is
     a response and the others are revisits. A null html is an empty payload; a null url is
     written as ``-``; a null id is kept and never referred to unless all of a group are
-    null, when all are responses. Rows that repeat an id and payload have the same type. An
-    empty table makes an archive without records. Other columns aren't looked at.
+    null, when all are responses. Rows that repeat an id and payload have the same type and
+    identifiers of their own. An empty table makes an archive without records. Other columns
+    aren't looked at. A record is one gzip member; payloads of 16 MB and more take several.
+    Files carry the engine's names (``part-*``), not ``.warc.gz``.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
