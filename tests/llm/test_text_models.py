@@ -20,7 +20,7 @@ def test_trie_encodes_as_the_library(spark):
     plain = Tokenizer.from_file(path)
     plain.no_padding()
     plain.no_truncation()
-    docs = data.documents(spark).unionByName(spark.read.parquet(f"{DATA}/documents.parquet").limit(150), allowMissingColumns=True)
+    docs = data.documents(spark).unionByName(spark.read.parquet(f"{DATA}/documents.parquet"), allowMissingColumns=True)
     texts = [r.text or "" for r in docs.collect()]
     want = []
     for e in plain.encode_batch(texts, add_special_tokens=False):
@@ -40,6 +40,34 @@ def test_trie_shares_prefixes_and_forgets():
         assert [g[1] for g in got] == [" ".join(e.tokens) for e in plain.encode_batch([" ".join(words), *words], add_special_tokens=False)]
 
 
+def test_trie_on_every_kind_of_character():
+    """Characters that Unicode added of late, unassigned ones, marks in any order."""
+    path = P.path("word_bpe_49k.json")
+    ours, plain = bpe_trie.TrieEncoder(path), Tokenizer.from_file(path)
+    plain.no_padding()
+    plain.no_truncation()
+    step = [c for c in [*range(0, 0x3400), *range(0xA000, 0xABFF), *range(0xF900, 0x20000, 3), *range(0x20000, 0x110000, 4001)] if not 0xD800 <= c < 0xE000]
+    texts = [f"x{chr(c)}y {chr(c)}\u0301{chr(c)} 1{chr(c)}" for c in step] + [f"a{chr(c)}\u0316b" for c in (0x1DF6, 0x1E4EC, 0x1E4ED, 0x10EFD, 0x1AFF0)]
+    special = "<|startoftext|>x\U0001e4ecy<|endoftext|>"
+    for at in range(0, len(texts), 2000):
+        part = [*texts[at : at + 2000], special]
+        for text, got, want in zip(part, ours.encode_batch(part), plain.encode_batch(part, add_special_tokens=False)):
+            assert got[1] == " ".join(want.tokens), ascii(text)
+    assert ours.unlike
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "the", "é", "xyzzy"])
+def test_trie_of_a_very_long_word(unit):
+    path = P.path("word_bpe_49k.json")
+    ours, plain = bpe_trie.TrieEncoder(path), Tokenizer.from_file(path)
+    plain.no_padding()
+    plain.no_truncation()
+    for n in (bpe_trie.LONG - 3, bpe_trie.LONG + 3, 30_000):
+        text = f"start {(unit * n)[:n]} end {unit}"
+        assert ours.encode_batch([text])[0][1] == " ".join(plain.encode(text, add_special_tokens=False).tokens)
+    assert not ours.long and all(len(w) <= bpe_trie.LONG for w in ours.known)
+
+
 def test_quick_words_are_those_of_the_pattern():
     import json
 

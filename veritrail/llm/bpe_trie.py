@@ -8,6 +8,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections import ChainMap
 
 import pyarrow as pa
 import regex
@@ -23,6 +24,21 @@ _MARKS = "".join(re.escape(c) for c in map(chr, range(256)) if not c.isspace() a
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[{_MARKS}]+").findall
 _NEVER = 1 << 60
 SHORT = 6
+#: Characters from which a word goes through without the trie, whose nodes it would fill alone.
+LONG = 400
+#: What a character is tried in, to see whether the library takes it as this process does: with
+#: letters, digits and marks of other orders of composition next to it.
+_TRIALS = ("a{}b", "{}1{}", "a\u0301{}b", "a{}\u0316\u0301b", " {} ", "{}{}!")
+
+
+class _Prefixes:
+    """The last token of each prefix of one word, told by its length alone."""
+
+    def __init__(self, text: str):
+        self.text, self.lengths = text, array("H", [0])
+
+    def __getitem__(self, depth: int) -> str:
+        return self.text[depth - self.lengths[depth] : depth]
 
 
 def byte_characters() -> dict[int, str]:
@@ -46,15 +62,19 @@ class TrieEncoder:
     def __init__(self, path: str, keep: int = 800_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path = path
         self.vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        find = regex.compile(pattern).findall
-        self.words = find if pattern != PATTERN else lambda text: find(text) if _UNLIKE(text) else _LATIN(text)
+        self.find = regex.compile(pattern).findall
+        self.latin = _LATIN if pattern == PATTERN else self.find
+        self.alike: set[str] = set()
+        self.unlike: set[str] = set()
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
         self.longest = max(len(t.removesuffix(WORD_END)) for t in self.vocab)
         self.characters = byte_characters()
+        self.bytes = {c: b for b, c in self.characters.items()}
         self.splits: dict[str, tuple[str, str] | None | bool] = {}
         self.left: dict[str, list] = {}
         self.right: dict[str, list] = {}
@@ -166,6 +186,9 @@ class TrieEncoder:
         table, most, last_token, known, vocab = self.characters, self.longest, self.last_token, self.known, self.vocab
         for word in words:
             text = word if word.isascii() and word.isprintable() else "".join([table[b] for b in word.encode("utf-8", "surrogatepass")])
+            if len(text) > LONG:
+                self.long[word] = self.encode_long(text)
+                continue
             node = root
             for c in text[:-1]:
                 below = node.get(c)
@@ -202,15 +225,55 @@ class TrieEncoder:
                     out.reverse()
                     known[word] = (array("I", [vocab[t] for t in out]).tobytes(), " ".join(out))
 
+    def encode_long(self, text: str) -> tuple[bytes, str]:
+        """One word by the trie's recurrence, as a trie of one branch: two bytes a character."""
+        prefixes, most = _Prefixes(text), self.longest
+        for depth in range(1, len(text)):
+            prefixes.lengths.append(self.last_token(text[max(0, depth - most) : depth], "", depth, prefixes)[0])
+        length, token = self.last_token(text[-most:], WORD_END, len(text), prefixes)
+        out, at = [token], len(text) - length
+        while at:
+            out.append(prefixes[at])
+            at -= prefixes.lengths[at]
+        out.reverse()
+        return array("I", [self.vocab[t] for t in out]).tobytes(), " ".join(out)
+
     def pieces(self, text: str) -> list[tuple[str, bool]]:
-        """``(word, is it a special token)`` of a text."""
-        if self.special_pattern is None or not self.special_pattern.search(text):
-            return [(w, False) for w in self.words(self.normal(text))]
+        """``(word, is it a special token)`` of a text that holds special tokens."""
         out = []
         for k, part in enumerate(self.special_pattern.split(text)):
-            out += [(part, True)] if k % 2 else [(w, False) for w in self.words(self.normal(part))]
+            out += [(part, True)] if k % 2 else [(w, False) for w in self.words(part)]
         return out
 
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens. Characters beyond Latin-1 are tried once,
+        and a text with one that the library classes or composes otherwise (its tables may be
+        older or newer than this process's) is cut by the library's own normaliser and pattern."""
+        normal = self.normal(text)
+        if not _UNLIKE(normal):
+            return self.latin(normal)
+        new = set(text).difference(self.alike)
+        if new:
+            for c in new.difference(self.unlike):
+                (self.alike if self._same(c) else self.unlike).add(c)
+            if not new.isdisjoint(self.unlike):
+                return self.library_words(text)
+        return self.find(normal)
+
+    def _same(self, c: str) -> bool:
+        trials = [t.replace("{}", c) for t in _TRIALS]
+        return all(self.find(self.normal(t)) == self.library_words(t) for t in trials)
+
+    def library_words(self, text: str) -> list[str]:
+        normal = self.library.normalizer.normalize_str(text)
+        return [bytes(self.bytes[c] for c in piece).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def normal(text: str) -> str:
         if not text.isascii():
@@ -219,22 +282,25 @@ class TrieEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
         """Little-endian 32-bit ids, decoded text and number of ids of each text."""
-        cut = [None if self.special_pattern is not None and self.special_pattern.search(t) else self.words(self.normal(t)) for t in texts]
+        cut = [None if self.special_pattern is not None and self.special_pattern.search(t) else self.words(t) for t in texts]
         new = set()
         for words, text in zip(cut, texts):
             new.update(words if words is not None else (w for w, special in self.pieces(text) if not special))
         if len(self.known) > self.keep:
             self.known.clear()
+        self.long: dict[str, tuple[bytes, str]] = {}
         self.encode_words(new.difference(self.known))
-        out, known = [], self.known
+        known = self.known if not self.long else ChainMap(self.long, self.known)
+        out = []
         for words, text in zip(cut, texts):
             if words is None:
-                got = [self.known[w] if not s else (array("I", [self.special[w]]).tobytes(), w) for w, s in self.pieces(text)]
+                got = [known[w] if not s else (array("I", [self.special[w]]).tobytes(), w) for w, s in self.pieces(text)]
             else:
                 got = [known[w] for w in words]
             ids, decoded = zip(*got) if got else ((), ())
             joined = b"".join(ids)
             out.append((joined, " ".join(decoded), len(joined) // 4))
+        self.long = {}
         return out
 
 
@@ -250,7 +316,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     ``vocabulary`` is the path of the vocabulary on the executors. A null text counts as
     empty: no ids, the digests of no bytes. Rows are independent, so repeated ids, empty
     tables and other columns change nothing. Rows go through in slices bounded by
-    characters; the word cache is bounded too.
+    characters; the word cache is bounded too, and a word of LONG characters or more costs
+    some bytes a character, not a node, and isn't cached.
     """
 
     def run(batches):
