@@ -3,6 +3,8 @@
 import collections
 import itertools
 import re
+import struct
+import zlib
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 PII = {
@@ -53,6 +55,18 @@ def pii_base(text):
     return sorted(found, key=lambda s: (s[1], list(PII).index(s[0])))
 
 
+def pieces(tokenizer, rows, capacity=2048):
+    """``(doc_id, piece, start, length, crc)`` of documents by the given tokenizer alone."""
+    out = []
+    for doc, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % capacity or capacity
+        starts = [0, *range(first, len(ids), capacity)]
+        for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+            out.append((doc, i, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))))
+    return out
+
+
 def shingle_set(text):
     words = (text or "").encode().lower().split()
     if not words:

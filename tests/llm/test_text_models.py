@@ -91,7 +91,9 @@ def test_packing(spark):
     plain = Tokenizer.from_file(path)
     docs = data.documents(spark).union(data.documents(spark))
     found = [r.asDict() for r in packing.pack(docs, path).collect()]
-    lengths = sorted(len(e.ids) + 1 for e in plain.encode_batch([r[1] or "" for r in data.rows() * 2], add_special_tokens=False))
+    made = data.rows() * 2
+    lengths = sorted(len(e.ids) + 1 for e in plain.encode_batch([r[1] or "" for r in made], add_special_tokens=False))
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found), key=repr) == sorted(brute.pieces(plain, [(r[0], r[1]) for r in made]), key=repr)
     whole = {}
     for r in found:
         whole.setdefault(r["sequence_id"], []).append(r)
@@ -108,6 +110,18 @@ def test_packing(spark):
     assert packing.pack(data.empty(spark), path).count() == 0
 
 
+def test_packing_of_whole_documents_is_that_of_the_library(spark):
+    """Every piece of every document, its ids by their checksum, and sequences near the bound."""
+    path = P.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = packing.pack(docs, path).collect()
+    want = brute.pieces(plain, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)
+    assert len({r.sequence_id for r in found}) <= -(-sum(w[3] for w in want) // packing.CAPACITY) + 1
+    assert len({(r.sequence_id, r.offset) for r in found}) == len(found)
+
+
 def test_cuts():
     assert packing.cuts(5) == [(0, 5)] and packing.cuts(2048) == [(0, 2048)]
     assert packing.cuts(2049) == [(0, 1), (1, 2048)] and packing.cuts(4096) == [(0, 2048), (2048, 2048)]

@@ -19,7 +19,7 @@ from .common import cut, slices
 CAPACITY, END_ID = 2048, 0
 #: Configurations that are tried, as the share of the capacity over which a length counts
 #: as large, and the number of groups; the plan with the fewest sequences is taken.
-TRIES = ((1 / 4, 12), (1 / 3, 8), (1 / 3, 12), (2 / 5, 12))
+TRIES = ((1 / 4, 12), (1 / 3, 8), (1 / 3, 12), (2 / 5, 12), (1 / 2, 12))
 #: The pattern that cuts a text before the merges of a byte-level vocabulary (fixed value).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -270,8 +270,9 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     ``capacity`` numbers, whatever the input) and handed back as rank ranges, some
     thousands of rows at most, so it may be broadcast. Ranks come from two levels, length
     and a hash bucket, so a length that a third of the rows share is spread. A null or
-    empty text is the end id alone; repeated rows are packed each; an empty table gives an
-    empty result.
+    empty text is the end id alone; repeated rows are packed each, rows without an id too; an
+    empty table gives an empty result. Only the two named columns are read. A text's ids are
+    held whole by the task that cuts them, four bytes each.
     """
     spark = docs.sparkSession
     made = cut(pieces(docs, vocabulary, id_col, text_col, capacity))
