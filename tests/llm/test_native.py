@@ -82,7 +82,7 @@ def test_every_alternative_of_a_rule_passes_its_keyword_and_a_trigger():
     for rule in licenses.rules():
         for text in expanded(rule):
             assert re.search(rule.pattern, text), (rule, text)
-            assert rule.keyword in text.replace("  ", " "), (rule, text)
+            assert rule.keyword in text.replace("  ", " ") and rule.also in text.replace("  ", " "), (rule, text)
             assert any(t in text for t in licenses.TRIGGERS), (rule, text)
 
 

@@ -72,12 +72,13 @@ FAMILIES = [
     ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:ative)?s?"),
     ("cc-by-name", "commons", "creative commons attribution"),
 ]
-#: What a family's name may stand in, the more telling first: words before and after (fixed values).
+#: What a family's name may stand in, the more telling first: words before it, and a second
+#: keyword that a text must hold (fixed values).
 CONTEXTS = [
-    ("(?:is |are )?(?:dual )?licen[cs]ed under (?:the )?(?:terms of (?:the )?)?", ""),
-    ("(?:re)?distributed under (?:the )?(?:terms of (?:the )?)?", ""),
-    ("(?:is )?released under (?:the )?(?:terms of (?:the )?)?", ""),
-    ("(?:available|provided|published) under (?:the )?(?:terms of (?:the )?)?", ""),
+    ("(?:is |are )?(?:dual )?licen[cs]ed under (?:the )?(?:terms of (?:the )?)?", "ed under "),
+    ("(?:re)?distributed under (?:the )?(?:terms of (?:the )?)?", "distributed under "),
+    ("(?:is )?released under (?:the )?(?:terms of (?:the )?)?", "released under "),
+    ("(?:available|provided|published) under (?:the )?(?:terms of (?:the )?)?", " under "),
     ("", ""),
 ]
 _ANY = "(?: only| or later)?"
@@ -223,6 +224,7 @@ class Rule:
     keyword: str
     pattern: str
     confidence: float
+    also: str = ""
 
 
 def rules() -> list[Rule]:
@@ -230,14 +232,15 @@ def rules() -> list[Rule]:
     after "and" or "or" in a text that names SPDX, and in each context the families, the short
     forms and, but for the empty context, the names that need one; in order. A pattern is over
     text in which every word has a space of its own before and after it."""
-    found: list[tuple[str, str, str, float]] = [(label, words.split()[-1] if label != "cc-by" else words, words, 0.8) for label, words in PHRASES.items()]
-    found += [(label, keyword, words, 0.9) for label, keyword, words in SENTENCES]
-    found += [(label, "spdx", f"spdx licen[cs]e identifier {words}", 1.0) for label, words in SPDX]
-    found += [(label, "spdx", f"(?:and|or) {words}", 0.9) for label, words in SPDX if words not in EVERYDAY]
-    for before, after in CONTEXTS:
+    found: list[tuple[str, str, str, float, str]] = [(label, words.split()[-1] if label != "cc-by" else words, words, 0.8, "") for label, words in PHRASES.items()]
+    found += [(label, keyword, words, 0.9, "") for label, keyword, words in SENTENCES]
+    found += [(label, "spdx", f"spdx licen[cs]e identifier {words}", 1.0, "") for label, words in SPDX]
+    found += [(label, "spdx", f"(?:and|or) {words}", 0.9, "") for label, words in SPDX if words not in EVERYDAY]
+    for before, also in CONTEXTS:
         named = FAMILIES + SHORT + (UNDER if before else [])
-        found += [(label, keyword, before + words + after, 1.0 if before else 0.7) for label, keyword, words in named]
-    return [Rule(i, label, keyword, f" {words.replace(' ?', '(?:  )?').replace(' ', '  ')} ".replace("(?:    )?", "(?:  )?"), confidence) for i, (label, keyword, words, confidence) in enumerate(found)]
+        found += [(label, keyword, before + words, 1.0 if before else 0.7, also) for label, keyword, words in named]
+    spaced = lambda words: f" {words.replace(' ?', '(?:  )?').replace(' ', '  ')} ".replace("(?:    )?", "(?:  )?")
+    return [Rule(i, label, keyword, spaced(words), confidence, also) for i, (label, keyword, words, confidence, also) in enumerate(found)]
 
 
 def normalised(text: Column) -> Column:
@@ -250,6 +253,9 @@ def _words(part: Column) -> Column:
     return (F.octet_length(part) - F.octet_length(F.replace(part, F.lit(" "), F.lit("")))) / 2
 
 
+_PLACES = "array<struct<start:bigint,end:bigint,place:int>>"
+
+
 def _spans(norm: Column, rule: Column) -> Column:
     """All places of a rule, as ``(start, end, place)`` in words, by cutting the text at it."""
 
@@ -260,10 +266,12 @@ def _spans(norm: Column, rule: Column) -> Column:
             span = F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), rule["place"].alias("place"))
             return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-        zero = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,place:int>>").alias("out"))
-        return F.when(F.size(found) == 0, zero["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"])
+        zero = F.struct(F.lit(0.0).alias("at"), F.array().cast(_PLACES).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
 
-    return let(F.split(norm, rule["pattern"], -1), lambda p: let(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), lambda f: of(p, f)))
+    none = F.array().cast(_PLACES)
+    found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
+    return let(found, lambda f: F.when(F.size(f) == 0, none).otherwise(let(F.split(norm, rule["pattern"], -1), lambda p: of(p, f))))
 
 
 def _unsuppressed(spans: Column) -> Column:
@@ -290,15 +298,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     places found, one that lies within another is suppressed, and of equal ones the earlier
     rule counts. ``labels`` are those of the places left and of the base phrases, which are
     counted wherever they stand; ``score`` is the confidence of the best place left. A null
-    text counts as empty. Everything is a native expression of one narrow pass: texts without
-    a keyword cost one replacement and a few searches.
+    text counts as empty: no words, no labels, score 0. Rows are independent, so repeated ids,
+    rows without one and an empty table need nothing; only the two named columns are read,
+    whatever else the table has. Everything is a native expression of one narrow pass over
+    the whole text, whatever its length: texts without a keyword cost one replacement and a
+    few searches, others a search for each rule whose keywords they hold.
     """
     table = rules()
-    listed = F.array(*(F.struct(F.lit(r.place).alias("place"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in table))
+    # rules by their two keywords, so that a text looks at those alone whose keywords it holds
+    grouped: dict[tuple[str, str], list[Rule]] = {}
+    for r in table:
+        grouped.setdefault((r.keyword, r.also), []).append(r)
+    of_rule = lambda r: F.struct(F.lit(r.place).alias("place"), F.lit(r.pattern).alias("pattern"))
+    listed = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(also).alias("also"), F.array(*map(of_rule, rs)).alias("rules")) for (k, also), rs in grouped.items()))
     labels = F.array(*(F.lit(r.label) for r in table))
     confidences = F.array(*(F.lit(r.confidence) for r in table))
-    keywords = sorted({r.keyword for r in table})
-    gates = [k for k in keywords if not any(k != g and g in k for g in keywords)]
     base = len(PHRASES)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"))
@@ -308,9 +322,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for word in TRIGGERS:
         trigger = trigger | low.contains(word)
     rows = rows.select("doc_id", "_n", F.when(trigger, F.translate("_n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("_l"))
-    held = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.replace(F.col("_l"), F.lit("  "), F.lit(" ")), k))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,place:int>>")
-    places = let(held, lambda h: F.flatten(F.transform(F.filter(listed, lambda r: F.array_contains(h, r["keyword"])), lambda r: _spans(F.col("_l"), r))))
+    none = F.array().cast(_PLACES)
+    held = lambda t: F.filter(listed, lambda g: F.contains(t, g["keyword"]) & F.contains(t, g["also"]))
+    wanted = let(F.replace(F.col("_l"), F.lit("  "), F.lit(" ")), lambda t: F.flatten(F.transform(held(t), lambda g: g["rules"])))
+    places = F.flatten(F.transform(wanted, lambda r: _spans(F.col("_l"), r)))
     rows = rows.select("doc_id", "_n", F.when(F.col("_l").isNotNull(), places).otherwise(none).alias("_p"))
     of_base = F.filter("_p", lambda s: s["place"] < base)
     rows = rows.select("doc_id", "_n", of_base.alias("_b"), _unsuppressed(F.col("_p")).alias("_d"))
