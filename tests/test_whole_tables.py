@@ -1,36 +1,47 @@
-"""Queries over whole tables, at a scale whose ids go beyond the bounds of the older queries."""
+"""Queries whose operators number or index whole tables, held against plain code."""
 
-import pytest
+import collections
+import re
+import unicodedata
 
+from pyspark.sql import functions as F
+
+from veritrail.operators import search as S
 from veritrail.plans import catalog
 
-from .compare import DATA, connection, rows
+from .compare import DATA, connection
 
 FOLDER = f"{DATA}/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["seed_links_whole", "blame_group_whole"])
-def test_rows_are_those_of_sql_without_a_bound(spark, name):
-    got = rows(catalog.QUERIES[name](spark, FOLDER).toPandas())
-    assert got == rows(connection(FOLDER).sql(catalog.SQL[name]).df())
-    assert len(got[1]) > len(rows(catalog.QUERIES[name.removesuffix("_whole")](spark, FOLDER).toPandas())[1])
-
-
 def test_blame_counts_every_event(spark):
-    found = catalog.QUERIES["blame_group_whole"](spark, FOLDER).toPandas()
+    found = catalog.QUERIES["blame_group"](spark, FOLDER).toPandas()
     assert found.lines.sum() == connection(FOLDER).sql("select count(*) from events").fetchall()[0][0]
 
 
 def test_postings_of_every_document(spark):
-    import collections
-    import re
-    import unicodedata
-
-    found = catalog.QUERIES["postings_whole"](spark, FOLDER).toPandas()
+    found = catalog.QUERIES["postings"](spark, FOLDER).toPandas()
     keys = {n: key for n, key in connection(FOLDER).sql(f"select n, doc_id from ({catalog.T.DOCS})").fetchall()}
     want = set()
     for n, text in connection(FOLDER).sql("select doc_id, coalesce(text, '') from documents").fetchall():
         plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
         want |= {(term, keys[n], tf) for term, tf in collections.Counter(re.findall(r"[^\W_]+", plain)).items()}
     assert set(found.itertuples(index=False, name=None)) == want and len(found) == len(want)
-    assert any(keys[n] in set(found.doc_id) for n in keys if n >= 300)
+
+
+def test_stored_postings_give_what_the_chunks_give(spark, tmp_path):
+    chunks = catalog.T.chunks(spark, f"{DATA}/sf0.001")
+    stored, loose = S.write_index(chunks, str(tmp_path)), S.index(chunks)
+    assert (stored.n, stored.average) == (loose.n, loose.average)
+    ask = catalog.asked(spark)
+    rows = lambda i: [(r.query_id, r.doc_id, round(r.score, 9), r.rank) for r in S.bm25(i, ask).orderBy("query_id", "rank").collect()]
+    assert rows(stored) == rows(loose) != []
+
+
+def test_a_query_reads_the_buckets_of_its_words_alone(spark, tmp_path):
+    stored = S.write_index(catalog.T.chunks(spark, f"{DATA}/sf0.001"), str(tmp_path))
+    found = stored.holding(["license", "version"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan
+    read = {r.f for r in found.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert read and all(f"bucket={S._bucket('license')}/" in f or f"bucket={S._bucket('version')}/" in f for f in read)

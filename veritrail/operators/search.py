@@ -7,15 +7,18 @@ part of the plan), so they are meant to be small: thousands of queries, not mill
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..schema import BM25_B, BM25_K1, IDF_FLOOR, RRF_K, TOP_K
+from ..session import settled
 
 KEY = ["doc_id", "ordinal"]
 
@@ -50,41 +53,99 @@ class Filters:
         return Filters(self.source, self.repo_ref, self.doc_type, max(later, default=None), min(earlier, default=None), self.doc_id)
 
 
+#: What a posting keeps of its chunk, so that filters and lengths need no look at the chunk.
+ATTRIBUTES = ["source", "repo_ref", "doc_type", "created_at"]
+BUCKETS = 64
+
+
 @dataclass(frozen=True)
 class Index:
-    """Chunks with their words, and what holds for the whole corpus whatever is filtered."""
+    """Chunks with their words, and what holds for the whole corpus whatever is filtered;
+    ``stored`` is the postings' folder, if they have been written."""
 
     chunks: DataFrame
     n: int
     average: float
+    stored: str | None = None
+
+    def holding(self, terms: list[str]) -> DataFrame:
+        """``term, doc_id, ordinal, tf, positions, dl`` and attributes of the postings of some
+        words: read from their buckets alone, or, of an index that isn't stored, made from one
+        pass over the chunks that keeps those words only."""
+        spark = self.chunks.sparkSession
+        if self.stored is not None:
+            buckets = sorted({_bucket(t) for t in terms})
+            return spark.read.parquet(f"{self.stored}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        places = F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+        wanted = F.filter(places, lambda x: x["term"].isin(terms))
+        each = self.chunks.select(*KEY, *ATTRIBUTES, "dl", F.explode(wanted).alias("x")).select("*", "x.term", "x.position")
+        return _grouped(each)
+
+
+def _bucket(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
+
+
+def _grouped(each: DataFrame) -> DataFrame:
+    facts = [F.first(c).alias(c) for c in [*ATTRIBUTES, "dl"]]
+    return each.groupBy("term", *KEY).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), *facts)
 
 
 def index(chunks: DataFrame) -> Index:
-    """Tokenises once; written with :func:`write_index` it serves all later queries."""
-    parallel = chunks.sparkSession.sparkContext.defaultParallelism
-    if chunks.rdd.getNumPartitions() < parallel:  # a few unsplittable files would keep most cores idle
-        chunks = chunks.repartition(parallel)
+    """Tokenises on the way; written with :func:`write_index` it serves all later queries."""
     worded = chunks.withColumn("terms", X.tokens(F.col("text"))).withColumn("dl", F.size("terms"))
     stats = worded.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
     return Index(worded, stats.n, stats.average or 0.0)
 
 
-def postings(indexed: Index) -> DataFrame:
-    """``term, doc_id, ordinal, tf, positions``."""
-    each = indexed.chunks.select(*KEY, F.posexplode("terms").alias("position", "term"))
-    return each.groupBy("term", *KEY).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-
-
-def write_index(indexed: Index, folder: str, buckets: int = 64) -> None:
-    """Postings dealt by term, so a query reads a few files' row groups."""
-    postings(indexed).repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    indexed.chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
+def postings(chunks: DataFrame) -> DataFrame:
+    """``term, doc_id, ordinal, tf, positions, dl`` and the chunk's attributes, of every word.
+    Words are cut natively; a batch's words are then sorted by chunk, word and place as
+    columns of numbers, so nothing is shuffled to bring the places of a word together."""
+    rows = chunks.select(*KEY, *ATTRIBUTES, X.tokens(F.col("text")).alias("terms"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    facts = ", ".join(f"{c} {kinds[c]}" for c in ATTRIBUTES)
+    return rows.mapInArrow(_posted, f"term string, doc_id {kinds['doc_id']}, ordinal {kinds['ordinal']}, tf bigint, positions array<int>, dl int, {facts}")
+
+
+def _posted(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        lists = batch.column("terms")
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        if not len(words):
+            continue
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        word = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(row * len(words.dictionary) + word, kind="stable")  # places stay in order
+        key = (row * len(words.dictionary) + word)[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        tf = np.diff(np.append(starts, len(key)))
+        of = pa.array(row[order][starts])
+        positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+        made = [words.dictionary.take(pa.array(word[order][starts])), batch.column("doc_id").take(of), batch.column("ordinal").take(of), pa.array(tf, pa.int64()), positions, pa.array(size[row[order][starts]], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*made, *(batch.column(c).take(of) for c in ATTRIBUTES)], names=["term", *KEY, "tf", "positions", "dl", *ATTRIBUTES])
+
+
+def write_index(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> Index:
+    """Stores chunks, postings (a folder for each bucket of words, sorted by word, so that a
+    query opens the buckets and row groups of its words alone) and the corpus's statistics."""
+    spark = chunks.sparkSession
+    chunks.withColumn("dl", F.size(X.tokens(F.col("text")))).write.mode("overwrite").parquet(f"{folder}/chunks")
+    stored = spark.read.parquet(f"{folder}/chunks")
+    made = postings(stored).withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
+    made.repartition("bucket").sortWithinPartitions("bucket", "term", *KEY).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    stored.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).write.mode("overwrite").parquet(f"{folder}/stats")
+    return read_index(spark, folder)
 
 
 def read_index(spark, folder: str) -> Index:
-    chunks = spark.read.parquet(f"{folder}/chunks")
-    stats = chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
-    return Index(chunks, stats.n, stats.average or 0.0)
+    stats = spark.read.parquet(f"{folder}/stats").first()
+    return Index(spark.read.parquet(f"{folder}/chunks"), stats.n, stats.average or 0.0, folder)
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -94,27 +155,30 @@ def phrases(queries: DataFrame) -> DataFrame:
     return each.select("query_id", "qpos", F.regexp_extract_all("compound", F.lit(X.TOKEN), F.lit(0)).alias("phrase"))
 
 
-def _frequency(terms: Column, phrase: list[str]) -> Column:
-    """Places where a phrase stands in an array of words."""
-    if len(phrase) == 1:
-        return F.size(F.filter(terms, lambda t: t == phrase[0]))
-    wanted = F.array(*map(F.lit, phrase))
-
-    def places(words: Column) -> Column:
-        return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - len(phrase) + 1, F.lit(1))), lambda i: F.slice(words, i, len(phrase)) == wanted))
-
-    # bound once: inside the inner function the column itself would be worked out at every place
-    bound = F.element_at(F.transform(F.array(terms), places), 1)
-    return F.when(F.array_contains(terms, phrase[0]), bound).otherwise(F.lit(0))
+def frequencies(indexed: Index, wanted: list[tuple[str, ...]]) -> DataFrame:
+    """``phrase, f, doc_id, ordinal, dl`` and attributes: how often each phrase (its place in
+    ``wanted``) stands in each chunk that has it. Only postings of the phrases' words are
+    read; those of a phrase are brought together by chunk, their places moved by the word's
+    place in the phrase and intersected."""
+    spark, facts = indexed.chunks.sparkSession, [*ATTRIBUTES, "dl"]
+    words = [(i, k, len(p), t) for i, p in enumerate(wanted) for k, t in enumerate(p)]
+    asked = F.broadcast(spark.createDataFrame(words, "phrase int, place int, words int, term string"))  # a query's words
+    found = indexed.holding(sorted({w[3] for w in words})).join(asked, "term")
+    single = found.where("words = 1").select("phrase", F.col("tf").alias("f"), *KEY, *facts)
+    if all(len(p) == 1 for p in wanted):
+        return single
+    moved = found.where("words > 1").withColumn("at", F.transform("positions", lambda p: p - F.col("place")))
+    met = moved.groupBy("phrase", "words", *KEY).agg(F.collect_list("at").alias("at"), *(F.first(c).alias(c) for c in facts)).where("size(at) = words")
+    both = F.aggregate(F.slice("at", 2, F.size("at")), F.get("at", F.lit(0)), F.array_intersect)
+    return single.unionByName(met.select("phrase", F.size(both).cast("bigint").alias("f"), *KEY, *facts).where("f > 0"))
 
 
 def bm25(indexed: Index, queries: DataFrame, k: int = TOP_K, where: Filters | None = None) -> DataFrame:
     """``query_id, doc_id, ordinal, score, rank``: the best k chunks of each query.
 
     Document counts, lengths and frequencies are of the whole corpus; filters apply to the
-    candidates only, before k. One narrow pass finds each phrase's frequency in each chunk
-    (chunks without any are dropped before anything is shuffled), one small aggregate gives
-    the document frequencies, and top k is taken per query.
+    candidates only, before k. The postings of the queries' words are settled once, one small
+    aggregate gives the document frequencies, and top k is taken per query.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -124,24 +188,15 @@ def bm25(indexed: Index, queries: DataFrame, k: int = TOP_K, where: Filters | No
     empty = f"query_id {kind}, doc_id string, ordinal int, score double, rank bigint"
     if not distinct:
         return queries.sparkSession.createDataFrame([], empty)
-    chunks = indexed.chunks
-    keep = (where or Filters()).column()
-
-    def hits(words: Column) -> Column:
-        each = F.array(*(F.struct(F.lit(i).alias("phrase"), _frequency(words, list(p)).alias("f")) for i, p in enumerate(distinct)))
-        return F.struct(F.size(words).alias("dl"), F.filter(each, lambda x: x["f"] > 0).alias("each"))
-
-    # the words are bound once for a row, however many phrases look at them
-    bound = F.element_at(F.transform(F.array("terms"), hits), 1)
-    rows = chunks.select(*KEY, keep.alias("wanted"), bound.alias("h"))
-    found = rows.select(*KEY, "wanted", "h.dl", F.explode("h.each").alias("x")).select(*KEY, "dl", "wanted", "x.phrase", "x.f")
+    found = settled(frequencies(indexed, distinct))
     df = found.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(float(indexed.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weight = F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("dl") / F.lit(indexed.average)))
     place = {p: i for i, p in enumerate(distinct)}
     times = queries.sparkSession.createDataFrame([(q, place[p]) for q, p in asked], f"query_id {kind}, phrase int")
     times = times.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
-    scored = found.where("wanted").join(F.broadcast(df.withColumn("idf", idf)), "phrase").join(F.broadcast(times), "phrase")
+    # both tables have a row for each phrase of the queries, which the driver holds already
+    scored = found.where((where or Filters()).column()).join(F.broadcast(df.withColumn("idf", idf)), "phrase").join(F.broadcast(times), "phrase")
     total = scored.groupBy("query_id", *KEY).agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
     return top(total, k)
 
@@ -152,27 +207,55 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", *KEY, "score", "rank")
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays in double precision."""
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda t, x: t + x))
-
+def knn(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, where: Filters | None = None, width: int | None = None) -> DataFrame:
+    """The nearest k chunks of each query (query_id, embedding) by Euclidean distance in double
+    precision, the score its negative. Filters apply before k; chunks without a vector are
+    never reached; a query of another width than the index (``width``, or that of one of its
+    vectors) is refused.
 
-def knn(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, where: Filters | None = None) -> DataFrame:
-    """The nearest k chunks of each query (query_id, embedding) by Euclidean distance, the
-    score its negative. Filters apply before k; chunks without a vector are never reached; a
-    query of another width than the index is refused. The queries are broadcast: they have
-    been read to the driver to check their widths, which bounds them."""
+    The queries' matrix goes with the tasks. A task takes Arrow batches of vectors, works out
+    a block of distances at a time and hands on the k best of each query in a batch, so what
+    is shuffled is k rows a query and batch, however many chunks there are.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     asked = queries.select("query_id", F.col("embedding").alias("asked")).collect()
-    width = chunks.where("embedding is not null").select(F.size("embedding").alias("w")).limit(1).collect()
-    if width and any(len(r.asked) != width[0].w for r in asked):
+    if width is None:
+        one = chunks.where("embedding is not null").select(F.size("embedding").alias("w")).limit(1).collect()
+        width = one[0].w if one else None
+    if width is not None and any(len(r.asked) != width for r in asked):
         raise ValueError("a query's width differs from the index's")
     candidates = chunks.where((where or Filters()).column() & F.col("embedding").isNotNull()).select(*KEY, "embedding")
-    small = queries.sparkSession.createDataFrame(asked, queries.select("query_id", F.col("embedding").alias("asked")).schema)
-    pairs = candidates.join(F.broadcast(small))
-    return top(pairs.select("query_id", *KEY, (-distance(F.col("embedding"), F.col("asked")) + 0.0).alias("score")), k)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    run = _nearest([r.query_id for r in asked], to_arrow_type(queries.schema["query_id"].dataType), [list(r.asked) for r in asked], k)
+    found = candidates.mapInArrow(run, f"query_id {kind}, doc_id string, ordinal int, score double")
+    return top(found, k)
+
+
+def _nearest(ids: list, kind, vectors: list, k: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        asked = np.array(vectors, dtype=np.float64)
+        for batch in batches:
+            if not batch.num_rows or not len(asked):
+                continue
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            if x.shape[1] != asked.shape[1]:
+                raise ValueError("a chunk's vector is of another width than the queries'")
+            out = []
+            for q, a in zip(ids, asked):
+                d = x - a
+                d = np.sqrt(np.einsum("ij,ij->i", d, d))
+                # all that reach the k-th distance: ties are settled by the key later
+                near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                out.append((near, [q] * len(near), -d[near] + 0.0))
+            rows = pa.array(np.concatenate([o[0] for o in out]))
+            some = batch.select(["doc_id", "ordinal"]).take(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([q for o in out for q in o[1]], kind), some.column(0), some.column(1), pa.array(np.concatenate([o[2] for o in out]))], names=["query_id", "doc_id", "ordinal", "score"])
+
+    return run
 
 
 def fuse(*lists: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import link as L
 from ..operators import rank as R
 from ..operators import search as S
 from ..operators import store
-from ..session import settled
+from ..session import new_folder, settled
 from ..sources.changes import after_cursor
 from . import testdata as T
 from .verbs import blame_groups, history_page, passages
@@ -124,6 +124,18 @@ def asked_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return T.view(spark, folder, "select cast(vec_id + 1 as int) query_id, embedding from embeddings where vec_id < 3")
 
 
+_INDEXES: dict[tuple[str, str], S.Index] = {}
+
+
+def _indexed(spark: SparkSession, folder: str) -> S.Index:
+    """The stored index of a folder's documents: a session's first query writes it to the shared
+    folder, later ones read their words' postings."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = S.write_index(T.chunks(spark, folder), new_folder(spark, "index"))
+    return _INDEXES[key]
+
+
 def _scored(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("query_id").cast("bigint").alias("query_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
 
@@ -134,48 +146,43 @@ _VEC = "select query_id::bigint query_id, doc_id, round(score, 6) + 0.0 score, r
 
 @query(f"with {bm25_ctes()} {_LEX}")
 def bm25_topk(spark, folder):
-    return _scored(S.bm25(S.index(T.chunks(spark, folder)), asked(spark)))
+    return _scored(S.bm25(_indexed(spark, folder), asked(spark)))
 
 
 @query(f"with {bm25_ctes("source = 'github' and created_s >= 1704500000")} {_LEX}")
 def bm25_filtered(spark, folder):
     where = S.Filters(source="github", since=datetime.fromtimestamp(1704500000, timezone.utc))
-    return _scored(S.bm25(S.index(T.chunks(spark, folder)), asked(spark), where=where))
+    return _scored(S.bm25(_indexed(spark, folder), asked(spark), where=where))
 
 
 @query(f"with {bm25_ctes()} select doc_id, f::bigint f from tf where p = 'by    nc' and f > 0")
 def bm25_phrase(spark, folder):
-    indexed = S.index(T.chunks(spark, folder))
-    f = S._frequency(F.col("terms"), ["by", "nc"])
-    return indexed.chunks.select("doc_id", f.cast("bigint").alias("f")).where("f > 0")
+    return S.frequencies(_indexed(spark, folder), [("by", "nc")]).select("doc_id", "f")
 
 
-@query(rf"with {D}, t as (select doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(body, ''))), '{_WORD}')) term from d where n < 300) select term, doc_id, count(*) tf from t group by all")
+@query(rf"with {D}, t as (select doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(body, ''))), '{_WORD}')) term from d) select term, doc_id, count(*) tf from t group by all")
 def postings(spark, folder):
-    found = S.postings(S.index(T.chunks(spark, folder).where("n < 300")))
-    return found.select("term", "doc_id", "tf")
-
-
-@query()
-def postings_whole(spark, folder):
-    """Of all documents; ``postings`` is the part of it that DuckDB's comparison covers."""
-    return S.postings(S.index(T.chunks(spark, folder))).select("term", "doc_id", "tf")
+    return S.postings(T.chunks(spark, folder)).select("term", "doc_id", "tf")
 
 
 @query(f"with {D}, {knn_ctes()} {_VEC}")
 def knn_topk(spark, folder):
-    return _scored(S.knn(T.chunks(spark, folder), asked_vectors(spark, folder)))
+    return _scored(S.knn(_vectors(spark, folder), asked_vectors(spark, folder)))
 
 
 @query(f"with {D}, {knn_ctes("source = 'jira'")} {_VEC}")
 def knn_prefiltered(spark, folder):
-    return _scored(S.knn(T.chunks(spark, folder), asked_vectors(spark, folder), where=S.Filters(source="jira")))
+    return _scored(S.knn(_vectors(spark, folder), asked_vectors(spark, folder), where=S.Filters(source="jira")))
+
+
+def _vectors(spark, folder):
+    return T.chunks(spark, folder).where("embedding is not null")
 
 
 def _fused(spark, folder, where: S.Filters | None = None):
-    chunks = T.chunks(spark, folder)
+    indexed = _indexed(spark, folder)
     both = asked(spark).join(asked_vectors(spark, folder), "query_id")
-    return S.hybrid(S.index(chunks), both, where=where), chunks
+    return S.hybrid(indexed, both, where=where), indexed.chunks
 
 
 @query(f"with {bm25_ctes()}, {knn_ctes()}, {RRF} select query_id::bigint query_id, doc_id, round(score, 9) score, position from fused")
@@ -356,15 +363,9 @@ def walk_time_after(spark, folder):
     return rows.select(F.col("query_id").cast("bigint").alias("query_id"), "node", F.col("hops").cast("bigint").alias("hops"), F.round("confidence", 9).alias("confidence"))
 
 
-@query(f"with {D}, s as (select doc_id from d where n < 60) select src, dst, kind, conf::double confidence from ({T.DOC_EDGES}) where src <> dst and src in (select * from s) and dst in (select * from s)")
-def seed_links(spark, folder):
-    seeds = T.documents(spark, folder).where("n < 60").select(F.lit(1).alias("query_id"), F.col("doc_id").alias("node"))
-    return G.seed_links(T.edges(spark, folder, T.DOC_EDGES), seeds).select("src", "dst", "kind", "confidence")
-
-
 @query(f"with {D} select src, dst, kind, conf::double confidence from ({T.DOC_EDGES}) where src <> dst and src in (select doc_id from d) and dst in (select doc_id from d)")
-def seed_links_whole(spark, folder):
-    """With every document as a seed; ``seed_links`` has a fixed seed set."""
+def seed_links(spark, folder):
+    """With every document as a seed."""
     seeds = T.documents(spark, folder).select(F.lit(1).alias("query_id"), F.col("doc_id").alias("node"))
     return G.seed_links(T.edges(spark, folder, T.DOC_EDGES), seeds).select("src", "dst", "kind", "confidence")
 
@@ -597,15 +598,8 @@ def passages_join(spark, folder):
     return passages(rows, rows).select(F.col("doc_id").alias("conv_id"), F.md5("text").alias("text"))
 
 
-@query("select row_number() over (order by min(event_id)) as position, user_id, count(*) lines from events where event_id < 500 group by user_id")
-def blame_group(spark, folder):
-    rows = T.view(spark, folder, "select cast(user_id as string) sha, event_id line_start, array(props) lines, event_type subject from events where event_id < 500")
-    return blame_groups(rows).select(F.col("position").cast("bigint").alias("position"), F.col("sha").cast("bigint").alias("user_id"), F.size("lines").cast("bigint").alias("lines"))
-
-
 @query("select row_number() over (order by min(event_id)) as position, user_id, count(*) lines from events group by user_id")
-def blame_group_whole(spark, folder):
-    """Of all events; ``blame_group`` takes the first 500."""
+def blame_group(spark, folder):
     rows = T.view(spark, folder, "select cast(user_id as string) sha, event_id line_start, array(props) lines, event_type subject from events")
     return blame_groups(rows).select(F.col("position").cast("bigint").alias("position"), F.col("sha").cast("bigint").alias("user_id"), F.size("lines").cast("bigint").alias("lines"))
 

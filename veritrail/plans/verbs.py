@@ -23,7 +23,7 @@ from ..operators import rank as R
 from ..operators import search as S
 from ..operators import store
 from ..schema import BODY_CHARACTERS, EVENT_CANDIDATES, EVENT_WINDOW_DAYS, HISTORY_CAP, HISTORY_DEFAULT, PASSAGES, TOP_K, TRACE_DEPTH, WALK_DEPTH
-from ..session import settled
+from ..session import new_folder, settled
 
 
 @dataclass(frozen=True)
@@ -57,8 +57,9 @@ class Engine:
 
     @property
     def index(self) -> S.Index:
+        """Given, or written once for all verbs of this engine."""
         if self._index is None:
-            self._index = S.index(self.chunks)
+            self._index = S.write_index(self.chunks, new_folder(self.spark, "index"))
         return self._index
 
     # -- parts ---------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,27 @@ def session(name: str = "veritrail", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share. Only where
+    none is set and everything runs on this machine (tests), a new local one."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="veritrail-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage: for small tables that a plan uses several
-    times, such as a walk's frontier. Goes to the folder that ``spark.checkpoint.dir`` names,
-    which all executors share; only where none is set (tests), to a new local one."""
+    """Computes ``df`` once into the shared folder and cuts its lineage: for small tables that a
+    plan uses several times, such as a walk's frontier."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="veritrail-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
