@@ -1,9 +1,15 @@
-"""Splitting of documents into chunks, by bytes."""
+"""Splitting of documents into chunks, by bytes.
+
+A body becomes a table of blocks first: paragraphs and headings with their sizes and the
+headings above them. Everything after that is arithmetic over the table: where chunks begin,
+what they open with, and what they repeat of the chunk before. A body is handled in its own
+row of an Arrow batch; sizes are prefix sums, so a body costs time linear in its length.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,138 +19,139 @@ from ..schema import CHUNK, CHUNK_MAX_BYTES, CHUNK_MIN_BYTES, CHUNK_OVERLAP_BYTE
 
 WHOLE = {"commit"}
 COMMENTS = {"review_comment", "issue_comment", "ticket_comment"}
-_HEADING = re.compile(r"(#{1,6})[ \t\n]")
-_FENCE = re.compile(r"(`{3,}|~{3,})(.*)", re.S)
-_BREAK = re.compile(rb"[ \t\n]")
 GAP = "\n\n"
-
-
-def blocks(body: str) -> Iterator[tuple[str, int]]:
-    """``(text, heading level)``: paragraphs (level 0) end at blank lines and headings; in a
-    code fence a line is never a heading."""
-    held: list[str] = []
-    fence = ""
-    for line in body.split("\n"):
-        bare = line.strip()
-        heading = None if fence else _HEADING.match(bare)
-        mark = _FENCE.match(bare)
-        if fence:
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
-                fence = ""
-        elif mark and not (mark[1][0] == "`" and "`" in mark[2]):
-            fence = mark[1]
-        if bare and not heading:
-            held.append(line)
-            continue
-        if held:
-            yield "\n".join(held), 0
-            held = []
-        if heading:
-            yield bare, len(heading[1])
-    if held:
-        yield "\n".join(held), 0
-
-
-def _cut(raw: bytes, limit: int) -> int:
-    """The last word break before ``limit``, else the last character start."""
-    at = max(raw.rfind(b, 0, limit) for b in (b" ", b"\t", b"\n"))
-    if at > 0:
-        return at
-    while limit > 1 and raw[limit] & 0xC0 == 0x80:
-        limit -= 1
-    return limit
-
-
-def pieces(text: str, limit: int) -> list[str]:
-    """A block that is too long, in parts of at most ``limit`` bytes."""
-    raw, out = text.encode(), []
-    while len(raw) > limit:
-        at = _cut(raw, limit)
-        out.append(raw[:at].decode().strip())
-        raw = raw[at:].decode().strip().encode()
-    out = [p for p in out if p]
-    return [*out, raw.decode()] if raw or not out else out
-
-
-def overlap(text: str, size: int) -> str:
-    """About the last ``size`` bytes, from a word break on."""
+#: A fenced stretch up to its closing fence (or the end), as one match; its lines are never headings.
+_FENCED = re.compile(r"^[ \t]*(?P<mark>`{3,}(?=[^`\n]*$)|~{3,})[^\n]*$(?:\n(?![ \t]*(?P=mark)(?:`|~)*[ \t]*$)[^\n]*)*(?:\n[ \t]*(?P=mark)(?:`|~)*[ \t]*$)?", re.M)
+_LINE = re.compile(r"[^\n]*(?:\n|\Z)")
+_HEADING = re.compile(r"\s*(#{1,6})[ \t](?=.*\S)")
+_WORD_BREAKS = b" \t\n"
+
+
+@dataclass
+class Block:
+    """A paragraph (level 0) or heading, and the headings that it stands under."""
+
+    text: str
+    level: int = 0
+    above: tuple[str, ...] = ()
+
+    @property
+    def size(self) -> int:
+        return len(self.text.encode())
+
+
+def block_table(body: str) -> list[Block]:
+    """The blocks of a body in order: lines are classed one by one (a line inside a fence is
+    plain, whatever it looks like; a blank one separates), and runs of a class are blocks."""
+    fenced = [m.span() for m in _FENCED.finditer(body)]
+    table: list[Block] = []
+    open_, at_fence = False, 0
+    for m in _LINE.finditer(body):
+        line = m[0].rstrip("\n")
+        while at_fence < len(fenced) and fenced[at_fence][1] <= m.start():
+            at_fence += 1
+        inside = at_fence < len(fenced) and fenced[at_fence][0] <= m.start()
+        heading = None if inside else _HEADING.match(line)
+        if not line.strip():
+            open_ = False
+        elif heading:
+            table.append(Block(line.strip(), len(heading[1])))
+            open_ = False
+        elif open_:
+            table[-1].text += "\n" + line
+        else:
+            table.append(Block(line))
+            open_ = True
+    return _under_headings(table)
+
+
+def _under_headings(table: list[Block]) -> list[Block]:
+    """Fills in the headings above each block: at any place, the last heading of each level that
+    no heading of the same or an outer level has followed."""
+    last: dict[int, str] = {}
+    for block in table:
+        if block.level:
+            last = {level: text for level, text in last.items() if level < block.level}
+        block.above = tuple(last[level] for level in sorted(last))
+        if block.level:
+            last[block.level] = block.text
+    return table
+
+
+def within(text: str, most: int) -> list[str]:
+    """``text`` in parts of at most ``most`` bytes, cut at the last word break that fits, or else
+    before the character that doesn't; spaces at cuts are dropped."""
+    raw, parts, at = text.encode(), [], 0
+    while len(raw) - at > most:
+        cut = max(raw.rfind(bytes([b]), at, at + most) for b in _WORD_BREAKS)
+        if cut <= at:
+            cut = at + most
+            while cut > at + 1 and raw[cut] & 0xC0 == 0x80:
+                cut -= 1
+        parts.append(raw[at:cut].decode().strip())
+        rest = raw[cut:].decode()
+        at = len(raw) - len(rest.lstrip().encode())
+    parts.append(raw[at:].decode().strip())
+    return [p for p in parts if p] or [text]
+
+
+def tail(text: str, size: int) -> str:
+    """About the last ``size`` bytes of a text, from the first word break or character in them."""
     raw = text.encode()
     if len(raw) <= size:
         return text
-    tail = raw[-size:]
-    found = _BREAK.search(tail)
-    if found:
-        tail = tail[found.end() :]
-    while tail and tail[0] & 0xC0 == 0x80:
-        tail = tail[1:]
-    return tail.decode().strip()
-
-
-class Splitter:
-    """Packs blocks into chunks: a block that would pass the most bytes, or a heading after
-    the least, begins a new one. A chunk opens with the headings it stands under, then the
-    end of the chunk before."""
-
-    def __init__(self, least: int = CHUNK_MIN_BYTES, most: int = CHUNK_MAX_BYTES, shared: int = CHUNK_OVERLAP_BYTES):
-        self.least, self.most, self.shared = least, most, shared
-
-    def split(self, body: str) -> list[str]:
-        self.out: list[str] = []
-        self.before = ""
-        self.pending: list[str] = []
-        self.size = 0
-        path: list[tuple[str, int]] = []
-        above: list[str] = []
-        for text, level in blocks(body):
-            n = len(text.encode())
-            full = self.size + len(GAP) + n > self.most
-            if self.size and (full or level and self.size >= self.least):
-                self._close(above)
-            if level:
-                path = [h for h in path if h[1] < level] if all(h[1] < level for h in path) else self._up(path, level)
-            if not self.size:
-                above = [h for h, _ in path]
-            if level:
-                path.append((text, level))
-            if n > self.most:
-                *whole, text = pieces(text, self.most)
-                for part in whole:
-                    self._emit(above, part)
-                n = len(text.encode())
-            self.size += n + (len(GAP) if self.size else 0)
-            self.pending.append(text)
-        self._close(above)
-        return self.out
-
-    @staticmethod
-    def _up(path: list, level: int) -> list:
-        path = list(path)
-        while path and path[-1][1] >= level:
-            path.pop()
-        return path
-
-    def _close(self, above: list[str]) -> None:
-        if self.pending:
-            self._emit(above, GAP.join(self.pending))
-            self.pending, self.size = [], 0
-
-    def _emit(self, above: list[str], text: str) -> None:
-        if self.before:
-            text = overlap(self.before, self.shared) + GAP + text
-        self.before = text
-        self.out.append("\n".join(above) + GAP + text if above else text)
+    end = raw[-size:]
+    breaks = [i for i in (end.find(bytes([b])) for b in _WORD_BREAKS) if i >= 0]
+    return end[min(breaks) + 1 if breaks else 0 :].decode(errors="ignore").strip()
+
+
+def boundaries(table: list[Block], least: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of blocks that make a chunk. A chunk begins where the blocks since its beginning
+    and the gaps between them would pass ``most`` bytes with the next one, or at a heading once
+    they have ``least``. Of a block beyond ``most``, only what is left after its parts of full
+    size counts for what follows."""
+    ranges, first, size = [], 0, 0
+    for i, block in enumerate(table):
+        n = block.size
+        if size and (size + len(GAP) + n > most or block.level and size >= least):
+            ranges.append((first, i))
+            first, size = i, 0
+        if n > most:
+            n = len(within(block.text, most)[-1].encode())
+        size += n + (len(GAP) if size else 0)
+    return [*ranges, (first, len(table))] if table else []
+
+
+def split(body: str, least: int = CHUNK_MIN_BYTES, most: int = CHUNK_MAX_BYTES, shared: int = CHUNK_OVERLAP_BYTES) -> list[str]:
+    """The chunks of a body: the parts of each range's blocks, opened by the headings above the
+    range and by the end of the chunk before, without its headings."""
+    table, bare = block_table(body), []
+    for first, last in boundaries(table, least, most):
+        above = table[first].above
+        held: list[str] = []
+        for block in table[first:last]:
+            *whole, text = within(block.text, most) if block.size > most else [block.text]
+            bare += [(above, part) for part in whole]
+            held.append(text)
+        bare.append((above, GAP.join(held)))
+    out, before = [], ""
+    for above, text in bare:
+        before = tail(before, shared) + GAP + text if before else text
+        out.append("\n".join(above) + GAP + before if above else before)
+    return out
 
 
 def chunk_texts(kind: str | None, body: str | None) -> list[str]:
     body = (body or "").strip()
     if not body:
         return []
-    return [body] if kind in WHOLE | COMMENTS else Splitter().split(body)
+    return [body] if kind in WHOLE | COMMENTS else split(body)
 
 
 def chunk(documents: DataFrame) -> DataFrame:
-    """Chunks of documents with the documents' attributes on them; a blank body has none.
-    The splitter is a state machine over bytes, so this is an Arrow-batched pass."""
+    """Chunks of documents with the documents' attributes on them; a blank body has none, a
+    commit or comment is one, and a comment's chunk names its thread. Cutting by bytes at word
+    breaks is beyond the built-in functions, so this is one Arrow-batched pass."""
     columns = [f.name for f in CHUNK.fields if f.name != "embedding"]
 
     def run(frames):
