@@ -6,7 +6,7 @@ import pytest
 
 from veritrail.operators import store
 from veritrail.sources import changes, code, forge, trackers
-from veritrail.streaming.sync import Lease, Sync
+from veritrail.streaming.sync import PHASES, LostLease, Sync
 
 T = "2024-06-0{}T10:00:00Z"
 
@@ -137,12 +137,83 @@ def test_stream_is_resumed_and_equals_batch(spark, tmp_path):
     assert tables.read("chunks").count() == 0 and tables.read("documents").count() == 7
 
 
-def test_lease():
-    lease = Lease()
-    assert lease.acquire("a", 0) and not lease.acquire("b", 60) and lease.heartbeat("a", 50) and not lease.acquire("b", 100) and lease.acquire("b", 111)
-    assert not lease.heartbeat("a", 112)
-    lease.release("b")
-    assert lease.acquire("a", 113)
+def rows_of(spark, path, rows):
+    path.write_text("\n".join(map(json.dumps, rows)))
+    return spark.read.format("changes").option("path", str(path)).load()
+
+
+def test_a_repeated_id_in_a_batch(spark, tmp_path):
+    """The row changed last counts, with its references alone; only touched buckets are written."""
+    spark.dataSource.register(changes.RecordedChanges)
+    tables = store.Tables(spark, str(tmp_path / "store"), buckets=16)
+    sync = Sync(spark, tables)
+    sync.guard()
+    many = [document(i, T.format(1), []) for i in range(1, 40)]
+    sync.apply(rows_of(spark, tmp_path / "a.json", many), "jira")
+    before = dict(tables.folders["documents"])
+    old, new = document(3, T.format(2), ["AB-1"]) | {"body": "older"}, document(3, T.format(5), ["AB-2"]) | {"body": "newer"}
+    for batch in ([old, new], [new, old]):
+        sync.apply(rows_of(spark, tmp_path / "b.json", batch), "jira")
+        assert tables.read("documents").where("doc_id like '%AB-3'").first().body == "newer" and tables.read("documents").count() == 39
+        assert [(r.src[-4:], r.dst[-4:]) for r in tables.read("edges").collect()] == [("AB-3", "AB-2")]
+    changed = {b for b, f in tables.folders["documents"].items() if before.get(b) != f}
+    assert len(changed) == 1 and len(before) > 5
+    cursor = tables.read("cursors").first().payload
+    assert cursor == {"updated_at": T.format(5), "doc_id": new["doc_id"]}
+    lost = tables.vacuum("documents")
+    assert lost > 0 and tables.vacuum("documents") == 0 and store.Tables(spark, str(tmp_path / "store"), 16).read("documents").count() == 39
+
+
+def test_two_writers_of_one_table(spark, tmp_path):
+    a, b = (store.Tables(spark, str(tmp_path), buckets=4) for _ in range(2))
+    row = spark.createDataFrame([("a", "b", "k", 0.5)], "src string, dst string, kind string, confidence double")
+    assert a.read("edges").count() == b.read("edges").count() == 0
+    a.write("edges", row)
+    with pytest.raises(store.Precondition):
+        b.write("edges", row.limit(0))
+    assert b.read("edges").count() == 1
+
+
+def test_lease(spark, tmp_path):
+    now = [0.0]
+    a, b, c = (store.Lease(spark, str(tmp_path), name, ttl=60.0, clock=lambda: now[0]) for name in "abc")
+    assert a.acquire() and not b.acquire() and a.heartbeat()
+    now[0] = 50.0
+    assert a.heartbeat() and not b.acquire()
+    now[0] = 111.0
+    assert b.acquire() and not c.acquire() and not a.heartbeat()  # a has been taken over
+    a.release()
+    assert not c.acquire() and b.heartbeat()
+    b.release()
+    assert c.acquire()
+
+
+def test_rounds_hold_the_lease(spark, tmp_path):
+    spark.dataSource.register(changes.RecordedChanges)
+    path = tmp_path / "changes.json"
+    path.write_text("\n".join(json.dumps(document(i, T.format(i), [])) for i in (1, 2)))
+    now, root = [0.0], str(tmp_path / "store")
+    other = store.Lease(spark, root, "other", clock=lambda: now[0])
+    sync = Sync(spark, store.Tables(spark, root, 4), lease=store.Lease(spark, root, "own", clock=lambda: now[0]))
+    stream = lambda: {"jira": spark.readStream.format("changes").option("path", str(path)).load()}
+    assert other.acquire() and sync.run(stream(), str(tmp_path / "m")) is None and sync.every(stream(), str(tmp_path / "m"), rounds=2, sleep=lambda s: None) == 0
+    other.release()
+    assert sync.run(stream(), str(tmp_path / "m")) == {}
+    told = [i[3] for i in sync.events.items]
+    assert told == [p for p in PHASES if p != "failed"]
+    assert other.acquire()
+    other.release()
+
+    def stolen(batch, instance, now_=None):
+        now[0] += 1000
+        assert other.acquire()
+        sync._still_ours()
+
+    path.write_text(path.read_text() + "\n" + json.dumps(document(3, T.format(3), [])))
+    sync.apply = stolen
+    with pytest.raises(LostLease):
+        sync.run(stream(), str(tmp_path / "m"))
+    assert sync.events.items[-1][3] == "failed"
 
 
 def test_git(spark, tmp_path):

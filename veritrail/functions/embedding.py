@@ -47,10 +47,3 @@ def embed(texts: Column, model: Callable[[list[str]], list[list[float]]] = hashe
 
 def with_embeddings(chunks: DataFrame, model=hashed, width: int = 8) -> DataFrame:
     return chunks.withColumn("embedding", embed(F.col("text"), model, width))
-
-
-#: Embedding services that speak one protocol: name to base address and default model (configuration).
-PRESETS = {
-    "openai": ("https://api.openai.com/v1", "text-embedding-3-small"),
-    "ollama": ("http://localhost:11434", "nomic-embed-text"),
-}

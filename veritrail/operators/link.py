@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..schema import PATH_COMMITS, REF_KINDS
-from .store import BadRequest, NotFound, add_pending, remove_pending, upsert_edges
+from .store import BadRequest, NotFound, Unciteable, add_pending, remove_pending, upsert_edges
 
 #: Target types that a kind of reference admits; others admit all (fixed values).
 TARGET_TYPES = {"commit_sha": ("commit",), "pr_number": ("pr", "issue"), "ticket_key": ("ticket", "issue")}
@@ -87,13 +87,13 @@ def resolve_one(ref: str, documents: DataFrame):
     """The one document that a reference means."""
     spark = documents.sparkSession
     found = resolve(spark.createDataFrame([(ref,)], "ref string"), documents).join(documents.select("doc_id", "url", "title", "created_at", "body"), "doc_id")
-    rows = found.orderBy("doc_id").limit(11).collect()
+    rows = found.orderBy("doc_id").collect()  # the documents that one reference may mean
     if not rows:
         raise NotFound(f"nothing is known as {ref!r}")
     if len(rows) > 1:
-        raise BadRequest(f"{ref!r} may mean any of " + ", ".join(r.doc_id for r in rows[:10]))
+        raise BadRequest(f"{ref!r} may mean any of " + ", ".join(r.doc_id for r in rows))
     if not rows[0].url:
-        raise NotFound(f"{rows[0].doc_id} has no address to cite")
+        raise Unciteable(f"{rows[0].doc_id} has no address to cite")
     return rows[0]
 
 

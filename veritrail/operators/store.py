@@ -1,11 +1,12 @@
 """Upserts, deletes and counts of the stored tables.
 
-A table is a DataFrame; an operator returns its next state. Parquet has no MERGE, so a state
-is written to a new folder and then swapped in (:class:`Tables`).
+A table is a DataFrame; an operator returns its next state. Parquet has no MERGE, so the
+buckets that changed are written to a new folder and then swapped in (:class:`Tables`).
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime
 
@@ -29,6 +30,10 @@ class NotFound(Exception):
     """What was asked for isn't in the store."""
 
 
+class Unciteable(NotFound):
+    """What was asked for is known but can't be cited, so nothing else may stand in for it."""
+
+
 def upsert_documents(stored: DataFrame, batch: DataFrame, position: str | None = None) -> DataFrame:
     """Last write wins by doc_id; within a batch the row with the highest ``position``."""
     if position:
@@ -130,38 +135,157 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.select("round", "seq", F.sum("documents").over(order).alias("documents"), F.sum("chunks").over(order).alias("chunks"))
 
 
+#: The column that deals a table's rows to buckets; a batch rewrites the buckets it touches.
+DEALT_BY = {"documents": "doc_id", "chunks": "doc_id", "edges": "src", "pending_refs": "src_doc"}
+BUCKETS = 256
+
+
 class Tables:
-    """Stored tables as versioned folders on any file system that Spark reaches; a small
-    pointer table names the current version, so readers never see a half-written one."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.current: dict[str, str] = {}
-
-    def read(self, name: str) -> DataFrame:
-        if name not in self.current:
-            pointer = f"{self.root}/{name}/_current"
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(pointer)
-            system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            if not system.exists(path):
-                return self.spark.createDataFrame([], TABLES[name])
-            self.current[name] = self.spark.read.text(pointer).orderBy(F.desc("value")).first().value.split(" ", 1)[1]
-        return self.spark.read.schema(TABLES[name]).parquet(self.current[name])
-
-    def write(self, name: str, state: DataFrame) -> None:
+    """Stored tables on any file system that Spark reaches.
+
+    A table is dealt to ``buckets`` by a hash of its key. Each write adds a folder with the
+    buckets that changed, and a small manifest (a line for each bucket) says which folder
+    holds which bucket now, so readers never see a half-written state and a batch rewrites
+    what it touches, not the table. Manifests are numbered; the highest counts, and creating
+    one fails if another writer has made it. :meth:`vacuum` removes folders that no manifest
+    names any more.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.folders: dict[str, dict[int, str]] = {}
+        self.numbers: dict[str, int] = {}
+
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _load(self, name: str) -> None:
+        path, system = self._path(name, "_manifests")
+        names = sorted(f.getPath().getName() for f in system.listStatus(path)) if system.exists(path) else []
+        self.numbers[name] = int(names[-1]) if names else 0
+        lines = [r.value for r in self.spark.read.text(f"{path}/{names[-1]}").collect()] if names else []
+        self.folders[name] = {int(b): folder for b, folder in (x.split(" ", 1) for x in lines)}
+
+    def bucket(self, name: str, column: str | None = None):
+        """The bucket of a row, by the table's key or a column with its values."""
+        by = column or DEALT_BY.get(name)
+        return F.pmod(F.xxhash64(F.col(by)), F.lit(self.buckets)).cast("int") if by else F.lit(0)
+
+    def touched(self, name: str, keys: DataFrame, column: str) -> list[int]:
+        """The buckets that hold keys: at most their number, whatever the batch."""
+        return sorted(r.b for r in keys.select(self.bucket(name, column).alias("b")).distinct().collect())
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The table, or the part of it in some buckets."""
+        if name not in self.folders:
+            self._load(name)
+        held: dict[str, list[int]] = {}
+        for b, folder in self.folders[name].items():
+            if buckets is None or b in set(buckets):
+                held.setdefault(folder, []).append(b)
+        out = None
+        for folder, some in sorted(held.items()):
+            part = self.spark.read.schema(TABLES[name]).parquet(*(f"{folder}/bucket={b}" for b in some))
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], TABLES[name]) if out is None else out
+
+    def write(self, name: str, state: DataFrame, buckets: list[int] | None = None) -> None:
+        """Makes ``state`` what the table, or the part of it in ``buckets``, holds."""
+        if name not in self.folders:
+            self._load(name)
         folder = f"{self.root}/{name}/v-{uuid.uuid4().hex}"
-        state.select(*TABLES[name].fieldNames()).write.parquet(folder)
-        n = 1 + max((int(r.value.split(" ")[0]) for r in self._pointers(name)), default=0)
-        self.spark.createDataFrame([(f"{n:09d} {folder}",)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/{name}/_current")
-        self.current[name] = folder
-
-    def _pointers(self, name: str):
-        pointer = f"{self.root}/{name}/_current"
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(pointer)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return []
-        return self.spark.read.text(pointer).collect()
+        columns = TABLES[name].fieldNames()
+        rows = state.select(*columns, self.bucket(name).alias("bucket"))
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        path, system = self._path(name, folder.rsplit("/", 1)[1])
+        made = {int(f.getPath().getName().split("=")[1]) for f in system.listStatus(path) if f.getPath().getName().startswith("bucket=")}
+        kept = {} if buckets is None else {b: f for b, f in self.folders[name].items() if b not in set(buckets)}
+        self._commit(name, kept | dict.fromkeys(made, folder))
+
+    def _commit(self, name: str, folders: dict[int, str]) -> None:
+        number = self.numbers[name] + 1
+        path, system = self._path(name, "_manifests", f"{number:012d}")
+        try:
+            out = system.create(path, False)
+        except Exception as e:  # the file system's own exception: the manifest is there
+            self.folders.pop(name)
+            raise Precondition(f"another writer changed {name}") from e
+        out.write(bytearray("".join(f"{b} {f}\n" for b, f in sorted(folders.items())).encode()))
+        out.close()
+        self.folders[name], self.numbers[name] = folders, number
+
+    def vacuum(self, name: str) -> int:
+        """Removes folders and manifests that the current manifest has made obsolete."""
+        self._load(name)
+        path, system = self._path(name)
+        if not system.exists(path):
+            return 0
+        named = {f.rsplit("/", 1)[1] for f in self.folders[name].values()}
+        lost = [f.getPath() for f in system.listStatus(path) if f.getPath().getName().startswith("v-") and f.getPath().getName() not in named]
+        manifests = self._path(name, "_manifests")[0]
+        if system.exists(manifests):
+            lost += [f.getPath() for f in system.listStatus(manifests) if int(f.getPath().getName()) < self.numbers[name]]
+        for p in lost:
+            system.delete(p, True)
+        return len(lost)
 
     def wipe_chunks(self) -> None:
         """Drops the chunk layer; documents, edges, cursors and meta stay."""
         self.write("chunks", self.spark.createDataFrame([], TABLES["chunks"]))
+
+
+class Lease:
+    """One writer at a time, over files. The holder of the newest numbered file holds the lease;
+    the next number may be created, which one of several succeeds in, once that file has been
+    released or not been renewed for ``ttl`` seconds. ``clock`` gives seconds."""
+
+    def __init__(self, spark: SparkSession, root: str, holder: str, ttl: float = 60.0, clock=time.time):
+        self.spark, self.root, self.holder, self.ttl, self.clock = spark, f"{root.rstrip('/')}/_lease", holder, ttl, clock
+        self.number: int | None = None
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _newest(self) -> tuple[int, bool, float]:
+        """The newest number, whether it was released, and when it was last renewed."""
+        path, system = self._file("")
+        if not system.exists(path):
+            return 0, True, 0.0
+        names = [f.getPath().getName() for f in system.listStatus(path)]
+        number = max((int(n.split(".")[0]) for n in names), default=0)
+        beats = [float(n.split(".", 2)[2]) for n in names if n.startswith(f"{number}.beat.")]
+        return number, f"{number}.released" in names or not number, max(beats, default=0.0)
+
+    def _create(self, name: str) -> bool:
+        path, system = self._file(name)
+        try:
+            system.create(path, False).close()
+        except Exception:  # noqa: BLE001  the file system's own exception: somebody else was first
+            return False
+        return True
+
+    def acquire(self) -> bool:
+        number, released, beat = self._newest()
+        if not released and number != self.number and self.clock() - beat <= self.ttl:
+            return False
+        if not released and number == self.number:
+            return self.heartbeat()
+        if not self._create(f"{number + 1}.held"):
+            return False
+        self.number = number + 1
+        return self._create(f"{self.number}.beat.{self.clock():.3f}") or True
+
+    def heartbeat(self) -> bool:
+        """Renews the lease; False if it has been lost."""
+        number, released, _ = self._newest()
+        if self.number is None or number != self.number or released:
+            return False
+        self._create(f"{number}.beat.{self.clock():.3f}")
+        return True
+
+    def release(self) -> None:
+        if self.number is not None:
+            self._create(f"{self.number}.released")
+            self.number = None

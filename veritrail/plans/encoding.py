@@ -1,0 +1,90 @@
+"""A bundle in the binary wire format of protocol buffers, without a generated class.
+
+Fields: question 1, nodes 2 (node 1, role 2, score 3 as double, title 4, url 5, rank 6), chains 3
+(a message with ids 1, repeated), gaps 4 (strings).
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def varint(n: int) -> bytes:
+    out = bytearray()
+    n &= (1 << 64) - 1
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def block(number: int, value: bytes | str) -> bytes:
+    raw = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(raw)) + raw
+
+
+def whole(number: int, value: int) -> bytes:
+    return varint(number << 3) + varint(value) if value else b""
+
+
+def real(number: int, value: float | None) -> bytes:
+    return varint(number << 3 | 1) + struct.pack("<d", value) if value else b""
+
+
+def text(number: int, value: str | None) -> bytes:
+    return block(number, value) if value else b""
+
+
+def encode(question: str, nodes: list, chains: list, gaps: list) -> bytes:
+    out = [text(1, question)]
+    for n in nodes:
+        out.append(block(2, b"".join([text(1, n["node"]), text(2, n["role"]), real(3, n["score"]), text(4, n["title"]), text(5, n["url"]), whole(6, n["rank"])])))
+    out += [block(3, b"".join(block(1, x) for x in c)) for c in chains]
+    out += [block(4, g) for g in gaps]
+    return b"".join(out)
+
+
+def read(raw: bytes) -> Iterator[tuple[int, int | float | bytes]]:
+    """``(field number, value)`` of a message: integers, doubles, and blocks as bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            out |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                return out
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        elif key & 7 == 1:
+            at += 8
+            yield key >> 3, struct.unpack("<d", raw[at - 8 : at])[0]
+        elif key & 7 == 2:
+            n = number()
+            at += n
+            yield key >> 3, raw[at - n : at]
+        else:
+            raise ValueError(f"wire type {key & 7} isn't used here")
+
+
+def bundle_binary(bundles: DataFrame) -> DataFrame:
+    """Adds ``binary`` to rows of :func:`veritrail.plans.verbs.bundle`."""
+
+    def run(frames):
+        for frame in frames:
+            made = [encode(q, list(n), [list(c) for c in ch], list(g)) for q, n, ch, g in zip(frame["question"], frame["nodes"], frame["chains"], frame["gaps"])]
+            yield pd.DataFrame({"question": frame["question"], "binary": made})
+
+    return bundles.select("question", "nodes", "chains", "gaps").mapInPandas(run, "question string, binary binary")

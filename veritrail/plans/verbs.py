@@ -160,6 +160,8 @@ class Engine:
         search finds, in order of time."""
         try:
             doc_id = L.resolve_one(ref_or_query, self.documents).doc_id
+        except store.Unciteable:
+            raise
         except store.NotFound:
             best = self.retrieve(ref_or_query).orderBy("position").limit(1).collect()
             if not best:
@@ -182,7 +184,7 @@ class Engine:
         return shas.withColumn("prefix", F.lower(X.short_sha(F.col("sha")))).join(commits, "prefix", "left").select("position", "sha", "doc_id")
 
     def _missing(self, found: DataFrame) -> list[str]:
-        lost = found.where("doc_id is null").orderBy("position").limit(HISTORY_CAP).collect()
+        lost = found.where("doc_id is null").orderBy("position").collect()  # commits of one span or page
         return [f"commit {r.sha[:12]} is not in the index; sync its repository" for r in lost]
 
     def why(self, blame: DataFrame, code: str, question: str | None = None) -> Answer:
@@ -224,7 +226,7 @@ def blame_groups(blame: DataFrame) -> DataFrame:
         F.min("line_start").alias("first"), F.max("subject").alias("subject"),
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line_start", "lines"))), lambda x: x["lines"])).alias("lines"),
     )
-    return rows.withColumn("position", F.row_number().over(Window.orderBy("first"))).drop("first")
+    return R.numbered(rows, [F.asc("first"), F.asc("sha")], name="position").drop("first")
 
 
 def history_page(log: DataFrame, limit: int = HISTORY_DEFAULT, before: str | None = None) -> DataFrame:

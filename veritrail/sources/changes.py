@@ -4,6 +4,7 @@ cursor tests, and a retrying transport."""
 from __future__ import annotations
 
 import json
+import os
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -15,7 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from ..operators.store import BadRequest
 from ..schema import DOCUMENT_WITH_REFS
 
-BATCH = 50
+BATCH, RANGE = 50, 32 << 20
+LINE_BYTES = 8 << 20
 FRAME = "type string, documents array<struct<doc_id:string,source:string,type:string,repo_ref:string,title:string,body:string,author:string,url:string,created_at:timestamp,updated_at:timestamp,refs:array<struct<kind:string,value:string,instance:string>>>>, cursor map<string,string>"
 
 
@@ -32,7 +34,10 @@ def after_cursor(rows: DataFrame, updated_at, doc_id: str | None, tie_type: str
 def frames(spark: SparkSession, path: str) -> DataFrame:
     """Documents of an external source's output, a frame a line: batches with a cursor each,
     then done. A batch without a cursor, one within done, or an unknown frame is refused."""
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", FRAME).alias("f")).select("f.*")
+    lines = spark.read.text(path)
+    if not lines.where(F.octet_length("value") > LINE_BYTES).isEmpty():
+        raise BadRequest(f"a frame is longer than {LINE_BYTES} bytes")
+    rows = lines.where(F.trim("value") != "").select(F.from_json("value", FRAME).alias("f")).select("f.*")
     empty = F.size(F.coalesce(F.map_keys("cursor"), F.array().cast("array<string>"))) == 0
     wrong = F.coalesce(~F.col("type").isin("batch", "done"), F.lit(True)) | ((F.col("type") == "batch") & empty) | ((F.col("type") == "done") & (F.size(F.coalesce("documents", F.array().cast(rows.schema["documents"].dataType))) > 0))
     if not rows.where(wrong).isEmpty():
@@ -54,11 +59,33 @@ def batches(rows: list[dict], size: int = BATCH, whole_times: bool = False) -> I
         yield held
 
 
-def _lines(path: str) -> list[dict]:
-    """Documents of a recorded stream, one JSON object a line, in order of (time, id)."""
-    with open(path, encoding="utf-8") as f:
-        rows = [json.loads(line) for line in f if line.strip()]
-    return sorted(rows, key=lambda r: (r["updated_at"], r["doc_id"]))
+def _parsed(lines) -> list[dict]:
+    return [json.loads(line) for line in lines if line.strip()]
+
+
+def _between(path: str, low: int, high: int) -> Iterator[bytes]:
+    """The lines of a file that begin in a range of its bytes."""
+    with open(path, "rb") as f:
+        f.seek(max(0, low - 1))
+        if low:
+            f.readline()  # the line that the range before has begun, or its last line's end
+        while f.tell() < high and (line := f.readline()):
+            yield line
+
+
+class _Ordered:
+    """A recorded file's documents in order of (time, id), parsed again only when it has changed."""
+
+    def __init__(self, path: str):
+        self.path, self.seen, self.rows = path, None, []
+
+    def __call__(self) -> list[dict]:
+        stat = os.stat(self.path)
+        if (stat.st_mtime_ns, stat.st_size) != self.seen:
+            with open(self.path, encoding="utf-8") as f:
+                self.rows = sorted(_parsed(f), key=lambda r: (r["updated_at"], r["doc_id"]))
+            self.seen = (stat.st_mtime_ns, stat.st_size)
+        return self.rows
 
 
 def _tuple(row: dict) -> tuple:
@@ -73,8 +100,9 @@ class RecordedChanges(DataSource):
     """``spark.read`` or ``readStream`` with format ``changes``: option ``path`` is a file of
     documents, ``batch`` the size of a batch. An offset is (time, id) of the last row, so a
     restart delivers what came after it; a stream that fails loses no batch that it hasn't
-    committed. The file is read where the reader runs: a real connector replaces ``_lines``
-    by calls to its service."""
+    committed. A batch read deals ranges of ``range`` bytes to tasks, each of which reads its
+    own range alone; so the path has to be one that all executors see. The stream's reader
+    runs on the driver, as the interface has it, and parses a file again only when it grows."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,26 +120,25 @@ class RecordedChanges(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.size = options["path"], int(options.get("batch", BATCH))
+        self.path, self.size = options["path"], int(options.get("range", RANGE))
 
     def partitions(self):
-        n = len(_lines(self.path))
+        n = os.stat(self.path).st_size
         return [InputPartition((at, min(n, at + self.size))) for at in range(0, n, self.size)]
 
     def read(self, partition):
-        low, high = partition.value
-        yield from map(_tuple, _lines(self.path)[low:high])
+        yield from map(_tuple, _parsed(_between(self.path, *partition.value)))
 
 
 class _StreamReader(SimpleDataSourceStreamReader):
     def __init__(self, options):
-        self.path, self.size = options["path"], int(options.get("batch", BATCH))
+        self.ordered, self.size = _Ordered(options["path"]), int(options.get("batch", BATCH))
 
     def initialOffset(self) -> dict:
         return {"updated_at": "", "doc_id": ""}
 
     def _after(self, start: dict) -> list[dict]:
-        return [r for r in _lines(self.path) if (r["updated_at"], r["doc_id"]) > (start["updated_at"], start["doc_id"])]
+        return [r for r in self.ordered() if (r["updated_at"], r["doc_id"]) > (start["updated_at"], start["doc_id"])]
 
     def read(self, start: dict):
         rows = next(batches(self._after(start), self.size, whole_times=True), [])

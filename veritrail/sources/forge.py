@@ -34,8 +34,12 @@ GITLAB = {
 }
 
 
-def _nodes(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(f"{folder}/{kind}")
+def raw(spark: SparkSession, nodes: str | DataFrame, kind: str, schema: str) -> DataFrame:
+    """Nodes of a kind: from a folder with a folder of JSON lines for each, or from rows
+    ``kind, value`` as the remote data source gives them."""
+    if isinstance(nodes, DataFrame):
+        return nodes.where(F.col("kind") == kind).select(F.from_json("value", schema).alias("n")).select("n.*")
+    return spark.read.schema(schema).json(f"{nodes}/{kind}")
 
 
 def _refs(kind: str, values: Column) -> Column:
@@ -80,13 +84,13 @@ def _fragment(url: Column, prefix: str, number: Column) -> Column:
     return F.when(found != "", found).otherwise(F.concat(F.lit(f"#{prefix}"), number.cast("string")))
 
 
-def github(spark: SparkSession, folder: str, instance: str = "github") -> DataFrame:
+def github(spark: SparkSession, folder: str | DataFrame, instance: str = "github") -> DataFrame:
     c = F.col
     slug = c("slug")
     repo = F.concat(F.lit("github:"), slug)
-    commits = _nodes(spark, folder, "commits", GITHUB["commits"])
-    prs = _nodes(spark, folder, "prs", GITHUB["prs"])
-    issues = _nodes(spark, folder, "issues", GITHUB["issues"])
+    commits = raw(spark, folder, "commits", GITHUB["commits"])
+    prs = raw(spark, folder, "prs", GITHUB["prs"])
+    issues = raw(spark, folder, "issues", GITHUB["issues"])
     pr_key = F.concat(slug, F.lit("/pull/"), c("number").cast("string"))
     issue_key = F.concat(slug, F.lit("/issues/"), c("number").cast("string"))
     paths = F.flatten(F.transform("files", lambda f: F.array_compact(F.array(f["filename"], f["previous_filename"]))))
@@ -112,13 +116,13 @@ def github(spark: SparkSession, folder: str, instance: str = "github") -> DataFr
     return _all(parts)
 
 
-def gitlab(spark: SparkSession, folder: str, instance: str = "gitlab", base: str = "https://gitlab.com") -> DataFrame:
+def gitlab(spark: SparkSession, folder: str | DataFrame, instance: str = "gitlab", base: str = "https://gitlab.com") -> DataFrame:
     c = F.col
     slug = c("slug")
     repo = F.concat(F.lit("gitlab:"), slug)
-    commits = _nodes(spark, folder, "commits", GITLAB["commits"])
-    merges = _nodes(spark, folder, "merge_requests", GITLAB["merge_requests"])
-    issues = _nodes(spark, folder, "issues", GITLAB["issues"])
+    commits = raw(spark, folder, "commits", GITLAB["commits"])
+    merges = raw(spark, folder, "merge_requests", GITLAB["merge_requests"])
+    issues = raw(spark, folder, "issues", GITLAB["issues"])
 
     def address(given: Column, path: str, key: Column) -> Column:
         return F.coalesce(F.nullif(given, F.lit("")), F.concat(F.lit(f"{base}/"), slug, F.lit(path), key.cast("string")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import chunking, embedding
 from ..operators import link, store
 from ..schema import TABLES
+from ..session import settled
 
-PHASES = ("started", "fetched", "stored", "chunked", "linked", "checkpointed", "finished")
+#: What a listener is told, in the order in which it happens (fixed values).
+PHASES = ("round_started", "batch_stored", "chunks_indexed", "connector_finished", "pending_linked", "round_finished", "failed")
 
 
 class Events:
@@ -23,6 +26,8 @@ class Events:
         self.room, self.items, self.seq = room, [], 0
 
     def tell(self, round_: int, source: str, phase: str, documents: int = 0, chunks: int = 0) -> None:
+        if phase not in PHASES:
+            raise ValueError(f"no phase {phase!r}")
         self.seq += 1
         self.items = [*self.items, (round_, self.seq, source, phase, documents, chunks)][-self.room :]
 
@@ -30,6 +35,10 @@ class Events:
         return spark.createDataFrame(self.items, "round int, seq int, source string, phase string, documents bigint, chunks bigint")
 
 
+class LostLease(store.Precondition):
+    """The round's lease has passed to another process."""
+
+
 @dataclass
 class Sync:
     """Applies batches of documents with references to stored tables. The order is: check,
@@ -45,6 +54,7 @@ class Sync:
     commit_files: DataFrame | None = None
     events: Events = field(default_factory=Events)
     round: int = 0
+    lease: store.Lease | None = None
 
     def guard(self) -> None:
         """Before any source is touched: the store's vectors and chunks are of this kind."""
@@ -54,29 +64,46 @@ class Sync:
             meta = store.put_meta(meta, key, value)
         self.tables.write("meta", meta)
 
-    def apply(self, batch: DataFrame, instance: str, cursor: dict[str, str] | None = None, now: datetime | None = None) -> None:
+    def apply(self, batch: DataFrame, instance: str, now: datetime | None = None) -> None:
+        """Of rows that repeat an id the one changed last counts, and only its references are
+        linked. Each table's touched buckets alone are read and written."""
         batch = batch.persist()
         try:
+            self._still_ours()
             link.check_instance(batch, instance)
-            refs = batch.select(F.col("doc_id").alias("src_doc"), F.explode("refs").alias("r")).select("src_doc", "r.kind", "r.value", F.coalesce("r.instance", F.lit("")).alias("instance"))
+            latest = store.upsert_documents(batch.limit(0), batch.withColumn("_at", F.struct("updated_at", "created_at", F.xxhash64(*[c for c in batch.columns if c != "refs"]))), "_at").persist()
+            refs = latest.select(F.col("doc_id").alias("src_doc"), F.explode("refs").alias("r")).select("src_doc", "r.kind", "r.value", F.coalesce("r.instance", F.lit("")).alias("instance"))
             link.check_kinds(refs)
-            latest = batch.drop("refs").dropDuplicates(["doc_id"])
-            self.tables.write("documents", store.upsert_documents(self.tables.read("documents"), latest))
-            documents = self.tables.read("documents")
-            chunks = embedding.with_embeddings(chunking.chunk(latest), self.model, self.width)
-            self.tables.write("chunks", store.replace_chunks(self.tables.read("chunks"), latest, chunks.select(*TABLES["chunks"].fieldNames()), documents, self.width))
-            self._link(refs.unionByName(self.tables.read("pending_refs")))
-            if cursor is not None:
-                moment = now or datetime.now(timezone.utc).replace(microsecond=0)
-                self.tables.write("cursors", store.put_cursor(self.tables.read("cursors"), instance, cursor, moment))
-            self.events.tell(self.round, instance, "checkpointed", latest.count())
+            rows = latest.drop("refs")
+            some = self.tables.touched("documents", rows, "doc_id")
+            self.tables.write("documents", store.upsert_documents(self.tables.read("documents", some), rows), some)
+            n = rows.count()
+            self.events.tell(self.round, instance, "batch_stored", n)
+            chunks = embedding.with_embeddings(chunking.chunk(rows), self.model, self.width).select(*TABLES["chunks"].fieldNames()).persist()
+            self.tables.write("chunks", store.replace_chunks(self.tables.read("chunks", some), rows, chunks, self.tables.read("documents", some), self.width), some)
+            self.events.tell(self.round, instance, "chunks_indexed", n, chunks.count())
+            chunks.unpersist()
+            self._link(refs)
+            mark = rows.agg(F.max(F.struct("updated_at", "doc_id")).alias("m")).first().m
+            moment = now or datetime.now(timezone.utc).replace(microsecond=0)
+            cursor = {"updated_at": f"{mark.updated_at:%Y-%m-%dT%H:%M:%SZ}", "doc_id": mark.doc_id}
+            self.tables.write("cursors", store.put_cursor(self.tables.read("cursors"), instance, cursor, moment))
         finally:
             batch.unpersist()
 
     def _link(self, refs: DataFrame) -> None:
-        edges, pending = link.link(refs, self.tables.read("documents"), self.tables.read("edges"), self.tables.read("pending_refs"), self.commit_files)
-        self.tables.write("edges", edges)
-        self.tables.write("pending_refs", pending)
+        """Links references; edges and pending references are of the buckets of their sources."""
+        some, waits = self.tables.touched("edges", refs, "src_doc"), self.tables.touched("pending_refs", refs, "src_doc")
+        if not some:
+            return
+        edges, pending = link.link(refs, self.tables.read("documents"), self.tables.read("edges", some), self.tables.read("pending_refs", waits), self.commit_files)
+        edges, pending = settled(edges), settled(pending)
+        self.tables.write("edges", edges, some)
+        self.tables.write("pending_refs", pending, waits)
+
+    def _still_ours(self) -> None:
+        if self.lease is not None and not self.lease.heartbeat():
+            raise LostLease("another process has taken the store over")
 
     def stream(self, changes: DataFrame, instance: str, checkpoint: str, every: str | None = None, seen: list | None = None):
         """Starts the query of one source; its checkpoint is the cursor. Without ``every`` it
@@ -84,31 +111,54 @@ class Sync:
 
         def handle(batch: DataFrame, number: int) -> None:
             if not batch.isEmpty():
-                self.apply(batch, instance, {"batch": str(number)})
+                self.apply(batch, instance)
                 if seen is not None:
                     seen.append(number)
 
         writer = changes.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
-    def run(self, sources: dict[str, DataFrame], checkpoints: str) -> dict[str, str]:
+    def run(self, sources: dict[str, DataFrame], checkpoints: str) -> dict[str, str] | None:
         """One round: sources one after another, each failing by itself; then what waits for a
-        target is tried again. Returns the failures."""
-        self.guard()
-        self.round += 1
-        failed = {}
-        for instance, changes in sources.items():
-            self.events.tell(self.round, instance, "started")
-            try:
-                while self._drain(changes, instance, f"{checkpoints}/{instance}"):
-                    pass
-                self.events.tell(self.round, instance, "finished")
-            except Exception as e:  # noqa: BLE001  a source's failure leaves the others alone
-                failed[instance] = str(e)[:500]
-        edges, pending = link.link_pending(self.tables.read("documents"), self.tables.read("edges"), self.tables.read("pending_refs"), self.commit_files)
-        self.tables.write("edges", edges)
-        self.tables.write("pending_refs", pending)
-        return failed
+        target is tried again. Returns the failures, or None without doing anything if another
+        process holds the store; a round whose lease is lost ends there."""
+        if self.lease is not None and not self.lease.acquire():
+            return None
+        try:
+            self.guard()
+            self.round += 1
+            self.events.tell(self.round, "", "round_started")
+            failed = {}
+            for instance, changes in sources.items():
+                try:
+                    self._still_ours()
+                    while self._drain(changes, instance, f"{checkpoints}/{instance}"):
+                        pass
+                    self.events.tell(self.round, instance, "connector_finished")
+                except Exception as e:  # noqa: BLE001  a source's failure leaves the others alone
+                    if isinstance(e, LostLease) or "LostLease" in str(e):
+                        self.events.tell(self.round, instance, "failed")
+                        raise LostLease("another process has taken the store over") from e
+                    failed[instance] = str(e)[:500]
+                    self.events.tell(self.round, instance, "failed")
+            self._still_ours()
+            self._link(settled(self.tables.read("pending_refs")))
+            self.events.tell(self.round, "", "pending_linked")
+            self.events.tell(self.round, "", "round_finished")
+            return failed
+        finally:
+            if self.lease is not None:
+                self.lease.release()
+
+    def every(self, sources: dict[str, DataFrame], checkpoints: str, seconds: float = 1800.0, rounds: int | None = None, sleep=time.sleep) -> int:
+        """Rounds on a schedule, the first after one interval; one that finds the store held is
+        skipped. Returns how many ran."""
+        ran, n = 0, 0
+        while rounds is None or n < rounds:
+            sleep(seconds)
+            n += 1
+            ran += self.run(sources, checkpoints) is not None
+        return ran
 
     def _drain(self, changes: DataFrame, instance: str, checkpoint: str) -> int:
         """Runs a source's query to its end; a simple reader offers one batch a run. Returns the
@@ -126,27 +176,3 @@ class Sync:
         for key, value in (("embedder_identity", self.identity), ("chunk_format", self.chunk_format)):
             meta = store.put_meta(meta, key, value)
         self.tables.write("meta", meta)
-
-
-class Lease:
-    """One writer at a time: a row with a holder and a heartbeat; one that hasn't been renewed
-    for ``ttl`` seconds may be taken over. The clock is the caller's, for tests."""
-
-    def __init__(self, ttl: float = 60.0):
-        self.ttl, self.holder, self.beat = ttl, None, 0.0
-
-    def acquire(self, holder: str, now: float) -> bool:
-        if self.holder in (None, holder) or now - self.beat > self.ttl:
-            self.holder, self.beat = holder, now
-            return True
-        return False
-
-    def heartbeat(self, holder: str, now: float) -> bool:
-        if self.holder != holder:
-            return False
-        self.beat = now
-        return True
-
-    def release(self, holder: str) -> None:
-        if self.holder == holder:
-            self.holder = None
