@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import chunking, embedding, flatten
+from ..functions import chunking, display, embedding, flatten
 from ..functions import text as X
 from ..operators import chains as C
 from ..operators import graph as G
@@ -18,9 +18,10 @@ from ..operators import rank as R
 from ..operators import search as S
 from ..operators import store
 from ..session import new_folder, settled
+from ..sources import forge, trackers
 from ..sources.changes import after_cursor
 from . import testdata as T
-from .verbs import blame_groups, history_page, passages
+from .verbs import FOLLOW_UPS, Engine, blame_groups, history_page, passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,22 +48,23 @@ _WORD = r"[\p{L}\p{N}]+"
 D = f"d as ({T.DOCS})"
 
 
-def _phrases() -> str:
+def _phrases(asked=ASKED) -> str:
     import re
 
     rows = []
-    for q, text in ASKED:
+    for q, text in asked:
         for compound in re.findall(r"[^\W_]+(?:[._\-/][^\W_]+)*", text.lower()):
             rows.append(f"({q}, '  {'  '.join(re.findall(r'[^\W_]+', compound))}  ')")
     return f"q(query_id, phrase) as (values {', '.join(rows)})"
 
 
-def bm25_ctes(where: str = "true") -> str:
+def bm25_ctes(where: str = "true", phrases: str | None = None) -> str:
+    """``phrases``: a CTE q(query_id, phrase) in place of that of ASKED."""
     return rf"""{D},
 ch as (select doc_id, n, source, type, created_s, regexp_extract_all(strip_accents(lower(coalesce(body, ''))), '{_WORD}') w from d),
 st as (select *, len(w) dl, '  ' || array_to_string(w, '    ') || '  ' s from ch),
 cs as (select count(*) n, avg(dl) a from st),
-{_phrases()},
+{phrases or _phrases()},
 qq as (select query_id, phrase, replace(trim(phrase), '  ', '    ') p, count(*) times from q group by all),
 ph as (select distinct p from qq),
 tf as (select doc_id, n, source, type, created_s, dl, p, (len(s) - len(replace(s, '  ' || p || '  ', ''))) // (len(p) + 4) f from st, ph where contains(s, '  ' || p || '  ')),
@@ -71,9 +73,9 @@ sc as (select query_id, doc_id, sum(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0
 lex as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) rank from sc qualify rank <= 12)"""
 
 
-def knn_ctes(where: str = "true") -> str:
+def knn_ctes(where: str = "true", asked: str = "select vec_id + 1 query_id, embedding::double[] e from embeddings where vec_id < 3") -> str:
     return f"""v as (select d.doc_id, e.embedding::double[] e from d join embeddings e on e.vec_id = d.n where {where}),
-qv as (select vec_id + 1 query_id, embedding::double[] e from embeddings where vec_id < 3),
+qv as ({asked}),
 dist as (select query_id, doc_id, -list_distance(v.e, qv.e) + 0.0 score from v, qv),
 vec as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) rank from dist qualify rank <= 12)"""
 
@@ -582,10 +584,14 @@ def excerpt_bytes(spark, folder):
 
 
 
-@query("select page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) host, null::varchar page_key from pages")
+@query(
+    """select n, regexp_extract(u, '^https?://([^/:?#]+)', 1) host, case when n % 4 < 3 then concat(substr(k, 1, 8), '-', substr(k, 9, 4), '-', substr(k, 13, 4), '-', substr(k, 17, 4), '-', substr(k, 21)) end page_key,
+case when n % 4 = 1 then null else k end page_id from (select page_id n, md5(cast(page_id as varchar)) k, concat(case page_id % 4 when 0 then 'https://www.notion.so/Plan-' when 1 then 'https://team.notion.site/' when 2 then 'http://notion.so/a/b-' else 'https://x.test/' end, md5(cast(page_id as varchar))) u from pages)"""
+)
 def url_parts(spark, folder):
-    rows = T.view(spark, folder, "select page_id, url from pages")
-    return rows.select("page_id", F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host"), X.page_key(F.col("url")).alias("page_key"))
+    rows = T.view(spark, folder, "select page_id n, md5(cast(page_id as string)) k, concat(case page_id % 4 when 0 then 'https://www.notion.so/Plan-' when 1 then 'https://team.notion.site/' when 2 then 'http://notion.so/a/b-' else 'https://x.test/' end, md5(cast(page_id as string)), case page_id % 4 when 2 then '?v=1#x' else '' end) u from pages")
+    given = F.when(F.col("n") % 4 == 1, F.concat("k", F.lit("0"))).otherwise(F.concat(F.lit(" "), F.upper(X.dashed(F.col("k")))))
+    return rows.select("n", F.regexp_extract("u", "^https?://([^/:?#]+)", 1).alias("host"), X.page_key(F.col("u")).alias("page_key"), X.page_id(given).alias("page_id"))
 
 
 @query(
@@ -645,3 +651,254 @@ def notion_flatten(spark, folder):
 
 
 SQL["notion_flatten"] = "select conv_id, turn, concat('# ', role, chr(10), '> ', trim(text)) text from conversations"
+
+
+# -- text functions over derived strings ------------------------------------------------
+
+
+@query("select o_orderkey n, concat('acme/sub/app#', o_custkey, '|me/own#', o_orderkey % 20) found from orders")
+def extract_merge_numbers(spark, folder):
+    rows = T.view(spark, folder, "select o_orderkey n, concat('closes acme/sub/app!', o_custkey, ' and !', o_orderkey % 20) t from orders")
+    return rows.select("n", F.array_join(X.merge_numbers(F.col("t"), F.lit("me/own")), "|").alias("found"))
+
+
+@query("select o_orderkey n, concat('PROJ-', o_orderkey % 50 + 1) found from orders")
+def refs_without_own_key(spark, folder):
+    rows = T.view(spark, folder, "select o_orderkey n, concat('PROJ-', o_orderkey % 50) own, concat('PROJ-', o_orderkey % 50, ' like PROJ-', o_orderkey % 50 + 1) t from orders")
+    found = X.without_self(X.ref_set(X.refs(F.col("t"), F.lit("me/own"))), F.col("own"))
+    return rows.select("n", F.array_join(F.transform(found, lambda r: r["value"]), "|").alias("found"))
+
+
+@query("select event_id n, floor(epoch(ts))::bigint - 7200 s from events")
+def ticket_times(spark, folder):
+    rows = T.view(spark, folder, "select event_id n, date_format(cast(ts as timestamp), \"yyyy-MM-dd'T'HH:mm:ss'.000+0200'\") t from events")
+    return rows.select("n", F.unix_seconds(X.ticket_time(F.col("t"))).alias("s"))
+
+
+@query("select event_id n, d::bigint day_s, case when event_id % 3 = 0 then null else d end::bigint lower_s, case when event_id % 3 = 0 then null else d + 86399 end::bigint upper_s from (select event_id, epoch(date_trunc('day', ts)) d from events)")
+def event_dates(spark, folder):
+    rows = T.view(spark, folder, "select event_id n, date_format(cast(ts as timestamp), 'yyyy-MM-dd') t from events")
+    bound = F.when(F.col("n") % 3 == 0, F.concat(F.lit("after "), "t")).otherwise(F.concat(F.lit(" "), "t"))
+    at = lambda c: F.unix_seconds(c)
+    return rows.select("n", at(X.event_date(F.concat("t", F.lit("T00:00:00Z")))).alias("day_s"), at(X.window_bound(bound, False)).alias("lower_s"), at(X.window_bound(bound, True)).alias("upper_s"))
+
+
+@query("select event_id n, floor(epoch(ts))::bigint created_s, floor(epoch(ts))::bigint + case when event_id % 2 = 0 then 60 else 0 end updated_s from events")
+def both_times(spark, folder):
+    rows = T.view(spark, folder, "select event_id n, cast(ts as timestamp) c, case when event_id % 2 = 0 then cast(ts as timestamp) + interval 60 seconds end u from events")
+    made = rows.select("n", *X.both_times(F.col("c"), F.col("u")))
+    return made.select("n", F.unix_seconds("created_at").alias("created_s"), F.unix_seconds("updated_at").alias("updated_s"))
+
+
+@query(f"with {D} select n, doc_id, substr(md5(cast(n as varchar)), 1, 12) short from d")
+def document_ids(spark, folder):
+    rows = T.documents(spark, folder)
+    made = X.doc_id(F.col("source"), F.col("type"), X.external_id(F.col("doc_id")))
+    return rows.select("n", made.alias("doc_id"), X.short_sha(F.md5(F.col("n").cast("string"))).alias("short"))
+
+
+@query(f"with a as (select event_id n, floor({NOW} - epoch(ts))::bigint a from events) select n, a age_seconds, case when a < 5 then 'just now' when a < 60 then concat(a, 's ago') when a < 3600 then concat(a // 60, 'm ago') when a < 172800 then concat(a // 3600, 'h ago') else concat(a // 86400, 'd ago') end age, case when n % 3 = 1 then '1 batch' else concat(n % 3, ' batches') end counted from a")
+def age_texts(spark, folder):
+    rows = T.view(spark, folder, "select event_id n, date_trunc('SECOND', cast(ts as timestamp) + interval 999999 microseconds) checkpoint_at from events")
+    aged = store.ages(rows, datetime.fromtimestamp(NOW, timezone.utc))
+    return aged.select("n", "age_seconds", display.age(F.col("age_seconds")).alias("age"), display.counted(F.col("n") % 3, "batch", "batches").alias("counted"))
+
+
+@query("select event_id n, event_id % 5 between 1 and 3 good, concat('a\\x1b[', event_id, 'm\\nb') line from events")
+def citations_and_inert_lines(spark, folder):
+    rows = T.view(spark, folder, "select event_id n, case event_id % 5 when 0 then 'none' when 4 then 'so [4], or [1]' else concat('so [ ', event_id % 5, ' ]') end t from events")
+    return rows.select("n", X.cites(F.col("t"), F.lit(3)).alias("good"), display.inert_line(F.concat(F.lit("a\x1b["), "n", F.lit("m\nb"))).alias("line"))
+
+
+# -- lookups ----------------------------------------------------------------------------
+
+
+@query(f"with {D} select page_id position, md5(cast(page_id as varchar)) sha, doc_id from pages left join d on d.n = page_id and d.type = 'commit'")
+def commit_lookup(spark, folder):
+    shas = T.view(spark, folder, "select page_id position, upper(md5(cast(page_id as string))) sha from pages")
+    found = _engine(spark, folder).commits_for(shas)
+    return found.select("position", F.lower("sha").alias("sha"), "doc_id")
+
+
+@query(
+    f"""with {D}, r as (select distinct doc_id src, concat('src/m', n % 40, '.py') path from d where type <> 'commit'),
+f as (select concat('r', n % 2) repo, concat('src/m', n % 40, '.py') path, n, row_number() over (partition by n % 2, n % 40 order by created_s desc, md5(cast(n as varchar))) k from d where n % 5 = 0 or n % 5 = 3)
+select src, d.doc_id dst from r join f using (path) join d on d.n = f.n where k <= 50 and d.type = 'commit' and src <> d.doc_id"""
+)
+def path_commits(spark, folder):
+    rows = T.documents(spark, folder)
+    refs = rows.where("type <> 'commit'").select(F.col("doc_id").alias("src_doc"), F.lit("file_path").alias("kind"), F.concat(F.lit("src/m"), F.col("n") % 40, F.lit(".py")).alias("value"), F.lit("").alias("instance"))
+    files = rows.where("n % 5 = 0 or n % 5 = 3").select(F.concat(F.lit("r"), F.col("n") % 2).alias("repo"), F.concat(F.lit("src/m"), F.col("n") % 40, F.lit(".py")).alias("path"), F.md5(F.col("n").cast("string")).alias("sha"), F.col("created_at").alias("time"))
+    return L.path_targets(refs, files, rows).select(F.col("src_doc").alias("src"), F.col("doc_id").alias("dst"))
+
+
+@query("select c_custkey n from customer where not (c_nationkey % 2 = 0 and c_custkey % 3 = 0) and not (c_nationkey % 2 = 1 and c_custkey % 6 = 0)")
+def uncovered_clones(spark, folder):
+    clones = T.view(spark, folder, "select c_custkey path, case c_nationkey % 2 when 0 then 'github' else 'gitlab' end forge, concat('Acme/App', c_custkey) slug from customer")
+    known = T.view(spark, folder, "select 'github' forge, concat('acme/app', c_custkey) slug from customer where c_custkey % 3 = 0 union all select 'gitlab', concat('Acme/App', c_custkey) from customer where c_custkey % 6 = 0 union all select 'gitlab', concat('acme/app', c_custkey) from customer")
+    return L.uncovered(clones, known).select(F.col("path").alias("n"))
+
+
+@query(f"with {walk_ctes(_SEEDS, T.GRAPH)} select query_id::bigint query_id, node, seed, array_to_string(path, ' -> ') path from walked")
+def walk_paths(spark, folder):
+    seeds = spark.createDataFrame(SEEDS, "query_id int, node string, position int")
+    rows = G.walk(T.edges(spark, folder), seeds)
+    return rows.select(F.col("query_id").cast("bigint").alias("query_id"), "node", "seed", F.array_join("nodes", " -> ").alias("path"))
+
+
+@query(f"with {D} select distinct type query_id, 1::bigint as position, '{C.UNLINKED}' message from d")
+def collapsed_gaps(spark, folder):
+    nodes = T.documents(spark, folder).select(F.col("type").alias("query_id"), F.col("doc_id").alias("node"), "title", F.lit("seed").alias("role"), F.col("n").alias("rank"))
+    none = spark.createDataFrame([], "query_id string, chain array<string>")
+    any_edge = not T.edges(spark, folder, T.DOC_EDGES).where("kind = 'supersedes'").isEmpty()
+    return C.gaps(nodes, none, any_edge).select("query_id", "position", "message")
+
+
+# -- verbs through the engine -----------------------------------------------------------
+
+
+def _engine(spark: SparkSession, folder: str) -> Engine:
+    """Over the test tables; a question's vector is the first of embeddings, whatever it asks."""
+    vector = [float(x) for x in T.view(spark, folder, "select embedding from embeddings where vec_id = 0").first().embedding]
+    indexed = _indexed(spark, folder)
+    return Engine(spark, T.documents(spark, folder), indexed.chunks, T.edges(spark, folder, T.DOC_EDGES), model=lambda texts: [vector for _ in texts], width=len(vector), _index=indexed)
+
+
+def _nodes(answer):
+    return answer.nodes.select("node", "role", F.col("hops").cast("bigint").alias("hops"), F.round("score", 6).alias("score"), "rank")
+
+
+_ONE_VECTOR = "select 1 query_id, embedding::double[] e from embeddings where vec_id = 0"
+_BY_TIME = "select node, role, hops::bigint hops, round(score, 6) score, row_number() over (order by created_s, node) as rank from found"
+_SEED_40 = "select 1 query_id, doc_id node, 1 pos from d where n = 40"
+
+
+def _found(seed_role: str, walked_role: str, matches: str = "") -> str:
+    return f"""found as (
+  select node, case when hops = 0 then '{seed_role}' else {walked_role} end role, hops, pow(0.6, hops) * conf score, created_s from walked join d on d.doc_id = node where url <> '' {matches}
+)"""
+
+
+_MATCHES = "union all select doc_id, 'semantic_match', null, relevance / max(relevance) over (), created_s from (select * from lifted where {0}) where doc_id not in (select node from walked)"
+
+
+@query(f"with {D}, {walk_ctes(_SEED_40, T.DOC_EDGES, 2, admitted='select doc_id from d')}, {_found('seed', _ROLE)} {_BY_TIME}")
+def trace(spark, folder):
+    return _nodes(_engine(spark, folder).trace("https://ex.test/d/40"))
+
+
+_AFTER_40 = 1704067200 + 40 * 21600
+_IMPACT_TEXT = f"""t as (select concat('{FOLLOW_UPS}', title, chr(10), chr(10), substr(body, 1, (select max(i) from unnest(range(0, 501)) u(i) where strlen(substr(body, 1, i)) <= 500))) t from d where n = 40),
+q as (select 1 query_id, unnest([concat('  ', array_to_string(regexp_extract_all(c, '{_WORD}'), '  '), '  ') for c in regexp_extract_all(strip_accents(lower(t)), '{_WORD}(?:[._/-]{_WORD})*')]) phrase from t)"""
+
+
+@query(
+    f"""with {bm25_ctes(f"created_s >= {_AFTER_40}", _IMPACT_TEXT)}, {knn_ctes(f"d.created_s >= {_AFTER_40}", _ONE_VECTOR)}, {RRF}, {LIFT},
+{walk_ctes(_SEED_40, T.DOC_EDGES, 3, admitted=f"select doc_id from d where created_s > {_AFTER_40}")}, {_found("seed", "'follow_up'", _MATCHES.format(f"created_s > {_AFTER_40}"))} {_BY_TIME}"""
+)
+def impact_of(spark, folder):
+    return _nodes(_engine(spark, folder).impact_of("https://ex.test/d/40"))
+
+
+_LOG = "select row_number() over (order by doc_id desc) as position, md5(cast(doc_id as {0})) sha from documents where doc_id % 5 < 2"
+
+
+@query(
+    f"""with {D}, log as ({_LOG.format("varchar")}), page as (select * from log order by position limit 20),
+{walk_ctes("select 1 query_id, doc_id node, position pos from page join d on md5(cast(d.n as varchar)) = sha and d.type = 'commit'", T.DOC_EDGES, 1, admitted="select doc_id from d")}, {_found("seed", _ROLE)} {_BY_TIME}"""
+)
+def history_of(spark, folder):
+    return _nodes(_engine(spark, folder).history_of(T.view(spark, folder, _LOG.format("string"))))
+
+
+_WHY = [(10, 1), (25, 5), (40, 9), (41, 12)]
+
+
+@query(
+    f"""with {bm25_ctes(phrases=_phrases([(1, "the license of thing version moved")]))}, {knn_ctes(asked=_ONE_VECTOR)}, {RRF}, {LIFT},
+{walk_ctes("select 1 query_id, doc_id node, x.a pos from d join (values " + ", ".join(map(str, _WHY)) + ") x(b, a) on b = n and type = 'commit'", T.DOC_EDGES, 3, admitted="select doc_id from d")},
+{_found("blamed_commit", _ROLE, _MATCHES.format("true"))}
+select node, role, hops::bigint hops, round(score, 6) score, row_number() over (order by score desc, created_s desc, node) as rank from found"""
+)
+def why(spark, folder):
+    spans = T.view(spark, folder, "select doc_id n, md5(cast(doc_id as string)) sha from documents").join(F.broadcast(spark.createDataFrame(_WHY, "n int, line_start int")), "n")
+    blame = spans.select("sha", "line_start", F.col("line_start").alias("line_end"), F.array(F.lit("x")).alias("lines"), F.when(F.col("n") == 10, F.lit("moved")).alias("subject"))
+    return _nodes(_engine(spark, folder).why(blame, "version", "the license of thing"))
+
+
+@query("select md5(case when length(text) <= 8000 then text else concat(substr(text, 1, 8000), chr(10), chr(10), '[truncated: 8,000 of ', format('{:,}', length(text)), ' characters shown.]') end) passage from documents where doc_id = 40")
+def focus(spark, folder):
+    doc = T.documents(spark, folder).where("n = 40").first().doc_id
+    return spark.createDataFrame([(_engine(spark, folder).focus(doc, "the license of thing"),)], "t string").select(F.md5("t").alias("passage"))
+
+
+# -- sources over derived payloads ------------------------------------------------------
+
+
+def _payload(spark, folder, kind: str, fields: str, where: str = "true", table: str = "documents") -> DataFrame:
+    """Rows of the documents as nodes of a service's answer."""
+    return T.view(spark, folder, f"select '{kind}' kind, to_json(named_struct({fields})) value from {table} where {where}")
+
+
+@query(
+    """select concat('github:pr:o/r/pull/', doc_id) doc_id, 'github:o/r' repo_ref, concat('t', doc_id) title, 'ann' author, concat('ticket_key=PROJ-', doc_id % 9, '|pr_number=o/r#', doc_id + 1) refs, 1704067200 + doc_id * 60 updated_s from documents where doc_id % 2 = 0
+union all select concat('github:commit:o/r/commit/', md5(cast(doc_id as varchar))), 'github:o/r', concat('c', doc_id), 'bob', concat('file_path=b', doc_id, '.py|file_path=a', doc_id, '.py|pr_number=o/r#', doc_id), 1704067200 + doc_id * 60 from documents where doc_id % 2 = 1
+union all select concat('github:issue:o/r/issues/', doc_id), 'github:o/r', concat('i', doc_id), 'ann', '', 1704067200 + doc_id * 60 from documents where doc_id % 3 = 0
+union all select concat('github:issue_comment:o/r/issues/', doc_id, '#issuecomment-', doc_id), 'github:o/r', concat('Comment on o/r#', doc_id), 'eve', concat('pr_number=o/r#', doc_id), 1704067200 + doc_id * 60 from documents where doc_id % 3 = 0"""
+)
+def github_documents(spark, folder):
+    at = "date_format(timestamp_seconds(1704067200 + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    who = lambda n: f"named_struct('login', '{n}')"
+    prs = _payload(spark, folder, "prs", f"'slug', 'o/r', 'number', doc_id, 'title', concat('t', doc_id), 'body', concat('fixes PROJ-', doc_id % 9, ' and #', doc_id + 1), 'url', 'u', 'createdAt', {at}, 'updatedAt', {at}, 'headRefName', 'x', 'author', {who('ann')}", "doc_id % 2 = 0")
+    commits = _payload(spark, folder, "commits", f"'slug', 'o/r', 'oid', md5(cast(doc_id as string)), 'url', 'u', 'messageHeadline', concat('c', doc_id), 'message', 'm', 'committedDate', {at}, 'authoredDate', {at}, 'author', named_struct('name', 'B', 'user', {who('bob')}), 'associatedPullRequests', named_struct('nodes', array(named_struct('number', doc_id))), 'files', array(named_struct('filename', concat('b', doc_id, '.py'), 'previous_filename', concat('a', doc_id, '.py')))", "doc_id % 2 = 1")
+    said = f"named_struct('databaseId', doc_id, 'body', 'x', 'url', '', 'author', {who('eve')}, 'createdAt', {at}, 'updatedAt', {at})"
+    issues = _payload(spark, folder, "issues", f"'slug', 'o/r', 'number', doc_id, 'title', concat('i', doc_id), 'body', '', 'url', 'u', 'createdAt', {at}, 'updatedAt', {at}, 'author', {who('ann')}, 'comments', named_struct('nodes', array({said}))", "doc_id % 3 = 0")
+    return _flat(forge.github(spark, prs.union(commits).union(issues)))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    refs = F.array_join(F.transform("refs", lambda r: F.concat(r["kind"], F.lit("="), r["value"])), "|")
+    return rows.select("doc_id", "repo_ref", "title", "author", _by_kind(refs).alias("refs"), F.unix_seconds("updated_at").alias("updated_s"))
+
+
+def _by_kind(refs):
+    """References in one order, whatever the scanners' order is."""
+    return F.array_join(F.array_sort(F.split(refs, r"\|"), lambda a, b: F.when(F.substring_index(a, "=", 1) == F.substring_index(b, "=", 1), 0).when(F.substring_index(a, "=", 1) < F.substring_index(b, "=", 1), -1).otherwise(1)), "|")
+
+
+@query(
+    """select concat('gitlab:pr:g/p/pull/', doc_id) doc_id, 'gitlab:g/p' repo_ref, concat('m', doc_id) title, 'ann' author, concat('commit_sha=', md5(cast(doc_id as varchar)), '|pr_number=g/p#', doc_id + 2) refs, 1704067200 + doc_id * 60 updated_s from documents where doc_id % 2 = 0
+union all select concat('gitlab:', case k when 0 then 'pr_review' else 'review_comment' end, ':g/p/pull/', doc_id, '#note_', doc_id * 10 + k), 'gitlab:g/p', concat(case k when 0 then 'Review on' else 'Review comment on' end, ' g/p!', doc_id, ': n', doc_id, '.py'), 'eve', concat('file_path=n', doc_id, '.py|pr_number=g/p#', doc_id), 1704067200 + doc_id * 60
+from documents, (select unnest([0, 2]) k) where doc_id % 2 = 0"""
+)
+def gitlab_documents(spark, folder):
+    at = "date_format(timestamp_seconds(1704067200 + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    note = lambda k, system: f"named_struct('id', doc_id * 10 + {k}, 'body', 'x', 'system', {system}, 'author', named_struct('username', 'eve', 'name', 'E'), 'created_at', {at}, 'updated_at', {at}, 'position', named_struct('new_path', concat('n', doc_id, '.py'), 'old_path', concat('n', doc_id, '.py')))"
+    merges = _payload(spark, folder, "merge_requests", f"'slug', 'g/p', 'iid', doc_id, 'title', concat('m', doc_id), 'description', concat('closes !', doc_id + 2), 'web_url', '', 'source_branch', 'x', 'author', named_struct('username', 'ann', 'name', 'A'), 'created_at', {at}, 'updated_at', {at}, 'commits', array(named_struct('id', md5(cast(doc_id as string)))), 'discussions', array(named_struct('individual_note', false, 'notes', array({note(0, 'false')}, {note(1, 'true')}, {note(2, 'false')})))", "doc_id % 2 = 0")
+    return _flat(forge.gitlab(spark, merges))
+
+
+@query(
+    """select concat('jira:ticket:AB-', doc_id) doc_id, '' repo_ref, concat('AB-', doc_id, ': s', doc_id) title, 'Ann' author, concat('ticket_key=AB-', doc_id + 1) refs, 1704067200 + doc_id * 60 - 3600 updated_s from documents
+union all select concat('jira:ticket_comment:AB-', doc_id, '#', doc_id), '', concat('Comment on AB-', doc_id), 'Bob', concat('ticket_key=AB-', doc_id), 1704067200 + doc_id * 60 - 3600 from documents"""
+)
+def jira_documents(spark, folder):
+    at = "date_format(timestamp_seconds(1704067200 + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'.000+0100'\")"
+    tree = "to_json(named_struct('type', 'doc', 'content', array(named_struct('type', 'paragraph', 'content', array(named_struct('type', 'text', 'text', concat('see AB-', doc_id + 1, ' not AB-', doc_id)))))))"
+    said = f"named_struct('id', cast(doc_id as string), 'body', cast(null as string), 'author', 'Bob', 'created', {at}, 'updated', {at})"
+    rows = _payload(spark, folder, "tickets", f"'key', concat('AB-', doc_id), 'summary', concat('s', doc_id), 'description', {tree}, 'reporter', 'Ann', 'created', {at}, 'updated', {at}, 'comments', array({said})")
+    return _flat(trackers.jira(spark, rows))
+
+
+@query(
+    """select concat('notion:page:', md5(cast(doc_id as varchar))) doc_id, '' repo_ref, concat('P', doc_id) title, '' author, concat('url=https://www.notion.so/', md5(cast(doc_id // 2 as varchar))) refs, 1704067200 + doc_id * 60 updated_s
+from documents where doc_id % 4 <> 3 and (doc_id = 1 or doc_id // 2 = 1 or doc_id // 4 = 1 or doc_id // 8 = 1 or doc_id // 16 = 1)"""
+)
+def notion_documents(spark, folder):
+    """Pages whose parent is the page of half the number, in the scope of page 1, not in the trash."""
+    at = "date_format(timestamp_seconds(1704067200 + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    half = "md5(cast(cast(floor(doc_id / 2) as bigint) as string))"
+    properties = f"to_json(named_struct('Name', named_struct('id', 'a', 'type', 'title', 'title', array(named_struct('plain_text', concat('P', doc_id))), 'relation', cast(null as array<struct<id:string>>)), 'Up', named_struct('id', 'b', 'type', 'relation', 'title', cast(null as array<struct<plain_text:string>>), 'relation', array(named_struct('id', {half})))))"
+    rows = _payload(spark, folder, "pages", f"'id', md5(cast(doc_id as string)), 'created_time', {at}, 'last_edited_time', {at}, 'url', 'u', 'in_trash', doc_id % 4 = 3, 'archived', false, 'parent', named_struct('type', 'page_id', 'page_id', {half}), 'properties', {properties}, 'blocks', '[]'", "doc_id between 1 and 31")
+    roots = T.view(spark, folder, "select md5('1') id from region limit 1")
+    return _flat(trackers.notion(spark, rows, roots=roots))

@@ -22,10 +22,14 @@ from ..operators import link as L
 from ..operators import rank as R
 from ..operators import search as S
 from ..operators import store
-from ..schema import BODY_CHARACTERS, EVENT_CANDIDATES, EVENT_WINDOW_DAYS, HISTORY_CAP, HISTORY_DEFAULT, PASSAGES, TOP_K, TRACE_DEPTH, WALK_DEPTH
+from ..schema import BODY_CHARACTERS, EVENT_CANDIDATES, EVENT_WINDOW_DAYS, EXCERPT_BYTES, HISTORY_CAP, HISTORY_DEFAULT, PASSAGES, TOP_K, TRACE_DEPTH, WALK_DEPTH
 from ..session import new_folder, settled
 
 
+#: What is searched for after a document if nothing is asked, before its title (fixed value: it decides what is found).
+FOLLOW_UPS = "consequences, follow-ups, incidents related to "
+
+
 @dataclass(frozen=True)
 class Window_:
     since: datetime
@@ -86,6 +90,10 @@ class Engine:
             return None, [f"documents that match the event {text!r} are too far apart in time; the search is not bounded in time"]
         return Window_(row.a - half, row.a + half, "documents", row.doc), []
 
+    def _excerpt(self, body: str | None) -> str:
+        """The first bytes of a body, as a search takes them."""
+        return self.spark.range(1).select(X.byte_excerpt(F.lit(body or ""), EXCERPT_BYTES).alias("t")).first().t
+
     def _seeds(self, lifted: DataFrame) -> DataFrame:
         return lifted.select("query_id", F.col("doc_id").alias("node"), "position")
 
@@ -167,9 +175,11 @@ class Engine:
             if not best:
                 raise
             doc_id = best[0].doc_id
-        doc = self.documents.where(F.col("doc_id") == doc_id).select("doc_id", "title", "created_at").first()
+        doc = self.documents.where(F.col("doc_id") == doc_id).select("doc_id", "title", "created_at", "body").first()
         after = doc.created_at
-        matches = self.retrieve(question or doc.title or ref_or_query, S.Filters(since=after)).where(F.col("created_at") > F.lit(after))
+        asked = (question or "").strip() or FOLLOW_UPS + (doc.title or "")
+        text = "\n\n".join(filter(None, [asked, self._excerpt(doc.body)]))
+        matches = self.retrieve(text, S.Filters(since=after)).where(F.col("created_at") > F.lit(after))
         seeds = self.spark.createDataFrame([(1, doc_id, 1)], "query_id int, node string, position bigint")
         answer = self._anchored(seeds, "seed", self.depth, after, matches, walked_role="follow_up", anchor={"kind": "document", "doc_id": doc_id})
         alone = answer.nodes.limit(2).count() == 1
@@ -192,7 +202,7 @@ class Engine:
         grouped = blame_groups(blame)
         found = self.commits_for(grouped).where("sha is not null")
         subjects = [r.subject for r in grouped.orderBy("position").collect() if r.subject]
-        query = "\n".join([question or "", code.encode()[:500].decode(errors="ignore"), *subjects]).strip()
+        query = "\n".join([question or "", self._excerpt(code), *subjects]).strip()
         seeds = found.where("doc_id is not null").select(F.lit(1).alias("query_id"), F.col("doc_id").alias("node"), F.col("position").cast("bigint").alias("position"))
         return self._anchored(seeds, "blamed_commit", self.depth, None, self.retrieve(query), by_time=False, extra=self._missing(found), anchor={"kind": "code", "query": question})
 
