@@ -9,7 +9,7 @@ row of an Arrow batch; sizes are prefix sums, so a body costs time linear in its
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,24 +27,22 @@ _HEADING = re.compile(r"\s*(#{1,6})[ \t](?=.*\S)")
 _WORD_BREAKS = b" \t\n"
 
 
-@dataclass
-class Block:
-    """A paragraph (level 0) or heading, and the headings that it stands under."""
+class Block(NamedTuple):
+    """A paragraph (level 0) or heading."""
 
     text: str
     level: int = 0
-    above: tuple[str, ...] = ()
 
     @property
     def size(self) -> int:
         return len(self.text.encode())
 
 
-def block_table(body: str) -> list[Block]:
+def blocks(body: str) -> list[Block]:
     """The blocks of a body in order: lines are classed one by one (a line inside a fence is
     plain, whatever it looks like; a blank one separates), and runs of a class are blocks."""
     fenced = [m.span() for m in _FENCED.finditer(body)]
-    table: list[Block] = []
+    table: list[tuple[list[str], int]] = []
     open_, at_fence = False, 0
     for m in _LINE.finditer(body):
         line = m[0].rstrip("\n")
@@ -55,30 +53,44 @@ def block_table(body: str) -> list[Block]:
         if not line.strip():
             open_ = False
         elif heading:
-            table.append(Block(line.strip(), len(heading[1])))
+            table.append(([line.strip()], len(heading[1])))
             open_ = False
         elif open_:
-            table[-1].text += "\n" + line
+            table[-1][0].append(line)
         else:
-            table.append(Block(line))
+            table.append(([line], 0))
             open_ = True
-    return _under_headings(table)
+    return [Block("\n".join(lines), level) for lines, level in table]
 
 
-def _under_headings(table: list[Block]) -> list[Block]:
-    """Fills in the headings above each block: at any place, the last heading of each level that
-    no heading of the same or an outer level has followed."""
+def headings_above(table: list[Block]) -> list[tuple[str, ...]]:
+    """The headings above each block: at any place, the last heading of each level that no
+    heading of the same or an outer level has followed."""
     last: dict[int, str] = {}
+    above = []
     for block in table:
         if block.level:
             last = {level: text for level, text in last.items() if level < block.level}
-        block.above = tuple(last[level] for level in sorted(last))
+        above.append(tuple(last[level] for level in sorted(last)))
         if block.level:
             last[block.level] = block.text
-    return table
+    return above
 
 
-def within(text: str, most: int) -> list[str]:
+def _past_space(raw: bytes, at: int) -> int:
+    """The first place from ``at`` on that isn't white space, looked for a stretch at a time."""
+    while at < len(raw):
+        end = min(at + 64, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        left = raw[at:end].decode().lstrip()
+        if left:
+            return end - len(left.encode())
+        at = end
+    return at
+
+
+def pieces(text: str, most: int) -> list[str]:
     """``text`` in parts of at most ``most`` bytes, cut at the last word break that fits, or else
     before the character that doesn't; spaces at cuts are dropped."""
     raw, parts, at = text.encode(), [], 0
@@ -89,8 +101,7 @@ def within(text: str, most: int) -> list[str]:
             while cut > at + 1 and raw[cut] & 0xC0 == 0x80:
                 cut -= 1
         parts.append(raw[at:cut].decode().strip())
-        rest = raw[cut:].decode()
-        at = len(raw) - len(rest.lstrip().encode())
+        at = _past_space(raw, cut)
     parts.append(raw[at:].decode().strip())
     return [p for p in parts if p] or [text]
 
@@ -117,7 +128,7 @@ def boundaries(table: list[Block], least: int, most: int) -> list[tuple[int, int
             ranges.append((first, i))
             first, size = i, 0
         if n > most:
-            n = len(within(block.text, most)[-1].encode())
+            n = len(pieces(block.text, most)[-1].encode())
         size += n + (len(GAP) if size else 0)
     return [*ranges, (first, len(table))] if table else []
 
@@ -125,12 +136,13 @@ def boundaries(table: list[Block], least: int, most: int) -> list[tuple[int, int
 def split(body: str, least: int = CHUNK_MIN_BYTES, most: int = CHUNK_MAX_BYTES, shared: int = CHUNK_OVERLAP_BYTES) -> list[str]:
     """The chunks of a body: the parts of each range's blocks, opened by the headings above the
     range and by the end of the chunk before, without its headings."""
-    table, bare = block_table(body), []
+    table, bare = blocks(body), []
+    opened = headings_above(table)
     for first, last in boundaries(table, least, most):
-        above = table[first].above
+        above = opened[first]
         held: list[str] = []
         for block in table[first:last]:
-            *whole, text = within(block.text, most) if block.size > most else [block.text]
+            *whole, text = pieces(block.text, most) if block.size > most else [block.text]
             bare += [(above, part) for part in whole]
             held.append(text)
         bare.append((above, GAP.join(held)))

@@ -826,6 +826,21 @@ def why(spark, folder):
     return _nodes(_engine(spark, folder).why(blame, "version", "the license of thing"))
 
 
+_SCALED = "union all select doc_id, 'semantic_match', null, relevance / most, created_s from (select *, max(relevance) over () most from lifted) where doc_id not in (select node from walked)"
+
+
+@query(
+    f"""with {bm25_ctes(phrases=_phrases([(1, "the license of thing version moved")]))}, {knn_ctes(asked=_ONE_VECTOR)}, {RRF}, {LIFT},
+{walk_ctes("select 1 query_id, doc_id node, x.a pos from d join (values " + ", ".join(map(str, _WHY)) + ") x(b, a) on b = n and type = 'commit'", T.DOC_EDGES, 3, admitted="select doc_id from d")},
+{_found("blamed_commit", _ROLE, _SCALED)}
+select node, role, hops::bigint hops, round(score, 6) score, row_number() over (order by score desc, created_s desc, node) as rank from found"""
+)
+def why_scaled(spark, folder):
+    """``why``, held against SQL that scales by the best of all matches as the engine does; the
+    SQL of ``why`` takes the best of those that the walk hasn't found."""
+    return why(spark, folder)
+
+
 @query("select md5(case when length(text) <= 8000 then text else concat(substr(text, 1, 8000), chr(10), chr(10), '[truncated: 8,000 of ', format('{:,}', length(text)), ' characters shown.]') end) passage from documents where doc_id = 40")
 def focus(spark, folder):
     doc = T.documents(spark, folder).where("n = 40").first().doc_id
@@ -862,8 +877,12 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 
 def _by_kind(refs):
-    """References in one order, whatever the scanners' order is."""
-    return F.array_join(F.array_sort(F.split(refs, r"\|"), lambda a, b: F.when(F.substring_index(a, "=", 1) == F.substring_index(b, "=", 1), 0).when(F.substring_index(a, "=", 1) < F.substring_index(b, "=", 1), -1).otherwise(1)), "|")
+    """References by kind, tickets first and numbers last, whatever the scanners' order is; those
+    of a kind stay in their order."""
+    kinds = ["ticket_key", "url", "commit_sha", "file_path", "pr_number"]
+    parts = F.split(refs, r"\|")
+    of = lambda kind: F.filter(parts, lambda r: r.startswith(f"{kind}="))
+    return F.array_join(F.concat(*map(of, kinds)), "|")
 
 
 @query(
