@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: ``spark.checkpoint.dir``,
-    or, only where the session names none (tests), a new local folder."""
+    or, only where the session names none and everything runs on this machine (tests), a new local one."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="veritrail-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -24,6 +26,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, folder: str | None) -> None:
+    """Removes a folder that nothing will read again."""
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once into the shared folder and cuts its lineage."""
     context = df.sparkSession.sparkContext

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, cap_filters, language, licenses, near_duplicates, packing, pii, quality, toxicity, warc
+from . import bpe_trie, cap_filters, language, licenses, near_duplicates, packing, pii, quality, toxicity, vector_codes, warc
 
 
 def vocabulary(name: str) -> str:
@@ -58,11 +58,16 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents")).drop("sig")
 
 
+def op13_yinyang_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.codes(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_bpe_trie, op5_language_id,
         op6_legacy_warc, op7_pii, op8_toxicity, op9_cap_filter_dedup, op10_minhash_dedup,
+        op13_yinyang_codes,
     )
 }
 
@@ -117,6 +122,35 @@ from d left join k on k.doc_id = d.doc_id group by d.doc_id, n
 """
 
 
+def _codes_sql() -> str:
+    """Lloyd rounds over all entries, written out one after another."""
+    steps = [
+        f"""kept as (
+  select vec_id, label, [floor({vector_codes.SCALE} * x::double)::bigint for x in embedding] v from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+),
+part as (select vec_id, label, p, v[p * (len(v) // {vector_codes.PARTS}) + 1 : (p + 1) * (len(v) // {vector_codes.PARTS})] x from kept, range({vector_codes.PARTS}) r(p)),
+c0 as (select p, e, x from (select p, x, row_number() over (partition by p order by vec_id) - 1 e from part) where e < {vector_codes.ENTRIES})"""
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""a{k} as materialized (
+  select vec_id, label, part.p, min({{'d': list_sum([(x[i] - c.x[i]) * (x[i] - c.x[i]) for i in range(1, len(x) + 1)])::bigint, 'e': e}}) m, any_value(part.x) x
+  from part join c{k} c on c.p = part.p group by all
+)""".replace("x[i] - c.x[i]", "part.x[i] - c.x[i]").replace("len(x) + 1", "len(part.x) + 1"))
+        steps.append(f"""s{k} as (select p, m.e e, i, sum(x[i])::bigint s, count(*) n from a{k}, unnest(range(1, len(x) + 1)) u(i) group by all),
+c{k + 1} as (
+  select c.p, c.e, coalesce(n.x, c.x) x from c{k} c
+  left join (select p, e, list(case when s % n < 0 then s // n - 1 else s // n end order by i) x from s{k} group by all) n on n.p = c.p and n.e = c.e
+)""")
+    k = vector_codes.ROUNDS
+    return "with " + ",\n".join(steps) + f""",
+v as (select vec_id, any_value(label) label, string_agg(printf('%02x', m.e), '' order by p) code, sum(m.d)::bigint error from a{k} group by vec_id)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error,
+  (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) from c{k}) codebooks_sha256
+from v
+"""
+
+
 SQL = {
     "op1_license_scan": _license_sql(),
     "op3_quality_rules": rf"""
@@ -165,6 +199,7 @@ select e.vec_id, (select count(*) from links where a = e.vec_id) n_links, least(
   e.vec_id = least(coalesce(least, e.vec_id), e.vec_id) kept
 from embeddings e left join least on a = e.vec_id
 """,
+    "op13_yinyang_codes": _codes_sql(),
     "op10_minhash_dedup": rf"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') w from documents
