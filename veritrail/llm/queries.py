@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, cap_filters, language, licenses, near_duplicates, packing, pii, quality, toxicity, vector_codes, warc
+from . import bpe_trie, cap_filters, language, licenses, near_duplicates, packing, pii, quality, spelling, toxicity, vector_codes, warc
 
 
 def vocabulary(name: str) -> str:
@@ -58,6 +58,10 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents")).drop("sig")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 def op13_yinyang_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.codes(_table(spark, folder, "embeddings"))
 
@@ -67,7 +71,7 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_bpe_trie, op5_language_id,
         op6_legacy_warc, op7_pii, op8_toxicity, op9_cap_filter_dedup, op10_minhash_dedup,
-        op13_yinyang_codes,
+        op11_spelling_variants, op13_yinyang_codes,
     )
 }
 
@@ -198,6 +202,40 @@ links as (
 select e.vec_id, (select count(*) from links where a = e.vec_id) n_links, least(coalesce(least, e.vec_id), e.vec_id) component_id,
   e.vec_id = least(coalesce(least, e.vec_id), e.vec_id) kept
 from embeddings e left join least on a = e.vec_id
+""",
+    "op11_spelling_variants": rf"""
+with recursive polynomial as (
+  select [list_reduce([k] || [0 for i in range(8)], lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) for k in range(256)] t
+),
+runs as materialized (
+  select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r, sum(n) n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) r, 1 n from documents) group by all
+),
+hashed as (
+  select r, n, xor(4294967295, list_reduce(([4294967295] || flatten([case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end
+    for c in string_split(coalesce(doc_id::varchar, '') || ':' || r, '')]))::bigint[], lambda a, b: xor(a // 256, t[(xor(a, b) & 255) + 1]))) h
+  from runs, polynomial
+),
+words as materialized (
+  select case when h % {spelling.EVERY} = 0 then left(r, (h % length(r))::bigint) || substr(r, (h % length(r) + 2)::bigint) else r end word, sum(n)::bigint n
+  from hashed group by word having length(word) >= {spelling.LENGTH} and sum(n) >= {spelling.OFTEN}
+),
+holes as materialized (select word, n, i, left(word, i) a, substr(word, i + 2) b from words, unnest(range(length(word))) u(i)),
+near as materialized (
+  select x.word, y.word other, y.n from holes x join holes y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+  union select h.word, w.word, w.n from holes h join words w on w.word = h.a || h.b
+  union select w.word, h.word, h.n from holes h join words w on w.word = h.a || h.b
+),
+best as (select word, count(*) n_near, min({{'n': -n, 'other': other}}) best from near group by word),
+f as materialized (
+  select w.word, w.n, coalesce(n_near, 0) n_near, case when -best.n >= 2 * w.n then best.other end form, case when -best.n >= 2 * w.n then -best.n end form_n
+  from words w left join best using (word)
+),
+chain as (
+  select word, word as root, form as next from f
+  union all select c.word, f.word, f.form from chain c join f on f.word = c.next
+)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from f join chain c on c.word = f.word and c.next is null
 """,
     "op13_yinyang_codes": _codes_sql(),
     "op10_minhash_dedup": rf"""
