@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, cap_filters, language, licenses, near_duplicates, packing, pii, quality, spelling, toxicity, vector_codes, warc
+from . import bpe_trie, cap_filters, language, licenses, main_text, near_duplicates, packing, pii, quality, spelling, toxicity, vector_codes, warc
 
 
 def vocabulary(name: str) -> str:
@@ -62,6 +62,10 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_table(spark, folder, "documents"))
 
 
+def op12_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(_table(spark, folder, "pages"))
+
+
 def op13_yinyang_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.codes(_table(spark, folder, "embeddings"))
 
@@ -71,7 +75,7 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_bpe_trie, op5_language_id,
         op6_legacy_warc, op7_pii, op8_toxicity, op9_cap_filter_dedup, op10_minhash_dedup,
-        op11_spelling_variants, op13_yinyang_codes,
+        op11_spelling_variants, op12_main_text, op13_yinyang_codes,
     )
 }
 
@@ -236,6 +240,14 @@ chain as (
   union all select c.word, f.word, f.form from chain c join f on f.word = c.next
 )
 select f.word, f.form, c.root, f.n, f.n_near, f.form_n from f join chain c on c.word = f.word and c.next is null
+""",
+    # every page of the tables marks its main text by one article element, whose references are these four
+    "op12_main_text": r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') a from pages),
+t as (select page_id, url, regexp_replace(regexp_replace(a, '<(p|/p|h1|/h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') t from a),
+d as (select page_id, url, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') t from t),
+s as (select page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) as text from d)
+select page_id, url, text, length(text) n_chars from s
 """,
     "op13_yinyang_codes": _codes_sql(),
     "op10_minhash_dedup": rf"""
