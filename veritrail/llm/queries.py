@@ -245,7 +245,7 @@ select f.word, f.form, c.root, f.n, f.n_near, f.form_n from f join chain c on c.
     "op12_main_text": r"""
 with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') a from pages),
 t as (select page_id, url, regexp_replace(regexp_replace(a, '<(p|/p|h1|/h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') t from a),
-d as (select page_id, url, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') t from t),
+d as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') t from t),
 s as (select page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) as text from d)
 select page_id, url, text, length(text) n_chars from s
 """,
