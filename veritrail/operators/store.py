@@ -1,16 +1,19 @@
 """Upserts, deletes and counts of the stored tables.
 
-A table is a DataFrame; an operator returns its next state. Parquet has no MERGE, so the
-buckets that changed are written to a new folder and then swapped in (:class:`Tables`).
+A table is a DataFrame; an operator returns its next state. Parquet has no MERGE, so a stored
+table is a list of segments that are merged on read (:class:`Tables`).
 """
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import time
 import uuid
+from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -135,101 +138,264 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.select("round", "seq", F.sum("documents").over(order).alias("documents"), F.sum("chunks").over(order).alias("chunks"))
 
 
-#: The column that deals a table's rows to buckets; a batch rewrites the buckets it touches.
-DEALT_BY = {"documents": "doc_id", "chunks": "doc_id", "edges": "src", "pending_refs": "src_doc"}
-BUCKETS = 256
+@dataclass(frozen=True)
+class Layout:
+    """How a table is kept: the columns whose hash deals its rows, the unit of which a later write
+    replaces all rows, or, with ``highest``, keeps the row that is highest in that column."""
+
+    key: tuple[str, ...]
+    unit: tuple[str, ...]
+    highest: str | None = None
+
+
+_REFERENCE = ("src_doc", "kind", "value", "instance")
+LAYOUTS = {
+    "documents": Layout(("doc_id",), ("doc_id",)),
+    "chunks": Layout(("doc_id",), ("doc_id",)),
+    "edges": Layout(("src",), ("src", "dst", "kind"), "confidence"),
+    "edges_in": Layout(("dst",), ("src", "dst", "kind"), "confidence"),
+    "pending_refs": Layout(("src_doc",), _REFERENCE),
+    "keys": Layout(("shape", "key"), ("shape", "key", "doc_id")),
+    "waiting": Layout(("shape", "key"), ("shape", "key", *_REFERENCE)),
+    "cursors": Layout(("connector",), ("connector",)),
+    "meta": Layout(("key",), ("key",)),
+}
+#: Bits of a row's hash that are stored with it; a segment has at most so many parts.
+BITS = 20
+#: Bytes of a segment's part, about; a segment has a power of two of them.
+PART_BYTES = 128 << 20
+#: Segments of one size that are merged into one of the next; a size is FAN times the last.
+FAN, SMALL_BYTES = 8, 1 << 20
+#: Up to so many hashes a read tests rows, beyond it parts alone; either way it gives all that was asked.
+TESTED = 4096
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A folder of rows that one write or merge has made: ``parts`` sub-folders by the low bits of
+    the hash, the number of the manifest that it is as new as, its bytes and its size class."""
+
+    folder: str
+    number: int
+    parts: int
+    bytes: int
+    tier: int
+
+    def line(self) -> str:
+        return f"{self.number} {self.parts} {self.bytes} {self.tier} {self.folder}"
+
+    @staticmethod
+    def of(line: str) -> Segment:
+        number, parts, size, tier, folder = line.split(" ", 4)
+        return Segment(folder, int(number), int(parts), int(size), int(tier))
 
 
 class Tables:
-    """Stored tables on any file system that Spark reaches.
-
-    A table is dealt to ``buckets`` by a hash of its key. Each write adds a folder with the
-    buckets that changed, and a small manifest (a line for each bucket) says which folder
-    holds which bucket now, so readers never see a half-written state and a batch rewrites
-    what it touches, not the table. Manifests are numbered; the highest counts, and creating
-    one fails if another writer has made it. :meth:`vacuum` removes folders that no manifest
-    names any more.
+    """Stored tables on any file system that Spark reaches, as segments that are merged on read.
+
+    A write adds a segment with the rows it was given and marks for what it removes, and a small
+    manifest that lists the segments, so a batch costs its own bytes, whatever the table holds,
+    and readers never see a half-written state. A read takes the newest rows of each unit; a read
+    for some keys opens the parts that their hashes fall into, and tests the sorted hash column
+    within. FAN segments of a size are merged into one of the next size, dealt to as many parts
+    as its bytes ask for; so a row is rewritten a logarithmic number of times, parts double as a
+    table grows, and a table has a logarithmic number of segments. Manifests are numbered; the
+    highest counts, every read looks for it, and creating one fails if another writer has made
+    it. :meth:`vacuum` removes folders that no manifest names any more.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-        self.folders: dict[str, dict[int, str]] = {}
-        self.numbers: dict[str, int] = {}
+    def __init__(self, spark: SparkSession, root: str, fan: int = FAN, part_bytes: int = PART_BYTES):
+        self.spark, self.root, self.fan, self.part_bytes = spark, root.rstrip("/"), fan, part_bytes
+
+    # -- files ------------------------------------------------------------------------
 
     def _path(self, *parts: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _load(self, name: str) -> None:
+    def _size(self, folder: str) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+    def state(self, name: str) -> tuple[int, list[Segment]]:
+        """The newest manifest's number and segments, oldest first."""
         path, system = self._path(name, "_manifests")
         names = sorted(f.getPath().getName() for f in system.listStatus(path)) if system.exists(path) else []
-        self.numbers[name] = int(names[-1]) if names else 0
-        lines = [r.value for r in self.spark.read.text(f"{path}/{names[-1]}").collect()] if names else []
-        self.folders[name] = {int(b): folder for b, folder in (x.split(" ", 1) for x in lines)}
-
-    def bucket(self, name: str, column: str | None = None):
-        """The bucket of a row, by the table's key or a column with its values."""
-        by = column or DEALT_BY.get(name)
-        return F.pmod(F.xxhash64(F.col(by)), F.lit(self.buckets)).cast("int") if by else F.lit(0)
-
-    def touched(self, name: str, keys: DataFrame, column: str) -> list[int]:
-        """The buckets that hold keys: at most their number, whatever the batch."""
-        return sorted(r.b for r in keys.select(self.bucket(name, column).alias("b")).distinct().collect())
-
-    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """The table, or the part of it in some buckets."""
-        if name not in self.folders:
-            self._load(name)
-        held: dict[str, list[int]] = {}
-        for b, folder in self.folders[name].items():
-            if buckets is None or b in set(buckets):
-                held.setdefault(folder, []).append(b)
-        out = None
-        for folder, some in sorted(held.items()):
-            part = self.spark.read.schema(TABLES[name]).parquet(*(f"{folder}/bucket={b}" for b in some))
-            out = part if out is None else out.unionByName(part)
-        return self.spark.createDataFrame([], TABLES[name]) if out is None else out
-
-    def write(self, name: str, state: DataFrame, buckets: list[int] | None = None) -> None:
-        """Makes ``state`` what the table, or the part of it in ``buckets``, holds."""
-        if name not in self.folders:
-            self._load(name)
-        folder = f"{self.root}/{name}/v-{uuid.uuid4().hex}"
-        columns = TABLES[name].fieldNames()
-        rows = state.select(*columns, self.bucket(name).alias("bucket"))
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(folder)
-        path, system = self._path(name, folder.rsplit("/", 1)[1])
-        made = {int(f.getPath().getName().split("=")[1]) for f in system.listStatus(path) if f.getPath().getName().startswith("bucket=")}
-        kept = {} if buckets is None else {b: f for b, f in self.folders[name].items() if b not in set(buckets)}
-        self._commit(name, kept | dict.fromkeys(made, folder))
-
-    def _commit(self, name: str, folders: dict[int, str]) -> None:
-        number = self.numbers[name] + 1
+        if not names:
+            return 0, []
+        stream = system.open(self._path(name, "_manifests", names[-1])[0])
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return int(names[-1]), [Segment.of(line) for line in text.splitlines() if line]
+
+    def _commit(self, name: str, number: int, segments: list[Segment]) -> None:
         path, system = self._path(name, "_manifests", f"{number:012d}")
         try:
             out = system.create(path, False)
         except Exception as e:  # the file system's own exception: the manifest is there
-            self.folders.pop(name)
             raise Precondition(f"another writer changed {name}") from e
-        out.write(bytearray("".join(f"{b} {f}\n" for b, f in sorted(folders.items())).encode()))
+        out.write(bytearray("".join(s.line() + "\n" for s in segments).encode()))
         out.close()
-        self.folders[name], self.numbers[name] = folders, number
 
     def vacuum(self, name: str) -> int:
         """Removes folders and manifests that the current manifest has made obsolete."""
-        self._load(name)
+        number, segments = self.state(name)
         path, system = self._path(name)
         if not system.exists(path):
             return 0
-        named = {f.rsplit("/", 1)[1] for f in self.folders[name].values()}
+        named = {s.folder.rsplit("/", 1)[1] for s in segments}
         lost = [f.getPath() for f in system.listStatus(path) if f.getPath().getName().startswith("v-") and f.getPath().getName() not in named]
         manifests = self._path(name, "_manifests")[0]
         if system.exists(manifests):
-            lost += [f.getPath() for f in system.listStatus(manifests) if int(f.getPath().getName()) < self.numbers[name]]
+            lost += [f.getPath() for f in system.listStatus(manifests) if int(f.getPath().getName()) < number]
         for p in lost:
             system.delete(p, True)
         return len(lost)
 
+    # -- writing ----------------------------------------------------------------------
+
+    @staticmethod
+    def hashed(name: str, columns: tuple[str, ...] = ()) -> Column:
+        """The stored bits of a row's hash, by the table's key or columns with its values."""
+        return F.xxhash64(*(columns or LAYOUTS[name].key)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+    def _segment(self, name: str, rows: DataFrame, number: int, tier: int | None = None, size: int | None = None) -> Segment:
+        """Writes rows with ``_dead``; what turns out larger than a part is dealt anew by its size."""
+        rows = rows.select(*TABLES[name].fieldNames(), "_dead", self.hashed(name).alias("_h"))
+        parts = self._parts(size or 0)
+        folder = self._written(name, rows, parts)
+        found = self._size(folder)
+        if self._parts(found) > 2 * parts:
+            parts, raw = self._parts(found), folder
+            folder = self._written(name, self.spark.read.schema(rows.schema).parquet(raw), parts)
+            path, system = self._path(name, raw.rsplit("/", 1)[1])
+            system.delete(path, True)
+        by_size = 0
+        while found >= SMALL_BYTES * self.fan ** (by_size + 1):
+            by_size += 1
+        return Segment(folder, number, parts, found, max(by_size, tier or 0))
+
+    def _parts(self, size: int) -> int:
+        parts = 1
+        while parts * self.part_bytes < size and parts < 1 << BITS:
+            parts *= 2
+        return parts
+
+    def _written(self, name: str, rows: DataFrame, parts: int) -> str:
+        folder = f"{self.root}/{name}/v-{uuid.uuid4().hex}"
+        part = rows.withColumn("part", F.col("_h").bitwiseAND(F.lit(parts - 1)))
+        if parts > 1:
+            part = part.repartition(parts, "part")
+        part.sortWithinPartitions("part", "_h").write.partitionBy("part").parquet(folder)
+        return folder
+
+    def put(self, name: str, rows: DataFrame, removed: DataFrame | None = None) -> None:
+        """Adds a segment: ``rows`` replace their units, or meet them by the highest; units of
+        ``removed`` (the unit's columns) that rows don't bring have no rows any more."""
+        unit = list(LAYOUTS[name].unit)
+        number, segments = self.state(name)
+        marked = self._marked(name, rows)
+        if removed is not None:
+            gone = removed.select(*unit).distinct().join(rows.select(*unit).distinct(), unit, "left_anti").withColumn("_dead", F.lit(True))
+            marked = marked.unionByName(gone, allowMissingColumns=True).select(*marked.columns)
+        segments = [*segments, self._segment(name, marked, number + 1)]
+        segments = self._merged(name, segments)
+        self._commit(name, number + 1, segments)
+
+    def write(self, name: str, state: DataFrame) -> None:
+        """Makes ``state`` what the table holds."""
+        number, _ = self.state(name)
+        self._commit(name, number + 1, [self._segment(name, self._marked(name, state), number + 1)])
+
+    @staticmethod
+    def _marked(name: str, rows: DataFrame) -> DataFrame:
+        layout, columns = LAYOUTS[name], TABLES[name].fieldNames()
+        if layout.highest:
+            rows = rows.groupBy(*layout.unit).agg(F.max(layout.highest).alias(layout.highest))
+        return rows.select(*columns, F.lit(False).alias("_dead"))
+
+    def _merged(self, name: str, segments: list[Segment]) -> list[Segment]:
+        """Merges the newest segments where ``fan`` of them are of a size or smaller."""
+        for tier in sorted({s.tier for s in segments}):
+            run = 0
+            while run < len(segments) and segments[-1 - run].tier <= tier:
+                run += 1
+            if run >= self.fan:
+                older, newest = segments[:-run], segments[-run:]
+                rows = self._latest(name, newest, None)
+                if not older:
+                    rows = rows.where("not _dead")
+                one = self._segment(name, rows, newest[-1].number, tier + 1, sum(s.bytes for s in newest))
+                return self._merged(name, [*older, one])
+        return segments
+
+    def compact(self, name: str) -> None:
+        """Makes one segment of all, without marks of what was removed."""
+        number, segments = self.state(name)
+        if len(segments) > 1:
+            rows = self._latest(name, segments, None).where("not _dead")
+            one = self._segment(name, rows, number + 1, max(s.tier for s in segments), sum(s.bytes for s in segments))
+            self._commit(name, number + 1, [one])
+
+    # -- reading ----------------------------------------------------------------------
+
+    def touched(self, name: str, keys: DataFrame, *columns: str) -> list[int]:
+        """The stored hashes of keys (of a batch, or of a frontier), each once."""
+        return sorted(r.h for r in keys.select(self.hashed(name, columns).alias("h")).distinct().collect())
+
+    def read(self, name: str, hashes: list[int] | None = None) -> DataFrame:
+        """The table, or the rows with some hashes, which are those of the keys that were asked
+        for and a few more."""
+        _, segments = self.state(name)
+        if not segments:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self._latest(name, segments, hashes).where("not _dead").select(*TABLES[name].fieldNames())
+
+    def _rows(self, name: str, segment: Segment, hashes: list[int] | None) -> DataFrame | None:
+        schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in TABLES[name].fields)}, _dead boolean, _h int"
+        path, system = self._path(name, segment.folder.rsplit("/", 1)[1])
+        there = {f.getPath().getName() for f in system.listStatus(path)}
+        wanted = there if hashes is None else {f"part={h & (segment.parts - 1)}" for h in hashes}
+        paths = sorted(f"{segment.folder}/{p}" for p in wanted & there if p.startswith("part="))
+        if not paths:
+            return None
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        return rows if hashes is None or len(hashes) > TESTED else rows.where(F.col("_h").isin(hashes))
+
+    def _union(self, name: str, segments: list[Segment], hashes: list[int] | None) -> DataFrame | None:
+        out = None
+        for s in segments:
+            rows = self._rows(name, s, hashes)
+            if rows is not None:
+                rows = rows.withColumn("_number", F.lit(s.number))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _latest(self, name: str, segments: list[Segment], hashes: list[int] | None) -> DataFrame:
+        """The rows that count, with marks of removed units. The oldest segment, which holds most,
+        isn't shuffled by unit with the rest: what the rest doesn't touch is its own."""
+        layout, columns = LAYOUTS[name], [*TABLES[name].fieldNames(), "_dead"]
+        unit = list(layout.unit)
+        base, rest = self._union(name, segments[:1], hashes), self._union(name, segments[1:], hashes)
+        if rest is None or base is None:
+            only = base if rest is None else rest
+            if only is None:
+                return self.spark.createDataFrame([], TABLES[name]).withColumn("_dead", F.lit(False))
+            return self._newest(only, layout, columns) if only is rest else only.select(*columns)
+        changed = rest.select(*unit).distinct()
+        kept = base.join(changed, unit, "left_anti")
+        if layout.highest:
+            rest = rest.unionByName(base.join(changed, unit, "left_semi"))
+        return kept.select(*columns).unionByName(self._newest(rest, layout, columns))
+
+    @staticmethod
+    def _newest(rows: DataFrame, layout: Layout, columns: list[str]) -> DataFrame:
+        unit = list(layout.unit)
+        if layout.highest:
+            return rows.groupBy(*unit).agg(F.max(layout.highest).alias(layout.highest), F.min("_dead").alias("_dead")).select(*columns)
+        newest = F.max("_number").over(Window.partitionBy(*unit))
+        return rows.withColumn("_newest", newest).where("_number = _newest").select(*columns)
+
     def wipe_chunks(self) -> None:
         """Drops the chunk layer; documents, edges, cursors and meta stay."""
         self.write("chunks", self.spark.createDataFrame([], TABLES["chunks"]))
@@ -238,25 +404,32 @@ class Tables:
 class Lease:
     """One writer at a time, over files. The holder of the newest numbered file holds the lease;
     the next number may be created, which one of several succeeds in, once that file has been
-    released or not been renewed for ``ttl`` seconds. ``clock`` gives seconds."""
+    released or not been renewed for ``ttl`` seconds. A file counts as renewed when it was made,
+    by the file system's own time, until its holder's first beat. ``clock`` gives seconds."""
 
     def __init__(self, spark: SparkSession, root: str, holder: str, ttl: float = 60.0, clock=time.time):
         self.spark, self.root, self.holder, self.ttl, self.clock = spark, f"{root.rstrip('/')}/_lease", holder, ttl, clock
         self.number: int | None = None
+        self.lost = False
 
     def _file(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _newest(self) -> tuple[int, bool, float]:
-        """The newest number, whether it was released, and when it was last renewed."""
+    def _listed(self) -> dict[str, float]:
+        """File names with the seconds since each was made."""
         path, system = self._file("")
         if not system.exists(path):
-            return 0, True, 0.0
-        names = [f.getPath().getName() for f in system.listStatus(path)]
+            return {}
+        return {f.getPath().getName(): time.time() - f.getModificationTime() / 1000 for f in system.listStatus(path)}
+
+    def _newest(self) -> tuple[int, bool, float]:
+        """The newest number, whether it was released, and the seconds since it was renewed."""
+        names = self._listed()
         number = max((int(n.split(".")[0]) for n in names), default=0)
         beats = [float(n.split(".", 2)[2]) for n in names if n.startswith(f"{number}.beat.")]
-        return number, f"{number}.released" in names or not number, max(beats, default=0.0)
+        age = self.clock() - max(beats) if beats else names.get(f"{number}.held", 0.0)
+        return number, f"{number}.released" in names or not number, age
 
     def _create(self, name: str) -> bool:
         path, system = self._file(name)
@@ -266,25 +439,59 @@ class Lease:
             return False
         return True
 
+    def _tidy(self) -> None:
+        """Removes the files of numbers that are over, and this number's beats but the newest."""
+        names = self._listed()
+        beats = sorted((n for n in names if n.startswith(f"{self.number}.beat.")), key=lambda n: float(n.split(".", 2)[2]))
+        for name in [n for n in names if int(n.split(".")[0]) < (self.number or 0)] + beats[:-1]:
+            path, system = self._file(name)
+            system.delete(path, False)
+
     def acquire(self) -> bool:
-        number, released, beat = self._newest()
-        if not released and number != self.number and self.clock() - beat <= self.ttl:
+        number, released, age = self._newest()
+        if not released and number != self.number and age <= self.ttl:
             return False
         if not released and number == self.number:
             return self.heartbeat()
         if not self._create(f"{number + 1}.held"):
             return False
-        self.number = number + 1
-        return self._create(f"{self.number}.beat.{self.clock():.3f}") or True
+        self.number, self.lost = number + 1, False
+        self._create(f"{self.number}.beat.{self.clock():.3f}")
+        self._tidy()
+        return True
 
     def heartbeat(self) -> bool:
         """Renews the lease; False if it has been lost."""
         number, released, _ = self._newest()
         if self.number is None or number != self.number or released:
+            self.lost = True
             return False
         self._create(f"{number}.beat.{self.clock():.3f}")
+        self._tidy()
         return True
 
+    @contextlib.contextmanager
+    def kept(self, every: float | None = None):
+        """Renews the lease from a thread of its own while the block runs, a quarter of ``ttl``
+        apart; once it is lost ``lost`` is set and stays."""
+        stop = threading.Event()
+
+        def beat():
+            while not stop.wait(every or self.ttl / 4):
+                try:
+                    if not self.heartbeat():
+                        return
+                except Exception:  # noqa: BLE001  a beat that fails is tried again; the time to live decides
+                    continue
+
+        thread = threading.Thread(target=beat, daemon=True)
+        thread.start()
+        try:
+            yield self
+        finally:
+            stop.set()
+            thread.join()
+
     def release(self) -> None:
         if self.number is not None:
             self._create(f"{self.number}.released")

@@ -23,7 +23,15 @@ PENDING = T.StructType([T.StructField(n, T.StringType()) for n in ("src_doc", "k
 CURSOR = T.StructType([T.StructField("connector", T.StringType()), T.StructField("payload", T.MapType(T.StringType(), T.StringType())), T.StructField("updated_at", T.TimestampType())])
 META = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 
-TABLES = {"documents": DOCUMENT, "chunks": CHUNK, "edges": EDGE, "pending_refs": PENDING, "cursors": CURSOR, "meta": META}
+LOOKUP_KEY = T.StructType([T.StructField(n, T.StringType()) for n in ("shape", "key", "doc_id", "source", "type")])
+WAITING = T.StructType([T.StructField(n, T.StringType()) for n in ("shape", "key")] + PENDING.fields)
+
+#: ``edges_in`` holds the edges again, dealt by their targets; ``keys`` every way to name a
+#: document, and ``waiting`` pending references by the names that they wait for.
+TABLES = {
+    "documents": DOCUMENT, "chunks": CHUNK, "edges": EDGE, "edges_in": EDGE, "pending_refs": PENDING,
+    "keys": LOOKUP_KEY, "waiting": WAITING, "cursors": CURSOR, "meta": META,
+}
 SCHEMA_VERSION = "1"
 
 REF_KINDS = ("url", "ticket_key", "commit_sha", "file_path", "pr_number")

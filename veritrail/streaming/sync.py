@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import chunking, embedding
 from ..operators import link, store
 from ..schema import TABLES
-from ..session import settled
 
 #: What a listener is told, in the order in which it happens (fixed values).
 PHASES = ("round_started", "batch_stored", "chunks_indexed", "connector_finished", "pending_linked", "round_finished", "failed")
@@ -65,44 +65,50 @@ class Sync:
         self.tables.write("meta", meta)
 
     def apply(self, batch: DataFrame, instance: str, now: datetime | None = None) -> None:
-        """Of rows that repeat an id the one changed last counts, and only its references are
-        linked. Each table's touched buckets alone are read and written."""
+        """Of rows that repeat an id the last of the batch counts, by its column ``position`` if it
+        has one, else by the time of change, and only its references are linked. What is read and
+        written follows the batch: the parts of the stored tables that its ids and names fall into."""
         batch = batch.persist()
         try:
             self._still_ours()
             link.check_instance(batch, instance)
-            latest = store.upsert_documents(batch.limit(0), batch.withColumn("_at", F.struct("updated_at", "created_at", F.xxhash64(*[c for c in batch.columns if c != "refs"]))), "_at").persist()
+            columns = [c for c in batch.columns if c not in ("refs", "position")]
+            at = F.struct("updated_at", "created_at", F.xxhash64(*columns))
+            order = F.struct(F.col("position"), at) if "position" in batch.columns else at
+            latest = store.upsert_documents(batch.limit(0), batch.withColumn("_at", order), "_at").drop("position").persist()
             refs = latest.select(F.col("doc_id").alias("src_doc"), F.explode("refs").alias("r")).select("src_doc", "r.kind", "r.value", F.coalesce("r.instance", F.lit("")).alias("instance"))
             link.check_kinds(refs)
-            rows = latest.drop("refs")
-            some = self.tables.touched("documents", rows, "doc_id")
-            self.tables.write("documents", store.upsert_documents(self.tables.read("documents", some), rows), some)
+            rows, tables = latest.drop("refs"), self.tables
+            changed = self.links.arrived(rows)
+            tables.put("documents", rows)
             n = rows.count()
             self.events.tell(self.round, instance, "batch_stored", n)
             chunks = embedding.with_embeddings(chunking.chunk(rows), self.model, self.width).select(*TABLES["chunks"].fieldNames()).persist()
-            self.tables.write("chunks", store.replace_chunks(self.tables.read("chunks", some), rows, chunks, self.tables.read("documents", some), self.width), some)
+            if not chunks.where(F.size("embedding") != self.width).isEmpty():
+                raise store.BadRequest(f"a chunk's vector isn't of width {self.width}")
+            tables.put("chunks", chunks, rows.select("doc_id"))
             self.events.tell(self.round, instance, "chunks_indexed", n, chunks.count())
             chunks.unpersist()
-            self._link(refs)
+            self.links.link(refs.unionByName(self.links.woken(changed)))
             mark = rows.agg(F.max(F.struct("updated_at", "doc_id")).alias("m")).first().m
             moment = now or datetime.now(timezone.utc).replace(microsecond=0)
             cursor = {"updated_at": f"{mark.updated_at:%Y-%m-%dT%H:%M:%SZ}", "doc_id": mark.doc_id}
-            self.tables.write("cursors", store.put_cursor(self.tables.read("cursors"), instance, cursor, moment))
+            tables.put("cursors", self.spark.createDataFrame([(instance, cursor, moment)], TABLES["cursors"]))
         finally:
             batch.unpersist()
 
-    def _link(self, refs: DataFrame) -> None:
-        """Links references; edges and pending references are of the buckets of their sources."""
-        some, waits = self.tables.touched("edges", refs, "src_doc"), self.tables.touched("pending_refs", refs, "src_doc")
-        if not some:
-            return
-        edges, pending = link.link(refs, self.tables.read("documents"), self.tables.read("edges", some), self.tables.read("pending_refs", waits), self.commit_files)
-        edges, pending = settled(edges), settled(pending)
-        self.tables.write("edges", edges, some)
-        self.tables.write("pending_refs", pending, waits)
+    @property
+    def links(self) -> link.LinkIndex:
+        return link.LinkIndex(self.tables, self.commit_files)
+
+    def cursor(self, instance: str) -> dict[str, str] | None:
+        """How far a source has been read, from the store: what a stream without a checkpoint of
+        its own starts from."""
+        row = self.tables.read("cursors").where(F.col("connector") == instance).first()
+        return row and dict(row.payload)
 
     def _still_ours(self) -> None:
-        if self.lease is not None and not self.lease.heartbeat():
+        if self.lease is not None and (self.lease.lost or not self.lease.heartbeat()):
             raise LostLease("another process has taken the store over")
 
     def stream(self, changes: DataFrame, instance: str, checkpoint: str, every: str | None = None, seen: list | None = None):
@@ -121,10 +127,14 @@ class Sync:
     def run(self, sources: dict[str, DataFrame], checkpoints: str) -> dict[str, str] | None:
         """One round: sources one after another, each failing by itself; then what waits for a
         target is tried again. Returns the failures, or None without doing anything if another
-        process holds the store; a round whose lease is lost ends there."""
+        process holds the store; a round whose lease is lost ends there. The lease is renewed by a
+        thread of its own, so that a long batch doesn't lose it."""
         if self.lease is not None and not self.lease.acquire():
             return None
-        try:
+        with contextlib.ExitStack() as stack:
+            if self.lease is not None:
+                stack.callback(self.lease.release)
+                stack.enter_context(self.lease.kept())
             self.guard()
             self.round += 1
             self.events.tell(self.round, "", "round_started")
@@ -142,13 +152,11 @@ class Sync:
                     failed[instance] = str(e)[:500]
                     self.events.tell(self.round, instance, "failed")
             self._still_ours()
-            self._link(settled(self.tables.read("pending_refs")))
+            if self.commit_files is not None:
+                self.links.relink()  # histories may have grown; all else has been woken by what arrived
             self.events.tell(self.round, "", "pending_linked")
             self.events.tell(self.round, "", "round_finished")
             return failed
-        finally:
-            if self.lease is not None:
-                self.lease.release()
 
     def every(self, sources: dict[str, DataFrame], checkpoints: str, seconds: float = 1800.0, rounds: int | None = None, sleep=time.sleep) -> int:
         """Rounds on a schedule, the first after one interval; one that finds the store held is
