@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import display
 from veritrail.operators import store
-from veritrail.plans import encoding, synthesis
+from veritrail.plans import synthesis
 from veritrail.sources import changes, fetch, forge, plugin, trackers
 
 T = "2024-06-0{}T10:00:00Z"
@@ -174,31 +174,44 @@ def test_ages_and_inert_text(spark):
     assert texts.select(display.inert_line(F.col("t"))).first()[0] == "plain\\ttext\\n"
 
 
-def test_synthesis(spark):
-    nodes = [{"node": "a", "title": "A", "url": "https://a", "excerpt": "one\ntwo", "source": "s", "type": "page", "role": "seed"}, {"node": "b", "title": "B", "url": "https://b"}]
-    text = synthesis.prompt("why? ", nodes, [["a", "b"], ["a", "gone"]], [], {"query": "why?"})
-    assert "[1] A" in text and "- [1] -> [2]" in text and "- [1] -> gone" in text and "  | two" in text and text.endswith("Gaps:\n- none\n") and "unknown" in text
-    synthesis.check("It is so [1], and [ 2 ].", 2)
-    for bad in ("nothing", "[3]", "[0]", "see [1](https://a)"):
-        with pytest.raises(synthesis.Ungrounded):
-            synthesis.check(bad, 2)
-    synthesis.check("nothing", 0)
-    assert synthesis.sources(nodes) == "\n\n**Sources**\n\n1. A — https://a\n2. B — https://b\n" and synthesis.sources([]) == ""
-    with pytest.raises(store.Precondition):
-        synthesis.synthesize("q", None, None)
-    rows = spark.createDataFrame([("x",), (None,)], "p string")
-    assert [r[0] for r in rows.select(synthesis.completed(F.col("p"), lambda system, p: p + "!")).collect()] == ["x!", None]
-    answers = spark.createDataFrame([("so [1]", 1), ("so [2]", 1), ("so", 1), ("so", 0)], "answer string, n int")
-    assert [r.answer for r in synthesis.grounded(answers).collect()] == ["so [1]", "so"]
-
-
-def test_bundles_in_binary(spark):
-    raw = encoding.encode("why é", [{"node": "a", "role": "seed", "score": 0.5, "title": "T", "url": None, "rank": 300}], [["a", "b"]], ["gap"])
-    found = list(encoding.read(raw))
-    assert found[0] == (1, "why é".encode()) and found[2:] == [(3, b"\n\x01a\n\x01b"), (4, b"gap")]
-    assert list(encoding.read(found[1][1])) == [(1, b"a"), (2, b"seed"), (3, 0.5), (4, b"T"), (6, 300)]
-    row = spark.sql("select 'q' question, array(named_struct('node', 'a', 'role', 'seed', 'score', 0.5D, 'title', 'T', 'url', 'u', 'rank', 1L)) nodes, array(array('a', 'b')) chains, array('g') gaps")
-    assert [k for k, _ in encoding.read(encoding.bundle_binary(row).first().binary)] == [1, 2, 3, 4]
+def test_answers_over_bundles(spark):
+    shape = "question string, nodes array<struct<rank:bigint,node:string,role:string,score:double,title:string,url:string>>, chains array<array<string>>, gaps array<string>"
+    nodes = [(1, "a", "seed", 0.5, "A | B\nC", "https://a"), (2, "b", "linked_change", None, "B", "https://b")]
+    made = [("why?", nodes, [["a", "b"], ["a", "gone"]], ["no page"]), ("none", [], [], []), (None, [], [], [])]
+    bundles = spark.createDataFrame(made, shape)
+    texts = [r[0] for r in bundles.select(synthesis.prompt(*(F.col(c) for c in ("question", "nodes", "chains", "gaps")))).collect()]
+    assert texts[0].split("\n") == ["why?", "", "row | title | role | score | address", "1 | A B C | seed | 0.5 | https://a", "2 | B | linked_change |  | https://b", "linked: [1] then [2]", "linked: [1] then gone", "missing: no page"]
+    said = {"good": "so [2], and [ 1 ] ", "beyond": "so [3]", "nothing": "so", "link": "see [1](https://a)"}
+    for name, text in said.items():
+        got = {r.question: r for r in synthesis.answered(bundles, lambda task, prompt, text=text: text).collect()}
+        assert got["why?"].grounded == (name == "good") and got["none"].grounded == (name == "nothing") and not got[None].grounded and got[None].answer is None
+        assert [(x.row, x.title) for x in got["why?"].sources] == {"good": [(1, "A | B\nC"), (2, "B")], "link": [(1, "A | B\nC")]}.get(name, [])
+
+
+def test_waits_that_a_service_asks_for():
+    assert fetch.wait_of("7", 0) == 7.0 and fetch.wait_of(None, 0) is None and fetch.wait_of("soon", 0) is None
+    assert fetch.wait_of("Wed, 21 Oct 2015 07:28:30 GMT", 1445412480) == 30.0 and fetch.wait_of("Wed, 21 Oct 2015 07:28:00 GMT", 2e9) == 0.0
+    left, waits = [fetch.Response(429, headers={"Retry-After": "Wed, 21 Oct 2015 07:28:30 GMT"}), fetch.Response(200, [])], []
+    assert fetch.Client(lambda request: left.pop(0), sleep=waits.append, now=lambda: 1445412480.0).get("/x").status == 200 and waits == [30.0]
+
+
+def test_scope_by_doubling(spark):
+    """Random trees with cycles, pages without a parent and roots that aren't pages, against walking up."""
+    import random
+
+    rng, key = random.Random(4), lambda n: f"{n:032x}"
+    up = {i: rng.choice([None, i, *range(1, 80)]) if i % 7 == 0 else max(1, i - rng.choice([1, 1, 2])) for i in range(1, 80)}
+    up[3] = 500  # a root that isn't listed
+    rows = [(key(i), (("page_id", key(p), None, None) if p else None)) for i, p in up.items()]
+    pages = spark.createDataFrame(rows, "id string, parent struct<type:string,page_id:string,block_id:string,database_id:string>")
+    for roots in ([20], [500, 41], [999]):
+        def reached(n, left=32):
+            return n in roots or (left > 0 and up.get(n) is not None and reached(up[n], left - 1))
+
+        got = {r.id for r in trackers.in_scope(pages, spark.createDataFrame([(key(r),) for r in roots], "id string")).collect()}
+        assert got == {key(i) for i in up if reached(i)} | {key(r) for r in roots}
+    given = pages.withColumn("properties", F.lit(json.dumps({"Name": {"id": "a", "type": "title", "title": [{"plain_text": "T"}]}})))
+    assert trackers.root_of(given, "https://www.notion.so/Plan-" + key(5)) == key(5) and trackers.root_of(given.limit(1), "T") == key(1)
 
 
 def test_manifests():

@@ -721,14 +721,16 @@ def commit_lookup(spark, folder):
 
 
 @query(
-    f"""with {D}, r as (select distinct doc_id src, concat('src/m', n % 40, '.py') path from d where type <> 'commit'),
-f as (select concat('r', n % 2) repo, concat('src/m', n % 40, '.py') path, n, row_number() over (partition by n % 2, n % 40 order by created_s desc, md5(cast(n as varchar))) k from d where n % 5 = 0 or n % 5 = 3)
+    f"""with {D}, r as (select distinct doc_id src, concat('src/m', n // 5 % 40, '.py') path from d where type <> 'commit'),
+f as (select concat('r', n % 2) repo, concat('src/m', n // 5 % 40, '.py') path, n, row_number() over (partition by n % 2, n // 5 % 40 order by created_s desc, md5(cast(n as varchar))) k from d)
 select src, d.doc_id dst from r join f using (path) join d on d.n = f.n where k <= 50 and d.type = 'commit' and src <> d.doc_id"""
 )
 def path_commits(spark, folder):
+    """Every document is a commit of one of two clones; every fifth is an indexed one."""
     rows = T.documents(spark, folder)
-    refs = rows.where("type <> 'commit'").select(F.col("doc_id").alias("src_doc"), F.lit("file_path").alias("kind"), F.concat(F.lit("src/m"), F.col("n") % 40, F.lit(".py")).alias("value"), F.lit("").alias("instance"))
-    files = rows.where("n % 5 = 0 or n % 5 = 3").select(F.concat(F.lit("r"), F.col("n") % 2).alias("repo"), F.concat(F.lit("src/m"), F.col("n") % 40, F.lit(".py")).alias("path"), F.md5(F.col("n").cast("string")).alias("sha"), F.col("created_at").alias("time"))
+    path = F.concat(F.lit("src/m"), F.floor(F.col("n") / 5) % 40, F.lit(".py"))
+    refs = rows.where("type <> 'commit'").select(F.col("doc_id").alias("src_doc"), F.lit("file_path").alias("kind"), path.alias("value"), F.lit("").alias("instance"))
+    files = rows.select(F.concat(F.lit("r"), F.col("n") % 2).alias("repo"), path.alias("path"), F.md5(F.col("n").cast("string")).alias("sha"), F.col("created_at").alias("time"))
     return L.path_targets(refs, files, rows).select(F.col("src_doc").alias("src"), F.col("doc_id").alias("dst"))
 
 
@@ -779,7 +781,8 @@ def _found(seed_role: str, walked_role: str, matches: str = "") -> str:
 )"""
 
 
-_MATCHES = "union all select doc_id, 'semantic_match', null, relevance / max(relevance) over (), created_s from (select * from lifted where {0}) where doc_id not in (select node from walked)"
+#: Matches are scaled by the best of all of them, those that the walk has found too.
+_MATCHES = "union all select doc_id, 'semantic_match', null, relevance / most, created_s from (select *, max(relevance) over () most from lifted where {0}) where doc_id not in (select node from walked)"
 
 
 @query(f"with {D}, {walk_ctes(_SEED_40, T.DOC_EDGES, 2, admitted='select doc_id from d')}, {_found('seed', _ROLE)} {_BY_TIME}")
@@ -800,7 +803,7 @@ def impact_of(spark, folder):
     return _nodes(_engine(spark, folder).impact_of("https://ex.test/d/40"))
 
 
-_LOG = "select row_number() over (order by doc_id desc) as position, md5(cast(doc_id as {0})) sha from documents where doc_id % 5 < 2"
+_LOG = "select row_number() over (order by doc_id desc) as position, md5(cast(doc_id as {0})) sha from documents"
 
 
 @query(
@@ -826,21 +829,6 @@ def why(spark, folder):
     return _nodes(_engine(spark, folder).why(blame, "version", "the license of thing"))
 
 
-_SCALED = "union all select doc_id, 'semantic_match', null, relevance / most, created_s from (select *, max(relevance) over () most from lifted) where doc_id not in (select node from walked)"
-
-
-@query(
-    f"""with {bm25_ctes(phrases=_phrases([(1, "the license of thing version moved")]))}, {knn_ctes(asked=_ONE_VECTOR)}, {RRF}, {LIFT},
-{walk_ctes("select 1 query_id, doc_id node, x.a pos from d join (values " + ", ".join(map(str, _WHY)) + ") x(b, a) on b = n and type = 'commit'", T.DOC_EDGES, 3, admitted="select doc_id from d")},
-{_found("blamed_commit", _ROLE, _SCALED)}
-select node, role, hops::bigint hops, round(score, 6) score, row_number() over (order by score desc, created_s desc, node) as rank from found"""
-)
-def why_scaled(spark, folder):
-    """``why``, held against SQL that scales by the best of all matches as the engine does; the
-    SQL of ``why`` takes the best of those that the walk hasn't found."""
-    return why(spark, folder)
-
-
 @query("select md5(case when length(text) <= 8000 then text else concat(substr(text, 1, 8000), chr(10), chr(10), '[truncated: 8,000 of ', format('{:,}', length(text)), ' characters shown.]') end) passage from documents where doc_id = 40")
 def focus(spark, folder):
     doc = T.documents(spark, folder).where("n = 40").first().doc_id
@@ -886,14 +874,14 @@ def _by_kind(refs):
 
 
 @query(
-    """select concat('gitlab:pr:g/p/pull/', doc_id) doc_id, 'gitlab:g/p' repo_ref, concat('m', doc_id) title, 'ann' author, concat('commit_sha=', md5(cast(doc_id as varchar)), '|pr_number=g/p#', doc_id + 2) refs, 1704067200 + doc_id * 60 updated_s from documents where doc_id % 2 = 0
+    """select concat('gitlab:pr:g/p/pull/', doc_id) doc_id, 'gitlab:g/p' repo_ref, concat('m', doc_id) title, 'ann' author, concat('commit_sha=', md5(cast(doc_id as varchar)), '|pr_number=g/p#', doc_id + 2) refs, 1704067200 + doc_id * 60 updated_s from documents
 union all select concat('gitlab:', case k when 0 then 'pr_review' else 'review_comment' end, ':g/p/pull/', doc_id, '#note_', doc_id * 10 + k), 'gitlab:g/p', concat(case k when 0 then 'Review on' else 'Review comment on' end, ' g/p!', doc_id, ': n', doc_id, '.py'), 'eve', concat('file_path=n', doc_id, '.py|pr_number=g/p#', doc_id), 1704067200 + doc_id * 60
-from documents, (select unnest([0, 2]) k) where doc_id % 2 = 0"""
+from documents, (select unnest([0, 2]) k)"""
 )
 def gitlab_documents(spark, folder):
     at = "date_format(timestamp_seconds(1704067200 + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
     note = lambda k, system: f"named_struct('id', doc_id * 10 + {k}, 'body', 'x', 'system', {system}, 'author', named_struct('username', 'eve', 'name', 'E'), 'created_at', {at}, 'updated_at', {at}, 'position', named_struct('new_path', concat('n', doc_id, '.py'), 'old_path', concat('n', doc_id, '.py')))"
-    merges = _payload(spark, folder, "merge_requests", f"'slug', 'g/p', 'iid', doc_id, 'title', concat('m', doc_id), 'description', concat('closes !', doc_id + 2), 'web_url', '', 'source_branch', 'x', 'author', named_struct('username', 'ann', 'name', 'A'), 'created_at', {at}, 'updated_at', {at}, 'commits', array(named_struct('id', md5(cast(doc_id as string)))), 'discussions', array(named_struct('individual_note', false, 'notes', array({note(0, 'false')}, {note(1, 'true')}, {note(2, 'false')})))", "doc_id % 2 = 0")
+    merges = _payload(spark, folder, "merge_requests", f"'slug', 'g/p', 'iid', doc_id, 'title', concat('m', doc_id), 'description', concat('closes !', doc_id + 2), 'web_url', '', 'source_branch', 'x', 'author', named_struct('username', 'ann', 'name', 'A'), 'created_at', {at}, 'updated_at', {at}, 'commits', array(named_struct('id', md5(cast(doc_id as string)))), 'discussions', array(named_struct('individual_note', false, 'notes', array({note(0, 'false')}, {note(1, 'true')}, {note(2, 'false')})))")
     return _flat(forge.gitlab(spark, merges))
 
 
@@ -911,13 +899,13 @@ def jira_documents(spark, folder):
 
 @query(
     """select concat('notion:page:', md5(cast(doc_id as varchar))) doc_id, '' repo_ref, concat('P', doc_id) title, '' author, concat('url=https://www.notion.so/', md5(cast(doc_id // 2 as varchar))) refs, 1704067200 + doc_id * 60 updated_s
-from documents where doc_id % 4 <> 3 and (doc_id = 1 or doc_id // 2 = 1 or doc_id // 4 = 1 or doc_id // 8 = 1 or doc_id // 16 = 1)"""
+from documents where doc_id % 4 <> 3 and list_contains([doc_id >> k for k in range(33)], 5)"""
 )
 def notion_documents(spark, folder):
-    """Pages whose parent is the page of half the number, in the scope of page 1, not in the trash."""
+    """Pages whose parent is the page of half the number, in the scope of page 5, not in the trash."""
     at = "date_format(timestamp_seconds(1704067200 + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
     half = "md5(cast(cast(floor(doc_id / 2) as bigint) as string))"
     properties = f"to_json(named_struct('Name', named_struct('id', 'a', 'type', 'title', 'title', array(named_struct('plain_text', concat('P', doc_id))), 'relation', cast(null as array<struct<id:string>>)), 'Up', named_struct('id', 'b', 'type', 'relation', 'title', cast(null as array<struct<plain_text:string>>), 'relation', array(named_struct('id', {half})))))"
-    rows = _payload(spark, folder, "pages", f"'id', md5(cast(doc_id as string)), 'created_time', {at}, 'last_edited_time', {at}, 'url', 'u', 'in_trash', doc_id % 4 = 3, 'archived', false, 'parent', named_struct('type', 'page_id', 'page_id', {half}), 'properties', {properties}, 'blocks', '[]'", "doc_id between 1 and 31")
-    roots = T.view(spark, folder, "select md5('1') id from region limit 1")
+    rows = _payload(spark, folder, "pages", f"'id', md5(cast(doc_id as string)), 'created_time', {at}, 'last_edited_time', {at}, 'url', 'u', 'in_trash', doc_id % 4 = 3, 'archived', false, 'parent', named_struct('type', 'page_id', 'page_id', {half}), 'properties', {properties}, 'blocks', '[]'")
+    roots = spark.range(1).select(F.md5(F.lit("5")).alias("id"))
     return _flat(trackers.notion(spark, rows, roots=roots))

@@ -1,111 +1,63 @@
-"""An answer in prose from a bundle, by a completion model that the caller supplies.
+"""Answers in prose from bundles, by a completion model that the caller supplies.
 
-The bundle is small (an answer's documents), so prompt and check run on the driver. The model is
-any callable ``complete(system, prompt) -> str``; over many questions it is a column
-(:func:`completed`), Arrow-batched like the embedder.
+A bundle is a row (question, nodes, chains, gaps), so many are answered in one job: the prompt is
+a native column over the row, the model an Arrow-batched column, and what it says is held
+against the bundle by a native test of its citations.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.store import BadRequest, Precondition
+from ..functions.text import cites
 
 Complete = Callable[[str, str], str]
-CITED = re.compile(r"\[\s*(\d+)\s*\]")
-SYSTEM = (
-    "You explain why something was decided, from numbered documents alone. Mark each claim with the number of the document that "
-    "shows it, in square brackets. Say what the documents leave open. Plain paragraphs, no headings, no links."
+#: What the model is told besides a prompt.
+TASK = (
+    "Below are a question and a table of documents. Answer from the table alone. After each statement give the row it rests on, "
+    "as [row]. Name what the rows don't tell. Write running text."
 )
 
 
-class Ungrounded(Exception):
-    """An answer that cites what isn't there, or nothing."""
-
-
-def _time(t: datetime | None) -> str:
-    if t is None:
-        return "unknown"
-    return (t if t.tzinfo is None else t.astimezone(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
-
-
-def anchor_line(anchor: dict) -> str:
-    """What an answer hangs on: the question, code, document and window that it has."""
-    parts = []
-    if anchor.get("query"):
-        parts.append(f'question "{anchor["query"]}"')
-    if anchor.get("kind") == "code" and anchor.get("file"):
-        parts.append(f"code {anchor['file']}:{anchor['line_start']}-{anchor['line_end']}, last touched by {', '.join(anchor.get('shas') or []) or 'unknown'}")
-    if anchor.get("doc_id"):
-        parts.append(f"document {anchor['doc_id']}")
-    if anchor.get("window"):
-        w = anchor["window"]
-        parts.append(f"between {_time(w.since)} and {_time(w.until)} ({w.derivation or 'unknown'})")
-    return "; ".join(parts) or "none"
-
-
-def prompt(question: str, nodes: list[dict], chains: list[list[str]], gaps: list[str], anchor: dict | None = None) -> str:
-    """The numbered documents with what is known of each, chains by those numbers, and gaps."""
-    number = {n["node"]: i for i, n in enumerate(nodes, 1)}
-    out = [f"Question: {question.strip()}", f"Anchor: {anchor_line(anchor or {})}", "", "Documents, cited by number:"]
-    for i, n in enumerate(nodes, 1):
-        facts = {"from": n.get("source"), "type": n.get("type"), "role": n.get("role"), "by": n.get("author") or "unknown", "on": _time(n.get("created_at")), "at": n.get("url")}
-        out += ["", f"[{i}] {n.get('title') or ''}", *(f"  {k}: {v}" for k, v in facts.items() if v), *(f"  | {line}" for line in (n.get("excerpt") or "").splitlines())]
-    listed = lambda lines: [f"- {line}" for line in lines] or ["- none"]
-    out += ["", "Chains:", *listed(" -> ".join(f"[{number[x]}]" if x in number else x for x in c) for c in chains if c)]
-    return "\n".join([*out, "", "Gaps:", *listed(gaps), ""])
-
-
-def check(answer: str, n: int) -> None:
-    """Every citation names one of n documents as a bare number, and there is one if n isn't 0."""
-    marks = list(CITED.finditer(answer))
-    for m in marks:
-        if not 1 <= int(m[1]) <= n:
-            raise Ungrounded(f"[{m[1]}] is none of the {n} documents")
-        if answer[m.end() : m.end() + 1] == "(":
-            raise Ungrounded(f"[{m[1]}] is written as a link; the list of sources has the addresses")
-    if n and not marks:
-        raise Ungrounded(f"nothing in the answer rests on one of the {n} documents")
-
-
-def sources(nodes: list[dict]) -> str:
-    """The list that an answer ends with."""
-    lines = [f"{i}. {n['title']} — {n['url']}" for i, n in enumerate(nodes, 1)]
-    return "\n\n**Sources**\n\n" + "\n".join(lines) + "\n" if lines else ""
-
-
-def synthesize(question: str, answer, complete: Complete | None) -> str:
-    """The model's checked answer to a bundle (an ``Answer`` of the verbs), and its sources."""
-    if complete is None:
-        raise Precondition("no model for answers is configured")
-    if answer is None:
-        raise BadRequest("an answer is made from a bundle")
-    nodes = [r.asDict() for r in answer.nodes.orderBy("rank").collect()]
-    chains = [list(r.chain) for r in answer.chains.orderBy("rank").collect()]
-    gaps = [r.message for r in answer.gaps.orderBy("position").collect()]
-    text = complete(SYSTEM, prompt(question, nodes, chains, gaps, answer.anchor)).strip()
-    check(text, len(nodes))
-    return text + sources(nodes)
-
-
-def completed(prompts: Column, complete: Complete, system: str = SYSTEM) -> Column:
+def prompt(question: Column, nodes: Column, chains: Column, gaps: Column) -> Column:
+    """The text of a bundle: its documents as rows of a table, chains as row numbers (a document
+    outside the table by its id), and gaps."""
+    cell = lambda value: F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"\s*[\n|]\s*", " ")
+    row = lambda n, i: F.concat_ws(" | ", (i + 1).cast("string"), *(cell(n[k]) for k in ("title", "role", "score", "url")))
+    ids = F.transform(nodes, lambda n: n["node"])
+    place = lambda x: F.array_position(ids, x)
+    chain = lambda c: F.array_join(F.transform(c, lambda x: F.when(place(x) > 0, F.concat(F.lit("["), place(x), F.lit("]"))).otherwise(x)), " then ")
+    parts = [
+        F.array(question, F.lit(""), F.lit("row | title | role | score | address")),
+        F.transform(nodes, row),
+        F.transform(chains, lambda c: F.concat(F.lit("linked: "), chain(c))),
+        F.transform(gaps, lambda g: F.concat(F.lit("missing: "), g)),
+    ]
+    return F.array_join(F.concat(*parts), "\n")
+
+
+def completed(prompts: Column, complete: Complete, task: str = TASK) -> Column:
     """A column of the model's answers, null for null; the model is called once a prompt."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else complete(system, v) for v in values], dtype=object)
+        return pd.Series([None if v is None else complete(task, v) for v in values], dtype=object)
 
     return run(prompts)
 
 
-def grounded(answers: DataFrame, answer: str = "answer", n: str = "n") -> DataFrame:
-    """The rows whose answer passes :func:`check`, as a native filter over many answers."""
-    from ..functions.text import cites
-
-    return answers.where(cites(F.col(answer), F.col(n)))
+def answered(bundles: DataFrame, complete: Complete, task: str = TASK) -> DataFrame:
+    """``question, answer, grounded, sources`` for each bundle. ``grounded``: the answer cites rows
+    of its bundle only, and some if there are any, none of them as a link; ``sources`` are the
+    cited rows (row, title, url) in order. A null question gives a null answer that isn't grounded."""
+    asked = bundles.select("question", "nodes", F.when(F.col("question").isNotNull(), prompt(*(F.col(c) for c in ("question", "nodes", "chains", "gaps")))).alias("prompt"))
+    told = asked.select("question", "nodes", F.trim(completed(F.col("prompt"), complete, task)).alias("answer"))
+    cited = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(r"\[\s*(\d{1,9})\s*\]"), F.lit(1)), lambda x: x.cast("int"))))
+    inside = F.filter(cited, lambda k: (k >= 1) & (k <= F.size("nodes")))
+    listed = F.transform(inside, lambda k: F.struct(k.alias("row"), F.get("nodes", k - 1)["title"].alias("title"), F.get("nodes", k - 1)["url"].alias("url")))
+    linked = F.regexp_like(F.col("answer"), F.lit(r"\[\s*\d+\s*\]\("))
+    return told.select("question", "answer", F.coalesce(cites(F.col("answer"), F.size("nodes")) & ~linked, F.lit(False)).alias("grounded"), F.coalesce(listed, F.array().cast("array<struct<row:int,title:string,url:string>>")).alias("sources"))

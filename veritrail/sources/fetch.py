@@ -15,6 +15,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -40,12 +41,27 @@ class Response:
     headers: dict = field(default_factory=dict)
 
 
+def wait_of(header: str | None, now: float) -> float | None:
+    """Seconds to wait by a header that gives them or the date of the end; None if it says nothing
+    that can be read."""
+    if not header:
+        return None
+    try:
+        return max(0.0, float(header))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(header).timestamp() - now)
+    except ValueError:
+        return None
+
+
 class Client:
     """Asks again after a 429, a 5xx or a broken connection, as :func:`retrying` does, and refuses
     any other answer that isn't a success."""
 
-    def __init__(self, send: Callable[[Request], Response], attempts: int = 5, first: float = 1.0, most: float = 30.0, longest_wait: float = 120.0, sleep=time.sleep):
-        self.send, self.sleep = send, sleep
+    def __init__(self, send: Callable[[Request], Response], attempts: int = 5, first: float = 1.0, most: float = 30.0, longest_wait: float = 120.0, sleep=time.sleep, now=time.time):
+        self.send, self.sleep, self.now = send, sleep, now
         self.limits = {"attempts": attempts, "first": first, "most": most, "longest_wait": longest_wait}
 
     def ask(self, method: str, path: str, params: dict | None = None, body: dict | None = None) -> Response:
@@ -56,7 +72,7 @@ class Client:
                 raise Transient(str(e)) from e
             if found.status == 429 or found.status >= 500:
                 wait = {k.lower(): v for k, v in found.headers.items()}.get("retry-after")
-                raise Transient(f"{path}: {found.status}", float(wait) if wait else None)
+                raise Transient(f"{path}: {found.status}", wait_of(wait, self.now()))
             if not 200 <= found.status < 300:
                 raise BadRequest(f"{path}: {found.status}")
             return found
