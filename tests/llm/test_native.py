@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,14 @@ def test_policies_and_ablations(spark):
             assert r.failing == ledger.where(F.col("failure_bits").bitwiseAND(F.lit(bit)) != 0).count()
             assert r.kept_without == ledger.where(F.col("failure_bits").bitwiseAND(F.lit(others)) == 0).count()
             assert r.kept_without - kept == r.failing_alone
+
+
+def test_license_scan_of_a_megabyte_of_matches(spark):
+    """Four times the text takes about four times as long, besides planning."""
+    seconds = []
+    for n in (1, 40_000, 160_000):
+        began = time.perf_counter()
+        found = licenses.scan(spark.createDataFrame([(1, "cc by, " * n)], "doc_id int, text string")).first()
+        seconds.append(time.perf_counter() - began)
+        assert (found.n_words, found.n_base, found.first_word, found.last_word, found.base_labels) == (2 * n, n, 0, 2 * n - 2, "cc-by")
+    assert seconds[2] < 6 * max(seconds[1], 2) and seconds[2] < 60

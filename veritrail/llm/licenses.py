@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -256,18 +257,23 @@ def _words(part: Column) -> Column:
 _PLACES = "array<struct<start:bigint,end:bigint,place:int>>"
 
 
+def _running(values: Column, join) -> Column:
+    """Running sums or maxima of an array, by joining each item with the one 1, 2, 4, ... places
+    before it: a whole new array for each power of two, so n items cost n log n."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int") - 1)
+    step = lambda a, k: F.transform(a, lambda x, i: join(x, F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0).cast("bigint"))))
+    return F.aggregate(steps, values, step)
+
+
 def _spans(norm: Column, rule: Column) -> Column:
-    """All places of a rule, as ``(start, end, place)`` in words, by cutting the text at it."""
+    """All places of a rule, as ``(start, end, place)`` in words, by cutting the text at it: a
+    match ends after as many words as the pieces and matches up to it hold."""
 
     def of(pieces: Column, found: Column) -> Column:
-        def step(state: Column, k: Column) -> Column:
-            start = state["at"] + _words(F.get(pieces, k))
-            end = start + _words(F.get(found, k))
-            span = F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), rule["place"].alias("place"))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-        zero = F.struct(F.lit(0.0).alias("at"), F.array().cast(_PLACES).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
+        own = F.transform(found, lambda f: _words(f).cast("bigint"))
+        both = F.transform(own, lambda n, k: n + _words(F.get(pieces, k)).cast("bigint"))
+        ends = let(both, lambda c: _running(c, lambda x, y: x + y))
+        return F.zip_with(ends, own, lambda e, n: F.struct((e - n).alias("start"), e.alias("end"), rule["place"].alias("place")))
 
     none = F.array().cast(_PLACES)
     found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
@@ -278,16 +284,17 @@ def _unsuppressed(spans: Column) -> Column:
     """Spans that none contains: by start, longest first, then priority, a span is contained
     in an earlier one exactly if it doesn't end beyond all of them."""
     order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["place"].alias("place"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<struct<start:bigint,less:bigint,place:int>>").alias("out"))
-    return F.aggregate(
-        order,
-        zero,
-        lambda state, s: F.struct(
-            F.greatest(state["upto"], -s["less"]).alias("upto"),
-            F.when(-s["less"] > state["upto"], F.concat(state["out"], F.array(s))).otherwise(state["out"]).alias("out"),
-        ),
-        lambda state: state["out"],
-    )
+
+    def left(o: Column) -> Column:
+        upto = _running(F.transform(o, lambda s: -s["less"]), F.greatest)
+        return let(upto, lambda m: F.filter(o, lambda s, i: -s["less"] > F.coalesce(F.get(m, i - 1), F.lit(0).cast("bigint"))))
+
+    return let(order, left)
+
+
+def _table(value, schema: str) -> Column:
+    """A table as one literal, so that a plan doesn't grow with the rules."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,18 +308,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text counts as empty: no words, no labels, score 0. Rows are independent, so repeated ids,
     rows without one and an empty table need nothing; only the two named columns are read,
     whatever else the table has. Everything is a native expression of one narrow pass over
-    the whole text, whatever its length: texts without a keyword cost one replacement and a
-    few searches, others a search for each rule whose keywords they hold.
+    the whole text: texts without a keyword cost one replacement and a few searches, others a
+    search for each rule whose keywords they hold, and what is found is sorted and summed in
+    time n log n of the number of places, so a very long text costs about its length.
     """
     table = rules()
     # rules by their two keywords, so that a text looks at those alone whose keywords it holds
     grouped: dict[tuple[str, str], list[Rule]] = {}
     for r in table:
         grouped.setdefault((r.keyword, r.also), []).append(r)
-    of_rule = lambda r: F.struct(F.lit(r.place).alias("place"), F.lit(r.pattern).alias("pattern"))
-    listed = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(also).alias("also"), F.array(*map(of_rule, rs)).alias("rules")) for (k, also), rs in grouped.items()))
-    labels = F.array(*(F.lit(r.label) for r in table))
-    confidences = F.array(*(F.lit(r.confidence) for r in table))
+    groups = [{"keyword": k, "also": also, "rules": [{"place": r.place, "pattern": r.pattern} for r in rs]} for (k, also), rs in grouped.items()]
+    listed = _table(groups, "array<struct<keyword:string,also:string,rules:array<struct<place:int,pattern:string>>>>")
+    labels = _table([r.label for r in table], "array<string>")
+    confidences = _table([r.confidence for r in table], "array<double>")
     base = len(PHRASES)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"))
