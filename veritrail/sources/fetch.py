@@ -17,7 +17,10 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from email.utils import parsedate_to_datetime
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators.store import BadRequest
 from .changes import Transient, pages, retrying
@@ -131,21 +134,20 @@ def _rest_of(client: Client, node: dict, kind: str, lists: dict[str, str]) -> di
     return node
 
 
-def github(client: Client, slug: str, kind: str, since: str | None = None) -> Iterator[dict]:
-    """Nodes of a kind, newest first. Pages stop at the first node changed before ``since`` (ISO
-    time; what was changed at that very time is read again); commits bring their file lists."""
+def graph_nodes(client: Client, slug: str, kind: str, fields: str, since: str | None = None, until: str | None = None) -> Iterator[dict]:
+    """Bare nodes of a kind, newest first. Pages stop at the first node changed before ``since`` (ISO
+    time; what was changed at that very time is read again); nodes changed after ``until`` are passed by."""
     owner, name = slug.split("/", 1)
-    fields, lists = GRAPH[kind]
     own = {"commits": "history", "prs": "pullRequests", "issues": "issues"}[kind]
     if kind == "commits":
-        inner = "defaultBranchRef { target { ... on Commit { " + _connection("history", fields, ", after: $after, since: $since") + " } } }"
+        inner = "defaultBranchRef { target { ... on Commit { " + _connection("history", fields, ", after: $after, since: $since, until: $until") + " } } }"
     else:
         inner = _connection(own, fields, ", after: $after" + _NEWEST)
-    declared = "$owner: String!, $name: String!, $after: String" + (", $since: GitTimestamp" if kind == "commits" else "")
+    declared = "$owner: String!, $name: String!, $after: String" + (", $since: GitTimestamp, $until: GitTimestamp" if kind == "commits" else "")
     query = f"query({declared}) {{ repository(owner: $owner, name: $name) {{ {inner} }} }}"
 
     def fetch(token: str | None):
-        variables = {"owner": owner, "name": name, "after": token} | ({"since": since} if kind == "commits" else {})
+        variables = {"owner": owner, "name": name, "after": token} | ({"since": since, "until": until} if kind == "commits" else {})
         found = _graph(client, query, variables)["repository"]
         if kind == "commits":
             found = (found.get("defaultBranchRef") or {}).get("target") or {}
@@ -156,10 +158,20 @@ def github(client: Client, slug: str, kind: str, since: str | None = None) -> It
     for node in pages(fetch):
         if since and node[at] < since:
             return
-        node = _rest_of(client, node, "PullRequest" if kind == "prs" else "Issue", lists if kind != "commits" else {})
-        if kind == "commits":
-            node["files"] = commit_files(client, slug, node["oid"])
-        yield node | {"slug": slug}
+        if not until or node[at] <= until:
+            yield node
+
+
+def github(client: Client, slug: str, kind: str, since: str | None = None, until: str | None = None, details: bool = True) -> Iterator[dict]:
+    """Nodes of a kind, newest first, with all of their lists; commits bring their file lists."""
+    for node in graph_nodes(client, slug, kind, GRAPH[kind][0], since, until):
+        yield (github_details(client, slug, kind, node) if details else node) | {"slug": slug}
+
+
+def github_details(client: Client, slug: str, kind: str, node: dict) -> dict:
+    if kind == "commits":
+        return node | {"files": commit_files(client, slug, node["oid"])}
+    return _rest_of(client, node, "PullRequest" if kind == "prs" else "Issue", GRAPH[kind][1])
 
 
 def commit_files(client: Client, slug: str, oid: str) -> list[dict]:
@@ -192,28 +204,33 @@ def numbered_pages(client: Client, path: str, **params) -> Iterator[dict]:
             page = page + 1 if len(found.body) >= PAGE else 0
 
 
-def gitlab(client: Client, slug: str, kind: str, since: str | None = None) -> Iterator[dict]:
+def gitlab(client: Client, slug: str, kind: str, since: str | None = None, until: str | None = None, details: bool = True) -> Iterator[dict]:
     """Commits with their diffs, merge requests with commits and discussions, issues with notes."""
     base = f"/projects/{slug.replace('/', '%2F')}"
     if kind == "commits":
-        for node in numbered_pages(client, f"{base}/repository/commits", since=since):
-            yield node | {"slug": slug, "diffs": list(numbered_pages(client, f"{base}/repository/commits/{node['id']}/diff"))}
-        return
-    for node in numbered_pages(client, f"{base}/{kind}", updated_after=since, order_by="updated_at", sort="asc", scope="all"):
-        own = f"{base}/{kind}/{node['iid']}"
-        if kind == "merge_requests":
-            node = node | {"commits": list(numbered_pages(client, f"{own}/commits")), "discussions": list(numbered_pages(client, f"{own}/discussions"))}
-        else:
-            node = node | {"notes": list(numbered_pages(client, f"{own}/notes", sort="asc"))}
-        yield node | {"slug": slug}
+        listed = numbered_pages(client, f"{base}/repository/commits", since=since, until=until)
+    else:
+        listed = numbered_pages(client, f"{base}/{kind}", updated_after=since, updated_before=until, order_by="updated_at", sort="asc", scope="all")
+    for node in listed:
+        yield (gitlab_details(client, slug, kind, node) if details else node) | {"slug": slug}
+
+
+def gitlab_details(client: Client, slug: str, kind: str, node: dict) -> dict:
+    base = f"/projects/{slug.replace('/', '%2F')}"
+    if kind == "commits":
+        return node | {"diffs": list(numbered_pages(client, f"{base}/repository/commits/{node['id']}/diff"))}
+    own = f"{base}/{kind}/{node['iid']}"
+    if kind == "merge_requests":
+        return node | {"commits": list(numbered_pages(client, f"{own}/commits")), "discussions": list(numbered_pages(client, f"{own}/discussions"))}
+    return node | {"notes": list(numbered_pages(client, f"{own}/notes", sort="asc"))}
 
 
 # -- a tracker with tokens and offsets ------------------------------------------------------
 
 
-def jira(client: Client, projects: list[str], watermark: datetime | None = None) -> Iterator[dict]:
+def jira(client: Client, projects: list[str], watermark: datetime | None = None, details: bool = True) -> Iterator[dict]:
     """Tickets oldest change first, each with all its comments, as ``trackers.jira`` takes them.
-    A day more than asked comes; the exact test is :func:`veritrail.sources.changes.after_cursor`."""
+    A day more than asked comes; :class:`veritrail.sources.follow.Follow` tests exactly."""
 
     def fetch(token: str | None):
         found = client.get("/rest/api/3/search/jql", jql=jql(projects, watermark), fields="summary,description,created,updated,reporter", maxResults=PAGE, nextPageToken=token).body
@@ -223,8 +240,17 @@ def jira(client: Client, projects: list[str], watermark: datetime | None = None)
     who = lambda x: (x or {}).get("displayName")
     for issue in pages(fetch):
         f = issue["fields"]
-        said = [{"id": str(c["id"]), "body": as_text(c.get("body")), "author": who(c.get("author")), "created": c.get("created"), "updated": c.get("updated")} for c in jira_comments(client, issue["key"])]
-        yield {"key": issue["key"], "summary": f.get("summary"), "description": as_text(f.get("description")), "reporter": who(f.get("reporter")), "created": f.get("created"), "updated": f.get("updated"), "comments": said}
+        node = {"key": issue["key"], "summary": f.get("summary"), "description": as_text(f.get("description")), "reporter": who(f.get("reporter")), "created": f.get("created"), "updated": f.get("updated")}
+        yield jira_details(client, node) if details else node
+
+
+def jira_details(client: Client, node: dict) -> dict:
+    as_text = lambda tree: None if tree is None else json.dumps(tree)
+    said = [
+        {"id": str(c["id"]), "body": as_text(c.get("body")), "author": (c.get("author") or {}).get("displayName"), "created": c.get("created"), "updated": c.get("updated")}
+        for c in jira_comments(client, node["key"])
+    ]
+    return node | {"comments": said}
 
 
 def jira_comments(client: Client, key: str) -> list[dict]:
@@ -254,13 +280,17 @@ def _listed(client: Client, method: str, path: str, body: dict | None = None) ->
     return pages(fetch)
 
 
-def notion(client: Client) -> Iterator[dict]:
+def notion(client: Client, details: bool = True) -> Iterator[dict]:
     """Pages, oldest edit first, with their whole relations and block trees, as ``trackers.notion``
     takes them."""
     body = {"filter": {"property": "object", "value": "page"}, "sort": {"timestamp": "last_edited_time", "direction": "ascending"}}
     for page in _listed(client, "POST", "/v1/search", body):
-        properties = {name: relation(client, page["id"], p) for name, p in (page.get("properties") or {}).items()}
-        yield page | {"properties": json.dumps(properties), "blocks": json.dumps(block_tree(client, page["id"]))}
+        yield notion_details(client, page) if details else page
+
+
+def notion_details(client: Client, page: dict) -> dict:
+    properties = {name: relation(client, page["id"], p) for name, p in (page.get("properties") or {}).items()}
+    return page | {"properties": json.dumps(properties), "blocks": json.dumps(block_tree(client, page["id"]))}
 
 
 def relation(client: Client, page: str, prop: dict) -> dict:
@@ -286,20 +316,71 @@ def block_tree(client: Client, parent: str, depth: int = 1) -> list[dict]:
 KINDS = {"github": ("commits", "prs", "issues"), "gitlab": ("commits", "merge_requests", "issues"), "jira": ("tickets",), "notion": ("pages",)}
 
 
-def nodes(client: Client, source: str, kind: str, slug: str, since: str | None) -> Iterator[dict]:
+def nodes(client: Client, source: str, kind: str, slug: str, since: str | None, until: str | None = None, details: bool = True) -> Iterator[dict]:
     if source == "github":
-        return github(client, slug, kind, since)
+        return github(client, slug, kind, since, until, details)
     if source == "gitlab":
-        return gitlab(client, slug, kind, since)
+        return gitlab(client, slug, kind, since, until, details)
     if source == "jira":
-        return jira(client, [slug] if slug else [], datetime.fromisoformat(since.replace("Z", "+00:00")) if since else None)
-    return notion(client)
+        return jira(client, [slug] if slug else [], datetime.fromisoformat(since.replace("Z", "+00:00")) if since else None, details)
+    return notion(client, details)
+
+
+def with_details(client: Client, source: str, kind: str, node: dict) -> dict:
+    """A bare node with what further requests tell of it."""
+    if source == "github":
+        return github_details(client, node["slug"], kind, node)
+    if source == "gitlab":
+        return gitlab_details(client, node["slug"], kind, node)
+    return jira_details(client, node) if source == "jira" else notion_details(client, node)
+
+
+def connected(options: dict, most_a_second: float | None = None) -> Client:
+    """A client over the transport that ``options`` name, at most so many requests a second."""
+    module, factory = options["transport"].split(":")
+    send = getattr(importlib.import_module(module), factory)(options)
+    if most_a_second:
+        send = Paced(send, most_a_second)
+    return Client(send)
+
+
+class Paced:
+    """A transport with a least time between the starts of two requests."""
+
+    def __init__(self, send: Callable[[Request], Response], most_a_second: float, sleep=time.sleep, clock=time.monotonic):
+        self.send, self.gap, self.sleep, self.clock, self.next = send, 1.0 / most_a_second, sleep, clock, 0.0
+
+    def __call__(self, request: Request) -> Response:
+        now = self.clock()
+        if self.next > now:
+            self.sleep(self.next - now)
+        self.next = max(now, self.next) + self.gap
+        return self.send(request)
+
+
+def detailed(listed: DataFrame, options: dict, tasks: int, a_second: float | None = None) -> DataFrame:
+    """Bare nodes (``kind, value``, read with the option ``details`` false) with their details: the
+    nodes are dealt to ``tasks``, which share a budget of ``a_second`` requests, so one repository's
+    many commits, or one wiki's many block trees, are read by many tasks, and a lost task asks
+    for its own nodes alone again."""
+    source = options["source"]
+
+    def run(frames):
+        client = connected(options, a_second and a_second / tasks)
+        for frame in frames:
+            made = [json.dumps(with_details(client, source, kind, json.loads(value))) for kind, value in zip(frame["kind"], frame["value"])]
+            yield pd.DataFrame({"kind": frame["kind"], "value": made})
+
+    dealt = listed.select("kind", "value").repartition(tasks, F.xxhash64("value"))
+    return dealt.mapInPandas(run, "kind string, value string")
 
 
 class Remote(DataSource):
     """Options: ``source`` (github, gitlab, jira, notion), ``transport`` ("module:factory"; the
     factory gets all options and returns ``send``), ``slugs`` (repositories or projects, comma
-    between; none for a wiki), ``since`` (ISO time). Rows are ``kind, value`` with a node's JSON."""
+    between; none for a wiki), ``since`` (ISO time), ``details`` ("false" leaves out what needs
+    requests for each node, see :func:`detailed`). Rows are ``kind, value`` with a node's JSON.
+    As a stream it follows what changes, see :mod:`veritrail.sources.follow`."""
 
     @classmethod
     def name(cls) -> str:
@@ -311,6 +392,11 @@ class Remote(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _RemoteReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        from .follow import Follow
+
+        return Follow(dict(self.options))
+
 
 class _RemoteReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -324,7 +410,6 @@ class _RemoteReader(DataSourceReader):
 
     def read(self, partition):
         slug, kind = partition.value
-        module, factory = self.options["transport"].split(":")
-        client = Client(getattr(importlib.import_module(module), factory)(self.options))
-        for node in nodes(client, self.options["source"], kind, slug, self.options.get("since")):
+        whole = self.options.get("details", "true") != "false"
+        for node in nodes(connected(self.options), self.options["source"], kind, slug, self.options.get("since"), details=whole):
             yield kind, json.dumps(node)

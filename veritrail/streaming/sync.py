@@ -35,6 +35,14 @@ class Events:
         return spark.createDataFrame(self.items, "round int, seq int, source string, phase string, documents bigint, chunks bigint")
 
 
+@dataclass(frozen=True)
+class Source:
+    """A stream of a service's nodes and what makes documents of a batch of them."""
+
+    changes: DataFrame
+    normalise: Callable[[DataFrame], DataFrame]
+
+
 class LostLease(store.Precondition):
     """The round's lease has passed to another process."""
 
@@ -111,20 +119,30 @@ class Sync:
         if self.lease is not None and (self.lease.lost or not self.lease.heartbeat()):
             raise LostLease("another process has taken the store over")
 
-    def stream(self, changes: DataFrame, instance: str, checkpoint: str, every: str | None = None, seen: list | None = None):
+    def follow(self, instance: str, options: dict[str, str], normalise: Callable[[DataFrame], DataFrame]) -> Source:
+        """A remote source as one of a round: nodes that change, normalised batch by batch. Where
+        its query has no checkpoint yet, it starts from the store's cursor."""
+        known = self.cursor(instance)
+        since = {"since": known["updated_at"]} if known else {}
+        return Source(self.spark.readStream.format("remote").options(**since, **options).load(), normalise)
+
+    def stream(self, changes: DataFrame | Source, instance: str, checkpoint: str, every: str | None = None, seen: list | None = None):
         """Starts the query of one source; its checkpoint is the cursor. Without ``every`` it
         ends when nothing is left."""
+        normalise = None
+        if isinstance(changes, Source):
+            changes, normalise = changes.changes, changes.normalise
 
         def handle(batch: DataFrame, number: int) -> None:
             if not batch.isEmpty():
-                self.apply(batch, instance)
+                self.apply(normalise(batch) if normalise else batch, instance)
                 if seen is not None:
                     seen.append(number)
 
         writer = changes.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
-    def run(self, sources: dict[str, DataFrame], checkpoints: str) -> dict[str, str] | None:
+    def run(self, sources: dict[str, DataFrame | Source], checkpoints: str) -> dict[str, str] | None:
         """One round: sources one after another, each failing by itself; then what waits for a
         target is tried again. Returns the failures, or None without doing anything if another
         process holds the store; a round whose lease is lost ends there. The lease is renewed by a
@@ -158,7 +176,7 @@ class Sync:
             self.events.tell(self.round, "", "round_finished")
             return failed
 
-    def every(self, sources: dict[str, DataFrame], checkpoints: str, seconds: float = 1800.0, rounds: int | None = None, sleep=time.sleep) -> int:
+    def every(self, sources: dict[str, DataFrame | Source], checkpoints: str, seconds: float = 1800.0, rounds: int | None = None, sleep=time.sleep) -> int:
         """Rounds on a schedule, the first after one interval; one that finds the store held is
         skipped. Returns how many ran."""
         ran, n = 0, 0
@@ -168,7 +186,7 @@ class Sync:
             ran += self.run(sources, checkpoints) is not None
         return ran
 
-    def _drain(self, changes: DataFrame, instance: str, checkpoint: str) -> int:
+    def _drain(self, changes: DataFrame | Source, instance: str, checkpoint: str) -> int:
         """Runs a source's query to its end; a simple reader offers one batch a run. Returns the
         number of batches that had rows."""
         seen: list[int] = []
