@@ -168,7 +168,7 @@ def test_two_writers_of_one_table(spark, tmp_path):
     number, _ = b.state("edges")
     a.put("edges", row)
     with pytest.raises(store.Precondition):
-        b._commit("edges", number + 1, [])
+        b._commit(number + 1, {"edges": []})
     assert b.read("edges").count() == 1  # a reader finds the other's manifest
 
 

@@ -7,7 +7,6 @@ part of the plan), so they are meant to be small: thousands of queries, not mill
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -17,8 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..schema import BM25_B, BM25_K1, IDF_FLOOR, RRF_K, TOP_K
+from ..schema import BM25_B, BM25_K1, IDF_FLOOR, RRF_K, TABLES, TOP_K
 from ..session import settled
+from .store import Tables
 
 KEY = ["doc_id", "ordinal"]
 
@@ -55,35 +55,34 @@ class Filters:
 
 #: What a posting keeps of its chunk, so that filters and lengths need no look at the chunk.
 ATTRIBUTES = ["source", "repo_ref", "doc_type", "created_at"]
-BUCKETS = 64
 
 
 @dataclass(frozen=True)
 class Index:
-    """Chunks with their words, and what holds for the whole corpus whatever is filtered;
-    ``stored`` is the postings' folder, if they have been written."""
+    """Chunks with their words, and what holds for the whole corpus whatever is filtered. ``stored``
+    are the tables of an index that has been written, see :class:`StoredIndex`."""
 
     chunks: DataFrame
     n: int
     average: float
-    stored: str | None = None
+    stored: Tables | None = None
 
     def holding(self, terms: list[str]) -> DataFrame:
         """``term, doc_id, ordinal, tf, positions, dl`` and attributes of the postings of some
-        words: read from their buckets alone, or, of an index that isn't stored, made from one
+        words: read from their parts alone, or, of an index that isn't stored, made from one
         pass over the chunks that keeps those words only."""
-        spark = self.chunks.sparkSession
         if self.stored is not None:
-            buckets = sorted({_bucket(t) for t in terms})
-            return spark.read.parquet(f"{self.stored}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+            return self.stored.of_keys("postings", terms)
         places = F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("position")))
         wanted = F.filter(places, lambda x: x["term"].isin(terms))
         each = self.chunks.select(*KEY, *ATTRIBUTES, "dl", F.explode(wanted).alias("x")).select("*", "x.term", "x.position")
         return _grouped(each)
 
-
-def _bucket(term: str) -> int:
-    return zlib.crc32(term.encode()) % BUCKETS
+    def frequencies(self, terms: list[str]) -> dict[str, int] | None:
+        """In how many chunks each word is, by the stored counts; None if nothing is stored."""
+        if self.stored is None:
+            return None
+        return {r.term: r.df for r in self.stored.of_keys("words", terms).collect()}
 
 
 def _grouped(each: DataFrame) -> DataFrame:
@@ -92,7 +91,7 @@ def _grouped(each: DataFrame) -> DataFrame:
 
 
 def index(chunks: DataFrame) -> Index:
-    """Tokenises on the way; written with :func:`write_index` it serves all later queries."""
+    """Tokenises on the way; an index that is written (:class:`StoredIndex`) serves all later queries."""
     worded = chunks.withColumn("terms", X.tokens(F.col("text"))).withColumn("dl", F.size("terms"))
     stats = worded.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
     return Index(worded, stats.n, stats.average or 0.0)
@@ -131,21 +130,69 @@ def _posted(batches):
         yield pa.RecordBatch.from_arrays([*made, *(batch.column(c).take(of) for c in ATTRIBUTES)], names=["term", *KEY, "tf", "positions", "dl", *ATTRIBUTES])
 
 
-def write_index(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> Index:
-    """Stores chunks, postings (a folder for each bucket of words, sorted by word, so that a
-    query opens the buckets and row groups of its words alone) and the corpus's statistics."""
-    spark = chunks.sparkSession
-    chunks.withColumn("dl", F.size(X.tokens(F.col("text")))).write.mode("overwrite").parquet(f"{folder}/chunks")
-    stored = spark.read.parquet(f"{folder}/chunks")
-    made = postings(stored).withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
-    made.repartition("bucket").sortWithinPartitions("bucket", "term", *KEY).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    stored.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).write.mode("overwrite").parquet(f"{folder}/stats")
-    return read_index(spark, folder)
+@dataclass
+class StoredIndex:
+    """An inverted index in stored tables: ``postings`` dealt by word, ``words`` with the number of
+    chunks of each, ``corpus`` with the number of chunks and their length, and the ``chunks``.
+
+    An update replaces the chunks of some documents: their old postings are marked as removed
+    under the words of the old text, new ones are added, and counts change by the difference, all in one
+    transaction; nothing else is read or written. A word with more postings than a part should
+    hold is spread over all parts by its documents.
+    """
+
+    tables: Tables
+
+    def update(self, chunks: DataFrame, touched: DataFrame) -> None:
+        """``chunks`` are all chunks of the documents in ``touched`` (doc_id)."""
+        tables = self.tables
+        with tables.transaction():
+            chunks = chunks.select(*TABLES["chunks"].fieldNames())
+            new = postings(chunks)
+            stored = tables.read("chunks", tables.touched("chunks", touched, "doc_id"))
+            old = settled(postings(stored.join(touched.select("doc_id").distinct(), "doc_id", "left_semi"))) if tables.state("chunks")[1] else None
+            tables.put("postings", new, old)
+            counted = [(new, chunks, 1), *([(old, None, -1)] if old is not None else [])]
+            words, corpus = None, None
+            for rows, whole, sign in counted:
+                of_word = rows.groupBy("term").agg((F.count("*") * sign).alias("df"))
+                words = of_word if words is None else words.unionByName(of_word)
+                one = rows.groupBy(*KEY).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("worded"), F.sum("dl").alias("length"))
+                listed = F.explode(F.array(F.struct(F.lit("length").alias("name"), (F.coalesce("length", F.lit(0)) * sign).cast("bigint").alias("value"))))
+                part = one.select(listed.alias("x")).select("x.*")
+                corpus = part if corpus is None else corpus.unionByName(part)
+            before = stored.join(touched.select("doc_id").distinct(), "doc_id", "left_semi")
+            for whole, sign in ((chunks, 1), (before, -1)):
+                corpus = corpus.unionByName(whole.agg((F.count("*") * sign).cast("bigint").alias("value")).select(F.lit("chunks").alias("name"), "value"))
+            tables.put("words", words.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"))
+            tables.put("corpus", corpus)
+            tables.put("chunks", chunks, touched)
+
+    def index(self) -> Index:
+        numbers = {r["name"]: r["value"] for r in self.tables.read("corpus").collect()}
+        n = numbers.get("chunks", 0)
+        return Index(self.tables.read("chunks"), n, numbers.get("length", 0) / n if n else 0.0, self.tables)
+
+
+def write_index(chunks: DataFrame, folder: str) -> Index:
+    """An index of all chunks in a folder of its own."""
+    tables = Tables(chunks.sparkSession, folder)
+    have = {c: F.col(c) for c in chunks.columns}
+    whole = chunks.select(*(have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES["chunks"].fields))
+    stored = StoredIndex(tables)
+    with tables.transaction():
+        tables.write("chunks", whole)
+        rows = tables.read("chunks")
+        tables.write("postings", postings(rows))
+        made = tables.read("postings")
+        tables.write("words", made.groupBy("term").agg(F.count("*").alias("df")))
+        length = made.groupBy(*KEY).agg(F.first("dl").alias("dl")).agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("value")).select(F.lit("length").alias("name"), "value")
+        tables.write("corpus", length.unionByName(rows.agg(F.count("*").alias("value")).select(F.lit("chunks").alias("name"), "value")))
+    return stored.index()
 
 
 def read_index(spark, folder: str) -> Index:
-    stats = spark.read.parquet(f"{folder}/stats").first()
-    return Index(spark.read.parquet(f"{folder}/chunks"), stats.n, stats.average or 0.0, folder)
+    return StoredIndex(Tables(spark, folder)).index()
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -177,8 +224,8 @@ def bm25(indexed: Index, queries: DataFrame, k: int = TOP_K, where: Filters | No
     """``query_id, doc_id, ordinal, score, rank``: the best k chunks of each query.
 
     Document counts, lengths and frequencies are of the whole corpus; filters apply to the
-    candidates only, before k. The postings of the queries' words are settled once, one small
-    aggregate gives the document frequencies, and top k is taken per query.
+    candidates only, before k. Of a stored index the words' numbers are read first, and only
+    the postings that can matter are read whole, see :func:`_essential`.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -188,17 +235,113 @@ def bm25(indexed: Index, queries: DataFrame, k: int = TOP_K, where: Filters | No
     empty = f"query_id {kind}, doc_id string, ordinal int, score double, rank bigint"
     if not distinct:
         return queries.sparkSession.createDataFrame([], empty)
-    found = settled(frequencies(indexed, distinct))
-    df = found.groupBy("phrase").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(float(indexed.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weight = F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("dl") / F.lit(indexed.average)))
     place = {p: i for i, p in enumerate(distinct)}
     times = queries.sparkSession.createDataFrame([(q, place[p]) for q, p in asked], f"query_id {kind}, phrase int")
     times = times.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
-    # both tables have a row for each phrase of the queries, which the driver holds already
-    scored = found.where((where or Filters()).column()).join(F.broadcast(df.withColumn("idf", idf)), "phrase").join(F.broadcast(times), "phrase")
-    total = scored.groupBy("query_id", *KEY).agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
-    return top(total, k)
+    stored = indexed.frequencies(sorted({p[0] for p in distinct if len(p) == 1})) if indexed.stored is not None else None
+    if stored is None:
+        found = settled(frequencies(indexed, distinct))
+        df = found.groupBy("phrase").agg(F.count("*").alias("df"))
+        return top(_totals(found, _weights(df, indexed, times), indexed, where), k)
+    # a phrase's number of chunks is counted; a word's is stored
+    phrased = [p for p in distinct if len(p) > 1]
+    found = settled(frequencies(indexed, phrased).withColumn("phrase", _renumbered(phrased, place))) if phrased else None
+    known = queries.sparkSession.createDataFrame([(place[p], stored[p[0]]) for p in distinct if len(p) == 1 and p[0] in stored], "phrase int, df bigint")
+    df = known if found is None else known.unionByName(found.groupBy("phrase").agg(F.count("*").alias("df")))
+    weights = _weights(df, indexed, times)
+    return top(_essential(indexed, distinct, place, found, weights, where, k), k)
+
+
+def _renumbered(some: list, place: dict) -> Column:
+    return F.element_at(F.array(*(F.lit(place[p]) for p in some)), F.col("phrase") + 1)
+
+
+def _weights(df: DataFrame, indexed: Index, times: DataFrame) -> DataFrame:
+    """``query_id, phrase, idf, times``: a row for each phrase of the queries."""
+    idf = F.greatest(F.log((F.lit(float(indexed.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    return df.withColumn("idf", idf).join(F.broadcast(times), "phrase").select("query_id", "phrase", "df", "idf", "times")
+
+
+def _totals(found: DataFrame, weights: DataFrame, indexed: Index, where: Filters | None) -> DataFrame:
+    weight = F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("dl") / F.lit(indexed.average)))
+    # a row for each phrase of the queries, which the driver holds already
+    scored = found.where((where or Filters()).column()).join(F.broadcast(weights.select("query_id", "phrase", "idf", "times")), "phrase")
+    return scored.groupBy("query_id", *KEY).agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
+
+
+def _essential(indexed: Index, distinct: list, place: dict, phrased: DataFrame | None, weights: DataFrame, where: Filters | None, k: int) -> DataFrame:
+    """Scores of all chunks that can be among a query's best k, and no others' need be right.
+
+    A word adds less than ``times * idf * (k1 + 1)`` to a score, however often it stands. The words of a
+    query are taken by that bound, largest first; the k-th best score by the first ones that have k chunks is a
+    floor for the answer's. Words at the end whose bounds together stay below the floor aren't essential: a chunk
+    that holds none but those isn't among the best. So only chunks with an essential
+    word are candidates, and the postings of the others, which are the longest lists, are joined
+    with those alone, by chunk, and never grouped as a whole.
+    """
+    rows = weights.collect()  # a row for each phrase of each query
+    kind = weights.schema["query_id"].dataType.simpleString()
+    if not rows:
+        return indexed.chunks.sparkSession.createDataFrame([], f"query_id {kind}, doc_id string, ordinal int, score double")
+    weights = indexed.chunks.sparkSession.createDataFrame(rows, weights.schema)
+    by_query: dict = {}
+    for r in rows:
+        by_query.setdefault(r.query_id, []).append((r.times * r.idf * (BM25_K1 + 1), r.phrase, r.df))
+    for some in by_query.values():
+        some.sort(key=lambda x: (-x[0], x[1]))
+    words = {i: p for p, i in place.items()}
+    spark = indexed.chunks.sparkSession
+
+    def listed(numbers: set[int]) -> DataFrame:
+        own = sorted(n for n in numbers if len(words[n]) == 1)
+        rest = sorted(n for n in numbers if len(words[n]) > 1)
+        out = None
+        if own:
+            single = frequencies(indexed, [words[n] for n in own])
+            out = single.withColumn("phrase", F.element_at(F.array(*map(F.lit, own)), F.col("phrase") + 1))
+        if rest:
+            some = phrased.where(F.col("phrase").isin(rest))
+            out = some if out is None else out.unionByName(some)
+        return out
+
+    first: dict = {}
+    for q, some in by_query.items():
+        n, chosen = 0, []
+        for _, phrase, df in some:
+            chosen.append(phrase)
+            n += df
+            if n >= k:
+                break
+        first[q] = chosen
+    early = listed({p for some in first.values() for p in some})
+    of_first = spark.createDataFrame([(q, p) for q, some in first.items() for p in some], f"query_id {kind}, phrase int")
+    begun = top(_totals(early, weights.join(F.broadcast(of_first), ["query_id", "phrase"], "left_semi"), indexed, where), k)
+    floors = {r.query_id: r.score for r in begun.where(F.col("rank") == k).select("query_id", "score").collect()}  # one a query
+    needed: list[tuple] = []
+    for q, some in by_query.items():
+        rest, least = 0.0, len(some)
+        while least and rest + some[least - 1][0] < floors.get(q, 0.0) * (1 - 1e-9):
+            least -= 1
+            rest += some[least][0]
+        needed += [(q, phrase, i < least) for i, (_, phrase, _) in enumerate(some)]
+    roles = spark.createDataFrame(needed, f"query_id {kind}, phrase int, essential boolean")
+    main = {p for _, p, e in needed if e}
+    weighed = weights.join(F.broadcast(roles), ["query_id", "phrase"])
+    essential = _pairs(listed(main), weighed.where("essential"), where)
+    parts, others = essential, {p for _, p, e in needed if not e}
+    if others:
+        essential = settled(essential)
+        candidates = essential.select("query_id", *KEY).distinct()
+        added = _pairs(listed(others), weighed.where("not essential"), where).join(candidates, ["query_id", *KEY], "left_semi")
+        parts = essential.unionByName(added)
+    weight = F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("dl") / F.lit(indexed.average)))
+    return parts.groupBy("query_id", *KEY).agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
+
+
+def _pairs(found: DataFrame, weights: DataFrame, where: Filters | None) -> DataFrame:
+    """``query_id, doc_id, ordinal, f, dl, idf, times`` of a query's phrases in the chunks that pass."""
+    kept = found.where((where or Filters()).column()).join(F.broadcast(weights.select("query_id", "phrase", "idf", "times")), "phrase")
+    return kept.select("query_id", *KEY, "f", "dl", "idf", "times")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

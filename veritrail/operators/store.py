@@ -140,12 +140,22 @@ def running_totals(events: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """How a table is kept: the columns whose hash deals its rows, the unit of which a later write
-    replaces all rows, or, with ``highest``, keeps the row that is highest in that column."""
+    """How a table is kept: the columns whose hash deals its rows, and the unit of which a later
+    write replaces all rows, or keeps the ``highest`` or the sum (``added``) of a column. Keys that hold more
+    rows than a part should are ``spread`` over all parts by another column."""
 
     key: tuple[str, ...]
     unit: tuple[str, ...]
     highest: str | None = None
+    added: str | None = None
+    spread: str | None = None
+
+    @property
+    def merged(self):
+        """The aggregate of a unit's rows, if it isn't replaced by later ones."""
+        if self.highest:
+            return F.max(self.highest).alias(self.highest)
+        return F.sum(self.added).alias(self.added) if self.added else None
 
 
 _REFERENCE = ("src_doc", "kind", "value", "instance")
@@ -157,6 +167,9 @@ LAYOUTS = {
     "pending_refs": Layout(("src_doc",), _REFERENCE),
     "keys": Layout(("shape", "key"), ("shape", "key", "doc_id")),
     "waiting": Layout(("shape", "key"), ("shape", "key", *_REFERENCE)),
+    "postings": Layout(("term",), ("term", "doc_id"), spread="doc_id"),
+    "words": Layout(("term",), ("term",), added="df"),
+    "corpus": Layout(("name",), ("name",), added="value"),
     "cursors": Layout(("connector",), ("connector",)),
     "meta": Layout(("key",), ("key",)),
 }
@@ -166,6 +179,8 @@ BITS = 20
 PART_BYTES = 128 << 20
 #: Segments of one size that are merged into one of the next; a size is FAN times the last.
 FAN, SMALL_BYTES = 8, 1 << 20
+#: The last line of a manifest; one without it is being written, or after so many seconds its writer has died.
+END, UNFINISHED = "end", 60
 #: Up to so many hashes a read tests rows, beyond it parts alone; either way it gives all that was asked.
 TESTED = 4096
 
@@ -194,7 +209,7 @@ class Tables:
     """Stored tables on any file system that Spark reaches, as segments that are merged on read.
 
     A write adds a segment with the rows it was given and marks for what it removes, and a small
-    manifest that lists the segments, so a batch costs its own bytes, whatever the table holds,
+    manifest that lists the segments of all tables, so a batch costs its own bytes, whatever the table holds,
     and readers never see a half-written state. A read takes the newest rows of each unit; a read
     for some keys opens the parts that their hashes fall into, and tests the sorted hash column
     within. FAN segments of a size are merged into one of the next size, dealt to as many parts
@@ -206,6 +221,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, root: str, fan: int = FAN, part_bytes: int = PART_BYTES):
         self.spark, self.root, self.fan, self.part_bytes = spark, root.rstrip("/"), fan, part_bytes
+        self._open: tuple[int, dict[str, list[Segment]]] | None = None
 
     # -- files ------------------------------------------------------------------------
 
@@ -217,26 +233,69 @@ class Tables:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
+    def _manifest(self) -> tuple[int, dict[str, list[Segment]]]:
+        """The newest manifest's number, and the segments of each table, oldest first, by the newest
+        one that its writer has finished."""
+        if self._open is not None:
+            return self._open
+        path, system = self._path("_manifests")
+        files = sorted(system.listStatus(path), key=lambda f: f.getPath().getName(), reverse=True) if system.exists(path) else []
+        for file in files:
+            lines = self._lines(system, file.getPath())
+            if lines and lines[-1] == END:
+                found: dict[str, list[Segment]] = {}
+                for name, rest in (line.split(" ", 1) for line in lines[:-1]):
+                    found.setdefault(name, []).append(Segment.of(rest))
+                return int(files[0].getPath().getName()), found
+        return int(files[0].getPath().getName()) if files else 0, {}
+
+    def _lines(self, system, path) -> list[str]:
+        stream = system.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+        finally:
+            stream.close()
+
     def state(self, name: str) -> tuple[int, list[Segment]]:
-        """The newest manifest's number and segments, oldest first."""
-        path, system = self._path(name, "_manifests")
-        names = sorted(f.getPath().getName() for f in system.listStatus(path)) if system.exists(path) else []
-        if not names:
-            return 0, []
-        stream = system.open(self._path(name, "_manifests", names[-1])[0])
-        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return int(names[-1]), [Segment.of(line) for line in text.splitlines() if line]
-
-    def _commit(self, name: str, number: int, segments: list[Segment]) -> None:
-        path, system = self._path(name, "_manifests", f"{number:012d}")
+        number, found = self._manifest()
+        return number, found.get(name, [])
+
+    def _commit(self, number: int, tables: dict[str, list[Segment]]) -> None:
+        if self._open is not None:
+            self._open = (self._open[0], tables)
+            return
+        last, _ = self._path("_manifests", f"{number - 1:012d}")
+        path, system = self._path("_manifests", f"{number:012d}")
+        if number > 1 and self._lines(system, last)[-1:] != [END] and time.time() - system.getFileStatus(last).getModificationTime() / 1000 < UNFINISHED:
+            raise Precondition("another writer is changing the store")
         try:
             out = system.create(path, False)
         except Exception as e:  # the file system's own exception: the manifest is there
-            raise Precondition(f"another writer changed {name}") from e
-        out.write(bytearray("".join(s.line() + "\n" for s in segments).encode()))
+            raise Precondition("another writer changed the store") from e
+        out.write(bytearray("".join(f"{name} {s.line()}\n" for name, some in sorted(tables.items()) for s in some).encode() + END.encode()))
         out.close()
 
+    def _replace(self, name: str, segments: list[Segment]) -> None:
+        number, tables = self._manifest()
+        self._commit(number + 1, tables | {name: segments})
+
+    @contextlib.contextmanager
+    def transaction(self):
+        """All that is written inside becomes visible at once, at its end, or not at all; reads
+        inside see it before. One in another belongs to the outer one."""
+        if self._open is not None:
+            yield self
+            return
+        before = self._manifest()
+        self._open = before
+        try:
+            yield self
+            _, tables = self._open
+        finally:
+            self._open = None
+        if tables != before[1]:
+            self._commit(before[0] + 1, tables)
+
     def vacuum(self, name: str) -> int:
         """Removes folders and manifests that the current manifest has made obsolete."""
         number, segments = self.state(name)
@@ -245,7 +304,7 @@ class Tables:
             return 0
         named = {s.folder.rsplit("/", 1)[1] for s in segments}
         lost = [f.getPath() for f in system.listStatus(path) if f.getPath().getName().startswith("v-") and f.getPath().getName() not in named]
-        manifests = self._path(name, "_manifests")[0]
+        manifests = self._path("_manifests")[0]
         if system.exists(manifests):
             lost += [f.getPath() for f in system.listStatus(manifests) if int(f.getPath().getName()) < number]
         for p in lost:
@@ -262,12 +321,21 @@ class Tables:
     def _segment(self, name: str, rows: DataFrame, number: int, tier: int | None = None, size: int | None = None) -> Segment:
         """Writes rows with ``_dead``; what turns out larger than a part is dealt anew by its size."""
         rows = rows.select(*TABLES[name].fieldNames(), "_dead", self.hashed(name).alias("_h"))
-        parts = self._parts(size or 0)
+        spread = LAYOUTS[name].spread
+        parts = 1 if spread else self._parts(size or 0)
         folder = self._written(name, rows, parts)
         found = self._size(folder)
         if self._parts(found) > 2 * parts:
-            parts, raw = self._parts(found), folder
-            folder = self._written(name, self.spark.read.schema(rows.schema).parquet(raw), parts)
+            raw, parts = folder, self._parts(found)
+            rows = self.spark.read.schema(rows.schema).parquet(raw)
+            hot = self._hot(name, rows, parts) if spread else None
+            if hot is not None:
+                key = list(LAYOUTS[name].key)
+                marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")  # fewer rows than parts
+                rows = marked.withColumn("_h", F.when(F.col("_hot"), self.hashed(name, (*key, spread))).otherwise(F.col("_h"))).drop("_hot").select(*rows.columns)
+            folder = self._written(name, rows, parts)
+            if hot is not None:
+                hot.write.parquet(f"{folder}/_hot")
             path, system = self._path(name, raw.rsplit("/", 1)[1])
             system.delete(path, True)
         by_size = 0
@@ -275,6 +343,14 @@ class Tables:
             by_size += 1
         return Segment(folder, number, parts, found, max(by_size, tier or 0))
 
+    def _hot(self, name: str, rows: DataFrame, parts: int) -> DataFrame | None:
+        """Keys with more than a part's share of the rows, which are fewer than parts; None if there is none."""
+        key = list(LAYOUTS[name].key)
+        share = rows.count() / parts
+        counted = rows.groupBy(*key).count().where(F.col("count") > share).select(*key)
+        found = counted.collect()
+        return self.spark.createDataFrame(found, counted.schema) if found else None
+
     def _parts(self, size: int) -> int:
         parts = 1
         while parts * self.part_bytes < size and parts < 1 << BITS:
@@ -286,7 +362,7 @@ class Tables:
         part = rows.withColumn("part", F.col("_h").bitwiseAND(F.lit(parts - 1)))
         if parts > 1:
             part = part.repartition(parts, "part")
-        part.sortWithinPartitions("part", "_h").write.partitionBy("part").parquet(folder)
+        part.sortWithinPartitions("part", "_h", *LAYOUTS[name].key).write.partitionBy("part").parquet(folder)
         return folder
 
     def put(self, name: str, rows: DataFrame, removed: DataFrame | None = None) -> None:
@@ -298,20 +374,20 @@ class Tables:
         if removed is not None:
             gone = removed.select(*unit).distinct().join(rows.select(*unit).distinct(), unit, "left_anti").withColumn("_dead", F.lit(True))
             marked = marked.unionByName(gone, allowMissingColumns=True).select(*marked.columns)
-        segments = [*segments, self._segment(name, marked, number + 1)]
-        segments = self._merged(name, segments)
-        self._commit(name, number + 1, segments)
+        newest = max([number, *(s.number for s in segments)]) + 1  # several in a transaction stay in order
+        self._replace(name, self._merged(name, [*segments, self._segment(name, marked, newest)]))
 
     def write(self, name: str, state: DataFrame) -> None:
         """Makes ``state`` what the table holds."""
-        number, _ = self.state(name)
-        self._commit(name, number + 1, [self._segment(name, self._marked(name, state), number + 1)])
+        number, segments = self.state(name)
+        newest = max([number, *(s.number for s in segments)]) + 1
+        self._replace(name, [self._segment(name, self._marked(name, state), newest)])
 
     @staticmethod
     def _marked(name: str, rows: DataFrame) -> DataFrame:
         layout, columns = LAYOUTS[name], TABLES[name].fieldNames()
-        if layout.highest:
-            rows = rows.groupBy(*layout.unit).agg(F.max(layout.highest).alias(layout.highest))
+        if layout.merged is not None:
+            rows = rows.groupBy(*layout.unit).agg(layout.merged)
         return rows.select(*columns, F.lit(False).alias("_dead"))
 
     def _merged(self, name: str, segments: list[Segment]) -> list[Segment]:
@@ -334,8 +410,8 @@ class Tables:
         number, segments = self.state(name)
         if len(segments) > 1:
             rows = self._latest(name, segments, None).where("not _dead")
-            one = self._segment(name, rows, number + 1, max(s.tier for s in segments), sum(s.bytes for s in segments))
-            self._commit(name, number + 1, [one])
+            one = self._segment(name, rows, segments[-1].number, max(s.tier for s in segments), sum(s.bytes for s in segments))
+            self._replace(name, [one])
 
     # -- reading ----------------------------------------------------------------------
 
@@ -351,6 +427,23 @@ class Tables:
             return self.spark.createDataFrame([], TABLES[name])
         return self._latest(name, segments, hashes).where("not _dead").select(*TABLES[name].fieldNames())
 
+    def of_keys(self, name: str, keys: list[str]) -> DataFrame:
+        """The rows of some values of a table's one key column: their parts, and of a segment in
+        which one of them is spread, all parts, each sorted by the key."""
+        _, segments = self.state(name)
+        [key] = LAYOUTS[name].key
+        one = self.spark.sql("select 1").select(F.array_distinct(F.transform(F.array(*map(F.lit, keys)), lambda k: F.xxhash64(k).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))))
+        hashes = sorted(one.first()[0])
+        spread = set()
+        for s in segments:
+            path, system = self._path(name, s.folder.rsplit("/", 1)[1], "_hot")
+            if LAYOUTS[name].spread and system.exists(path) and not self.spark.read.parquet(f"{s.folder}/_hot").where(F.col(key).isin(keys)).isEmpty():
+                spread.add(s.folder)
+        if not segments:
+            return self.spark.createDataFrame([], TABLES[name])
+        rows = self._latest(name, segments, hashes, spread, F.col(key).isin(keys))
+        return rows.where("not _dead").select(*TABLES[name].fieldNames())
+
     def _rows(self, name: str, segment: Segment, hashes: list[int] | None) -> DataFrame | None:
         schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in TABLES[name].fields)}, _dead boolean, _h int"
         path, system = self._path(name, segment.folder.rsplit("/", 1)[1])
@@ -362,21 +455,22 @@ class Tables:
         rows = self.spark.read.schema(schema).parquet(*paths)
         return rows if hashes is None or len(hashes) > TESTED else rows.where(F.col("_h").isin(hashes))
 
-    def _union(self, name: str, segments: list[Segment], hashes: list[int] | None) -> DataFrame | None:
+    def _union(self, name: str, segments: list[Segment], hashes: list[int] | None, whole=frozenset(), test=None) -> DataFrame | None:
         out = None
         for s in segments:
-            rows = self._rows(name, s, hashes)
+            rows = self._rows(name, s, None if s.folder in whole else hashes)
             if rows is not None:
+                rows = rows if test is None else rows.where(test)
                 rows = rows.withColumn("_number", F.lit(s.number))
                 out = rows if out is None else out.unionByName(rows)
         return out
 
-    def _latest(self, name: str, segments: list[Segment], hashes: list[int] | None) -> DataFrame:
+    def _latest(self, name: str, segments: list[Segment], hashes: list[int] | None, whole=frozenset(), test: Column | None = None) -> DataFrame:
         """The rows that count, with marks of removed units. The oldest segment, which holds most,
         isn't shuffled by unit with the rest: what the rest doesn't touch is its own."""
         layout, columns = LAYOUTS[name], [*TABLES[name].fieldNames(), "_dead"]
         unit = list(layout.unit)
-        base, rest = self._union(name, segments[:1], hashes), self._union(name, segments[1:], hashes)
+        base, rest = self._union(name, segments[:1], hashes, whole, test), self._union(name, segments[1:], hashes, whole, test)
         if rest is None or base is None:
             only = base if rest is None else rest
             if only is None:
@@ -384,15 +478,15 @@ class Tables:
             return self._newest(only, layout, columns) if only is rest else only.select(*columns)
         changed = rest.select(*unit).distinct()
         kept = base.join(changed, unit, "left_anti")
-        if layout.highest:
+        if layout.merged is not None:
             rest = rest.unionByName(base.join(changed, unit, "left_semi"))
         return kept.select(*columns).unionByName(self._newest(rest, layout, columns))
 
     @staticmethod
     def _newest(rows: DataFrame, layout: Layout, columns: list[str]) -> DataFrame:
         unit = list(layout.unit)
-        if layout.highest:
-            return rows.groupBy(*unit).agg(F.max(layout.highest).alias(layout.highest), F.min("_dead").alias("_dead")).select(*columns)
+        if layout.merged is not None:
+            return rows.groupBy(*unit).agg(layout.merged, F.min("_dead").alias("_dead")).select(*columns)
         newest = F.max("_number").over(Window.partitionBy(*unit))
         return rows.withColumn("_newest", newest).where("_number = _newest").select(*columns)
 

@@ -126,16 +126,38 @@ def asked_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return T.view(spark, folder, "select cast(vec_id + 1 as int) query_id, embedding from embeddings where vec_id < 3")
 
 
-_INDEXES: dict[tuple[str, str], S.Index] = {}
+_INDEXES: dict[tuple[str, str], tuple[str, str, S.Index]] = {}
+
+
+def _files(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the files that an index is made of."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for name in ("documents", "embeddings"):
+        files = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet{{,/*.parquet}}")) or []
+        out += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return "\n".join(out)
 
 
 def _indexed(spark: SparkSession, folder: str) -> S.Index:
-    """The stored index of a folder's documents: a session's first query writes it to the shared
-    folder, later ones read their words' postings."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _INDEXES:
-        _INDEXES[key] = S.write_index(T.chunks(spark, folder), new_folder(spark, "index"))
-    return _INDEXES[key]
+    """The stored index of a folder's documents: the first query of a session writes it to the
+    shared folder, later ones read their words' postings. One whose files have changed since is written
+    anew, and the old one removed."""
+    key, files = (spark.sparkContext.applicationId, folder), _files(spark, folder)
+    if key not in _INDEXES or _INDEXES[key][0] != files:
+        if key in _INDEXES:
+            old = spark._jvm.org.apache.hadoop.fs.Path(_INDEXES[key][1])
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        place = new_folder(spark, "index")
+        _INDEXES[key] = (files, place, S.write_index(T.chunks(spark, folder), place))
+    return _INDEXES[key][2]
+
+
+@query(rf"with {D}, t as (select distinct doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(body, ''))), '{_WORD}')) term from d) select term, count(*) df from t group by term")
+def lexical_index(spark, folder):
+    """Writes the index, if no query of the session has, and reads its words."""
+    return _indexed(spark, folder).stored.read("words")
 
 
 def _scored(rows: DataFrame) -> DataFrame:

@@ -26,11 +26,18 @@ META = T.StructType([T.StructField("key", T.StringType()), T.StructField("value"
 LOOKUP_KEY = T.StructType([T.StructField(n, T.StringType()) for n in ("shape", "key", "doc_id", "source", "type")])
 WAITING = T.StructType([T.StructField(n, T.StringType()) for n in ("shape", "key")] + PENDING.fields)
 
+POSTING = T.StructType(
+    [T.StructField("term", T.StringType()), T.StructField("doc_id", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("dl", T.IntegerType())]
+    + [T.StructField(n, T.StringType()) for n in ("source", "repo_ref", "doc_type")] + [T.StructField("created_at", T.TimestampType())]
+)
+WORD = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.LongType())])
+CORPUS = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.LongType())])
+
 #: ``edges_in`` holds the edges again, dealt by their targets; ``keys`` every way to name a
 #: document, and ``waiting`` pending references by the names that they wait for.
 TABLES = {
     "documents": DOCUMENT, "chunks": CHUNK, "edges": EDGE, "edges_in": EDGE, "pending_refs": PENDING,
-    "keys": LOOKUP_KEY, "waiting": WAITING, "cursors": CURSOR, "meta": META,
+    "keys": LOOKUP_KEY, "waiting": WAITING, "postings": POSTING, "words": WORD, "corpus": CORPUS, "cursors": CURSOR, "meta": META,
 }
 SCHEMA_VERSION = "1"
 

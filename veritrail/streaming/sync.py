@@ -49,9 +49,9 @@ class LostLease(store.Precondition):
 
 @dataclass
 class Sync:
-    """Applies batches of documents with references to stored tables. The order is: check,
-    documents, chunks, links, and only then the cursor; each step may be repeated with the
-    same result, so a batch that is delivered again after a failure changes nothing."""
+    """Applies batches of documents with references to stored tables. The order is: check, names,
+    documents, chunks, links, cursor, all in one transaction, so that a batch is stored as a whole or
+    not at all; and one that is delivered again changes nothing."""
 
     spark: SparkSession
     tables: store.Tables
@@ -77,7 +77,9 @@ class Sync:
         has one, else by the time of change, and only its references are linked. What is read and
         written follows the batch: the parts of the stored tables that its ids and names fall into."""
         batch = batch.persist()
-        try:
+        with contextlib.ExitStack() as stack:
+            stack.callback(batch.unpersist)
+            stack.enter_context(self.tables.transaction())
             self._still_ours()
             link.check_instance(batch, instance)
             columns = [c for c in batch.columns if c not in ("refs", "position")]
@@ -102,8 +104,7 @@ class Sync:
             moment = now or datetime.now(timezone.utc).replace(microsecond=0)
             cursor = {"updated_at": f"{mark.updated_at:%Y-%m-%dT%H:%M:%SZ}", "doc_id": mark.doc_id}
             tables.put("cursors", self.spark.createDataFrame([(instance, cursor, moment)], TABLES["cursors"]))
-        finally:
-            batch.unpersist()
+            self._still_ours()
 
     @property
     def links(self) -> link.LinkIndex:
