@@ -17,6 +17,8 @@ EVERY = 97
 LENGTH, OFTEN = 5, 3
 #: Words of a bucket above which its range of places is halved.
 FULL = 20_000
+#: Rows of buckets that a task takes, about.
+ROWS = 50_000
 #: Letters that a task puts into one trie, about.
 LETTERS = 150_000
 
@@ -228,7 +230,8 @@ def pairs(buckets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.string()), pa.array(parts[1], pa.string()), pa.array(parts[2], pa.int64())], names=["word", "other", "n"])
 
     order = ["bucket", "m", "low", "high"]
-    return buckets.select("word", "n", "m", "low", "high", "after", "bucket").repartition("bucket").sortWithinPartitions(*order).mapInArrow(run, PAIRS)
+    tasks = max(1, -(-buckets.count() // ROWS))
+    return buckets.select("word", "n", "m", "low", "high", "after", "bucket").repartition(tasks, "bucket").sortWithinPartitions(*order).mapInArrow(run, PAIRS)
 
 
 def _roots(forms: DataFrame) -> DataFrame:
