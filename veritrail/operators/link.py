@@ -150,7 +150,8 @@ def unique_targets(found: DataFrame) -> DataFrame:
 
 def path_targets(refs: DataFrame, commit_files: DataFrame, documents: DataFrame, most: int = PATH_COMMITS) -> DataFrame:
     """The indexed commits among the newest ``most`` of each clone that touch a referred path.
-    ``commit_files``: repo, path, sha, time."""
+    ``commit_files``: repo, path, sha, time and, if the order of a log is known, position, as
+    :func:`veritrail.sources.history.commit_files` gives them."""
     asked = refs.where("kind = 'file_path'").select("src_doc", "kind", "value", F.coalesce("instance", F.lit("")).alias("instance"))
     commits = documents.where("type = 'commit'").select("doc_id", "source", "type", X.sha_prefix(F.col("doc_id"), F.col("type")).alias("prefix"))
     files = commit_files.join(asked.select(F.col("value").alias("path")).distinct(), "path", "left_semi")
@@ -164,7 +165,8 @@ def _touching(refs: DataFrame, files: DataFrame, commits: DataFrame, most: int =
     asked = refs.where("kind = 'file_path'").select(*REFERENCE)
     newest = files.withColumn("_salt", F.pmod(F.xxhash64("sha"), F.lit(SALTS)))
     for columns in (["repo", "path", "_salt"], ["repo", "path"]):
-        order = Window.partitionBy(*columns).orderBy(F.desc("time"), "sha")
+        by = [F.asc("position")] if "position" in files.columns else [F.desc("time"), F.asc("sha")]
+        order = Window.partitionBy(*columns).orderBy(*by)
         newest = newest.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
     hits = newest.select("path", F.lower(X.short_sha(F.col("sha"))).alias("prefix")).distinct().join(commits, "prefix")
     found = asked.join(hits, F.col("value") == F.col("path"))

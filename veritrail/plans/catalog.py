@@ -18,7 +18,7 @@ from ..operators import rank as R
 from ..operators import search as S
 from ..operators import store
 from ..session import new_folder, settled
-from ..sources import forge, trackers
+from ..sources import forge, history, trackers
 from ..sources.changes import after_cursor
 from . import testdata as T
 from .verbs import FOLLOW_UPS, Engine, blame_groups, history_page, passages
@@ -756,6 +756,43 @@ def path_commits(spark, folder):
     return L.path_targets(refs, files, rows).select(F.col("src_doc").alias("src"), F.col("doc_id").alias("dst"))
 
 
+_CHANGES = """select concat('r', o_orderkey % 2) repo, row_number() over (partition by o_orderkey % 2 order by o_orderdate desc, o_orderkey) as position, md5(cast(o_orderkey as {0})) sha,
+ o_orderkey n from orders"""
+
+
+@query(
+    f"""with recursive c as ({_CHANGES.format("varchar")}),
+e as (
+  select distinct repo, position, sha, concat('src/p', l_partkey % 40, '.py') path, case when l_linenumber = 5 and l_partkey % 40 <> l_suppkey % 40 then concat('src/p', l_suppkey % 40, '.py') end old,
+    l_linenumber = 6 and l_partkey % 3 = 0 dropped from c join lineitem on l_orderkey = n
+),
+r as (select repo, path, position as pos, min(old) old from e where old is not null group by all),
+l as (select repo, path, position, not dropped there from e union all select repo, old, position, false from e where old is not null),
+h as (select repo, path from (select repo, path, min({{'p': position, 'lost': not there}}) m from l group by all) where not m.lost),
+x as (select repo, path name, 0::bigint since from h union select repo, old, pos from r),
+nxt as (select x.repo, x.name, x.since, min({{'pos': r.pos, 'old': r.old}}) filter (r.pos is not null) m from x left join r on r.repo = x.repo and r.path = x.name and r.pos > x.since group by all),
+walk as (
+  select h.repo, h.path, h.path as name, 0::bigint as since from h
+  union all select w.repo, w.path, n.m.old, n.m.pos from walk w join nxt n on n.repo = w.repo and n.name = w.name and n.since = w.since where n.m.pos is not null
+)
+select distinct w.repo, w.path, e.position, e.sha from walk w join nxt n on n.repo = w.repo and n.name = w.name and n.since = w.since
+join (select repo, path, position, sha from e union select repo, old, position, sha from e where old is not null) e on e.repo = w.repo and e.path = w.name and e.position > w.since and (n.m.pos is null or e.position <= n.m.pos)"""
+)
+def clone_history(spark, folder):
+    """Orders as the commits of two clones, their lines as changes of files, some of them renames
+    and deletions: the commits of each path that is there now, under all its names."""
+    commits = T.view(spark, folder, _CHANGES.format("string"))
+    lines = T.view(spark, folder, "select l_orderkey n, l_linenumber, l_partkey, l_suppkey from lineitem")
+    path = lambda c: F.concat(F.lit("src/p"), F.col(c) % 40, F.lit(".py"))
+    renamed = (F.col("l_linenumber") == 5) & (F.col("l_partkey") % 40 != F.col("l_suppkey") % 40)
+    dropped = (F.col("l_linenumber") == 6) & (F.col("l_partkey") % 3 == 0)
+    changes = commits.join(lines, "n").select(
+        "repo", F.col("position").cast("bigint").alias("position"), "sha", F.lit(None).cast("timestamp").alias("time"), F.when(renamed, F.lit("R")).when(dropped, F.lit("D")).otherwise(F.lit("M")).alias("status"),
+        path("l_partkey").alias("path"), F.when(renamed, path("l_suppkey")).alias("old_path"),
+    )
+    return history.commit_files(changes).select("repo", "path", "position", "sha")
+
+
 @query("select c_custkey n from customer where not (c_nationkey % 2 = 0 and c_custkey % 3 = 0) and not (c_nationkey % 2 = 1 and c_custkey % 6 = 0)")
 def uncovered_clones(spark, folder):
     clones = T.view(spark, folder, "select c_custkey path, case c_nationkey % 2 when 0 then 'github' else 'gitlab' end forge, concat('Acme/App', c_custkey) slug from customer")
