@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritrail.functions import text as X
-from veritrail.operators import link, store
+from veritrail.operators import graph, link, store
 from veritrail.schema import DOCUMENT, PENDING, TABLES
 from veritrail.session import settled
 
@@ -175,3 +175,28 @@ def test_a_lease_is_kept_during_a_long_block(spark, tmp_path):
         assert not other.acquire() and not own.lost
     time.sleep(1.2)
     assert other.acquire() and not own.heartbeat() and own.lost
+
+
+def test_a_walk_over_stored_edges(spark, tmp_path, monkeypatch):
+    """Equal to the walk over a table of edges, by sent frontiers and by shuffled ones; a hop's plan
+    has no exchange of edges, and it opens the parts of its frontier alone."""
+    rng = random.Random(12)
+    rows = {(f"n{rng.randrange(60)}", f"n{min(rng.randrange(60), rng.randrange(60))}", rng.choice(["a", "b"])): rng.choice([0.7, 0.9, 1.0]) for _ in range(150)}
+    edges = spark.createDataFrame([(*k, v) for k, v in rows.items()], EDGE)
+    tables = store.Tables(spark, str(tmp_path), part_bytes=512)
+    for name in ("edges", "edges_in"):
+        tables.put(name, edges)
+    seeds = spark.createDataFrame([(1, "n5", 1), (1, "n9", 2), (2, "n40", 1)], "query_id int, node string, position int")
+    known = edges.select(F.col("src").alias("node")).distinct()
+    got = lambda e, **o: sorted((r.query_id, r.node, r.hops, round(r.confidence, 9), r.parent, r.seed) for r in graph.walk(e, seeds, **o).collect())
+    stored = graph.StoredEdges(tables)
+    for options in ({}, {"direction": "in", "kinds": ["a"]}, {"direction": "out", "depth": 2, "admitted": known}):
+        want = got(edges, **options)
+        assert got(stored, **options) == want and len(want) > 4
+        with monkeypatch.context() as m:
+            m.setattr(graph, "SENT", 0)
+            assert got(edges, **options) == want
+    frontier = seeds.select("node").limit(1)
+    assert tables.state("edges")[1][0].parts > 2 and stored.steps(frontier).count() < 20
+    joined = stored.steps(frontier).join(F.broadcast(frontier), F.col("node") == F.col("frm"))
+    assert "BroadcastHashJoin" in plan(joined) and "Exchange hashpartitioning" not in plan(joined)

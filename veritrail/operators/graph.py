@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,26 @@ from pyspark.sql import functions as F
 
 from ..schema import WALK_DEPTH, WALK_FLOOR
 from ..session import settled
+from .store import Tables
+
+
+#: Rows of a frontier, or of all that a walk has reached, up to which they go to the tasks that
+#: hold the edges; of more, edges and frontier are shuffled. A row has a few hundred bytes.
+SENT = 50_000
+
+
+@dataclass(frozen=True)
+class StoredEdges:
+    """Edges in stored tables, dealt by each of their ends: a walk opens the parts that its frontier
+    falls into, in both."""
+
+    tables: Tables
+
+    def steps(self, frontier: DataFrame, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
+        hashes = self.tables.touched("edges", frontier, "node")
+        out = oriented(self.tables.read("edges", hashes), "out", kinds) if direction != "in" else None
+        back = oriented(self.tables.read("edges_in", hashes), "in", kinds) if direction != "out" else None
+        return out if back is None else back if out is None else out.unionByName(back)
 
 
 def oriented(edges: DataFrame, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
@@ -40,8 +61,12 @@ def oriented_with_loops(edges: DataFrame, direction: str, kinds: list[str] | Non
     return oriented(edges, direction, kinds).unionByName(own)
 
 
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= SENT else rows
+
+
 def walk(
-    edges: DataFrame,
+    edges: DataFrame | StoredEdges,
     seeds: DataFrame,
     depth: int = WALK_DEPTH,
     direction: str = "both",
@@ -58,25 +83,28 @@ def walk(
     next frontier is that of its first sighting. ``admitted`` (node) are nodes that exist and
     may be returned; others are neither returned nor walked through.
 
-    A frontier is joined with the edges on the node, and the best step of a node is an
-    aggregate, which combines before its shuffle; a hub's edges are split by adaptive
-    execution. ``place`` orders a frontier without ranking it: the seed's position and, for
-    each hop, the edge of the first sighting, compared item by item; so no hop sorts a query's
-    frontier in one task. Each frontier is settled, since the next hop, the visited set and
-    the result all read it; a walk ends early when a hop reaches nothing.
+    A frontier of at most SENT rows, which is counted, goes to the tasks that hold the edges, so
+    edges aren't shuffled, a hub's are read where they lie, and what exists is tested the same way; a larger one is
+    joined by a shuffle, in which adaptive execution splits hubs. The best step of a node is an
+    aggregate that combines before its shuffle. ``place`` orders a frontier without ranking it:
+    the seed's position and, for each hop, the edge of the first sighting, compared item by
+    item; so no hop sorts a query's frontier in one task. Each frontier is settled, since the
+    next hop, the visited set and the result all read it; a walk ends early when a hop reaches
+    nothing.
     """
-    steps = oriented(edges, direction, kinds)
     reached = seeds.groupBy("query_id", "node").agg(F.min("position").cast("bigint").alias("position"))
     frontier = reached.select(
         "query_id", "node", F.lit(0).alias("hops"), F.lit(1.0).alias("confidence"), F.array(F.lpad(F.col("position").cast("string"), 19, "0")).alias("place"),
         F.lit(None).cast("string").alias("parent"), F.col("node").alias("seed"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("kinds"),
     )
     frontier = everything = settled(frontier)
+    n = total = frontier.count()
     for hop in range(1, depth + 1):
-        step = frontier.withColumnRenamed("confidence", "path").join(steps, F.col("node") == F.col("frm"))
-        fresh = step.join(everything.select("query_id", F.col("node").alias("to")), ["query_id", "to"], "left_anti")
-        if admitted is not None:
-            fresh = fresh.join(admitted.select(F.col("node").alias("to")), "to", "left_semi")
+        if not n:
+            break
+        steps = edges.steps(frontier, direction, kinds) if isinstance(edges, StoredEdges) else oriented(edges, direction, kinds)
+        step = steps.join(_sent(frontier.withColumnRenamed("confidence", "path"), n), F.col("node") == F.col("frm"))
+        fresh = step.join(_sent(everything.select("query_id", F.col("node").alias("to")), total), ["query_id", "to"], "left_anti")
         product = F.col("path") * F.col("confidence")
         fresh = fresh.select(
             "query_id", F.col("to").alias("node"), product.alias("reach"), F.concat("place", F.array("src", "dst", "kind")).alias("place"),
@@ -89,9 +117,14 @@ def walk(
             F.concat("best.nodes", F.array("node")).alias("nodes"), F.concat("best.kinds", F.array("best.kind")).alias("kinds"),
         )
         frontier = settled(frontier)
-        if frontier.isEmpty():
-            break
-        everything = everything.unionByName(frontier)
+        n = frontier.count()
+        if admitted is not None and n:
+            # a node is reached or not whatever else is, so what doesn't exist may go after the best steps are known
+            there = admitted.join(_sent(frontier.select("node").distinct(), n), "node", "inner" if n <= SENT else "left_semi").select("node").distinct()
+            frontier = settled(frontier.join(_sent(there, n), "node", "left_semi").select(*frontier.columns))
+            n = frontier.count()
+        if n:
+            everything, total = everything.unionByName(frontier), total + n
     return everything
 
 
