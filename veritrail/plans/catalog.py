@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import chunking, display, embedding, flatten
 from ..functions import text as X
+from ..operators import vectors as V
 from ..operators import chains as C
 from ..operators import graph as G
 from ..operators import link as L
@@ -194,6 +195,13 @@ def knn_topk(spark, folder):
     return _scored(S.knn(_vectors(spark, folder), asked_vectors(spark, folder)))
 
 
+@query(f"with {D}, {knn_ctes("type = 'pr'")} {_VEC}")
+def knn_cells(spark, folder):
+    """Through cells around centres, of which only those are read that can hold one of the nearest."""
+    cells = V.Cells.write(_vectors(spark, folder), new_folder(spark, "cells"))
+    return _scored(cells.nearest(asked_vectors(spark, folder), where=S.Filters(doc_type="pr"))[0])
+
+
 @query(f"with {D}, {knn_ctes("source = 'jira'")} {_VEC}")
 def knn_prefiltered(spark, folder):
     return _scored(S.knn(_vectors(spark, folder), asked_vectors(spark, folder), where=S.Filters(source="jira")))
