@@ -211,7 +211,7 @@ def with_language(docs: DataFrame, text_col: str = "text", least: float = 0.5) -
     """The rows, all columns as they are, whose language is known: some letter, and a score
     of ``least`` or more. If nothing can be learnt from ``docs``, rows with a letter stay. Null
     and letterless texts go; repeated rows go or stay together; an empty table gives an empty
-    one."""
+    one. Texts are read whole, of any length; other columns, of whatever names, pass through."""
     model = train(docs.select("doc_id", F.col(text_col).alias("text"), "lang"))
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 

@@ -106,7 +106,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or wordless texts have an empty set and stand alone. ``component_id`` is the
     smallest id reachable; ids that are null stand alone unless linked. Rows that repeat
     an id with the same text are one class and are all kept or all dropped. An empty
-    table gives an empty result; other columns of ``docs`` aren't looked at. With
+    table gives an empty result; other columns of ``docs`` aren't looked at; a very long text is one
+    row's sketch and, where it is confirmed, one set of shingles. With
     ``carried``, those columns of a row are returned too, and ``root``, which tells
     components apart where ids repeat or are null; it is null for an empty set.
     """

@@ -75,7 +75,8 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The measurements of each row, in one narrow pass of native expressions."""
+    """The measurements of each row, in one narrow pass of native expressions; a null text measures
+    as an empty one, and columns other than the two named ones are ignored."""
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     trimmed = F.trim(F.col("_t"), F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
@@ -108,7 +109,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rule is evaluated once for a row; policies and ablations read the bits alone.
 
     A null text counts as empty: no words, no lines, so only ``few_words`` fails. Rows are
-    independent, whatever repeats; an empty table gives an empty ledger.
+    independent, whatever repeats; an empty table gives an empty ledger. A long text is one row's
+    work, in proportion to its words; only the two named columns are read.
     """
     found = measured(docs, id_col, text_col)
     bits = F.lit(0).cast("bigint")
@@ -122,6 +124,9 @@ def kept_by(version: str = CURRENT) -> Column:
 
 
 def judged(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The base measurements, ``base_failed`` and the verdict of a policy from the ledger's bits. Null
+    texts fail for want of words; null ids, repeated rows, ties and empty tables need nothing, rows being
+    independent; texts are read whole, whatever their length; other columns of ``docs`` are ignored."""
     return ledger(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("failure_bits").bitwiseAND(F.lit(mask(BASE))) != 0).alias("base_failed"),

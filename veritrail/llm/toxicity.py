@@ -221,7 +221,7 @@ def assess(docs: DataFrame, labels: DataFrame, model: Classifier | None = None)
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: float = 0.5) -> DataFrame:
     """The rows, all columns as they are, that score less than ``most``: null and empty texts
     too if the model's offset does; repeated rows go or stay together; an empty table gives
-    an empty one."""
+    an empty one. Texts are read whole, of any length; other columns, of whatever names, pass through."""
     model = train(docs.select("doc_id", F.col(text_col).alias("text")), labels)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
