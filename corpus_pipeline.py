@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.llm import language, near_duplicates, packing, pii, toxicity
-from veritrail.llm.common import new_folder
+from veritrail.llm.common import dropped, new_folder
 from veritrail.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known (operator 5)."""
+    """Keeps documents whose language is known (operator 5). Null and letterless texts go; repeated rows
+    go or stay together, an empty table stays empty, other columns pass through."""
     return language.with_language(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score as toxic (operator 8)."""
+    """Drops documents that score as toxic (operator 8), by the text alone: null ids, repeated rows and
+    other columns make no difference; an empty table stays empty."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -34,12 +36,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind (operator 7)."""
+    """Replaces personal data by its kind (operator 7), in the text alone; null and empty texts stay, rows
+    are independent of each other, an empty table stays empty."""
     return pii.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences (operator 2)."""
+    """Packs the documents into sequences (operator 2): a row for each piece, a null text being an empty
+    one of one token; repeated rows are packed as often as they come, other columns are ignored, an empty table gives no pieces."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
@@ -57,10 +61,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; what a stage returns is written to the shared folder
-    as Parquet and read again, so a lost executor costs no more than a stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    as Parquet and read again, so a lost executor costs no more than a stage. A stage's folder is
+    removed once the next one's is written; the last one's stays for whoever reads the result."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         folder = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        dropped(spark, before)
+        before = folder
     return docs

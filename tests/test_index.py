@@ -43,7 +43,7 @@ def test_updates_equal_a_whole_rewrite(spark, tmp_path, part_bytes):
     tables = store.Tables(spark, str(tmp_path / "a"), fan=3, part_bytes=part_bytes)
     index = S.StoredIndex(tables)
     index.update(chunks(spark, now), spark.createDataFrame([(d,) for d in now], "doc_id string"))
-    for _ in range(3):
+    for _ in range(2):
         touched = rng.sample(sorted(now), 12)
         fresh = {d: [said(rng) for _ in range(rng.randint(1, 3))] for d in touched[:8]} | {f"d{rng.randrange(100, 200)}": [said(rng)] for _ in range(4)}
         gone = set(touched[8:])

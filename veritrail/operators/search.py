@@ -21,6 +21,8 @@ from ..session import settled
 from .store import Tables
 
 KEY = ["doc_id", "ordinal"]
+#: Decimals up to which lexical scores are compared.
+DIGITS = 12
 
 
 @dataclass(frozen=True)
@@ -242,14 +244,14 @@ def bm25(indexed: Index, queries: DataFrame, k: int = TOP_K, where: Filters | No
     if stored is None:
         found = settled(frequencies(indexed, distinct))
         df = found.groupBy("phrase").agg(F.count("*").alias("df"))
-        return top(_totals(found, _weights(df, indexed, times), indexed, where), k)
+        return top(_totals(found, _weights(df, indexed, times), indexed, where), k, DIGITS)
     # a phrase's number of chunks is counted; a word's is stored
     phrased = [p for p in distinct if len(p) > 1]
     found = settled(frequencies(indexed, phrased).withColumn("phrase", _renumbered(phrased, place))) if phrased else None
     known = queries.sparkSession.createDataFrame([(place[p], stored[p[0]]) for p in distinct if len(p) == 1 and p[0] in stored], "phrase int, df bigint")
     df = known if found is None else known.unionByName(found.groupBy("phrase").agg(F.count("*").alias("df")))
     weights = _weights(df, indexed, times)
-    return top(_essential(indexed, distinct, place, found, weights, where, k), k)
+    return top(_essential(indexed, distinct, place, found, weights, where, k), k, DIGITS)
 
 
 def _renumbered(some: list, place: dict) -> Column:
@@ -344,8 +346,11 @@ def _pairs(found: DataFrame, weights: DataFrame, where: Filters | None) -> DataF
     return kept.select("query_id", *KEY, "f", "dl", "idf", "times")
 
 
-def top(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY)
+def top(scored: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """The best k of each query, ties by the key. Scores that are sums are compared up to ``digits``
+    decimals, since the order of a sum's terms, which isn't fixed, changes its last bits."""
+    score = F.col("score") if digits is None else F.round("score", digits)
+    order = Window.partitionBy("query_id").orderBy(score.desc(), *KEY)
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint"))
     return ranked.where(F.col("rank") <= k).select("query_id", *KEY, "score", "rank")
 

@@ -11,13 +11,14 @@ from pyspark.sql.window import Window
 
 from ..functions import chunking, display, embedding, flatten
 from ..functions import text as X
-from ..operators import vectors as V
 from ..operators import chains as C
 from ..operators import graph as G
 from ..operators import link as L
 from ..operators import rank as R
 from ..operators import search as S
 from ..operators import store
+from ..operators import vectors as V
+from ..schema import TABLES
 from ..session import new_folder, settled
 from ..sources import forge, history, trackers
 from ..sources.changes import after_cursor
@@ -976,3 +977,79 @@ def notion_documents(spark, folder):
     rows = _payload(spark, folder, "pages", f"'id', md5(cast(doc_id as string)), 'created_time', {at}, 'last_edited_time', {at}, 'url', 'u', 'in_trash', doc_id % 4 = 3, 'archived', false, 'parent', named_struct('type', 'page_id', 'page_id', {half}), 'properties', {properties}, 'blocks', '[]'")
     roots = spark.range(1).select(F.md5(F.lit("5")).alias("id"))
     return _flat(trackers.notion(spark, rows, roots=roots))
+
+
+# -- the stored tables, in batches ------------------------------------------------------
+
+
+def _store(spark, name: str) -> store.Tables:
+    return store.Tables(spark, new_folder(spark, name), fan=3)
+
+
+@query(
+    f"""with {D} select doc_id, case when n % 4 = 3 then concat('newest ', n) when n % 4 = 2 then concat('newer ', n) else title end title,
+  case n % 4 when 0 then 1 when 1 then 0 when 2 then 2 else 1 end::bigint parts from d"""
+)
+def stored_upserts(spark, folder):
+    """Documents with their chunks in four batches, some of them again with other titles and with
+    more, fewer or no chunks: the last state of each, with the number of its chunks."""
+    tables, rows = _store(spark, "upserts"), T.documents(spark, folder)
+    chunks = T.chunks(spark, folder).withColumn("thread_id", F.col("doc_id"))
+    several = lambda some, k: some.withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(*TABLES["chunks"].fieldNames())
+    steps = [("true", None, 1), ("n % 4 >= 2", "newer", 3), ("n % 4 = 3", "newest", 1), ("n % 4 = 2", "newer", 2)]
+    for test, word, k in steps:
+        some = rows.where(test)
+        with tables.transaction():
+            tables.put("documents", some.withColumn("title", F.concat(F.lit(f"{word} "), "n")) if word else some)
+            tables.put("chunks", several(chunks.where(test), k), some.select("doc_id"))
+    tables.put("chunks", several(chunks.limit(0), 1), rows.where("n % 4 = 1").select("doc_id"))
+    counted = tables.read("chunks").groupBy("doc_id").agg(F.count("*").alias("parts"))
+    return tables.read("documents").join(counted, "doc_id", "left").select("doc_id", "title", F.coalesce("parts", F.lit(0)).cast("bigint").alias("parts"))
+
+
+@query(f"with {D}, e as ({T.DOC_EDGES}) select src, dst, kind, max(case when md5(src) < '8' then 1.0 else conf end)::double confidence from e group by all")
+def stored_edges(spark, folder):
+    """Edges written three times, the middle one with lower confidences and the last one with higher
+    ones for some: the highest of each stays, under both ends."""
+    tables, rows = _store(spark, "edges"), T.edges(spark, folder, T.DOC_EDGES)
+    for state in (rows, rows.withColumn("confidence", F.col("confidence") / 2), rows.where(F.md5("src") < "8").withColumn("confidence", F.lit(1.0))):
+        tables.put("edges", state)
+        tables.put("edges_in", state)
+    return tables.read("edges").join(tables.read("edges_in"), ["src", "dst", "kind", "confidence"])
+
+
+@query(SQL["link_edges"])
+def link_batches(spark, folder):
+    """The edges of :func:`link_edges`, linked as documents arrive, in two batches: a reference to a
+    document of a later batch waits and is woken by it."""
+    index, documents = L.LinkIndex(_store(spark, "links")), T.documents(spark, folder)
+    refs = T.view(spark, folder, _LINK_REFS)
+    for k in range(2):
+        batch = documents.where(F.floor(F.col("n") / 3) % 2 == k)
+        own = refs.join(batch.select(F.col("doc_id").alias("src_doc")), "src_doc", "left_semi")
+        with index.tables.transaction():
+            changed = index.arrived(batch)
+            index.tables.put("documents", batch)
+            index.link(own.unionByName(index.woken(changed)))
+    return index.tables.read("edges")
+
+
+@query(f"with {bm25_ctes()} {_LEX}")
+def index_updates(spark, folder):
+    """The best chunks by an index that has been made with other texts for a third of the
+    documents, and then updated."""
+    chunks = T.chunks(spark, folder).withColumn("thread_id", F.col("doc_id"))
+    third = F.col("n") % 3 == 1
+    earlier = chunks.withColumn("text", F.when(third, F.concat(F.lit("license of "), F.reverse("text"))).otherwise(F.col("text")))
+    index = S.StoredIndex(_store(spark, "index"))
+    for some in (earlier, chunks.where(third)):
+        index.update(some, some.select("doc_id"))
+    return _scored(S.bm25(index.index(), asked(spark)))
+
+
+@query(f"with {D} select doc_id from d where created_s >= {SINCE} + 86400 and created_s <= {UNTIL} and type = 'pr'")
+def window_overlap(spark, folder):
+    """Chunks of a filter's own window narrowed by another one, whose later end doesn't widen it."""
+    at = lambda s: datetime.fromtimestamp(s, timezone.utc)
+    where = S.Filters(doc_type="pr", since=at(SINCE), until=at(UNTIL)).within(at(SINCE + 86400), at(UNTIL + 86400)).within(None, None)
+    return T.chunks(spark, folder).where(where.column()).select("doc_id")
