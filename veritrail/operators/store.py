@@ -453,7 +453,7 @@ class Tables:
         if not paths:
             return None
         rows = self.spark.read.schema(schema).parquet(*paths)
-        return rows if hashes is None or len(hashes) > TESTED else rows.where(F.col("_h").isin(hashes))
+        return rows if hashes is None or not 0 < len(hashes) <= TESTED else rows.where(f"_h in ({', '.join(map(str, hashes))})")
 
     def _union(self, name: str, segments: list[Segment], hashes: list[int] | None, whole=frozenset(), test=None) -> DataFrame | None:
         out = None
