@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from veritrail.operators import search as S
+from veritrail.operators import store
 from veritrail.plans import catalog
 
 from .compare import DATA, connection
@@ -38,10 +39,15 @@ def test_stored_postings_give_what_the_chunks_give(spark, tmp_path):
     assert rows(stored) == rows(loose) != []
 
 
-def test_a_query_reads_the_buckets_of_its_words_alone(spark, tmp_path):
+def test_a_query_reads_the_parts_of_its_words_alone(spark, tmp_path, monkeypatch):
+    """Of an index of many parts a search opens those of its words, and tests the word at the scan."""
+    monkeypatch.setattr(store.Tables.__init__, "__defaults__", (store.FAN, 1 << 16))
     stored = S.write_index(catalog.T.chunks(spark, f"{DATA}/sf0.001"), str(tmp_path))
-    found = stored.holding(["license", "version"])
+    found = stored.holding(["license"])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan
-    read = {r.f for r in found.select(F.input_file_name().alias("f")).distinct().collect()}
-    assert read and all(f"bucket={S._bucket('license')}/" in f or f"bucket={S._bucket('version')}/" in f for f in read)
+    opened = {f.split("part=")[1].split("/")[0] for f in found.inputFiles()}
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PushedFilters: \[[^]]*EqualTo\(term,license\)", plan)
+    [segment] = stored.stored.state("postings")[1]
+    assert segment.parts >= 8 and len(opened) == 1 and {r.term for r in found.collect()} == {"license"}
