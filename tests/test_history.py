@@ -72,3 +72,14 @@ def test_long_chains_of_names(spark):
     changes = spark.createDataFrame(rows, history.CHANGES)
     got = {r.path: r.shas for r in history.commit_files(changes).groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "sha"))), lambda x: x["sha"]).alias("shas")).collect()}
     assert got == {p: touching(p) for p in "abcdef" if there(p)}
+
+
+def test_a_name_that_is_taken_again_and_again(spark):
+    """Commits meet the episodes that end where their stretch of the name ends: of a name with n episodes
+    and n commits, n pairs are made, not n times n."""
+    n = 400
+    rows = [("r", i, f"s{i}", None, "R", "ab"[i % 2], "ab"[(i + 1) % 2]) for i in range(1, n + 1)]
+    found = history.commit_files(spark.createDataFrame(rows, history.CHANGES))
+    assert [r.position for r in found.orderBy("position").collect()] == list(range(1, n + 1))
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "until" in joined[joined.index("Join Inner") :].split("\n")[0]

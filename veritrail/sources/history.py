@@ -96,7 +96,7 @@ def episodes(changes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     asked = renames.select("repo", F.col("old").alias("name"), "pos", F.col("name").alias("of"), F.lit(None).cast("bigint").alias("arrival"))
     heads = begun.select("repo", F.col("path").alias("name"), F.lit(0).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("of"), F.lit(None).cast("bigint").alias("arrival"))
     arrivals = renames.select("repo", "name", "pos", F.lit(None).cast("string").alias("of"), F.col("pos").alias("arrival"))
-    older = Window.partitionBy("repo", "name").orderBy("pos").rangeBetween(1, Window.unboundedFollowing)
+    older = Window.partitionBy("repo", "name").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, -1)  # a running minimum from the oldest on
     met = settled(asked.unionByName(heads).unionByName(arrivals).withColumn("next", F.min("arrival").over(older)).where("arrival is null"))
     first = met.where("of is null").select("repo", F.col("name").alias("path"), F.col("next").alias("pos"))
     every = met.where("of is not null").select("repo", F.col("of").alias("name"), "pos", F.col("name").alias("old"), "next")
@@ -117,10 +117,17 @@ def episodes(changes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
 def commit_files(changes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """``repo, path, sha, time, position``: the commits that touch each path of the newest commit
     (of ``paths`` (path), if they are given), under the names that it had then; newest first
-    by position. A commit that renames a file touches both names. It is what :func:`veritrail.operators.link.link` takes."""
-    named = episodes(changes, paths)
+    by position. A commit that renames a file touches both names. It is what :func:`veritrail.operators.link.link` takes.
+
+    An episode ends at the nearest rename to its name, and so does the stretch of a name's
+    commits that a commit lies in; both are joined on that end, so a name that is taken
+    again and again is cut into its stretches and not paired with all its episodes. A commit
+    lies in one episode of a path, hence in one row."""
+    named = episodes(changes, paths).withColumn("until", F.coalesce("until", F.lit(0)))
     about = ["repo", "sha", "time", "position"]
-    away = changes.where("status = 'R'").select(*about, F.col("old_path").alias("name"))
-    touched = changes.select(*about, F.col("path").alias("name")).unionByName(away).distinct()
-    found = touched.join(named, ["repo", "name"]).where("position > since and (until is null or position <= until)")
-    return found.select("repo", "path", "sha", "time", "position").distinct()
+    away = changes.where("status = 'R'").select(*about, F.col("old_path").alias("name"), F.lit(False).alias("arrives"))
+    here = changes.select(*about, F.col("path").alias("name"), (F.col("status") == "R").alias("arrives"))
+    touched = here.unionByName(away).groupBy(*about, "name").agg(F.max("arrives").alias("arrives"))
+    older = Window.partitionBy("repo", "name").orderBy(F.desc("position")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = touched.withColumn("until", F.coalesce(F.min(F.when(F.col("arrives"), F.col("position"))).over(older), F.lit(0)))
+    return ended.join(named, ["repo", "name", "until"]).where("position > since").select("repo", "path", "sha", "time", "position")
