@@ -98,3 +98,15 @@ def test_nothing_of_a_transaction_that_fails(spark, tmp_path):
     assert tables.read("edges").count() == 1
     with pytest.raises(store.Precondition):
         tables.put("edges", row)
+
+
+def test_postings_are_made_of_few_words_at_a_time(spark):
+    """A task's batches are cut by their words, not taken whole: none is left out, none has more
+    than asked for unless it is one row."""
+    import pyarrow as pa
+
+    sizes = [0, 5, 3, 0, 40, 1, 9, 9, 2, 0]
+    batch = pa.RecordBatch.from_pydict({"terms": pa.array([[f"w{i}-{k}" for k in range(n)] for i, n in enumerate(sizes)]), "doc_id": pa.array(list(map(str, range(len(sizes)))))})
+    parts = list(S._of_words([batch, batch.slice(2, 4), batch.slice(0, 0)], most=10))
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == [*map(str, range(10)), "2", "3", "4", "5"]
+    assert all(p.num_rows == 1 or sum(map(len, p.column("terms").to_pylist())) <= 10 for p in parts)
