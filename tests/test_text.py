@@ -119,3 +119,13 @@ def test_hash_embedder(spark):
     assert abs(sum(x * x for x in a) - 1) < 1e-9 and b == [1.0] + [0.0] * 7
     rows = spark.createDataFrame([("one two",), (None,)], "t string").select(embedding.embed(F.col("t")).alias("e")).collect()
     assert rows[1].e is None and [round(x, 5) for x in rows[0].e] == [round(x, 5) for x in a]
+
+
+def test_chunks_of_documents_far_in_the_future(spark):
+    """Times go through the chunker as they are, also beyond the year 2262, where nanoseconds end."""
+    rows = [("s:commit:a#1", "commit", " one ", 2470), ("s:issue_comment:a#2", "issue_comment", "two", 2470), ("s:page:b", "page", None, 1690), ("#x", "ticket_comment", "three", 9999)]
+    made = spark.createDataFrame(rows, "doc_id string, type string, body string, year int").selectExpr("*", "'s' source", "'r' repo_ref", "'a' author", "make_timestamp(year, 1, 2, 3, 4, 5.25) created_at", "make_timestamp(year, 1, 2, 3, 4, 6) updated_at")
+    found = chunking.chunk(made).join(made.select("doc_id", F.col("created_at").alias("c"), F.col("updated_at").alias("u")), "doc_id").where("created_at = c and updated_at = u")
+    assert sorted(map(tuple, found.select("doc_id", "ordinal", "text", "doc_type", "thread_id").collect())) == [
+        ("#x", 0, "three", "ticket_comment", "#x"), ("s:commit:a#1", 0, "one", "commit", ""), ("s:issue_comment:a#2", 0, "two", "issue_comment", "s:issue_comment:a"),
+    ]
