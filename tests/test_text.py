@@ -129,3 +129,19 @@ def test_chunks_of_documents_far_in_the_future(spark):
     assert sorted(map(tuple, found.select("doc_id", "ordinal", "text", "doc_type", "thread_id").collect())) == [
         ("#x", 0, "three", "ticket_comment", "#x"), ("s:commit:a#1", 0, "one", "commit", ""), ("s:issue_comment:a#2", 0, "two", "issue_comment", "s:issue_comment:a"),
     ]
+
+
+def test_references_are_scanned_once_and_in_linear_time(spark):
+    """A set scans its text once, and a run of 60,000 letters doesn't cost its square."""
+    import time
+
+    made = X.refs(F.col("t"), F.lit("r/r"))
+    scans = lambda c: spark.createDataFrame([("a",)], "t string").select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("regexp_extract_all")
+    assert scans(X.ref_set(made)) == scans(made) == 5
+    assert one(spark, X.numbers(F.lit("-a.b/c_d#1x/y#2 /e/f#3 #4a/b/c#5 g/#6"), F.lit("r/r"))) == ["a.b/c_d#1", "x/y#2", "e/f#3", "r/r#4", "b/c#5", "r/r#6"]
+    assert one(spark, X.merge_numbers(F.lit("a/b/c!1 a#2 d/e#3!4"), F.lit("r/r"))) == ["a/b/c#1", "r/r#2", "d/e#3", "r/r#4"]
+    rows = spark.createDataFrame([("a" * 60_000 + " b/c#1",)], "t string")
+    begun = time.monotonic()
+    for scan in (X.numbers, X.merge_numbers):
+        assert rows.select(scan(F.col("t"), F.lit("r/r")).alias("x")).first().x == ["b/c#1"]
+    assert time.monotonic() - begun < 5
