@@ -83,3 +83,12 @@ def test_a_name_that_is_taken_again_and_again(spark):
     assert [r.position for r in found.orderBy("position").collect()] == list(range(1, n + 1))
     joined = found._jdf.queryExecution().optimizedPlan().toString()
     assert "until" in joined[joined.index("Join Inner") :].split("\n")[0]
+
+
+def test_events_are_numbered_in_ranges(spark):
+    """No task takes all events in order to number them."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["history_window"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    numbers = [line for line in plan.splitlines() if "row_number" in line]
+    assert numbers and all("_range" in line for line in numbers)
