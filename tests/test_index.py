@@ -110,3 +110,12 @@ def test_postings_are_made_of_few_words_at_a_time(spark):
     parts = list(S._of_words([batch, batch.slice(2, 4), batch.slice(0, 0)], most=10))
     assert [i for p in parts for i in p.column("doc_id").to_pylist()] == [*map(str, range(10)), "2", "3", "4", "5"]
     assert all(p.num_rows == 1 or sum(map(len, p.column("terms").to_pylist())) <= 10 for p in parts)
+
+
+def test_copies_have_one_score_in_whatever_order_their_words_come(spark):
+    """Sums whose last bits follow the order of their terms ranked copies of a text by chance."""
+    weights = spark.createDataFrame([(1, p, 1, idf, 1) for p, idf in enumerate([0.1, 0.2, 0.3, 0.7, 1.9])], "query_id int, phrase int, df bigint, idf double, times bigint")
+    orders = [[0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 4, 0, 3, 1], [3, 0, 4, 1, 2]]
+    found = spark.createDataFrame([(p, 1, f"d{d}", 0, 5) for d, some in enumerate(orders) for p in some], "phrase int, f bigint, doc_id string, ordinal int, dl int").coalesce(1)
+    got = S.top(S._totals(found, weights, S.Index(found, 10, 5.0), None), 4).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == ["d0", "d1", "d2", "d3"] and len({r.score for r in got}) == 1
