@@ -119,3 +119,18 @@ def test_copies_have_one_score_in_whatever_order_their_words_come(spark):
     found = spark.createDataFrame([(p, 1, f"d{d}", 0, 5) for d, some in enumerate(orders) for p in some], "phrase int, f bigint, doc_id string, ordinal int, dl int").coalesce(1)
     got = S.top(S._totals(found, weights, S.Index(found, 10, 5.0), None), 4).orderBy("rank").collect()
     assert [r.doc_id for r in got] == ["d0", "d1", "d2", "d3"] and len({r.score for r in got}) == 1
+
+
+def test_a_part_is_written_by_a_task_of_its_own(spark, tmp_path):
+    """Dealt by a hash of their number, several parts met in one task. And a merge of segments shuffles once."""
+    tables = store.Tables(spark, str(tmp_path), fan=3, part_bytes=2048)
+    row = lambda k: chunks(spark, {f"d{i}": [f"{k} text {i} " + "word " * (i % 50)] for i in range(k, 600)})
+    for k in (0, 100, 300):
+        tables.put("chunks", row(k), spark.createDataFrame([(f"d{i}",) for i in range(k, k + 20)], "doc_id string") if k else None)
+    [one] = tables.state("chunks")[1]
+    folder = tmp_path / "chunks" / one.folder.rsplit("/", 1)[1]
+    tasks = [f.name.split("-")[1] for f in folder.glob("part=*/*.parquet")]
+    assert one.parts > 8 and len(tasks) == len(set(tasks)) > 8
+    want = {f"d{i}": 300 if i >= 300 else 100 if i >= 100 else 0 for i in range(600)}
+    assert {r.doc_id: int(r.text.split()[0]) for r in tables.read("chunks").collect()} == want
+    assert spark.read.parquet(str(folder)).where("_dead").isEmpty()
