@@ -134,3 +134,22 @@ def test_a_part_is_written_by_a_task_of_its_own(spark, tmp_path):
     want = {f"d{i}": 300 if i >= 300 else 100 if i >= 100 else 0 for i in range(600)}
     assert {r.doc_id: int(r.text.split()[0]) for r in tables.read("chunks").collect()} == want
     assert spark.read.parquet(str(folder)).where("_dead").isEmpty()
+
+
+def test_postings_are_sorted_once_in_parts_that_their_rows_fit_into(spark, tmp_path, monkeypatch):
+    """They were sorted as one part, which was then read and sorted again in parts by the bytes of the file, of
+    which rows take many times more in memory."""
+    tables, seen, written = store.Tables(spark, str(tmp_path), part_bytes=32 << 10), [], store.Tables._written
+
+    def noted(self, name, rows, parts, *rest):
+        folder = written(self, name, rows, parts, *rest)
+        seen.append((parts, self._size(folder)))
+        return folder
+
+    monkeypatch.setattr(store.Tables, "_written", noted)
+    made = S.postings(chunks(spark, corpus(random.Random(9), 300)).coalesce(2))
+    tables.write("postings", made)
+    [(first, size), (parts, _)] = seen
+    assert first == 0 and parts * tables.part_bytes >= 4 * size > tables.part_bytes
+    rows = lambda df: sorted((r.term, r.doc_id, r.ordinal, r.tf, r.positions) for r in df.collect())
+    assert rows(tables.read("postings")) == rows(made)
