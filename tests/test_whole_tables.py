@@ -10,7 +10,7 @@ from veritrail.operators import search as S
 from veritrail.operators import store
 from veritrail.plans import catalog
 
-from .compare import DATA, connection
+from .compare import DATA, connection, rows
 
 FOLDER = f"{DATA}/sf0.01"
 
@@ -51,3 +51,10 @@ def test_a_query_reads_the_parts_of_its_words_alone(spark, tmp_path, monkeypatch
     assert re.search(r"PushedFilters: \[[^]]*EqualTo\(term,license\)", plan)
     [segment] = stored.stored.state("postings")[1]
     assert segment.parts >= 8 and len(opened) == 1 and {r.term for r in found.collect()} == {"license"}
+
+
+def test_a_history_needs_no_index(spark, monkeypatch):
+    """A verb that searches nothing wrote the whole index of the folder's texts first."""
+    monkeypatch.setattr(catalog, "_indexed", lambda *_: 1 / 0)
+    found = catalog.QUERIES["history_of"](spark, f"{DATA}/sf0.001")
+    assert rows(found.toPandas()) == rows(connection(f"{DATA}/sf0.001").sql(catalog.SQL["history_of"]).df())
