@@ -189,3 +189,19 @@ def test_the_corpus_is_measured_without_a_row_for_each_chunk_and_part(spark, tmp
     index, loose = S.write_index(made, str(tmp_path)), S.index(made)
     assert "hashpartitioning(doc_id" not in plans["corpus"]
     assert (index.n, index.average) == (loose.n, loose.average)
+
+
+def test_texts_are_not_shuffled_for_the_few_that_were_found(spark):
+    made = chunks(spark, corpus(random.Random(3), 40))
+    documents = made.selectExpr("doc_id", "'s' source", "'t' type", "'title' title", "case when doc_id like '%7' then '' else doc_id end url", "created_at").distinct()
+    fused = spark.createDataFrame([(1, d, 0, 1.0 / p, p) for p, d in enumerate(sorted(r.doc_id for r in documents.collect())[:20], 1)], "query_id int, doc_id string, ordinal int, score double, position bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.lift(fused, made, documents.localCheckpoint())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.doc_id, r.relevance, r.position, r.url) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert got == {(r.doc_id, r.score, r.position, r.doc_id) for r in fused.collect() if not r.doc_id.endswith("7")} and got
