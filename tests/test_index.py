@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from veritrail.operators import search as S
@@ -205,3 +206,30 @@ def test_texts_are_not_shuffled_for_the_few_that_were_found(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
     assert got == {(r.doc_id, r.score, r.position, r.doc_id) for r in fused.collect() if not r.doc_id.endswith("7")} and got
+
+
+def test_postings_are_dealt_in_blocks_that_hold_every_row(spark, tmp_path):
+    """They were shuffled row by row, each with its chunk's texts."""
+    made = S.postings(chunks(spark, corpus(random.Random(4), 200)).withColumn("created_at", F.expr("timestamp_seconds(33000000000 + ordinal)")).coalesce(1))
+    part = made.withColumn("_dead", F.lit(False)).withColumn("_h", store.Tables.hashed("postings")).withColumn("part", F.col("_h").bitwiseAND(F.lit(3)))
+    blocks = part.mapInArrow(store._blocks, "part int, block binary")
+    assert blocks.count() == part.select("part").distinct().count() > 1
+    assert sorted(map(tuple, blocks.select("block").mapInArrow(store._of_blocks, part.schema).collect()), key=repr) == sorted(map(tuple, part.collect()), key=repr)
+    plans, written = [], DataFrameWriter.parquet
+    tables = store.Tables(spark, str(tmp_path), part_bytes=16 << 10)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", lambda self, folder: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), written(self, folder))[1])
+        tables.write("postings", made)
+    dealt = [p for p in plans if "REPARTITION_BY" in p]
+    assert dealt and all("block#" in p.split("Exchange")[1].split("\n")[1] for p in dealt)
+    assert tables.read("postings").count() == made.count()
+
+
+def test_an_index_of_texts_that_lie_elsewhere_writes_words_alone(spark, tmp_path):
+    """All texts and vectors were joined, shuffled and written again for it."""
+    made = chunks(spark, corpus(random.Random(5), 60))
+    whole, lean = S.write_index(made, str(tmp_path / "a")), S.write_index(made, str(tmp_path / "b"), made.drop("embedding"))
+    assert not (tmp_path / "b" / "chunks").exists() and (lean.n, lean.average) == (whole.n, whole.average)
+    assert scores(S.bm25(lean, asked(spark))) == scores(S.bm25(whole, asked(spark))) and "embedding" not in lean.texts.columns
+    with pytest.raises(store.Precondition):
+        S.StoredIndex(lean.stored).update(made, made.select("doc_id"))
