@@ -233,3 +233,25 @@ def test_an_index_of_texts_that_lie_elsewhere_writes_words_alone(spark, tmp_path
     assert scores(S.bm25(lean, asked(spark))) == scores(S.bm25(whole, asked(spark))) and "embedding" not in lean.texts.columns
     with pytest.raises(store.Precondition):
         S.StoredIndex(lean.stored).update(made, made.select("doc_id"))
+
+
+def test_an_update_cuts_texts_once_and_compares_no_postings(spark, tmp_path, monkeypatch):
+    """Old postings were put down by themselves, and their keys and the new ones' were shuffled twice to be compared."""
+    rng = random.Random(10)
+    index = S.StoredIndex(store.Tables(spark, str(tmp_path)))
+    now = corpus(rng, 20)
+    index.update(chunks(spark, now), spark.createDataFrame([(d,) for d in now], "doc_id string"))
+    plans, segment = [], store.Tables._segment
+    monkeypatch.setattr(store.Tables, "_segment", lambda self, name, rows, *rest, **more: (plans.append((name, rows._jdf.queryExecution().executedPlan().toString())), segment(self, name, rows, *rest, **more))[1])
+    monkeypatch.setattr(S, "settled", lambda df: 1 / 0)
+    fresh = {"d3": ["the river river"], "d4": now["d4"], "d50": ["a toll"]}
+    index.update(chunks(spark, fresh), spark.createDataFrame([("d3",), ("d4",), ("d5",), ("d50",)], "doc_id string"))
+    monkeypatch.undo()
+    [plan] = [p for name, p in plans if name == "postings"]
+    assert "LeftAnti" not in plan and "terms" not in "".join(p for name, p in plans if name != "postings")
+    now = {d: p for d, p in (now | fresh).items() if d != "d5"}
+    updated, whole = index.index(), S.index(chunks(spark, now))
+    assert (updated.n, round(updated.average, 9)) == (whole.n, round(whole.average, 9))
+    assert scores(S.bm25(updated, asked(spark))) == scores(S.bm25(whole, asked(spark)))
+    words = {r.term: r.df for r in index.tables.read("words").collect() if r.df}
+    assert words == {r.term: r.df for r in S.postings(chunks(spark, now)).groupBy("term").agg(F.count("*").alias("df")).collect()}
